@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chat_format, line_dedup, quality_rules, token_store, url_filter
+from lexiloom.llm import chat_format, decontaminate, line_dedup, piece_codec, quality_classifier, quality_rules, substring_dedup, token_store, url_filter
 from lexiloom.session import table
 
 #: The contract's site rules, in its order.
 SITE_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -32,22 +36,47 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_chats(chat_format.format_chats(turns.unionByName(own)))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("text", 256)).drop("text")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.site_rule(v, x, i) for i, (v, x) in enumerate(SITE_RULES)]
     out = url_filter.filter_urls(table(spark, sf_dir, "pages"), [*rules, *url_filter.PATTERNS])
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded, decoded again and compared."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = piece_codec.decode_pieces(piece_codec.encode_pieces(table(spark, sf_dir, "documents"), model), model)
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(piece_codec.SPACE), F.lit(" "))
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == text).alias("round_trip")
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.apply_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_store": op4_token_store,
     "op5_chat_format": op5_chat_format,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_url_filter": op8_url_filter,
+    "op9_piece_codec": op9_piece_codec,
     "op10_quality_rules": op10_quality_rules,
 }
 
