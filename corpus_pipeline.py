@@ -1,5 +1,77 @@
-"""The corpus pipeline (placeholder until its stages exist)."""
-STAGES = []
+"""The corpus pipeline: quality classifier, line dedup, near-dedup, benchmark decontamination, piece encoding.
+
+Each stage works on all that its predecessor kept and returns the columns of documents; the last returns
+(doc_id, n_tokens, ids). Rows that share a doc_id stay or go together in the stages that decide by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.llm import decontaminate, line_dedup, near_dedup, piece_codec, quality_classifier
+from lexiloom.llm.common import stage
+from lexiloom.session import table
+
+#: The stages' rows cannot be had in SQL; tests compare them with brute-force versions.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs but for the rejected ids; ids may be null. Text moves once and is not sorted."""
+    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, quality_classifier.score(docs, model).where(~F.col("kept")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them have; n_chars follows the text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = line_dedup.dedup_lines(docs, min_docs=10, carry=tuple(others))
+    if "n_chars" in others:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near duplicates (five words, 0.8)."""
+    return _without(docs, near_dedup.near_dedup(docs, words=5, percent=80).where(~F.col("kept")))
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    whole = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("_row"), "text")
+    out = decontaminate.decontaminate(whole, table(spark, sf_dir, "benchmark"), id_col="_row")
+    return out.where(~F.col("contaminated")).select("_row.*", "text").select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every document left."""
+    import public_tokenizers
+
+    out = piece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("near dedup", near_duplicates),
+    ("decontamination", benchmark_free),
+    ("piece encoding", pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result but the last is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, f) in enumerate(STAGES):
+        docs = f(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage(docs, "pipeline")
+    return docs

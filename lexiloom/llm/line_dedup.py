@@ -18,17 +18,18 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2")]
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key has min_chars code points or more and occurs in min_docs documents or more.
 
-    Returns (id, text, n_lines, n_dropped), one row per input row; other columns are left out, so names cannot clash.
+    Returns (id, text, n_lines, n_dropped, *carry), one row per input row; carry names further columns to pass through,
+    all others are left out, so names cannot clash.
     Nulls: a null text is one empty line; null ids are kept. A repeated row counts as one more document. Rows alike in
     id and text get alike results. An empty table gives an empty result. Lines without a key (blank ones) always stay.
 
     Only 128-bit keys are shuffled to be counted (with map-side sums, so a line of every document is one row per task);
     the hot keys come back by a salted join, and text moves once, hash-joined with the lists of dropped positions.
     """
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"))
     d = d.withColumn("_th", F.xxhash64("_text"))
     lines = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
     keyed = (
@@ -50,4 +51,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("_drop").isNull(), F.coalesce("_text", F.lit(""))).otherwise(kept).alias(text_col),
         F.size(lines).cast("long").alias("n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(F.col("_carry")[c].alias(c) for c in carry),
     )
