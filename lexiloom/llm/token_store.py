@@ -34,8 +34,8 @@ MAGIC = b"LXSSTAB1\n"
 BLOCK_BYTES = 32 << 10
 SHARD_BYTES = 8 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-#: Entries of a worker's cache of encoded words; the cache starts anew when it is full.
-CACHE_ENTRIES = 400_000
+#: Entries of a worker's caches of encoded words and pre-tokens; a cache starts anew when it is full.
+CACHED_WORDS, CACHED_TOKENS = 300_000, 1_000_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -145,10 +145,11 @@ def _codec() -> tuple:
 
 
 class WordEncoder:
-    """Byte-level BPE by the tokenizers library's model, a pre-token at a time and cached.
+    """Byte-level BPE by the tokenizers library's model, a pre-token at a time and cached as little-endian 32-bit ids.
 
     A space between two non-blank characters always starts a pre-token, so texts are cut there and each word is encoded
-    once; texts with other runs of blanks are cut by the full pattern. Special tokens' strings are ordinary text.
+    once; texts with other runs of blanks are cut by the full pattern. Words of letters with punctuation behind them
+    need no pattern either. Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -157,43 +158,48 @@ class WordEncoder:
 
         self.model, self.find = Tokenizer.from_file(path).model, regex.compile(pattern).findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.bytes_as = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
-        outer = self
+        bytes_as = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        tokenize, find, pack = self.model.tokenize, self.find, np.array
+        blank = chr(bytes_as[32])
 
         class Tokens(dict):
-            def __missing__(self, word: str) -> list[int]:
-                out = self[word] = [t.id for t in outer.model.tokenize(word.encode().decode("latin-1").translate(outer.bytes_as))]
+            def __missing__(self, word: str) -> bytes:
+                mapped = blank + word[1:] if word[:1] == " " and word[1:].isalpha() and word.isascii() else word.encode().decode("latin-1").translate(bytes_as)
+                out = self[word] = pack([t.id for t in tokenize(mapped)], "<u4").tobytes()
                 return out
 
+        tokens = self.tokens = Tokens()
+
         class Words(dict):
-            def __missing__(self, word: str) -> list[int] | None:
-                out = self[word] = None if not word or word[0].isspace() or word[-1].isspace() else outer.of(" " + word)
+            def __missing__(self, word: str) -> bytes | None:
+                core = word.rstrip(".,;:!?#$%&*)")
+                if core.isalpha():
+                    out = tokens[" " + core] + (tokens[word[len(core) :]] if len(core) < len(word) else b"")
+                elif not word or word[0].isspace() or word[-1].isspace():
+                    out = None
+                else:
+                    out = b"".join([tokens[t] for t in find(" " + word)])
+                self[word] = out
                 return out
 
-        self.tokens, self.words = Tokens(), Words()
+        self.words = Words()
 
-    def of(self, text: str) -> list[int]:
-        out: list[int] = []
-        for t in self.find(text):
-            out += self.tokens[t]
-        return out
+    def of(self, text: str) -> bytes:
+        return b"".join([self.tokens[t] for t in self.find(text)])
 
-    def encode(self, text: str) -> list[int]:
-        if len(self.words) > CACHE_ENTRIES:
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian 32-bit integers."""
+        if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        if len(self.tokens) > CACHE_ENTRIES:
+        if len(self.tokens) > CACHED_TOKENS:
             self.tokens.clear()
         first, _, rest = text.partition(" ")
         if not first or first[-1].isspace() or not rest:
             return self.of(text)
-        out = self.of(first)
-        words = self.words
-        for w in rest.split(" "):
-            ids = words[w]
-            if ids is None:
-                return self.of(text)
-            out += ids
-        return out
+        try:
+            return self.of(first) + b"".join(map(self.words.__getitem__, rest.split(" ")))
+        except TypeError:  # a word that is empty or has blanks at its ends
+            return self.of(text)
 
 
 @lru_cache(2)
@@ -216,14 +222,14 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, squeeze, bounds = encoder(tokenizer, pattern), _codec()[0], np.array(cuts)
+        enc, squeeze, bounds, end = encoder(tokenizer, pattern), _codec()[0], np.array(cuts), np.array([end_id], "<u4").tobytes()
         for b in slices(batches, "_text"):
             values, sizes = [], []
             for text in b.column(1).to_pylist():
-                ids = enc.encode(text) if text else []
-                ids.append(end_id)
-                values.append(squeeze.compress(np.array(ids, "<u4" if max(ids) > 0xFFFF else "<u2").tobytes()))
-                sizes.append(len(ids) << 1 | (max(ids) > 0xFFFF))
+                ids = np.frombuffer((enc.encode(text) if text else b"") + end, "<u4")
+                wide = int(ids.max()) > 0xFFFF
+                values.append(squeeze.compress(ids.tobytes() if wide else ids.astype("<u2").tobytes()))
+                sizes.append(len(ids) << 1 | wide)
             at = np.array([float("-inf") if x is None else x for x in b.column(0).to_pylist()], float)
             lo, hi = np.searchsorted(bounds, at, "left"), np.searchsorted(bounds, at, "right")
             part = lo + np.array([zlib.crc32(v) for v in values], np.int64) % (hi - lo + 1)
