@@ -24,8 +24,9 @@ SPACE = "▁"
 #: Words longer than this are relaxed by a heap over their own edges instead of in rounds over all words.
 LONG_WORD = 48
 #: Characters that are indexed at once, unless a single word has more.
-INDEX_CHARS = 500_000
-CACHE_ENTRIES = 400_000
+INDEX_CHARS = 250_000
+#: Words whose ids a worker keeps; the cache starts anew when it is full.
+CACHE_ENTRIES = 500_000
 SEP = 0x10FFFF
 
 
@@ -71,9 +72,11 @@ class PieceCodec:
         self.lens = np.array([len(p) for p in self.pieces], np.int64)
         score = np.array([sp.get_score(i) for i in self.ids.tolist()])
         self.rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)
-        self.table = [b"" if i in special else bytes((octets[i],)) if i in octets else names[i].replace(SPACE, " ").encode() for i in range(n)]
+        table = [b"" if i in special else bytes((octets[i],)) if i in octets else names[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.letters, self.spans = np.frombuffer(b"".join(table), np.uint8), np.array([len(x) for x in table])
+        self.places = np.cumsum(self.spans) - self.spans
         self.alone = not any("\n" in p for p in names)  # then a line feed always parts what stands around it
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
 
     # encoding
 
@@ -90,7 +93,7 @@ class PieceCodec:
             out.append(held)
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts; an empty text has none."""
         cache = self.cache
         if len(cache) > CACHE_ENTRIES:
@@ -109,13 +112,7 @@ class PieceCodec:
                 new, size = [], 0
         if new:
             self._index(new)
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += cache[w]
-            out.append(ids)
-        return out
+        return [np.frombuffer(b"".join([cache[w] for w in words]), "<i4") for words in cut]
 
     @staticmethod
     def _lines(word: str) -> Iterator[str]:
@@ -149,7 +146,7 @@ class PieceCodec:
         if text is None or "\n" in words:  # a line feed of its own is a word without edges; it must not stand for the separator
             words_in = [w for w in words if w != "\n"]
             if "\n" in words:
-                self.cache["\n"] = self._fallback("\n")
+                self.cache["\n"] = np.array(self._fallback("\n"), "<i4").tobytes()
             if not words_in:
                 return
             words, text = words_in, (chr(SEP - 1)).join(words_in) + chr(SEP - 1)
@@ -190,19 +187,23 @@ class PieceCodec:
             piece[s] = ids[chosen]
             keep = spread < none  # a word without a mergeable edge has come to its end
             start, end, rank, ids = start[keep], end[keep], rank[keep], ids[keep]
-        single, cache = self.single, self.cache
-        marks, found = bound[:n].tolist(), piece.tolist()
-        for w, a in zip(words, begin.tolist(), strict=True):
-            out: list[int] = []
-            for i in range(a, a + len(w)):
-                if marks[i]:
-                    p = found[i]
-                    if p >= 0:
-                        out.append(p)
-                    else:
-                        c = text[i]
-                        out += (single[c],) if c in single else self._fallback(c)
-            cache[w] = out
+        inside = np.ones(n, bool)
+        inside[begin + lens] = False
+        at = np.flatnonzero(bound[:n] & inside)
+        found = piece[at]
+        chars, which = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")[at], return_inverse=True)
+        alone = [[self.single[c]] if (c := chr(x)) in self.single else self._fallback(c) for x in chars.tolist()]
+        flat, size = np.array([i for x in alone for i in x], np.int64), np.array([len(x) for x in alone])
+        count = np.where(found >= 0, 1, size[which])
+        ends = np.cumsum(count)
+        out = np.repeat(found, count)
+        rest = np.repeat(found < 0, count)
+        out[rest] = flat[(np.repeat(np.cumsum(size)[which] - size[which] - (ends - count), count) + np.arange(len(out)))[rest]]
+        ids_of, total = out.astype("<i4").tobytes(), np.concatenate([[0], ends])
+        stops = 4 * total[np.searchsorted(at, begin + lens)]
+        starts = 4 * total[np.searchsorted(at, begin)]
+        for w, a, b in zip(words, starts.tolist(), stops.tolist(), strict=True):
+            self.cache[w] = ids_of[a:b]
 
     def _fallback(self, c: str) -> list[int]:
         octets = c.encode("utf-8", "replace")
@@ -239,10 +240,12 @@ class PieceCodec:
 
     # decoding
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids without its dummy space. Bytes that are not UTF-8 become U+FFFD."""
-        table = self.table
-        out = b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        n = self.spans[ids]
+        at = np.repeat(self.places[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out = self.letters[at].tobytes().decode("utf-8", "replace")
         return out[1:] if out[:1] == " " else out
 
 
@@ -263,7 +266,7 @@ def encode_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
         c = codec(model_file)
         for b in slices(batches, "_text"):
             ids = c.encode_batch([x or "" for x in b.column(1).to_pylist()])
-            flat = np.fromiter((i for row in ids for i in row), np.int32, sum(map(len, ids)))
+            flat = np.concatenate(ids)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["_id", "_text", "_ids"])
 
@@ -279,7 +282,9 @@ def decode_pieces(encoded: DataFrame, model_file: str, ids_col: str = "ids", out
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for b in batches:
-            text = [None if x is None else c.decode(x) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
+            ids = b.column(b.schema.get_field_index(ids_col))
+            flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
+            text = [None if null else c.decode(flat[at[i] : at[i + 1]]) for i, null in enumerate(ids.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], [*b.schema.names, out_col])
 
     return encoded.mapInArrow(decode, StructType([*encoded.schema.fields]).add(out_col, StringType()))
