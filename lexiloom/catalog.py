@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexiloom.plans import queries_tables, queries_text
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _module in (queries_text, queries_tables):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
