@@ -41,6 +41,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files that this step alone needed
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path  # type: ignore[attr-defined]
     return out
@@ -70,6 +71,15 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], row: list[Co
     )
 
 
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join for a right side with one row a key that is too large to repeat for salting.
+
+    right is staged first, so both sides come to the join by shuffles of its own, and adaptive execution splits the
+    partitions of hot keys (or broadcasts right, should its measured size allow).
+    """
+    return left.join(stage(right, "keys"), keys, how)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about most_bytes of the text column, or a single row."""
     for b in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import salted_join, slices, stage
+from lexiloom.llm.common import skew_join, slices, stage
 
 MIN_WORDS = 20
 _MIX = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -99,7 +99,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     columns are left out. An empty table gives an empty result.
 
     Digests are counted with map-side sums (a passage of a third of all texts is one row a task); only chunks whose
-    first digest repeats go on, through salted joins; text moves once, hash-joined with its list of cuts.
+    first digest repeats go on, through joins that split hot keys; text moves once, hash-joined with its list of cuts.
     """
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     d = d.withColumn("_row", F.xxhash64(F.lit("row"), "_id", "_text"))
@@ -114,9 +114,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = dict(d.dtypes)["_id"]
     chunks = d.select("_id", "_row", "_text").mapInArrow(chunk, f"_id {kind}, _row long, _start long, _end long, _d1 long, _d2 long")
     twice = chunks.groupBy("_d1").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("_d1")
-    again = stage(salted_join(chunks, twice, ["_d1"], [F.col("_row"), F.col("_start")], "inner"), "repeats")
+    again = stage(skew_join(chunks, twice, ["_d1"]), "repeats")
     first = again.groupBy("_d1", "_d2").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_row", "_start")).alias("_first")).where(F.col("_n") > 1)
-    told = salted_join(again, first, ["_d1", "_d2"], [F.col("_row"), F.col("_start")], "inner")
+    told = skew_join(again, first, ["_d1", "_d2"])
     drop = ~F.struct("_id", "_row", "_start").eqNullSafe(F.col("_first"))
     cuts = told.groupBy("_row").agg(F.collect_list(F.struct(F.col("_start").alias("a"), F.col("_end").alias("b"), drop.alias("drop"))).alias("_cuts"))
 
