@@ -291,7 +291,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = large.select("rep", "component", "key", F.pmod(F.xxhash64("rep"), n).alias("block"), F.lit(False).alias("asks"))
     askers = large.where(F.col("component") != F.col("main")).select("rep", "component", "key", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("block"), F.lit(True).alias("asks"))
     needed = members.join(askers.select("key").distinct(), "key", "left_semi")
-    asked = needed.union(askers).join(sets.select("rep", "items"), "rep").groupBy("key", "block").applyInArrow(ask, "a long, b long")
+    asked = needed.unionByName(askers).join(sets.select("rep", "items"), "rep").groupBy("key", "block").applyInArrow(ask, "a long, b long")
     more = stage(rest.union(asked), "links")
     final = stage(components(links.union(more)), "components") if more.limit(1).count() else first
     unstage(shared, sets, open_, links, more, *([first] if final is not first else []))
