@@ -153,8 +153,8 @@ def _risk_sql() -> str:
     terms = " + ".join(f"CASE WHEN regexp_matches(source_text, '{p}') THEN {w} ELSE 0 END" for p, w in scores.SENSITIVE.values())
     shift = "abs(greatest(1, len(regexp_extract_all(source_text, '[.!?]+'))) - greatest(1, len(regexp_extract_all(target_text, '[.!?]+')))) >= 2"
     return f"""WITH {PAIRS_SQL}, r AS (
-SELECT node_id, round(least(1.0, 0.05 + {terms} + CASE WHEN kind % 5 = 0 THEN 0.25 ELSE 0 END + least(0.30, 0.18 * (kind % 3)) + CASE WHEN kind = 7 THEN 0.16 ELSE 0 END + CASE WHEN kind >= 6 THEN 0.10 ELSE 0 END
-  + CASE WHEN source_text <> '' AND target_text <> '' AND {shift} THEN 0.14 ELSE 0 END), 3) AS risk FROM pairs)
+SELECT node_id, CAST(round(least(1.0, 0.05 + {terms} + CASE WHEN kind % 5 = 0 THEN 0.25 ELSE 0 END + least(0.30, 0.18 * (kind % 3)) + CASE WHEN kind = 7 THEN 0.16 ELSE 0 END + CASE WHEN kind >= 6 THEN 0.10 ELSE 0 END
+  + CASE WHEN source_text <> '' AND target_text <> '' AND {shift} THEN 0.14 ELSE 0 END), 3) AS DOUBLE) AS risk FROM pairs)
 SELECT node_id, risk, CASE WHEN risk >= 0.65 THEN 'HIGH' WHEN risk >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r"""
 
 

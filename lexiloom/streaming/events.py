@@ -65,7 +65,7 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def telemetry(events: DataFrame) -> DataFrame:
     """A stream of (user_id, event_type, last_value, seen), updated as events come: custom state per key, not per project in one process."""
-    e = events.select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("micros"), "value")
+    e = events.select("user_id", "event_type", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"), "value")
     return e.groupBy("user_id", "event_type").applyInPandasWithState(
         _fold, "user_id long, event_type string, last_value double, seen long", "at long, eid long, value double, n long", "update", GroupStateTimeout.NoTimeout
     )
