@@ -102,8 +102,10 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(left), len(right)), np.float32)
     values = np.concatenate([*left, *right])
     owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
-    _, col, n = np.unique(values, return_inverse=True, return_counts=True)
-    keep = n[col] > 1
+    _, col = np.unique(values, return_inverse=True)
+    of_left = np.bincount(col[owner < len(left)], minlength=int(col.max()) + 1 if len(col) else 0)
+    of_right = np.bincount(col[owner >= len(left)], minlength=len(of_left))
+    keep = ((of_left > (left is right)) & (of_right > 0))[col]  # the rest meets nothing, or itself alone
     _, col = np.unique(col[keep], return_inverse=True)
     owner = owner[keep]
     order = np.argsort(col, kind="stable")
@@ -118,6 +120,7 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which left and right sets are linked; where both are the same list, the diagonal says nothing."""
     both = _overlaps(left, right)
     a, b = np.array([len(s) for s in left]), np.array([len(s) for s in right])
     return 100 * both >= percent * (a[:, None] + b[None, :] - both)
@@ -134,7 +137,6 @@ def components(edges: DataFrame) -> DataFrame:
     third of all edges.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") > F.col("v")).distinct(), "edges")
-    mark = None
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -146,10 +148,9 @@ def components(edges: DataFrame) -> DataFrame:
         after = stage(small, "edges")
         unstage(now, mid)
         now = after
-        r = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (r["n"], r["h"]) == mark:
-            break
-        mark = r["n"], r["h"]
+        r = now.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes")).first()
+        if r["n"] == r["nodes"] and not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").head(1):
+            break  # every node has one parent and no parent has one: stars
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
