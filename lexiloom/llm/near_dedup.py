@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import salted_join, slices, stage, unstage
+from lexiloom.llm.common import salted_join, skew_join, slices, stage, unstage
 
 BANDS, ROWS = 40, 5
 BASE, RATE = 1.001, 20.0
@@ -133,17 +133,17 @@ def _sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the least node that can be reached.
 
-    Alternating large-star and small-star steps; each ends in a staged table. Joins are salted, as a centre may have a
-    third of all edges.
+    Alternating large-star and small-star steps; each ends in a staged table. A centre may have a
+    third of all edges, so the joins are of a kind whose hot keys adaptive execution splits.
     """
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") > F.col("v")).distinct(), "edges")
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted_join(both.where(F.col("v") > F.col("u")), least, ["u"], [F.col("v")], "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") > F.col("v")).distinct()
+        large = skew_join(both.where(F.col("v") > F.col("u")), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") > F.col("v")).distinct()
         mid = stage(large, "edges")
         least = mid.groupBy("u").agg(F.min("v").alias("m"))
-        joined = salted_join(mid, least, ["u"], [F.col("v")], "inner")
+        joined = skew_join(mid, least, ["u"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where(F.col("u") > F.col("v")).distinct()
         after = stage(small, "edges")
         unstage(now, mid)
