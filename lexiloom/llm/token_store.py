@@ -20,6 +20,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ BLOCK_BYTES = 32 << 10
 SHARD_BYTES = 8 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Entries of a worker's caches of encoded words and pre-tokens; a cache starts anew when it is full.
-CACHED_WORDS, CACHED_TOKENS = 200_000, 500_000
+CACHED_WORDS, CACHED_TOKENS = 200_000, 700_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -159,13 +160,13 @@ class WordEncoder:
         self.model, self.find = Tokenizer.from_file(path).model, regex.compile(pattern).findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         bytes_as = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
-        tokenize, find, pack = self.model.tokenize, self.find, np.array
+        tokenize, find = self.model.tokenize, self.find
         blank = chr(bytes_as[32])
 
         class Tokens(dict):
             def __missing__(self, word: str) -> bytes:
                 mapped = blank + word[1:] if word[:1] == " " and word[1:].isalpha() and word.isascii() else word.encode().decode("latin-1").translate(bytes_as)
-                out = self[word] = pack([t.id for t in tokenize(mapped)], "<u4").tobytes()
+                out = self[word] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
                 return out
 
         tokens = self.tokens = Tokens()
