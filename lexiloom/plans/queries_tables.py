@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import scores
 from lexiloom.operators import caches, gate, issues, lint, metrics, mining, nodes, packing, retrieval, structure, terms
 from lexiloom.plans import provider
-from lexiloom.plans.fixtures import BLOCKS_SQL, LINES_SQL, PAIRS_SQL, TERMS, blocks, lines, pairs, term_list
+from lexiloom.plans.fixtures import BLOCKS_SQL, LINES_SQL, PAIRS_SQL, TERMS, blocks, lines, pairs, sql_pairs, term_list
 from lexiloom.plans.queries_text import joined
 from lexiloom.sources import readers
 from lexiloom.session import table
@@ -115,7 +115,7 @@ def smart_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PAIRS_SQL}
 SELECT node_id, (length(target_text) - length(replace(target_text, 'an', ''))) // 2 AS matches, replace(target_text, 'an', 'AN') AS replaced FROM pairs WHERE contains(target_text, 'an')""")
 def find_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.find_replace(pairs(spark, sf_dir), "an", "AN").select("node_id", "matches", "replaced")
+    return nodes.find_replace(sql_pairs(spark, sf_dir), "an", "AN").select("node_id", "matches", "replaced")
 
 
 @query(f"""WITH {LINES_SQL} SELECT project_id, count(DISTINCT chapter_id) AS chapters, count(*) AS nodes, min(node_id) AS least_id FROM lines GROUP BY project_id""")
@@ -145,7 +145,7 @@ _TERM_VALUES = ", ".join(f"('{t}', '{t if i % 2 else t + 'x'}', {str(i % 3 == 0)
 h AS (SELECT s, t, contains(lower(target_text), t) AS ok FROM pairs JOIN g ON contains(lower(source_text), s))
 SELECT s AS source_term, t AS target_term, count(*) AS occurrences, count(*) FILTER (NOT ok) AS deviations FROM h GROUP BY s, t HAVING count(*) >= 2 AND count(*) FILTER (NOT ok) > 0""")
 def glossary_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.substring_consistency(pairs(spark, sf_dir), term_list(spark))
+    return terms.substring_consistency(sql_pairs(spark, sf_dir), term_list(spark))
 
 
 def _has(text: str, term: str) -> str:
@@ -157,7 +157,7 @@ h AS (SELECT s, t, l, {_has("target_text", "t")} AS ok FROM pairs JOIN g ON {_ha
 SELECT s AS source_term, t AS target_term, count(*) AS occurrences, count(*) FILTER (NOT ok) AS deviations, CASE WHEN l THEN 'ENTITY_MISMATCH' ELSE 'TERM_VARIANT' END AS issue_type, CASE WHEN l THEN 'ERROR' ELSE 'WARNING' END AS severity
 FROM h GROUP BY s, t, l HAVING count(*) >= 2 AND count(*) FILTER (NOT ok) > 0""")
 def term_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.term_variants(pairs(spark, sf_dir), term_list(spark))
+    return terms.term_variants(sql_pairs(spark, sf_dir), term_list(spark))
 
 
 @query(f"""WITH {PAIRS_SQL}, g(s, t, l) AS (VALUES {_TERM_VALUES})
@@ -165,7 +165,7 @@ SELECT node_id, s AS source_term, CASE WHEN l THEN 'GLOSSARY_MISMATCH' ELSE 'GLO
 FROM pairs JOIN g ON {_has("source_text", "s")} WHERE NOT {_has("target_text", "t")} AND NOT (s = 'avec' AND {_has("target_text", "'the'")})""")
 def glossary_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = term_list(spark).withColumn("target", F.col("target_term"))
-    return terms.glossary_issues(pairs(spark, sf_dir), entries)
+    return terms.glossary_issues(sql_pairs(spark, sf_dir), entries)
 
 
 @query(f"""WITH {PAIRS_SQL}, e(k, p, a, l, ty) AS (VALUES ('the', 'the', 'of', true, 'TERM'), ('und', 'und', 'die', false, 'ACRONYM'), ('la', 'la', 'le', false, 'NAME')),
@@ -175,7 +175,7 @@ FROM h GROUP BY k, l, ty HAVING count(*) >= 2 AND count(DISTINCT label) > 1""")
 def entity_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("the", "the", ["of"], True, "TERM"), ("und", "und", ["die"], False, "ACRONYM"), ("la", "la", ["le"], False, "NAME")]
     d = spark.createDataFrame(rows, "source_key string, preferred string, aliases array<string>, locked boolean, entity_type string")
-    return terms.entity_variants(pairs(spark, sf_dir), d)
+    return terms.entity_variants(sql_pairs(spark, sf_dir), d)
 
 
 @query("""WITH p AS (SELECT lower(split_part(p_type, ' ', 1)) AS term, p_partkey FROM part), f AS (SELECT term, min(p_partkey) AS ord FROM p GROUP BY term)
@@ -281,7 +281,7 @@ def insert_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("kind")
     code = F.when(k == 1, "NUMBER_MISMATCH").when(k == 4, "NEGATION_LOSS").when(k == 8, "MISTRANSLATION")
-    return pairs(spark, sf_dir).where(code.isNotNull()).select("node_id", "order_index", code.alias("issue_type"))
+    return sql_pairs(spark, sf_dir).where(code.isNotNull()).select("node_id", "order_index", code.alias("issue_type"))
 
 
 @query(f"""WITH {PAIRS_SQL}, i AS (SELECT node_id, order_index, CASE kind WHEN 1 THEN 'NUMBER_MISMATCH' WHEN 4 THEN 'NEGATION_LOSS' ELSE 'MISTRANSLATION' END AS issue_type FROM pairs WHERE kind IN (1, 4, 8))
@@ -296,7 +296,7 @@ def issue_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {PAIRS_SQL} SELECT node_id, order_index % 5 = 0 OR {_has("source_text", "'with'")} AS is_stale FROM pairs""")
 def invalidate_by_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir)
+    p = sql_pairs(spark, sf_dir)
     r = p.select("node_id", (F.col("order_index") % 5 == 0).alias("is_stale"))
     return issues.invalidate(r, p, spark.createDataFrame([("with",)], "source_term string")).select("node_id", "is_stale")
 

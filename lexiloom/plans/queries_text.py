@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import facts, scores, text as tx
 from lexiloom.operators import gate
 from lexiloom.operators.multiset import multiset_minus
-from lexiloom.plans.fixtures import LINES_SQL, PAIRS_SQL, conversation_pairs, lines, pairs
+from lexiloom.plans.fixtures import LINES_SQL, PAIRS_SQL, conversation_pairs, lines, pairs, sql_pairs
 from lexiloom.session import table
 
 QUERIES: dict = {}
@@ -72,7 +72,7 @@ diff AS (SELECT c.* FROM cnt c LEFT JOIN other o ON o.node_id = c.node_id AND o.
 SELECT node_id, coalesce(string_agg(k, ',' ORDER BY i) FILTER (WHERE side = 's'), '') AS missing, coalesce(string_agg(k, ',' ORDER BY i) FILTER (WHERE side = 't'), '') AS unexpected FROM diff GROUP BY node_id""")
 def number_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = facts.number_keys(F.col("source_text")), facts.number_keys(F.col("target_text"))
-    p = pairs(spark, sf_dir).select("node_id", s.alias("s"), t.alias("t"))
+    p = sql_pairs(spark, sf_dir).select("node_id", s.alias("s"), t.alias("t"))
     out = p.select("node_id", joined(multiset_minus(F.col("s"), F.col("t"))).alias("missing"), joined(multiset_minus(F.col("t"), F.col("s"))).alias("unexpected"))
     return out.where((F.col("missing") != "") | (F.col("unexpected") != ""))
 
@@ -83,7 +83,7 @@ u AS (SELECT node_id, list_transform(regexp_extract_all(source_text, '(?i)https?
 SELECT node_id, array_to_string(list_filter(s, lambda x: NOT list_contains(t, x)), ',') AS missing, array_to_string(list_filter(t, lambda x: NOT list_contains(s, x)), ',') AS unexpected
 FROM u WHERE s <> t""")
 def url_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir).select("node_id", tx.urls(F.col("source_text")).alias("s"), tx.urls(F.col("target_text")).alias("t"))
+    p = sql_pairs(spark, sf_dir).select("node_id", tx.urls(F.col("source_text")).alias("s"), tx.urls(F.col("target_text")).alias("t"))
     out = p.select("node_id", joined(multiset_minus(F.col("s"), F.col("t"))).alias("missing"), joined(multiset_minus(F.col("t"), F.col("s"))).alias("unexpected"))
     return out.where((F.col("missing") != "") | (F.col("unexpected") != ""))
 
@@ -94,7 +94,7 @@ k AS (SELECT node_id, list_transform(s, lambda x: CASE WHEN lower(left(x, 1)) =
   list_transform(t, lambda x: CASE WHEN lower(left(x, 1)) = 'f' THEN 'FIGURE:' ELSE 'TABLE:' END || regexp_extract(x, '\\s(\\S+)$', 1)) AS t FROM r)
 SELECT node_id, array_to_string(list_filter(s, lambda x: NOT list_contains(t, x)), ',') AS missing, array_to_string(list_filter(t, lambda x: NOT list_contains(s, x)), ',') AS unexpected FROM k WHERE s <> t""")
 def reference_multiset_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs(spark, sf_dir).where(F.col("kind") == 3).select("node_id", facts.reference_keys(F.col("source_text")).alias("s"), facts.reference_keys(F.col("target_text")).alias("t"))
+    p = sql_pairs(spark, sf_dir).where(F.col("kind") == 3).select("node_id", facts.reference_keys(F.col("source_text")).alias("s"), facts.reference_keys(F.col("target_text")).alias("t"))
     out = p.select("node_id", joined(multiset_minus(F.col("s"), F.col("t"))).alias("missing"), joined(multiset_minus(F.col("t"), F.col("s"))).alias("unexpected"))
     return out.where((F.col("missing") != "") | (F.col("unexpected") != ""))
 
@@ -105,7 +105,7 @@ FROM pairs WHERE length(trim(source_text)) > 100 AND trim(target_text) <> '' AND
 def length_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, t = F.trim("source_text"), F.trim("target_text")
     ratio = F.length(t) / F.length(s)
-    hit = pairs(spark, sf_dir).where((F.length(s) > 100) & (t != "") & ((ratio < 0.25) | (ratio > 3.5)))
+    hit = sql_pairs(spark, sf_dir).where((F.length(s) > 100) & (t != "") & ((ratio < 0.25) | (ratio > 3.5)))
     return hit.select("node_id", gate.relabel(F.lit("LENGTH_ANOMALY"), ratio).alias("issue_type"))
 
 
@@ -116,7 +116,7 @@ n AS (SELECT *, len(regexp_extract_all(s, '["“”]')) AS qs, len(regexp_extrac
 SELECT node_id, at_ > as_ AS question_added, (qt % 2 = 1 AND qs % 2 = 0) OR (regexp_matches(s, '^["“]') AND NOT regexp_matches(t, '^["“–—-]') AND regexp_matches(t, '^[^"“”]+[,.!?…]\\s*["”]')) AS quotes_off
 FROM n WHERE question_added OR quotes_off""")
 def added_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = gate.issues(pairs(spark, sf_dir)).where(F.col("issue_type").isin("CONTENT_ADDITION", "QUOTE_UNBALANCED"))
+    found = gate.issues(sql_pairs(spark, sf_dir)).where(F.col("issue_type").isin("CONTENT_ADDITION", "QUOTE_UNBALANCED"))
     return found.groupBy("node_id").agg(F.max(F.col("issue_type") == "CONTENT_ADDITION").alias("question_added"), F.max(F.col("issue_type") == "QUOTE_UNBALANCED").alias("quotes_off"))
 
 
@@ -126,14 +126,14 @@ WHERE regexp_matches(source_text, '(?i)\\b(?:no\\s+longer|cannot|can[''’]?t|ne
   AND NOT regexp_matches(target_text, '(?i)\\b(?:no\\s+longer|cannot|can[''’]?t|never|none|neither|nor|not)\\b|\\b[A-Za-z]+n[''’]t\\b')""")
 def negation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = facts.negation_lost(F.col("source_text"), F.col("target_text"), "en")
-    return pairs(spark, sf_dir).where(lost).select("node_id", F.lit("NEGATION_LOSS").alias("issue_type"))
+    return sql_pairs(spark, sf_dir).where(lost).select("node_id", F.lit("NEGATION_LOSS").alias("issue_type"))
 
 
 @query(f"""WITH {PAIRS_SQL}
 SELECT node_id, array_to_string(list_sort(list_distinct(regexp_extract_all(target_text, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]'))), '') AS foreign_chars
 FROM pairs WHERE regexp_matches(target_text, '[\\x{{3040}}-\\x{{30FF}}\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]') AND kind = 9""")
 def foreign_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pairs(spark, sf_dir).select("node_id", F.array_join(F.array_sort(tx.foreign_script(F.col("source_text"), F.col("target_text"))), "").alias("foreign_chars"))
+    found = sql_pairs(spark, sf_dir).select("node_id", F.array_join(F.array_sort(tx.foreign_script(F.col("source_text"), F.col("target_text"))), "").alias("foreign_chars"))
     return found.where(F.col("foreign_chars") != "")
 
 
@@ -164,7 +164,7 @@ def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     risk = scores.risk_score(
         F.col("source_text"), F.col("target_text"), F.when(kind % 5 == 0, "table").otherwise("paragraph"), kind % 3, F.when(kind == 7, F.array(F.lit("LENGTH_ANOMALY"))).otherwise(F.array().cast("array<string>")), F.when(kind >= 6, 3).otherwise(0)
     )
-    return pairs(spark, sf_dir).select("node_id", risk.alias("risk")).withColumn("level", scores.risk_level(F.col("risk")))
+    return sql_pairs(spark, sf_dir).select("node_id", risk.alias("risk")).withColumn("level", scores.risk_level(F.col("risk")))
 
 
 @query()
@@ -183,7 +183,7 @@ SELECT project_id, issue_type, count(*) AS issues FROM (
   UNION ALL SELECT project_id, 'FOREIGN_SCRIPT_CONTAMINATION' FROM f WHERE kind = 9) GROUP BY ALL""")
 def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: one pass over the pairs, counts of the issues that are plain in SQL too."""
-    found = gate.issues(pairs(spark, sf_dir))
+    found = gate.issues(sql_pairs(spark, sf_dir))
     plain = found.where(F.col("issue_type").isin("EMPTY_TRANSLATION", "LENGTH_ANOMALY", "TECHNICAL_TOKEN_MISMATCH", "FOREIGN_SCRIPT_CONTAMINATION"))
     return plain.groupBy("project_id", "issue_type").agg(F.count("*").alias("issues"))
 
