@@ -150,14 +150,17 @@ class WordEncoder:
 
     A space between two non-blank characters always starts a pre-token, so texts are cut there and each word is encoded
     once; texts with other runs of blanks are cut by the full pattern. Words of letters with punctuation behind them
-    need no pattern either. Special tokens' strings are ordinary text.
+    need no pattern either. A text that holds the string of an added token goes to the library whole, which matches those
+    tokens before it cuts.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        self.model, self.find = Tokenizer.from_file(path).model, regex.compile(pattern).findall
+        self.library = Tokenizer.from_file(path)
+        self.model, self.find = self.library.model, regex.compile(pattern).findall
+        self.added = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         bytes_as = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
         tokenize, find = self.model.tokenize, self.find
@@ -190,6 +193,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers."""
+        if any(t in text for t in self.added):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         if len(self.tokens) > CACHED_TOKENS:
