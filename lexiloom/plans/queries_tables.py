@@ -188,8 +188,8 @@ def preset_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def heading_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings (first lines) rendered like another heading of the project whose source is unrelated."""
-    h = lines(spark, sf_dir).where(F.col("order_index") == 0).select("project_id", "node_id", F.col("content").alias("source_text"), F.substring("content", 1, 12).alias("target_text"))
+    """Headings (first lines) rendered like, or within, another heading of the project whose source is unrelated."""
+    h = pairs(spark, sf_dir).where(F.col("order_index") == 0).select("project_id", "node_id", "source_text", "target_text")
     return terms.duplicated_headings(h)
 
 

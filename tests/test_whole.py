@@ -1,8 +1,11 @@
 """Queries and operators over whole tables: no row, line or part of a text is left out."""
 
+import random
+
 import pytest
 
 from lexiloom import catalog
+from lexiloom.operators import terms
 from lexiloom.plans import fixtures
 
 
@@ -24,3 +27,29 @@ def test_gate_report_and_provider_run_cover_long_lines(spark, small):
     empty = catalog.QUERIES["gate_report"](spark, small).where("issue_type = 'EMPTY_TRANSLATION'").first()
     assert empty["nodes"] == sum((i + pos) % 12 == 10 for i in range(1, 25) for pos in (0, 2, 3))
     assert sum(r["nodes"] for r in catalog.QUERIES["provider_run"](spark, small).collect()) == 24 * 3
+
+
+def test_heading_duplicates_equal_brute_force(spark):
+    rng = random.Random(3)
+    some = ["".join(rng.choice("ab c") for _ in range(rng.randrange(1, 9))) for _ in range(70)]
+    rows = [(rng.choice("pq"), str(i), rng.choice(["x", "y", "z", "xy", None]), t) for i, t in enumerate([*some, "intro", "introduction", "the hou", "the house", "", None])]
+    rows += [("p", "i1", "x", "intro"), ("p", "i2", "y", "introduction"), ("p", "i3", "x", "the hou"), ("p", "i4", "z", "the house")]
+
+    def pairs():
+        norm = [(p, n, s, " ".join((t or "").lower().split())) for p, n, s, t in rows]
+        for p, n, s, t in norm:
+            for q, m, os_, ot in norm:
+                if p == q and n != m and t and s and os_ and (t == ot or (len(t) >= 3 and t in ot)) and s not in os_ and os_ not in s:
+                    yield n, m
+
+    got = terms.duplicated_headings(spark.createDataFrame(rows, "project_id string, node_id string, source_text string, target_text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(pairs())
+    assert {("i1", "i2"), ("i3", "i4")} <= set(pairs())
+
+
+def test_heading_duplicates_compare_whole_renderings(spark, tmp_path):
+    """The sixth of one heading stands, after more than twelve characters, in another's."""
+    part = "a long opening of words "
+    rows = [(7, part + "x" * 120, "s", "en", 1), (12, "see " + part + "again", "s", "en", 1), (24, "a long openers", "s", "en", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["heading_duplicates"](spark, str(tmp_path)).collect()] == [("7:0", "12:0")]
