@@ -100,13 +100,16 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks, pages): each document laid out twelve lines a page, with a running header, a page number, a two-column page of three and headings by size."""
+    """(blocks, pages): each document laid out twelve lines a page, with a running header, a page number, a two-column page of three and headings by size.
+
+    BLOCKS_SQL cuts texts to 200 characters; its queries read no text of the body, so they do not differ.
+    """
     n = lines(spark, sf_dir).select("doc_id", F.col("order_index").alias("pos"), F.col("content").alias("text"))
     page = F.floor(F.col("pos") / 12).cast("int") + 1
     k = (F.col("pos") % 12).cast("int")
     two = page % 3 == 0
     body = n.select(
-        "doc_id", page.alias("page_number"), (k + 1).alias("block_id"), F.lit("text").alias("type"), F.substring("text", 1, 200).alias("text"),
+        "doc_id", page.alias("page_number"), (k + 1).alias("block_id"), F.lit("text").alias("type"), "text",
         F.when(two & (k % 2 == 1), 320.0).otherwise(40.0).alias("x0"), (120.0 + F.floor(k / F.when(two, 2).otherwise(1)) * 50).cast("double").alias("y0"),
         F.when(two, F.when(k % 2 == 1, 560.0).otherwise(280.0)).otherwise(560.0).alias("x1"), (150.0 + F.floor(k / F.when(two, 2).otherwise(1)) * 50).cast("double").alias("y1"),
         F.when(F.col("pos") % 25 == 0, 22.0).when(F.col("pos") % 10 == 5, 14.0).otherwise(F.when(F.col("doc_id") % 2 == 0, 11.0).otherwise(10.0)).alias("font_size"), (F.col("pos") % 25 == 0).alias("is_bold"),

@@ -372,7 +372,7 @@ def library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rule_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits that put one word for another, mined to rules."""
-    n = lines(spark, sf_dir).where(F.length("content") < 300)
+    n = lines(spark, sf_dir)
     e = n.select("project_id", "node_id", F.col("content").alias("before"), F.regexp_replace("content", r"\bthe\b", "this").alias("after")).where(F.col("before") != F.col("after"))
     return mining.mine_rules(e)
 
@@ -411,7 +411,7 @@ def style_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the lint over renderings seeded with phrases, by rule."""
     phrases = ("Việc này được làm bởi họ.", "Cô ấy nói rằng cô ấy đi.", "Anh đi một cách nhanh chóng.", "Nó của của tôi.", "Các sự chậm trễ.", "Ai cũng không biết.")
     i = (F.col("order_index") % len(phrases) + 1).cast("int")
-    n = pairs(spark, sf_dir).select("node_id", F.lit("He said so.").alias("source_text"), F.concat_ws(" ", F.element_at(F.array(*map(F.lit, phrases)), i), F.substring("target_text", 1, 60)).alias("target_text"))
+    n = pairs(spark, sf_dir).select("node_id", F.lit("He said so.").alias("source_text"), F.concat_ws(" ", F.element_at(F.array(*map(F.lit, phrases)), i), "target_text").alias("target_text"))
     return lint.lint(n).groupBy("rule", "type", "severity").agg(F.count("*").alias("findings"))
 
 

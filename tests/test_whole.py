@@ -53,3 +53,21 @@ def test_heading_duplicates_compare_whole_renderings(spark, tmp_path):
     rows = [(7, part + "x" * 120, "s", "en", 1), (12, "see " + part + "again", "s", "en", 1), (24, "a long openers", "s", "en", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in catalog.QUERIES["heading_duplicates"](spark, str(tmp_path)).collect()] == [("7:0", "12:0")]
+
+
+def test_rebuilt_structure_counts_words_of_whole_lines(spark, small):
+    got = {r["doc_id"]: r["total_words"] for r in catalog.QUERIES["rebuilt_structure"](spark, small).collect()}
+    header = 2  # stays in a document of one page; its page number goes
+    assert got == {i: header + 121 + 2 + 122 for i in range(1, 25)}
+
+
+def test_rule_mining_reads_long_lines(spark, small):
+    r = catalog.QUERIES["rule_mining"](spark, small).first()
+    assert (r["avoid"], r["prefer"], r["occurrences"]) == ("the", "this", 24)
+
+
+def test_style_lint_reads_whole_renderings(spark, tmp_path):
+    rows = [(12, "x " * 300 + "để có thể", "s", "en", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["rule"]: r["findings"] for r in catalog.QUERIES["style_lint"](spark, str(tmp_path)).collect()}
+    assert found["DE_CO_THE"] == 1 and found["LONG_SENTENCE"] == 1
