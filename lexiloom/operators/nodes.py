@@ -23,9 +23,20 @@ def shown(target: Column, source: Column) -> Column:
 
 
 def number_nodes(nodes: DataFrame) -> DataFrame:
-    """Adds order_index from 0 within each project by (chapter_index, node_index, node_id)."""
-    w = Window.partitionBy("project_id").orderBy("chapter_index", "node_index", "node_id")
-    return nodes.withColumn("order_index", F.row_number().over(w) - 1)
+    """Adds order_index from 0 within each project by (chapter_index, node_index, node_id): places in the chapter, after the nodes of earlier chapters."""
+    w = Window.partitionBy("project_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = nodes.groupBy("project_id", "chapter_index").agg(F.count("*").alias("_size"))
+    before = sizes.select(F.col("project_id").alias("_p"), F.col("chapter_index").alias("_c"), F.coalesce(F.sum("_size").over(w), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("project_id", "chapter_index").orderBy("node_index", "node_id")) - 1
+    n = nodes.withColumn("_at", at).join(before, F.col("project_id").eqNullSafe(F.col("_p")) & F.col("chapter_index").eqNullSafe(F.col("_c")))
+    return n.withColumn("order_index", F.col("_before") + F.col("_at")).drop("_p", "_c", "_before", "_at")
+
+
+def number_chapters(nodes: DataFrame, chapter: str) -> DataFrame:
+    """Adds chapter_index from 0 within each project by the chapter column, over distinct chapters."""
+    every = nodes.select(F.col("project_id").alias("_p"), F.col(chapter).alias("_c")).distinct()
+    every = every.withColumn("chapter_index", F.row_number().over(Window.partitionBy("_p").orderBy("_c")) - 1)
+    return nodes.join(every, F.col("project_id").eqNullSafe(F.col("_p")) & F.col(chapter).eqNullSafe(F.col("_c"))).drop("_p", "_c")
 
 
 def merge_next(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -148,7 +159,7 @@ def preview_picks(nodes: DataFrame, terms: list[str], limit: int = 7) -> DataFra
 
 
 def nested(chapters: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row per project: chapters in order, each with its nodes in order (one join, no query per chapter)."""
-    per = nodes.groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "node_id", "content"))).alias("nodes"))
-    joined = chapters.join(per, "chapter_id", "left")
-    return joined.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("chapter_index", "chapter_id", "nodes"))).alias("chapters"))
+    """(project_id, chapter_index, chapter_id, nodes): one row per chapter with its nodes in order, null without any. A project is its rows; no row holds a project."""
+    per = nodes.groupBy(F.col("project_id").alias("_p"), F.col("chapter_id").alias("_c")).agg(F.array_sort(F.collect_list(F.struct("order_index", "node_id", "content"))).alias("nodes"))
+    own = F.col("project_id").eqNullSafe(F.col("_p")) & F.col("chapter_id").eqNullSafe(F.col("_c"))
+    return chapters.join(per, own, "left").select("project_id", "chapter_index", "chapter_id", "nodes")

@@ -106,9 +106,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY project_id, chapter_index ORDER
 k AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY chapter_index, order_index) AS m FROM r WHERE (chapter_index = 0 AND n <= 15) OR (chapter_index > 0 AND v = 0 AND n = 1))
 SELECT node_id, node_type FROM k WHERE m <= 40""")
 def smart_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    n = typed(spark, sf_dir).withColumn("chapter_index", F.dense_rank().over(Window.partitionBy("project_id").orderBy("doc_id")) - 1)
+    n = nodes.number_chapters(typed(spark, sf_dir), "doc_id")
     return nodes.preview(n).select("node_id", "node_type")
 
 
@@ -123,8 +121,7 @@ def nested_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lines(spark, sf_dir)
     chapters = n.select("project_id", "chapter_id", F.col("doc_id").alias("chapter_index")).distinct()
     d = nodes.nested(chapters, n)
-    every = F.flatten(F.col("chapters")["nodes"])
-    return d.select("project_id", F.size("chapters").cast("long").alias("chapters"), F.size(every).cast("long").alias("nodes"), F.array_min(every["node_id"]).alias("least_id"))
+    return d.groupBy("project_id").agg(F.count("*").alias("chapters"), F.sum(F.size("nodes")).alias("nodes"), F.min(F.array_min(F.col("nodes")["node_id"])).alias("least_id"))
 
 
 # consistency and terms

@@ -1,11 +1,12 @@
 """Queries and operators over whole tables: no row, line or part of a text is left out."""
 
 import random
+import re
 
 import pytest
 
 from lexiloom import catalog
-from lexiloom.operators import terms
+from lexiloom.operators import nodes, terms
 from lexiloom.plans import fixtures
 
 
@@ -71,3 +72,19 @@ def test_style_lint_reads_whole_renderings(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r["rule"]: r["findings"] for r in catalog.QUERIES["style_lint"](spark, str(tmp_path)).collect()}
     assert found["DE_CO_THE"] == 1 and found["LONG_SENTENCE"] == 1
+
+
+def test_nested_has_a_row_for_each_chapter(spark):
+    rows = [("p", "c1", 0, 1, "b", "y"), ("p", "c1", 0, 0, "a", "x"), ("p", "c2", 1, 0, "c", "z"), ("q", "c1", 0, 0, "d", "w")]
+    n = spark.createDataFrame(rows, "project_id string, chapter_id string, chapter_index int, order_index int, node_id string, content string")
+    chapters = n.select("project_id", "chapter_id", "chapter_index").distinct()
+    got = nodes.nested(chapters, n).orderBy("project_id", "chapter_index").collect()
+    assert [(r["project_id"], r["chapter_id"], [x["node_id"] for x in r["nodes"]]) for r in got] == [("p", "c1", ["a", "b"]), ("p", "c2", ["c"]), ("q", "c1", ["d"])]
+
+
+def test_no_window_sorts_the_nodes_of_a_project(spark):
+    n = spark.createDataFrame([("p", c, i, f"{c}:{i}") for c in (2, 1) for i in (1, 0)] + [(None, None, 0, "x")], "project_id string, chapter_index int, node_index int, node_id string")
+    got = nodes.number_nodes(n)
+    assert {r["node_id"]: r["order_index"] for r in got.collect()} == {"1:0": 0, "1:1": 1, "2:0": 2, "2:1": 3, "x": 0}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"row_number\(\) windowspecdefinition\(project_id#\d+, chapter_index#\d+,", plan)
