@@ -1,7 +1,7 @@
 """The corpus pipeline: quality classifier, line dedup, near-dedup, benchmark decontamination, piece encoding.
 
 Each stage works on all that its predecessor kept and returns the columns of documents; the last returns
-(doc_id, n_tokens, ids). Rows that share a doc_id stay or go together in the stages that decide by id.
+(doc_id, n_tokens, ids, round_trip). Rows that share a doc_id stay or go together in near-dedup, which decides by id.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps, row by row: rows that share an id, or have none, are judged each by its own text, source and language."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, quality_classifier.score(docs, model).where(~F.col("kept")))
+    keyed = docs.withColumn("_row", F.sha2(F.to_json(F.struct("doc_id", "text", "source", "lang")), 256))
+    gone = quality_classifier.score(keyed, model, id_col="_row").where(~F.col("kept")).select("_row").distinct()
+    return keyed.join(gone.hint("shuffle_hash"), "_row", "left_anti").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +53,13 @@ def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document left."""
+    """(doc_id, n_tokens, ids, round_trip) of every document left; round_trip: the decoded ids are the text (SPACE as a space)."""
     import public_tokenizers
 
-    out = piece_codec.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    out = piece_codec.decode_pieces(piece_codec.encode_pieces(docs, model), model)
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit(piece_codec.SPACE), F.lit(" "))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
 
 
 STAGES = [

@@ -24,3 +24,16 @@ def test_token_store_matches_added_tokens(spark):
         ids = [*t.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_pipeline_judges_rows_and_decodes(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    rows = [(None, "good text", "s", "en", 9), (None, "bad text", "s", "en", 8), (1, "good text", "s", "en", 9), (1, "bad text", "s", "en", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    monkeypatch.setattr(cp, "table", lambda *a: None)
+    monkeypatch.setattr(cp.quality_classifier, "fit", lambda *a: None)
+    monkeypatch.setattr(cp.quality_classifier, "score", lambda d, m, id_col="doc_id": d.select(id_col, (~d["text"].contains("bad")).alias("kept")))
+    kept = cp.quality(spark, docs, "")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "good text"), (1, "good text")]
+    assert [r["round_trip"] for r in cp.pieces(spark, kept, "").collect()] == [True, True]
