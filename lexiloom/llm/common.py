@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Spark's setting that removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: At most so many keys can each hold more than one HOT_KEYS-th of a table's rows.
+HOT_KEYS = 10_000
 
 
 def ascii_lower(c: Column) -> Column:
@@ -28,20 +32,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A cluster names it in spark.checkpoint.dir; a local run gets its own."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only a local session without it gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="lexiloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Shuffle files that this step alone needed go when it ends; without that, disk fills with what no later step reads.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files that this step alone needed
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path  # type: ignore[attr-defined]
     return out
@@ -60,8 +73,8 @@ def unstage(*frames: DataFrame) -> None:
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], row: list[Column], how: str = "left", salts: int = 8) -> DataFrame:
     """Equi-join whose left side may hold a third of its rows under one key.
 
-    right has at most one row a key and is small beside left: it is repeated `salts` times, and left rows are
-    dealt over (keys, salt) by a hash of `row`. Keys must be non-null (coalesce them first).
+    right has at most one row a key and, by what its maker keeps, under a tenth of left's rows or a row a host; it is repeated
+    `salts` times, and left rows are dealt over (keys, salt) by a hash of `row`. Keys must be non-null (coalesce them first).
     """
     deal = F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int")
     return (
@@ -71,6 +84,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], row: list[Co
     )
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:
+    """Equi-join to a staged right side with one row a key, whose column `weight` says how many of left's `total` rows have the key.
+
+    Keys with more than total / HOT_KEYS rows number HOT_KEYS at most, whatever the data, so they are broadcast. The others
+    are joined by a shuffle, in which no key has more than that share. how: left or inner. Keys must be non-null.
+    """
+    hot, cold = (right.where(F.col(weight) > total // HOT_KEYS), right.where(F.col(weight) <= total // HOT_KEYS))
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join for a right side with one row a key that is too large to repeat for salting.
 

@@ -70,6 +70,26 @@ def test_near_dedup_finds_every_link(spark, monkeypatch):
     assert {r["doc_id"] for r in got if r["kept"]} == set(want.values())
 
 
+def test_near_dedup_with_many_unlinked_components_in_hot_buckets(spark, monkeypatch):
+    """Copies of one text at a distance that shares bands but makes few links: askers and members fill several blocks each."""
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "WIDE_BLOCK", 6)
+    rng = random.Random(31)
+    base = words(rng, 120)
+    rows = [base]
+    for i in range(160):
+        v = list(base)
+        for _ in range(4 + i % 9):
+            v[rng.randrange(len(v))] = f"z{rng.randrange(10**6)}"
+        rows.append(v)
+    texts = {i: " ".join(r) for i, r in enumerate(rows[1:] + rows[:1])}
+    want, _ = brute_components(texts, 2)
+    assert 20 < len(set(want.values())) < 140
+    got = near_dedup.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_sketch_estimates_and_merges():
     rng = np.random.default_rng(3)
     for share in (0.2, 0.5, 0.8, 0.95):
