@@ -196,6 +196,56 @@ def test_substring_dedup_catches_long_passages_wherever_they_stand(spark):
     assert all(got[i]["text"] == texts[i] for i in texts if i not in repeated)
 
 
+def brute_repeats(texts, min_words, within=False):
+    """{id: (n_repeats, repeated_bytes, dropped_bytes)} by the rule itself: 16-byte gear hashes, chunks from cut to cut, chunks compared as bytes."""
+    gear = substring_dedup.GEAR.tolist()
+    found = {}
+    for i, text in texts.items():
+        raw = text.encode()
+        keep, data = [], []
+        for k, c in enumerate(raw):
+            blank = c in b" \t\n\x0b\x0c\r"
+            if not (blank and (k == 0 or raw[k - 1] in b" \t\n\x0b\x0c\r")):
+                keep.append(k)
+                data.append(32 if blank else c + 32 if 65 <= c <= 90 else c)
+        n = len(data)
+        cuts = [k + 1 for k in range(n) if data[k] == 32 and sum(gear[data[k - j]] << j for j in range(min(16, k + 1))) % 65536 >> 14 == 0]
+        if n and (not cuts or cuts[-1] != n):
+            cuts.append(n)
+        for a in ([0, *cuts[:-1]] if n else []):
+            b = next((b for b in cuts if b > a and bytes(data[a:b]).count(b" ") + (b == n and data[-1] != 32) >= min_words), None)
+            if b:
+                found.setdefault(bytes(data[a:b]), []).append((i, keep[a], keep[b] if b < n else len(raw)))
+    spans, gone = defaultdict(set), defaultdict(set)
+    for at in found.values():
+        if len(at) > 1 and (within or len({i for i, _, _ in at}) > 1):
+            for x in at:
+                spans[x[0]].add(x[1:])
+                if x != min(at):
+                    gone[x[0]].add(x[1:])
+    cover = lambda s: len({p for a, b in s for p in range(a, b)})
+    return {i: (len(spans[i]), cover(spans[i]), cover(gone[i])) for i in texts}
+
+
+def test_substring_dedup_equals_brute_force(spark):
+    rng = random.Random(41)
+    some = lambda n: [rng.choice(["a", "Bc", "def", "gh\t", "é日", "i\n", "klmno"]) + str(rng.randrange(60)) for _ in range(n)]
+    shared = [some(rng.randrange(12, 60)) for _ in range(12)]
+    texts = {}
+    for i in range(120):
+        t = some(rng.randrange(40))
+        for _ in range(rng.randrange(3)):
+            p = rng.choice(shared)
+            at, lo = rng.randrange(len(t) + 1), rng.randrange(4)
+            t[at:at] = [x.upper() if i % 5 == 0 and x.isascii() else x for x in p[lo:]]
+        texts[i] = rng.choice([" ", "  "]).join(t)
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for within in (False, True):
+        got = {r["doc_id"]: (r["n_repeats"], r["repeated_bytes"], r["dropped_bytes"]) for r in substring_dedup.dedup_substrings(d, min_words=10, within=within).collect()}
+        want = brute_repeats(texts, 10, within)
+        assert got == want and sum(n > 0 for n, _, _ in want.values()) > 30
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(8)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400))

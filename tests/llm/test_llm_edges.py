@@ -76,7 +76,11 @@ def test_substring_dedup(spark, odd, none):
     r = substring_dedup.dedup_substrings(odd).collect()
     by = {x["doc_id"]: x for x in r}
     assert by[0]["text"] is None and by[1]["text"] == "" and not by[4]["has_repeat"]
-    assert by[7]["has_repeat"] and 0 < by[7]["dropped_bytes"] < len(LONG)
+    assert not by[7]["has_repeat"] and by[7]["text"] == LONG  # repeats itself alone
+    own = {x["doc_id"]: x for x in substring_dedup.dedup_substrings(odd, within=True).collect()}
+    assert own[7]["has_repeat"] and 0 < own[7]["dropped_bytes"] < len(LONG)
+    both = {x["doc_id"]: x for x in substring_dedup.dedup_substrings(docs(spark, [LONG + "x", None, "y " + LONG])).collect()}
+    assert both[0]["has_repeat"] and both[2]["has_repeat"] and both[2]["dropped_bytes"] > 0
     assert substring_dedup.dedup_substrings(none).count() == 0
 
 
