@@ -23,11 +23,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns (id, text, n_lines, n_dropped, *carry), one row per input row; carry names further columns to pass through,
     all others are left out, so names cannot clash.
-    Nulls: a null text is one empty line; null ids are kept. A repeated row counts as one more document. Rows alike in
-    id and text get alike results. An empty table gives an empty result. Lines without a key (blank ones) always stay.
+    Nulls: a null text is one empty line; null ids are kept and count as one document together. A document is an id: rows
+    that repeat it count once for a line that several of them hold. Rows alike in id and text get alike results. An empty
+    table gives an empty result. Lines without a key (blank ones) always stay.
 
-    Only 128-bit keys are shuffled to be counted (with map-side sums, so a line of every document is one row per task);
-    the hot keys come back by a salted join, and text moves once, hash-joined with the lists of dropped positions.
+    Only ids and 128-bit keys are shuffled to be counted, dealt by both, so a line of every document is spread; then counts
+    meet by key with map-side sums. The hot keys come back by a salted join, and text moves once, hash-joined with the lists
+    of dropped positions.
     """
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"))
     d = d.withColumn("_th", F.xxhash64("_text"))
@@ -37,8 +39,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .where(F.char_length("_key") >= min_chars)
         .select("_id", "_th", "_pos", *_hashes(F.col("_key")))
     )
-    per_doc = d.select(F.explode(F.array_distinct(F.transform(lines, line_key))).alias("_key")).where(F.char_length("_key") >= min_chars)
-    hot = per_doc.select(*_hashes(F.col("_key"))).groupBy("h1", "h2").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs).select("h1", "h2")
+    per_doc = d.select("_id", F.explode(F.array_distinct(F.transform(lines, line_key))).alias("_key")).where(F.char_length("_key") >= min_chars)
+    hot = per_doc.select("_id", *_hashes(F.col("_key"))).distinct().groupBy("h1", "h2").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_docs).select("h1", "h2")
     dropped = (
         salted_join(keyed, hot, ["h1", "h2"], [F.col("_id"), F.col("_th"), F.col("_pos")], "inner")
         .groupBy("_id", "_th")

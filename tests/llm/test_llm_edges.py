@@ -51,7 +51,7 @@ def test_near_dedup(spark, odd, none):
 
 
 def test_line_dedup(spark, odd, none):
-    r = line_dedup.dedup_lines(odd, min_docs=4, carry=("source", "key")).collect()
+    r = line_dedup.dedup_lines(odd, min_docs=3, carry=("source", "key")).collect()
     assert len(r) == len(TEXTS) + len(ODD)
     by = {x["doc_id"]: x for x in r}
     assert (by[0]["text"], by[0]["n_lines"], by[0]["n_dropped"]) == ("", 1, 0)
@@ -62,6 +62,13 @@ def test_line_dedup(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_counts_ids_not_rows(spark):
+    rows = [(1, "twice\na")] * 3 + [(2, "twice\nb"), (None, "twice"), (None, "twice"), (3, "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(x["n_dropped"] == 0 for x in line_dedup.dedup_lines(d, min_docs=4).collect())
+    assert sum(x["n_dropped"] for x in line_dedup.dedup_lines(d, min_docs=3).collect()) == 6
+
+
 def test_decontaminate(spark, odd, none):
     item = "lorem ipsum dolor sit amet lorem ipsum dolor sit amet"
     b = spark.createDataFrame([(1, item), (1, item), (2, None), (None, item), (3, ""), (4, "short")], "item_id long, text string")
