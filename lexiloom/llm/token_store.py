@@ -11,6 +11,9 @@ A shard file holds documents in ascending key order:
 The magic number ends with a line feed: Spark's text writer puts one after each row, and with one row a file that is
 the last byte of the format. So shards go through Spark's commit protocol to any store it can write, and come back
 through its binaryFile source; no task opens a path itself.
+
+A catalogue beside the shards (parquet: file, part, shard, documents, tokens, first_id, last_id) is read off their footers
+and indexes. A lookup reads the catalogue, then only the shards whose id range holds an asked id.
 """
 
 from __future__ import annotations
@@ -29,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import shared_dir, slices, stage
+from lexiloom.llm.common import shared_dir, slices
 
 MAGIC = b"LXSSTAB1\n"
+CATALOGUE = "_catalogue"
 BLOCK_BYTES = 32 << 10
 SHARD_BYTES = 8 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
@@ -118,6 +122,12 @@ class Shard:
             yield key, self.data[at + 4 : at + 4 + size]
             at += 4 + size
 
+    def last_key(self) -> bytes:
+        key = b""
+        for key, _ in self._entries(len(self.blocks) - 1):  # noqa: B007
+            pass
+        return key
+
     def __iter__(self) -> Iterator[tuple[bytes, memoryview]]:
         for i in range(len(self.blocks)):
             yield from self._entries(i)
@@ -217,18 +227,20 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
     """Encode every text, append end_id and write shards under path in ascending id order.
 
     Null and empty texts are the end id alone. Null ids come first. Repeated ids stay, dealt by a hash where one id fills
-    several parts, else in order of their ids' bytes. Other columns are not read. An empty table writes no shard.
+    several parts, else in order of their ids' bytes. Other columns are not read. An empty table writes no shard and an
+    empty catalogue.
 
-    Part bounds come from quantiles of the id column alone. Texts are encoded where they are read; what moves is ids
-    (16 bits where the vocabulary allows, compressed), once. A part makes as many shards as its bytes need.
+    Part bounds are quantiles of the id column alone, as longs: ids of any size keep their order. Texts are encoded where
+    they are read; what moves is ids (16 bits where the vocabulary allows, compressed), once. A part makes as many shards
+    as its bytes need.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.select(F.col(id_col).cast("double").alias("_id")).approxQuantile("_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, squeeze, bounds, end = encoder(tokenizer, pattern), _codec()[0], np.array(cuts), np.array([end_id], "<u4").tobytes()
+        enc, squeeze, bounds, end = encoder(tokenizer, pattern), _codec()[0], np.array(cuts or [], np.int64), np.array([end_id], "<u4").tobytes()
         for b in slices(batches, "_text"):
             values, sizes = [], []
             for text in b.column(1).to_pylist():
@@ -236,9 +248,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
                 wide = int(ids.max()) > 0xFFFF
                 values.append(squeeze.compress(ids.tobytes() if wide else ids.astype("<u2").tobytes()))
                 sizes.append(len(ids) << 1 | wide)
-            at = np.array([float("-inf") if x is None else x for x in b.column(0).to_pylist()], float)
+            at = b.column(0).fill_null(0).to_numpy()
             lo, hi = np.searchsorted(bounds, at, "left"), np.searchsorted(bounds, at, "right")
             part = lo + np.array([zlib.crc32(v) for v in values], np.int64) % (hi - lo + 1)
+            part[b.column(0).is_null().to_numpy(zero_copy_only=False)] = 0
             yield pa.record_batch([b.column(0), pa.array(part.astype(np.int32)), pa.array(sizes, pa.int64()), pa.array(values, pa.binary())], ["_id", "_part", "_size", "_ids"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +273,32 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_i
     dealt = ids.repartitionById(parts, F.col("_part")).sortWithinPartitions("_part", F.col("_id").asc_nulls_first(), "_ids")
     shards = dealt.mapInArrow(pack, "shard binary")
     shards.select(F.col("shard").cast("string")).write.option("maxRecordsPerFile", 1).mode("append").text(path)
+    _catalogue(spark, path).write.mode("overwrite").parquet(f"{path}/{CATALOGUE}")
+
+
+def _files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, content) of shard files. A writer without rows may leave a file without bytes, which is no shard."""
+    return spark.read.format("binaryFile").load(list(paths)).where(F.col("length") > 0).select("path", "content")
+
+
+def _catalogue(spark: SparkSession, path: str) -> DataFrame:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, x in zip(b.column(0), b.column(1), strict=True):
+                s = Shard(x.as_py())
+                row = [s.meta["part"], s.meta["shard"], s.meta["documents"], s.meta["tokens"], id_of(s.blocks[0][0]), id_of(s.last_key())]
+                yield pa.record_batch([pa.array([file.as_py()]), *(pa.array([v], pa.int64()) for v in row)], ["file", "part", "shard", "documents", "tokens", "first_id", "last_id"])
+
+    return _files(spark, path).mapInArrow(read, "file string, part long, shard long, documents long, tokens long, first_id long, last_id long")
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(file, part, shard, documents, tokens, first_id, last_id): a row a shard; null ids come before all others."""
+    return spark.read.schema("file string, part long, shard long, documents long, tokens long, first_id long, last_id long").parquet(f"{path}/{CATALOGUE}")
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(part, shard, pos, doc_id, n_tokens, ids_crc32): a row per stored document. crc32 of the ids as little-endian unsigned 32-bit integers."""
+    """(part, shard, pos, doc_id, n_tokens, ids_crc32): a row per stored document; none of an empty store. crc32 of the ids as little-endian unsigned 32-bit integers."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -274,13 +309,24 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((s.meta["part"], s.meta["shard"], i, id_of(key), len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["part", "shard", "pos", "doc_id", "n_tokens", "ids_crc32"])
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(read, "part long, shard long, pos long, doc_id long, n_tokens long, ids_crc32 long")
+    return _files(spark, path).select("content").mapInArrow(read, "part long, shard long, pos long, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
-    """(doc_id, ids) of the asked documents: every shard is asked through its Bloom filter and block index. The list travels with the task."""
-    keys = [(i, key_of(i)) for i in sorted(set(doc_ids))]
+    """(doc_id, ids) of the asked documents, a row for each stored document under such an id; unknown ids have none.
+
+    The catalogue tells which shards may hold an asked id; only those files are read, each through its Bloom filter and block
+    index. What comes to the driver is a file name for each shard in question, at most as many as ids asked unless ids are
+    repeated over shards. The list of ids travels with the task.
+    """
+    kind = "doc_id long, ids array<int>"
+    asked = sorted(set(doc_ids))
+    keys = [(i, key_of(i)) for i in asked]
+    ids = spark.createDataFrame([(i,) for i in asked], "_id long")
+    ranges = catalogue(spark, path).withColumn("_from", F.coalesce("first_id", F.lit(-(1 << 63))))
+    files = [r["file"] for r in ranges.join(F.broadcast(ids), F.col("_id").between(F.col("_from"), F.col("last_id")), "left_semi").select("file").collect()]
+    if not files:
+        return spark.createDataFrame([], kind)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,21 +335,22 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
                 hits = [(i, ids.astype(np.int32)) for i, k in keys for ids in s.get(k)]
                 yield pa.record_batch([pa.array([i for i, _ in hits], pa.int64()), pa.array([v for _, v in hits], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(find, "doc_id long, ids array<int>")
+    return _files(spark, *files).select("content").mapInArrow(find, kind)
 
 
 def index_shards(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; start: ids of all documents before, over all shards.
 
-    Sums per part come to the driver (as many rows as parts); within a part a window adds up.
+    Tokens before each part come from the catalogue (a sum per part, as many rows as parts, in the driver); within a part a
+    window adds up. An empty store gives an empty result.
     """
     from pyspark.sql import Window
 
-    rows = stage(read_shards(spark, path), "shard-rows")
+    rows = read_shards(spark, path)
     base, at = {}, 0
-    for r in sorted(rows.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect(), key=lambda r: r["part"]):
+    for r in sorted(catalogue(spark, path).groupBy("part").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: r["part"]):
         base[r["part"]], at = at, at + r["n"]
-    bases = spark.createDataFrame([(p, n) for p, n in base.items()], "part long, base long")
+    bases = spark.createDataFrame(list(base.items()), "part long, base long")
     before = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard", "pos").rowsBetween(Window.unboundedPreceding, -1))
     return rows.join(bases, "part").select("doc_id", (F.col("base") + F.coalesce(before, F.lit(0))).alias("start"), "n_tokens", "ids_crc32")
 

@@ -167,8 +167,23 @@ def test_token_store(spark, odd, none):
         at += len(ids)
     found = token_store.lookup(spark, path, [4, 8, 77]).collect()
     assert sorted(r["doc_id"] for r in found) == [4, 4, 4, 8]
+    kept = token_store.catalogue(spark, path).orderBy("part", "shard").collect()
+    assert sum(r["documents"] for r in kept) == len(rows) and sum(r["tokens"] for r in kept) == at and len(kept) > 1
     empty = token_store.new_path(spark)
     token_store.write_shards(none, empty, P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert token_store.index_shards(spark, empty).count() == 0 and token_store.read_shards(spark, empty).count() == 0
+    assert token_store.lookup(spark, empty, [1]).count() == 0 and token_store.catalogue(spark, empty).count() == 0
+
+
+def test_token_store_orders_large_ids(spark):
+    """Ids that are equal as doubles keep their order over parts."""
+    big = (1 << 62) + 1
+    ids = [big + i for i in range(40)] + [-big - i for i in range(40)] + [-(1 << 63), (1 << 63) - 1]
+    path = token_store.new_path(spark)
+    token_store.write_shards(spark.createDataFrame([(i, f"t {i}") for i in ids], "doc_id long, text string"), path, P.path("byte_bpe_50k.json"), P.PATTERN)
+    got = [r["doc_id"] for r in token_store.index_shards(spark, path).orderBy("start").collect()]
+    assert got == sorted(ids)
+    assert {r["doc_id"] for r in token_store.lookup(spark, path, [big + 7, big + 99, -(1 << 63)]).collect()} == {big + 7, -(1 << 63)}
 
 
 def test_shard_reader_uses_its_index():
