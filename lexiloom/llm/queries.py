@@ -131,7 +131,7 @@ fits AS (
   SELECT page_id, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS v
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id)
 SELECT p.page_id, host, path, rule,
-  coalesce(v, CASE WHEN regexp_matches(host || path, '^(?:[^/]*\.)?(?:spam-farm|cheap-pills|free-porn|(?:[a-z0-9]+-)?casino(?:-[a-z0-9]+)?)\.')
+  coalesce(v, CASE WHEN regexp_matches(split_part(host || path, '/', 1), '(^|[^a-z0-9])(casino|poker|gambling|slots|porn|xxx|escort|viagra|pills|payday[-.]loan|free[-.]ringtones|spam[-.]farm|link[-.]farm|warez)([^a-z0-9]|$)')
     OR regexp_matches(host || path, '/wp-login\.php$') OR regexp_matches(host || path, '/doorway/[0-9]+(?:\.html)?$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fits ON p.page_id = fits.page_id""",
     "op10_quality_rules": r"""

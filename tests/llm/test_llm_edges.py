@@ -131,6 +131,18 @@ def test_url_filter_runs_only_fetched_rules(spark):
     rules = [url_filter.site_rule("block", f"h{i}.net/") for i in range(50)]
     r = url_filter.filter_urls(d, rules).collect()
     assert all(x["verdict"] == "block" and x["n_candidates"] == 1 for x in r)
+    compiled = url_filter._Compiled(rules)
+    assert not compiled and compiled[3].search("h3.net/p") and len(compiled) == 1
+
+
+def test_url_filter_in_several_passes_is_as_in_one(spark):
+    urls = ["http://a.org/es/x", "http://b.a.org/es/xy", "http://a.org/", "http://casino.com/", "http://old-casino.net/q", "http://casinos.net/q", "http://a.org/casino/1", None]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [*url_filter.PATTERNS, *(url_filter.site_rule(v, x, i) for i, (v, x) in enumerate((("allow", "org/"), ("block", "a.org/es/"), ("allow", "b.a.org/es/"), ("block", "a.org/es/"), ("allow", "com/"))))]
+    one = sorted(url_filter.filter_urls(d, rules).collect())
+    assert one == sorted(url_filter.filter_urls(d, rules, at_once=3).collect()) == sorted(url_filter.filter_urls(d, rules[::-1], at_once=4).collect())
+    assert [(x["rule"], x["verdict"]) for x in one] == [("a.org/es/", "block"), ("b.a.org/es/", "allow"), ("org/", "allow"), ("com/", "allow"), (None, "block"), (None, "allow"), ("org/", "allow"), (None, "allow")]
+    assert [x["verdict"] for x in url_filter.filter_urls(d, []).collect()] == ["allow"] * 8
 
 
 def test_chat_format(spark):
