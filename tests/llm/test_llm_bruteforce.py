@@ -133,6 +133,17 @@ def test_decontamination_finds_edited_passages_and_spares_the_rest(spark):
         assert got == {i: [k] for i, k in want.items()}
 
 
+def test_short_items_are_found_as_whole_words(spark):
+    items = ["The cat", "yes", "forty  two", "the CAT", "0123456789012345678901234"]
+    texts = ["see the\ncat run", "the cats", "Yes", "eyes yesterday", "it is forty two.", "it is FORTY\ttwo ok", None, "", "x 0123456789012345678901234 y", "x01234567890123456789012345"]
+    want = [[0, 3], [], [1], [], [], [2], [], [], [4], [4]]
+    b = spark.createDataFrame([*enumerate(items), (9, None), (9, " ")], "item_id long, text string")
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (1000, 12):
+        got = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(d, b, block_chars=block).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_decontamination_crosses_windows(monkeypatch):
     monkeypatch.setattr(decontaminate, "WINDOW", 1000)
     rng = random.Random(4)
