@@ -24,6 +24,7 @@ SAMPLE_DOCS, VOCABULARY = 20_000, 20_000
 #: A token enters the vocabulary if so many sampled documents hold it and its z-score against a label reaches this.
 MIN_DOCS, MIN_Z = 5, 4.0
 DENSE = 9
+MAX_WEIGHT = 4.0
 
 
 class Model(NamedTuple):
@@ -69,8 +70,13 @@ def _sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sam
     return d.join(F.broadcast(y), "_id").select("_text", "low", "toxic").dropDuplicates(["_text"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS) -> Model | None:
-    """The two models; None without labelled documents (then nothing is rejected). Token counts are aggregated by Spark; bounded samples come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model | None:
+    """The two models; None without labelled documents (then nothing is rejected).
+
+    sample bounds the labelled documents of the fit, vocabulary the tokens that have a weight (the strongest by z-score): both
+    bound what comes to the driver and what travels with the tasks; every document is scored. Token counts are aggregated
+    by Spark.
+    """
     data = stage(_sampled(docs, labels, id_col, text_col, sample), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return F.abs(F.col(head) - F.col("n") * rate) / F.sqrt(F.col("n") * max(rate * (1 - rate), 1e-6))
 
     strong = tokens.where(F.col("n") >= MIN_DOCS).select("token", F.greatest(z("low"), z("toxic")).alias("z")).where(F.col("z") >= MIN_Z)
-    index = {r["token"]: i for i, r in enumerate(strong.orderBy(F.desc("z"), "token").limit(VOCABULARY).select("token").collect())}
+    index = {r["token"]: i for i, r in enumerate(strong.orderBy(F.desc("z"), "token").limit(vocabulary).select("token").collect())}
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -107,7 +113,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _descend(dense: np.ndarray, lists: list[list[int]], y: np.ndarray, rows: int, epochs: int = 30, rate: float = 0.2, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression of every head by AdaGrad over batches, in a fixed order."""
+    """Logistic regression of every head by AdaGrad over batches, in a fixed order.
+
+    A head's rare rows weigh more, by the square root of how much rarer they are (up to MAX_WEIGHT): one word in a long
+    document has to outweigh the many that say nothing.
+    """
+    weight = np.clip(np.sqrt((1 - y.mean(0)) / np.maximum(y.mean(0), 1e-6)), 1, MAX_WEIGHT)
     words, body = np.zeros((rows, y.shape[1])), np.zeros((dense.shape[1], y.shape[1]))
     sq_w, sq_b = np.full_like(words, 1e-3), np.full_like(body, 1e-3)
     order = np.random.default_rng(0).permutation(len(y))
@@ -121,7 +132,7 @@ def _descend(dense: np.ndarray, lists: list[list[int]], y: np.ndarray, rows: int
             z = dense[take] @ body
             for h in range(y.shape[1]):
                 z[:, h] += np.bincount(doc, words[row, h], len(take)) if len(row) else 0
-            wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]) / len(take)
+            wrong = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[take]) * np.where(y[take] > 0, weight, 1) / len(take)
             g = dense[take].T @ wrong + decay * body
             sq_b += g * g
             body -= rate * g / np.sqrt(sq_b)

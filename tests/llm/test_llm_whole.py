@@ -26,6 +26,25 @@ def test_token_store_matches_added_tokens(spark):
         at += len(ids)
 
 
+def test_classifier_on_held_out_labels(spark):
+    """Fitted on half of the labels, held against the other half."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from lexiloom.llm import quality_classifier
+
+    at = "/root/testdata/sf0.1"
+    if not os.path.isdir(at):
+        pytest.skip("no tables here")
+    d, y = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    m = quality_classifier.fit(d, y.where("doc_id % 2 = 0"))
+    held = quality_classifier.score(d, m).join(y.where("doc_id % 2 = 1"), "doc_id")
+    low, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    r = held.agg(*[F.avg(F.when(w, (F.col("kept") == k).cast("int"))).alias(n) for n, w, k in (("low", low, False), ("toxic", toxic & ~low, False), ("good", ~low & ~toxic, True))]).first()
+    assert r["low"] >= 0.98 and r["toxic"] >= 0.9 and r["good"] >= 0.99
+
+
 def test_pipeline_judges_rows_and_decodes(spark, monkeypatch):
     import corpus_pipeline as cp
 
