@@ -1,7 +1,9 @@
 """The corpus pipeline: quality classifier, line dedup, near-dedup, benchmark decontamination, piece encoding.
 
 Each stage works on all that its predecessor kept and returns the columns of documents; the last returns
-(doc_id, n_tokens, ids, round_trip). Rows that share a doc_id stay or go together in near-dedup, which decides by id.
+(doc_id, n_tokens, ids, round_trip). Rows that share a doc_id stay or go together in near-dedup, which decides by id; rows
+without one stay there. Null texts and empty tables pass through every stage; without labels nothing is rejected, without a
+benchmark nothing is contaminated; further columns, whatever their names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -17,18 +19,28 @@ from lexiloom.session import table
 ORACLE_SQL = None
 
 
+def _own(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have, whatever further columns it brings."""
+    have = {c.lower() for c in docs.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs but for the rejected ids; ids may be null. Text moves once and is not sorted."""
-    gone = rejected.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    gone = _own(docs, "_gone")
+    ids = rejected.select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps, row by row: rows that share an id, or have none, are judged each by its own text, source and language."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    keyed = docs.withColumn("_row", F.sha2(F.to_json(F.struct("doc_id", "text", "source", "lang")), 256))
-    gone = quality_classifier.score(keyed, model, id_col="_row").where(~F.col("kept")).select("_row").distinct()
-    return keyed.join(gone.hint("shuffle_hash"), "_row", "left_anti").select(*docs.columns)
+    row = _own(docs, "_row")
+    keyed = docs.withColumn(row, F.sha2(F.to_json(F.struct("doc_id", "text", "source", "lang")), 256))
+    gone = quality_classifier.score(keyed, model, id_col=row).where(~F.col("kept")).select(row).distinct()
+    return keyed.join(gone.hint("shuffle_hash"), row, "left_anti").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +53,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates (five words, 0.8)."""
+    """One document, that of the least id, of each group of near duplicates: five words, 0.8, as the job sets for this stage.
+
+    Every pair at that similarity is found. A copy with an edit in every fifteenth word or so lies below it and stays.
+    """
     return _without(docs, near_dedup.near_dedup(docs, words=5, percent=80).where(~F.col("kept")))
 
 
