@@ -29,7 +29,7 @@ from lexiloom.llm.common import hot_join, skew_join, slices, stage, unstage
 BANDS, ROWS = 40, 5
 BASE, RATE = 1.001, 20.0
 #: Buckets of more members are dealt into blocks; blocks hold about so many members, or so many bytes of sets.
-SMALL, BLOCK, WIDE_BLOCK, BLOCK_BYTES = 48, 256, 1024, 16 << 20
+SMALL, BLOCK, WIDE_BLOCK, BLOCK_BYTES = 48, 256, 512, 16 << 20
 #: In step 1 a representative takes part in so many of its large buckets.
 LARGE_BUCKETS = 3
 #: Pairs whose estimate lies further below the threshold than this are not verified. At a similarity of 0.8 the standard
