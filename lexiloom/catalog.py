@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import queries_tables, queries_text
+from lexiloom.plans import queries_answers, queries_tables, queries_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (queries_text, queries_tables):
+for _module in (queries_text, queries_tables, queries_answers):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -46,6 +46,7 @@ STOPWORDS = {
     "de": "der die das und ist ein eine in zu den von mit auf für nicht sich dem des im als auch es an werden".split(),
     "es": "el la los las un una de del y es en que se por para con su al lo como más pero no este esta".split(),
 }
+#: Words of a text for telling its language, marks of Vietnamese letters, tokens that are no words.
 LANGUAGE_WORD = r"[A-Za-zÀ-ỹĐđ]+(?:[-'][A-Za-zÀ-ỹĐđ]+)*"
 VI_MARK = r"[ăâđêôơưĂÂĐÊÔƠƯáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"
 IDENTIFIER = r"(?:https?://\S+|www\.\S+|\b[A-Z][A-Z0-9_+.#/-]{1,}\b|\b\w+[_/.]\w+\b)"
@@ -53,8 +54,11 @@ IDENTIFIER = r"(?:https?://\S+|www\.\S+|\b[A-Z][A-Z0-9_+.#/-]{1,}\b|\b\w+[_/.]\w
 
 def canonical_number(raw: Column) -> Column:
     """The value of a written number as text: the rightmost of . and , is the decimal mark if both occur, a mark before exactly three digits groups, zeros and -0 are trimmed. Works on text, so any length will do."""
-    sign = F.when(raw.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    v = F.regexp_replace(raw, r"^[+-]", "")
+    value = F.struct(F.when(raw.startswith("-"), F.lit("-")).otherwise(F.lit("")).alias("sign"), F.regexp_replace(raw, r"^[+-]", "").alias("v"))
+    return tx.let(value, lambda x: _canonical(x["sign"], x["v"]))
+
+
+def _canonical(sign: Column, v: Column) -> Column:
     dot, comma = v.contains("."), v.contains(",")
     dot_last = F.length(v) - F.instr(F.reverse(v), ".") > F.length(v) - F.instr(F.reverse(v), ",")
     both = F.when(dot_last, F.replace(v, F.lit(","), F.lit(""))).otherwise(F.replace(F.replace(v, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
@@ -62,8 +66,7 @@ def canonical_number(raw: Column) -> Column:
     one = F.when(grouped, F.regexp_replace(v, "[.,]", "")).otherwise(F.replace(v, F.lit(","), F.lit(".")))
     x = F.when(dot & comma, both).when(dot | comma, one).otherwise(v)
     x = F.regexp_replace(F.regexp_replace(x, r"^0+(?=\d)", ""), r"(\.\d*?)0+$", "$1")
-    x = F.regexp_replace(x, r"\.$", "")
-    return F.when(x == "0", x).otherwise(F.concat(sign, x))
+    return tx.let(F.regexp_replace(x, r"\.$", ""), lambda y: F.when(y == "0", y).otherwise(F.concat(sign, y)))
 
 
 def number_keys(c: Column) -> Column:
@@ -105,8 +108,7 @@ def language_words(c: Column) -> Column:
 
 
 def stopword_hits(tokens: Column, language: str) -> Column:
-    known = F.array(*map(F.lit, STOPWORDS[language]))
-    return F.size(F.filter(tokens, lambda x: F.array_contains(known, x))).cast("long")
+    return F.size(F.filter(tokens, lambda x: x.isin(*STOPWORDS[language]))).cast("long")
 
 
 def wrong_language(source: Column, target: Column) -> Column:
@@ -117,16 +119,18 @@ def wrong_language(source: Column, target: Column) -> Column:
 
 def _wrong(w: Column, source_words: Column) -> Column:
     def judged(n: Column) -> Column:
-        total, vi, en, marks, copied = n["total"], n["vi"], n["en"], n["marks"], n["copied"] / F.greatest(n["total"], F.lit(1))
+        total, vi, en, marks = n["total"], n["vi"], n["en"], n["marks"]
         vi_score = F.least(F.lit(1.0), (vi * 1.4 + marks * 1.1) / F.greatest(total, F.lit(1)))
         en_score = F.least(F.lit(1.0), en / F.greatest(total, F.lit(1)))
         plainly = (en >= 2) & (en > (vi + marks) * 1.35)
         mixed = (total >= 8) & (en >= 3) & (en_score >= 0.28) & (vi_score < 0.35)
-        copy = (total >= 5) & (copied >= 0.8) & (vi == 0) & (marks == 0)
+        # at least four fifths of the words stand in the source: a fifth of them may be new, so more distinct new words settle it
+        other = F.size(F.filter(w, lambda x: F.array_contains(n["new"], x)))
+        copy = (total >= 5) & (vi == 0) & (marks == 0) & (F.size(n["new"]) * 5 <= total) & ((total - other) / F.greatest(total, F.lit(1)) >= 0.8)
         return (total > 0) & (plainly | mixed | copy)
 
     counts = F.struct(
         F.size(w).alias("total"), stopword_hits(w, "vi").alias("vi"), stopword_hits(w, "en").alias("en"),
-        F.size(F.filter(w, lambda x: x.rlike(VI_MARK))).alias("marks"), F.size(F.filter(w, lambda x: F.array_contains(source_words, x))).alias("copied"),
+        F.size(F.filter(w, lambda x: x.rlike(VI_MARK))).alias("marks"), F.array_except(w, source_words).alias("new"),
     )
     return tx.let(counts, judged)

@@ -12,8 +12,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
-#: CJK ideographs, kana and hangul, as ranges for Java patterns.
-CJK = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}]"
+#: Han ideographs with their extensions, CJK punctuation and full-width forms, as ranges for Java patterns.
+CJK_RANGES = (
+    r"\x{4E00}-\x{9FFF}", r"\x{3400}-\x{4DBF}", r"\x{F900}-\x{FAFF}", r"\x{20000}-\x{2A6DF}", r"\x{2A700}-\x{2B73F}",
+    r"\x{2B740}-\x{2B81F}", r"\x{2B820}-\x{2CEAF}", r"\x{2F800}-\x{2FA1F}", r"\x{3000}-\x{303F}", r"\x{FF01}-\x{FF0F}",
+    r"\x{FF1A}-\x{FF20}", r"\x{FF3B}-\x{FF40}", r"\x{FF5B}-\x{FF65}",
+)
+CJK = f"[{''.join(CJK_RANGES)}]"
+#: CJK and full-width punctuation and what takes its place.
+CJK_PUNCTUATION = {
+    "，": ", ", "。": ". ", "；": "; ", "：": ": ", "！": "! ", "？": "? ", "、": ", ", "（": " (", "）": ") ",
+    "【": " [", "】": "] ", "《": " “", "》": "” ", "～": "~", "—": "—", "…": "...",
+}
 URL = r"(?i)https?://[^\s)\]}]+|www\.[^\s)\]}]+"
 #: Tokens that must survive a rendering letter by letter (code, drive path, unix path, dotted call).
 TECHNICAL = r"`[^`\n]+`|[A-Za-z]:\\[^\s,;\"'“”()]+|(?<![\p{L}\p{N}_.])/(?:[\p{L}\p{N}_.-]+/)+[\p{L}\p{N}_.-]*|\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\(\)"
@@ -92,6 +102,18 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(matches(F.lower(c), WORD + "+"))
 
 
+def latin_punctuation(c: Column) -> Column:
+    """CJK punctuation as Latin punctuation with its blanks."""
+    for mark, latin in CJK_PUNCTUATION.items():
+        c = F.replace(c, F.lit(mark), F.lit(latin))
+    return c
+
+
+def without_cjk(c: Column) -> Column:
+    """The text without ideographs and their punctuation, single blanks, ends trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, CJK, ""), r"[ \t]+", " "))
+
+
 def foreign_script(source: Column, target: Column) -> Column:
     """CJK characters of the target that the source does not have."""
     return F.array_except(matches(target, CJK), matches(source, CJK))

@@ -13,14 +13,45 @@ from lexiloom.functions import facts, text as tx
 from lexiloom.operators.multiset import multiset_minus
 
 ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
+ISSUES = "array<struct<code:string,severity:string,detail:string>>"
 QUOTES = "[\"“”]"
 LABEL = r"\b(?:Chapter|Section|Figure|Table|Appendix|Part)\s+\d+(?:\.\d+)*\b"
 #: Plain English words that are no syllable of the target language.
 RESIDUE = (
-    "the and of with that this these those is are was were been have has had would could should nobody somebody everybody anybody "
-    "nothing something everything anything never always said because which what when where there their they she his her him from into "
-    "about then just very only also not however therefore although"
-).split()
+    "the", "and", "of", "with", "that", "this", "these", "those", "is", "are", "was", "were", "been",
+    "have", "has", "had", "would", "could", "should", "nobody", "somebody", "everybody", "anybody",
+    "nothing", "something", "everything", "anything", "never", "always", "said", "because", "which",
+    "what", "when", "where", "there", "their", "they", "she", "his", "her", "him", "from", "into",
+    "about", "then", "just", "very", "only", "also", "not", "however", "therefore", "although",
+)
+#: English words that open a sentence; they are left over where the next word is in lower case.
+OPENINGS = (
+    "Since", "The", "However", "Although", "Because", "When", "While", "If", "But", "And", "This", "That", "These",
+    "Those", "There", "It", "What", "Which", "Nobody", "Nothing", "Everything",
+)
+#: What parts tokens, the shape of a Vietnamese syllable without marks, lower-case Roman numbers.
+PARTING = r"\s“”\"()\[\]—–,;:.!?"
+SYLLABLE = r"^(?:ngh|ng|nh|ch|gh|gi|kh|ph|qu|th|tr|b|c|d|g|h|k|l|m|n|p|r|s|t|v|x)?[aeiouy]+(?:ng|nh|ch|c|m|n|p|t)?$"
+ROMAN = r"^x{0,3}(?:ix|iv|v?i{0,3})$"
+ASCII_WORD = r"(?<![\p{L}\p{N}_@#$%&+=/\\.-])[A-Za-z]+(?![\p{L}\p{N}_@/\\-]|\.[\p{L}\p{N}_])"
+#: Loan words, units and abbreviations that a Vietnamese text may hold.
+LOANWORDS = (
+    "ok", "email", "internet", "online", "offline", "video", "web", "website", "blog", "game", "file", "app",
+    "wifi", "pizza", "taxi", "radio", "piano", "guitar", "violin", "jazz", "rock", "pop", "golf", "tennis",
+    "menu", "show", "shop", "laptop", "smartphone", "robot", "virus", "vitamin", "protein", "sandwich",
+    "hamburger", "cocktail", "selfie", "livestream", "marketing", "startup", "logo", "slogan", "poster",
+    "bar", "sofa", "opera", "yoga", "acid", "ballet", "karaoke", "logic", "ego", "tivi",
+    "electron", "proton", "neutron",
+    "kg", "km", "cm", "mm", "ml", "mg", "kw", "kwh", "mb", "gb", "tb", "kb", "hz", "mhz", "ghz", "ppm",
+    "gram", "inch", "feet", "ounce", "pound", "yard", "mile",
+    "tr", "ed", "eds", "trans", "vol", "pp", "ibid", "etc", "vs",
+)
+#: Every code of the row-local checks, in their order.
+CODES = (
+    "FOREIGN_SCRIPT_CONTAMINATION", "WRONG_TARGET_LANGUAGE", "NUMBER_MISMATCH", "NUMBER_ADDITION", "URL_MISMATCH", "URL_ADDITION",
+    "REFERENCE_MISMATCH", "REFERENCE_ADDITION", "LENGTH_ANOMALY", "CONTENT_ADDITION", "QUOTE_UNBALANCED", "QUANTIFIER_SHIFT",
+    "ENGLISH_RESIDUE", "UNTRANSLATED_LABEL", "TECHNICAL_TOKEN_MISMATCH", "NEGATION_LOSS", "NEGATION_RISK",
+)
 
 
 def _issue(when: Column, code: str, severity: str, detail: Column) -> Column:
@@ -31,67 +62,120 @@ def _some(xs: Column) -> Column:
     return F.size(xs) > 0
 
 
+def _prose(c: Column) -> Column:
+    """Without technical tokens and URLs."""
+    return F.regexp_replace(F.regexp_replace(c, tx.TECHNICAL, " "), tx.URL, " ")
+
+
 def residue(target: Column) -> Column:
-    """Lower-case English function words left in a rendering."""
-    w = tx.matches(target, r"(?<![\p{L}\p{N}_.`/\\-])[a-z]+(?![\p{L}\p{N}_.`/\\-])")
-    return F.array_distinct(F.filter(w, lambda x: x.isin(*RESIDUE)))
+    """English function words left in a rendering, sorted: lower-case ones, and capitalised ones that open a sentence before a lower-case word.
+
+    Function words between two capitalised words are part of a name or title; such runs are cut out first, in one pass over
+    the text instead of looking up each word's neighbours.
+    """
+    word, quote, part = "|".join(RESIDUE), "['‘’]*", f"[{PARTING}]"
+    gap = f"{quote}{part}+{quote}"
+    title = rf"((?:^|(?<=[{PARTING}'‘’]))\p{{Lu}}[^{PARTING}]*?)((?:{gap}(?:{word}))+)(?={gap}\p{{Lu}})"
+    plain = F.regexp_replace(_prose(target), title, "$1 ")
+    left = F.regexp_extract_all(plain, F.lit(rf"(?:^|(?<={part})){quote}({word})(?={quote}(?:{part}|$))"), F.lit(1))
+    opening = rf"(?:^|(?<=[.!?…:;]\s)|(?<=[“\"(]))({'|'.join(OPENINGS)})\s+(?=[a-zà-ỹđ])"
+    return F.array_sort(F.array_distinct(F.concat(left, F.regexp_extract_all(_prose(target), F.lit(opening), F.lit(1)))))
+
+
+def foreign_words(source: Column, target: Column, allowed: Column | None = None) -> Column:
+    """Words of ASCII letters in a rendering that no Vietnamese syllable looks like, each once, in their order.
+
+    Not counted: loan words, words of `allowed` (an array, lower case; a glossary's targets), function words (residue has
+    them), abbreviations and names (a capital inside, or at the front while the source has no such word in lower case), Roman
+    numbers, text in parentheses, and a word quoted alone that the source has.
+    """
+    prose = F.regexp_replace(_prose(target), r"\([^()]*\)", " ")
+    quoted = F.filter(F.regexp_extract_all(prose, F.lit(r"[“\"‘']([A-Za-z]+)[”\"’']"), F.lit(1)), lambda w: F.contains(F.lower(source), F.lower(w)))
+    prose = F.aggregate(F.array_distinct(quoted), prose, lambda text, w: F.regexp_replace(text, F.concat(F.lit("[“\"‘']"), w, F.lit("[”\"’']")), F.lit(" ")))
+    own = tx.matches(source, rf"(?<!{tx.WORD})[a-z]+(?!{tx.WORD})")
+
+    def left(w: Column) -> Column:
+        low = F.lower(w)
+        known = low.isin(*LOANWORDS, *RESIDUE) | low.rlike(SYLLABLE) | w.rlike(ROMAN)
+        if allowed is not None:
+            known = known | F.array_contains(allowed, low)
+        name = w.rlike(r"^.+[A-Z]") | (w.rlike(r"^[A-Z]") & ~F.array_contains(own, low))
+        return (F.length(w) >= 2) & ~known & ~name
 
+    return F.filter(F.array_distinct(tx.matches(prose, ASCII_WORD)), left)
 
-def gate_issues(source: Column, target: Column, language: str = "vi") -> Column:
+
+def gate_issues(source: Column, target: Column, language: str = "vi", codes: tuple[str, ...] = CODES, allowed: Column | None = None) -> Column:
     """Array of (code, severity, detail) for one pair, in the order of the checks; an empty rendering has that issue alone.
 
-    What several checks need (tokens of both sides, counts) is computed once and bound.
+    Only the checks of `codes` are built. What several of them need (tokens of both sides, counts) is computed once a side and
+    bound. allowed: words that are no residue (see foreign_words).
     """
     s, t = F.trim(F.coalesce(source, F.lit(""))), F.trim(F.coalesce(target, F.lit("")))
+    vi = language == "vi"
+
+    def want(*names: str) -> bool:
+        return any(n in codes for n in names)
+
+    facts_of = {"NUMBER": facts.number_keys, "URL": tx.urls, "REFERENCE": facts.reference_keys}
+    facts_of = {n: f for n, f in facts_of.items() if want(f"{n}_MISMATCH", f"{n}_ADDITION")}
 
     def sides(x: Column) -> Column:
-        return F.struct(
-            x.alias("x"), facts.number_keys(x).alias("NUMBER"), tx.urls(x).alias("URL"), facts.reference_keys(x).alias("REFERENCE"),
-            tx.count_of(F.regexp_replace(x, tx.URL, " "), r"\?").alias("asked"), tx.count_of(x, QUOTES).alias("quotes"), F.length(x).alias("n"),
-        )
+        return F.struct(x.alias("x"), F.length(x).alias("n"), *[f(x).alias(n) for n, f in facts_of.items()])
 
     def derived(v: Column) -> Column:
         a, b = v["s"], v["t"]
-        diffs = [
-            d
-            for name in ("NUMBER", "URL", "REFERENCE")
-            for d in (multiset_minus(a[name], b[name]).alias(f"{name}_MISMATCH"), multiset_minus(b[name], a[name]).alias(f"{name}_ADDITION"))
-        ]
-        more = F.struct(
-            *diffs, a.alias("s"), b.alias("t"), tx.foreign_script(a["x"], b["x"]).alias("foreign"), F.filter(tx.matches(b["x"], LABEL), lambda x: ~a["x"].rlike(LABEL) | a["x"].contains(x)).alias("labels"),
-            F.filter(tx.technical_tokens(a["x"]), lambda x: ~b["x"].contains(x)).alias("missing"), (residue(b["x"]) if language == "vi" else F.array().cast("array<string>")).alias("residue"),
-        )
-        return tx.let(more, checks)
+        out = [a.alias("s"), b.alias("t")]
+        for n in facts_of:
+            out += [multiset_minus(a[n], b[n]).alias(f"{n}_MISMATCH"), multiset_minus(b[n], a[n]).alias(f"{n}_ADDITION")]
+        if want("FOREIGN_SCRIPT_CONTAMINATION", "WRONG_TARGET_LANGUAGE"):
+            out.append(tx.foreign_script(a["x"], b["x"]).alias("foreign"))
+        if want("CONTENT_ADDITION"):
+            out += [tx.count_of(F.regexp_replace(x["x"], tx.URL, " "), r"\?").alias(n) for n, x in (("asks", a), ("asked", b))]
+        if want("QUOTE_UNBALANCED"):
+            out += [tx.count_of(x["x"], QUOTES).alias(n) for n, x in (("opened", a), ("quotes", b))]
+        if want("ENGLISH_RESIDUE") and vi:
+            words = residue(b["x"])
+            out.append(F.concat(words, F.array_except(foreign_words(a["x"], b["x"], allowed), words)).alias("residue"))
+        if want("UNTRANSLATED_LABEL") and vi:
+            out.append(F.filter(tx.matches(b["x"], LABEL), lambda x: ~a["x"].rlike(LABEL) | a["x"].contains(x)).alias("labels"))
+        if want("TECHNICAL_TOKEN_MISMATCH"):
+            out.append(F.filter(tx.technical_tokens(a["x"]), lambda x: ~b["x"].contains(x)).alias("missing"))
+        if want("NEGATION_LOSS", "NEGATION_RISK"):
+            out.append(facts.negation_lost(a["x"], b["x"], language).alias("loss"))
+        return tx.let(F.struct(*out), checks)
 
     def checks(v: Column) -> Column:
         s, t = v["s"]["x"], v["t"]["x"]
         ratio = v["t"]["n"] / F.greatest(v["s"]["n"], F.lit(1))
-        lost = s.rlike("^[\"“]") & ~t.rlike("^[\"“–—-]") & t.rlike("^[^\"“”]+[,.!?…]\\s*[\"”]")
-        loss = facts.negation_lost(s, t, language)
-        vi = language == "vi"
-        found = [
-            _issue(_some(v["foreign"]), "FOREIGN_SCRIPT_CONTAMINATION", ERROR, F.array_join(v["foreign"], "")),
-            *([_issue(~_some(v["foreign"]) & facts.wrong_language(s, t), "WRONG_TARGET_LANGUAGE", ERROR, F.lit(""))] if vi else []),
-            *[_issue(_some(v[code]), code, ERROR, F.array_join(v[code], ", ")) for name in ("NUMBER", "URL", "REFERENCE") for code in (f"{name}_MISMATCH", f"{name}_ADDITION")],
-            _issue((v["s"]["n"] > 100) & ((ratio < 0.25) | (ratio > 3.5)), "LENGTH_ANOMALY", WARNING, F.format_number(ratio, 2)),
-            _issue(v["t"]["asked"] > v["s"]["asked"], "CONTENT_ADDITION", ERROR, v["t"]["asked"]),
-            _issue(lost | ((v["t"]["quotes"] % 2 == 1) & (v["s"]["quotes"] % 2 == 0)), "QUOTE_UNBALANCED", ERROR, v["t"]["quotes"]),
-            *([_issue(s.rlike(r"(?i)\beither\b") & ~s.rlike(r"(?i)\bboth\b") & t.rlike(r"(?iu)cả hai"), "QUANTIFIER_SHIFT", ERROR, F.lit(""))] if vi else []),
-            _issue(_some(v["residue"]), "ENGLISH_RESIDUE", ERROR, F.array_join(F.slice(v["residue"], 1, 5), ", ")),
-            *([_issue(_some(v["labels"]), "UNTRANSLATED_LABEL", ERROR, F.array_join(F.slice(v["labels"], 1, 3), ", "))] if vi else []),
-            _issue(_some(v["missing"]), "TECHNICAL_TOKEN_MISMATCH", ERROR, F.array_join(F.slice(v["missing"], 1, 5), ", ")),
-            _issue(loss, "NEGATION_LOSS", ERROR, F.lit("")),
-            _issue(~loss & facts.negation_risk(s, t, language), "NEGATION_RISK", WARNING, F.lit("")),
-        ]
-        return F.array_compact(F.array(*found))
+        rules = {
+            "FOREIGN_SCRIPT_CONTAMINATION": (True, lambda: _some(v["foreign"]), ERROR, lambda: F.array_join(v["foreign"], "")),
+            "WRONG_TARGET_LANGUAGE": (vi, lambda: ~_some(v["foreign"]) & facts.wrong_language(s, t), ERROR, lambda: F.lit("")),
+            **{c: (True, lambda c=c: _some(v[c]), ERROR, lambda c=c: F.array_join(v[c], ", ")) for n in facts_of for c in (f"{n}_MISMATCH", f"{n}_ADDITION")},
+            "LENGTH_ANOMALY": (True, lambda: (v["s"]["n"] > 100) & ((ratio < 0.25) | (ratio > 3.5)), WARNING, lambda: F.format_number(ratio, 2)),
+            "CONTENT_ADDITION": (True, lambda: v["asked"] > v["asks"], ERROR, lambda: v["asked"]),
+            "QUOTE_UNBALANCED": (True, lambda: _opening_lost(s, t) | ((v["quotes"] % 2 == 1) & (v["opened"] % 2 == 0)), ERROR, lambda: v["quotes"]),
+            "QUANTIFIER_SHIFT": (vi, lambda: s.rlike(r"(?i)\beither\b") & ~s.rlike(r"(?i)\bboth\b") & t.rlike(rf"(?iu)(?<!{tx.WORD})cả hai(?!{tx.WORD})"), ERROR, lambda: F.lit("")),
+            "ENGLISH_RESIDUE": (vi, lambda: _some(v["residue"]), ERROR, lambda: F.array_join(F.slice(v["residue"], 1, 5), ", ")),
+            "UNTRANSLATED_LABEL": (vi, lambda: _some(v["labels"]), ERROR, lambda: F.array_join(F.slice(v["labels"], 1, 3), ", ")),
+            "TECHNICAL_TOKEN_MISMATCH": (True, lambda: _some(v["missing"]), ERROR, lambda: F.array_join(F.slice(v["missing"], 1, 5), ", ")),
+            "NEGATION_LOSS": (True, lambda: v["loss"], ERROR, lambda: F.lit("")),
+            "NEGATION_RISK": (True, lambda: ~v["loss"] & facts.negation_risk(s, t, language), WARNING, lambda: F.lit("")),
+        }
+        found = [_issue(when(), code, severity, detail()) for code, (applies, when, severity, detail) in rules.items() if applies and code in codes]
+        return F.array_compact(F.array(*found)) if found else F.array().cast(ISSUES)
 
     alone = F.array(F.struct(F.lit("EMPTY_TRANSLATION").alias("code"), F.lit(ERROR).alias("severity"), F.lit("").alias("detail")))
     return F.when(t == "", alone).otherwise(tx.let(F.struct(sides(s).alias("s"), sides(t).alias("t")), derived))
 
 
-def issues(pairs: DataFrame, language: str = "vi", source: str = "source_text", target: str = "target_text") -> DataFrame:
-    """Rows (project_id, node_id, issue_type, severity, message, source_snippet, translation_snippet), one per issue of the pairs (project_id, node_id, source, target)."""
-    found = pairs.select("project_id", "node_id", F.col(source).alias("_s"), F.col(target).alias("_t"), F.explode(gate_issues(F.col(source), F.col(target), language)).alias("i"))
+def _opening_lost(s: Column, t: Column) -> Column:
+    return s.rlike("^[\"“]") & ~t.rlike("^[\"“–—-]") & t.rlike("^[^\"“”]+[,.!?…]\\s*[\"”]")
+
+
+def issues(pairs: DataFrame, language: str = "vi", source: str = "source_text", target: str = "target_text", codes: tuple[str, ...] = CODES) -> DataFrame:
+    """Rows (project_id, node_id, issue_type, severity, message, source_snippet, translation_snippet), one per issue of the pairs (project_id, node_id, source, target): EMPTY_TRANSLATION and those of `codes`."""
+    found = pairs.select("project_id", "node_id", F.col(source).alias("_s"), F.col(target).alias("_t"), F.explode(gate_issues(F.col(source), F.col(target), language, codes)).alias("i"))
     return found.select(
         "project_id", "node_id", F.col("i.code").alias("issue_type"), F.col("i.severity").alias("severity"), F.concat_ws(": ", "i.code", "i.detail").alias("message"), tx.snippet(F.col("_s"), 150).alias("source_snippet"), tx.snippet(F.col("_t"), 150).alias("translation_snippet")
     )

@@ -7,12 +7,45 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import terms as tm
 
-#: Issue types that a deterministic check can settle.
+#: Issue types that a deterministic check can settle, and names of theirs that mean another.
 DETERMINISTIC = (
-    "EMPTY_TRANSLATION WRONG_TARGET_LANGUAGE FOREIGN_SCRIPT_CONTAMINATION CONTAINS_CHINESE NUMBER_MISMATCH NUMBER_ADDITION URL_MISMATCH "
-    "URL_ADDITION REFERENCE_MISMATCH REFERENCE_ADDITION LENGTH_ANOMALY POSSIBLE_TRUNCATION POSSIBLE_ADDED_CONTENT GLOSSARY_MISMATCH "
-    "CONTENT_ADDITION QUOTE_UNBALANCED CONTEXT_LEAK NEGATION_LOSS ENTITY_MISMATCH"
-).split()
+    "EMPTY_TRANSLATION", "NUMBER_MISMATCH", "NUMBER_ADDITION", "URL_MISMATCH", "URL_ADDITION", "BROKEN_REFERENCE",
+    "REFERENCE_MISMATCH", "REFERENCE_ADDITION", "GLOSSARY_MISMATCH", "WRONG_TARGET_LANGUAGE", "FOREIGN_SCRIPT_CONTAMINATION",
+    "CONTAINS_CHINESE", "NEGATION_LOSS",
+)
+ALIASES = {"BROKEN_REFERENCE": "URL_MISMATCH", "CONTAINS_CHINESE": "FOREIGN_SCRIPT_CONTAMINATION"}
+#: Issue types that reviews by meaning may name, other names for them, and those that only warn.
+SEMANTIC = (
+    "SEMANTIC_OMISSION", "SEMANTIC_ADDITION", "MEANING_DRIFT", "MODALITY_ERROR", "CAUSALITY_ERROR", "SCOPE_ERROR",
+    "CONDITION_ERROR", "COMPARISON_ERROR", "ENTITY_REFERENCE_ERROR", "PRONOUN_AMBIGUITY",
+)
+CONSISTENCY = ("ENTITY_MISMATCH", "ENTITY_VARIANT", "TERM_VARIANT", "ACRONYM_INCONSISTENCY", "REPEATED_PHRASE_INCONSISTENCY")
+SYSTEM = ("SEMANTIC_QA_ERROR", "CONTEXT_BUDGET_EXCEEDED", "PROVIDER_ERROR")
+SEMANTIC_NAMES = {
+    "OMISSION": "SEMANTIC_OMISSION", "MISSING_MEANING": "SEMANTIC_OMISSION", "ADDITION": "SEMANTIC_ADDITION",
+    "HALLUCINATION": "SEMANTIC_ADDITION", "SEMANTIC_MISMATCH": "MEANING_DRIFT", "QA_ERROR": "SEMANTIC_QA_ERROR",
+    "ENTITY_CONSISTENCY": "ENTITY_VARIANT", "LOCKED_ENTITY_MISMATCH": "ENTITY_MISMATCH",
+}
+ONLY_WARN = ("PRONOUN_AMBIGUITY", "ENTITY_VARIANT", "TERM_VARIANT", "ACRONYM_INCONSISTENCY", "REPEATED_PHRASE_INCONSISTENCY")
+
+
+def renamed(code: Column, names: dict[str, str]) -> Column:
+    """code by its other name, if it has one."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), code), code)
+
+
+def plain_code(code: Column) -> Column:
+    return F.upper(F.trim(F.coalesce(code, F.lit(""))))
+
+
+def semantic_type(code: Column) -> Column:
+    """A reviewer's name for an issue as one of the known types; MEANING_DRIFT for none and for unknown ones."""
+    c = renamed(F.replace(F.upper(F.trim(F.coalesce(F.nullif(code, F.lit("")), F.lit("MEANING_DRIFT")))), F.lit(" "), F.lit("_")), SEMANTIC_NAMES)
+    return F.when(c.isin(*SEMANTIC, *CONSISTENCY, *SYSTEM), c).otherwise("MEANING_DRIFT")
+
+
+def semantic_severity(code: Column) -> Column:
+    return F.when(semantic_type(code).isin(*ONLY_WARN), "WARNING").otherwise("ERROR")
 
 
 def upsert(table: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -37,13 +70,21 @@ def replace_open(table: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def resolve(issues: DataFrame, remaining: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Adds resolution: deterministic issues stay OPEN iff the code (node_id, code) remains; others are RESOLVED iff the node's review status is PASS, QA_ERROR without a review, else OPEN."""
-    left = remaining.select("node_id", F.col("code").alias("issue_type")).distinct().withColumn("_still", F.lit(True))
-    r = reviews.groupBy("node_id").agg(F.max_by("status", "reviewed_at").alias("_review"))
-    joined = issues.join(left, ["node_id", "issue_type"], "left").join(r, "node_id", "left")
+    """Adds resolution and qa_error to issues (node_id, issue_type).
+
+    Deterministic issues stay OPEN iff their code, or the one it means, is still among remaining (node_id, code). Others are
+    RESOLVED iff the node's newest review (node_id, status, is_passed, reviewed_at) has the status PASS and is_passed, else
+    OPEN; qa_error says why nothing could be told: MISSING_REVIEW without one, REVIEW_ERROR where it failed itself.
+    """
+    code = plain_code(F.col("issue_type"))
+    left = remaining.select("node_id", renamed(plain_code(F.col("code")), ALIASES).alias("_code")).distinct().withColumn("_still", F.lit(True))
+    r = reviews.groupBy("node_id").agg(F.max_by(F.struct("status", "is_passed"), "reviewed_at").alias("_review"))
+    joined = issues.withColumn("_code", renamed(code, ALIASES)).join(left, ["node_id", "_code"], "left").join(r, "node_id", "left")
     by_check = F.when(F.col("_still"), "OPEN").otherwise("RESOLVED")
-    by_review = F.when(F.col("_review").isNull(), "QA_ERROR").when(F.col("_review") == "PASS", "RESOLVED").otherwise("OPEN")
-    return joined.withColumn("resolution", F.when(F.col("issue_type").isin(*DETERMINISTIC), by_check).otherwise(by_review)).drop("_still", "_review")
+    passed = F.coalesce((F.col("_review.status") == "PASS") & F.col("_review.is_passed"), F.lit(False))
+    sure = code.isin(*DETERMINISTIC)
+    error = F.when(~sure & F.col("_review").isNull(), "MISSING_REVIEW").when(~sure & (F.col("_review.status") == "ERROR"), "REVIEW_ERROR")
+    return joined.withColumns({"resolution": F.when(sure, by_check).when(passed, "RESOLVED").otherwise("OPEN"), "qa_error": error}).drop("_still", "_review", "_code")
 
 
 def open_nodes(issues: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def summarize(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
         rate(F.col("naturalness") >= 4).alias("naturalness_pass_rate"), rate(F.col("rewrite_applied")).alias("rewrite_rate"),
         rate(F.col("semantic_critical_error")).alias("semantic_critical_error_rate"), rate(F.col("hard_glossary_error")).alias("hard_glossary_error_rate"),
         rate(F.col("deterministic_error")).alias("deterministic_error_rate"),
-        F.coalesce(F.sum("provider_calls"), F.lit(0)).cast("long").alias("provider_calls"), F.coalesce(F.sum("request_tokens"), F.lit(0)).cast("long").alias("request_tokens_total"),
+        F.coalesce(F.sum("provider_calls"), F.lit(0)).cast("long").alias("provider_calls"), F.round(F.median("provider_calls"), 3).alias("median_provider_calls"), F.coalesce(F.sum("request_tokens"), F.lit(0)).cast("long").alias("request_tokens_total"),
         F.round(F.median("latency_ms"), 3).alias("median_latency_ms"),
         F.round(F.sum(F.when(F.col("lint_warnings").isNotNull(), F.col("lint_warnings"))) * 1000 / F.nullif(F.sum(F.when(F.col("lint_warnings").isNotNull(), F.col("word_count"))), F.lit(0)), 3).alias("lint_warnings_per_1000_words"),
     ]
@@ -51,14 +51,15 @@ def classification(rows: DataFrame, by: list[str]) -> DataFrame:
     return c.select("*", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(F.col("fp"), F.col("fp") + F.col("tn")).alias("false_positive_rate"))
 
 
-def regression(baseline: DataFrame, candidate: DataFrame, key: str, naturalness: float = 0.02, lint: float = 1.0) -> DataFrame:
-    """(key, checks, passed) of two summaries joined on key: no more critical or glossary errors, naturalness at most 2 points down, lint at most 1 up; absent lint figures pass."""
+def regression(baseline: DataFrame, candidate: DataFrame, key: str, naturalness: float = 0.02, lint: float = 1.0, most_calls: float | None = None) -> DataFrame:
+    """(key, failed_checks, passed) of two summaries joined on key: no more critical or glossary errors, naturalness at most 2 points down, median provider calls within most_calls, lint at most 1 up; without a limit or figures the last two pass."""
     b, c = baseline.alias("b"), candidate.alias("c")
     lints = F.coalesce(F.col("c.lint_warnings_per_1000_words") <= F.col("b.lint_warnings_per_1000_words") + lint, F.lit(True))
     checks = {
         "semantic": F.col("c.semantic_critical_error_rate") <= F.col("b.semantic_critical_error_rate"),
         "naturalness": F.col("c.naturalness_pass_rate") >= F.col("b.naturalness_pass_rate") - naturalness,
         "glossary": F.col("c.hard_glossary_error_rate") <= F.col("b.hard_glossary_error_rate"),
+        "provider_calls": F.coalesce(F.col("c.median_provider_calls") <= F.lit(most_calls).cast("double"), F.lit(True)),
         "lint": lints,
     }
     failed = F.array_compact(F.array(*[F.when(~ok, F.lit(k)) for k, ok in checks.items()]))

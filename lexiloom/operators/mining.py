@@ -3,36 +3,36 @@
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as tx
 
 
-def edit_hunks(before: str, after: str) -> list[tuple[str, str]]:
-    """Replaced word runs (avoid, prefer) of up to four words; hunks one equal word apart are one. Texts less than half alike, digits, and single deleted words give none."""
+def edit_hunks(before: str, after: str, most: int = 4) -> list[tuple[str, str]]:
+    """Word runs that an edit put in place of others, as (avoid, prefer) in lower case without end punctuation.
+
+    Changes that a single kept word parts are one. Runs over `most` words, with digits, and single deleted words are no style;
+    texts less than half alike are another text.
+    """
     a, b = before.split(), after.split()
     m = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    kept = [x for x in m.get_matching_blocks() if x.size > 1 or x.a == 0 == x.b or not x.size or x.a + x.size == len(a) and x.b + x.size == len(b)]
     if m.ratio() < 0.5:
         return []
-    hunks: list[list[int]] = []
-    for tag, i1, i2, j1, j2 in m.get_opcodes():
-        if tag == "equal":
-            continue
-        if hunks and i1 - hunks[-1][1] <= 1:
-            hunks[-1][1], hunks[-1][3] = i2, j2
-        else:
-            hunks.append([i1, i2, j1, j2])
-    out = []
-    for i1, i2, j1, j2 in hunks:
-        x, y = a[i1:i2], b[j1:j2]
-        if not x or len(x) > 4 or len(y) > 4 or (not y and len(x) == 1) or any(ch.isdigit() for w in (*x, *y) for ch in w):
-            continue
-        out.append((" ".join(x).lower().strip(".,;:!?"), " ".join(y).lower().strip(".,;:!?")))
-    return [(x, y) for x, y in out if x and x != y]
+    out, i, j = [], 0, 0
+    for block in kept:
+        avoid, prefer = a[i : block.a], b[j : block.b]
+        i, j = block.a + block.size, block.b + block.size
+        style = 0 < len(avoid) <= most and len(prefer) <= most and (prefer or len(avoid) > 1) and not re.search(r"\d", " ".join(avoid + prefer))
+        pair = tuple(" ".join(x).lower().strip(".,;:!?") for x in (avoid, prefer))
+        if style and pair[0] and pair[0] != pair[1]:
+            out.append(pair)
+    return out
 
 
 def mine_rules(edits: DataFrame, disabled: DataFrame | None = None, least: int = 2) -> DataFrame:
@@ -58,22 +58,42 @@ def active_rules(rules: DataFrame, k: int = 12) -> DataFrame:
     return rules.where(F.col("status") == "ACTIVE").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def source_entities(text):  # noqa: ANN001, ANN201
-    """Distinct names of a text as an array Column: runs of up to five capitalised words inside sentences (not the sentence's single first word), and acronyms."""
-    inner = F.transform(tx.sentences(text), lambda s: F.regexp_replace(F.trim(s), r"^[\"“(]*\p{Lu}[\p{Ll}'’-]*(?!\s+\p{Lu})\s*", ""))
-    runs = F.flatten(F.transform(inner, lambda s: tx.matches(s, r"\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+){0,4}")))
-    names = F.transform(runs, lambda r: F.regexp_replace(r, r"^(?:The|A|An)\s+", ""))
-    return F.array_sort(F.array_distinct(F.filter(names, lambda n: F.length(n) > 1)))
+#: Labels that are no names.
+GENERIC = ("CHAPTER", "SECTION", "TABLE", "FIGURE", "APPENDIX")
+_NAME = r"[A-Z][A-Za-z0-9.&'-]*(?:\s+[A-Z][A-Za-z0-9.&'-]*){0,4}"
+
+
+def source_entities(text: Column) -> Column:
+    """Distinct (name, type) of a text as an array: runs of up to five capitalised words, and acronyms (type ACRONYM, over OTHER).
+
+    A leading The, A or An goes; labels are no names, nor are names of two letters or fewer. A single capitalised word counts only
+    inside a sentence, and not in a text like a heading (eight words or fewer, no end mark).
+    """
+    t = F.coalesce(text, F.lit(""))
+    heading = (F.size(tx.words(t)) <= 8) & ~F.trim(t).rlike(r"[.!?]$")
+    inner = F.regexp_replace(t, r"(^\s*|[.!?:]\s*)(?:(?:The|A|An)\s+)?[A-Z][a-z]*(?![A-Za-z0-9.&'-])(?!\s+[A-Z])", "$1")
+    runs = F.transform(tx.matches(F.when(heading, t).otherwise(inner), rf"(?<!{tx.WORD}){_NAME}(?<!{tx.WORD}\.)"), lambda r: F.regexp_replace(F.regexp_replace(r, r"\.+$", ""), r"^(?:The|A|An)\s+", ""))
+    plain = lambda n: n.rlike(r"^[A-Z][a-z]*$")
+    names = F.filter(runs, lambda n: (F.length(n) > 2) & ~n.isin(*GENERIC) & ~F.lower(n).isin("the", "this", "that") & ~(heading & plain(n)))
+    short = F.filter(tx.matches(t, rf"(?<!{tx.WORD})[A-Z][A-Z0-9-]{{1,12}}(?!{tx.WORD})"), lambda n: ~n.isin(*GENERIC))
+    return F.array_sort(F.concat(
+        F.transform(F.array_distinct(short), lambda n: F.struct(n.alias("name"), F.lit("ACRONYM").alias("type"))),
+        F.transform(F.array_except(names, short), lambda n: F.struct(n.alias("name"), F.lit("OTHER").alias("type"))),
+    ))
 
 
 def ledger(observations: DataFrame) -> DataFrame:
-    """(project_id, source_key, first_node_id, occurrences, conflicts) from observations (project_id, order_index, node_id, source_key, target_text), over the whole log.
+    """(project_id, source_key, preferred, first_node_id, occurrences, conflicts) over the whole log of observations (project_id, order_index, node_id, source_key, target_text[, decided]).
 
-    A name enters with the first node that keeps it verbatim; occurrences are all observations from there on, conflicts those of
-    them that do not keep it.
+    A name enters with the first node whose rendering keeps it (as whole words), unless it is decided before (column
+    `decided`: its rendering by decision); occurrences are all observations from there on. A conflict is a later rendering
+    that keeps the name though the decision is another.
     """
-    o = observations.withColumn("kept", F.coalesce("target_text", F.lit("")).contains(F.col("source_key")))
+    decided = F.col("decided") if "decided" in observations.columns else F.lit(None).cast("string")
+    o = observations.withColumn("_decided", decided).withColumn("_kept", tx.has_term(F.coalesce("target_text", F.lit("")), F.col("source_key")))
     w = Window.partitionBy("project_id", "source_key")
-    first = F.min(F.when(F.col("kept"), F.struct("order_index", "node_id"))).over(w)
-    o = o.withColumn("_first", first).where(F.col("order_index") >= F.col("_first.order_index"))
-    return o.groupBy("project_id", "source_key").agg(F.min("_first.node_id").alias("first_node_id"), F.count("*").alias("occurrences"), F.count_if(~F.col("kept")).alias("conflicts"))
+    first = F.min(F.when(F.col("_kept") | F.col("_decided").isNotNull(), F.struct("order_index", "node_id"))).over(w)
+    o = o.withColumn("_first", first).where(F.struct("order_index", "node_id") >= F.col("_first"))
+    preferred = F.coalesce(F.max("_decided"), F.first("source_key"))
+    other = F.count_if(F.col("_kept") & (F.lower("source_key") != F.lower(F.coalesce("_decided", "source_key"))))
+    return o.groupBy("project_id", "source_key").agg(preferred.alias("preferred"), F.min("_first.node_id").alias("first_node_id"), F.count("*").alias("occurrences"), other.alias("conflicts"))

@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as tx
 
 #: Node types, and those that are rendered.
-NODE_TYPES = ("heading", "paragraph", "list", "list_item", "table", "image", "caption", "footnote", "quote", "code", "formula", "page_break", "toc", "metadata")
-TRANSLATABLE = ("heading", "paragraph", "list", "list_item", "table", "caption", "footnote", "quote", "toc")
+NODE_TYPES = (
+    "heading", "paragraph", "quote", "list", "list_item", "image", "caption", "table", "footnote", "footnote_reference",
+    "equation", "code_block", "horizontal_rule", "page_break_hint",
+)
+TRANSLATABLE = ("heading", "paragraph", "quote", "list", "list_item", "caption", "table", "footnote", "footnote_reference")
 
 
 def translatable(kind: Column) -> Column:
-    """Unknown and null types count as paragraphs."""
+    """Types are compared in lower case; unknown and null ones count as paragraphs."""
+    kind = F.lower(kind)
     return F.when(kind.isin(*NODE_TYPES), kind).otherwise("paragraph").isin(*TRANSLATABLE)
 
 
@@ -58,7 +62,6 @@ def rolling_context(nodes: DataFrame, k: int = 4, budget: int = 300, done: Colum
     nodes: (chapter_id, node_id, order_index, content). A frame gathers the done nodes before each node; a fold spends the budget.
     """
     done = F.lit(True) if done is None else done
-    w = Window.partitionBy("chapter_id").orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1)
     n = nodes.withColumn("_done", done).withColumn("_rank", F.sum(F.col("_done").cast("int")).over(Window.partitionBy("chapter_id").orderBy("order_index").rowsBetween(Window.unboundedPreceding, -1)))
     d = n.where("_done").select("chapter_id", "node_id", "order_index", (F.coalesce("_rank", F.lit(0)) + 1).alias("_at"), F.greatest(F.lit(1), F.floor(tx.word_count(F.col("content")) * 1.45)).cast("long").alias("_cost"))
     frame = Window.partitionBy("chapter_id").orderBy("_at").rowsBetween(-(k - 1), 0)
@@ -69,7 +72,6 @@ def rolling_context(nodes: DataFrame, k: int = 4, budget: int = 300, done: Colum
         fits = (F.size(acc["ids"]) == 0) | (acc["spent"] + x["cost"] <= budget)
         return F.when(fits, F.struct(F.concat(acc["ids"], F.array(x["id"].cast("string"))).alias("ids"), (acc["spent"] + x["cost"]).alias("spent"))).otherwise(acc)
 
-    del w
     joined = n.withColumn("_at", F.coalesce("_rank", F.lit(0))).join(tails, ["chapter_id", "_at"], "left")
     empty = F.array().cast("array<struct<id:string,cost:bigint>>")
     return joined.withColumn("context", F.aggregate(F.coalesce(F.col("_tail").cast("array<struct<id:string,cost:bigint>>"), empty), start, step)["ids"]).drop("_done", "_rank", "_at", "_tail")

@@ -13,8 +13,13 @@ from lexiloom.functions import text as tx
 from lexiloom.operators.nodes import translatable
 
 
-def pack(nodes: DataFrame, target: int = 1200, limit: int | None = None) -> DataFrame:
-    """(chapter_id, node_id, chunk_no, tokens): nodes of each chapter in order, packed greedily.
+def pack_requests(nodes: DataFrame, window: int = 4096, fixed: int = 600, per_node: int = 12) -> DataFrame:
+    """pack() by what a request takes: as many nodes as fit the window beside what every request has (fixed) and what each node adds (per_node)."""
+    return pack(nodes, max(64, window - fixed), extra=per_node)
+
+
+def pack(nodes: DataFrame, target: int = 1200, limit: int | None = None, extra: int = 0) -> DataFrame:
+    """(chapter_id, node_id, chunk_no, tokens): nodes of each chapter in order, packed greedily; each node takes `extra` tokens more.
 
     A chunk ends before a node that would pass the target, before a heading, and around tables, footnotes and nodes over
     the limit, which stand alone. Where a chunk starts depends on what the last one took, so this is a fold over the
@@ -22,7 +27,8 @@ def pack(nodes: DataFrame, target: int = 1200, limit: int | None = None) -> Data
     """
     limit = max(64, limit or target)
     target = min(target, limit)
-    n = nodes.where(translatable(F.col("node_type"))).select("chapter_id", "node_id", "order_index", "node_type", tx.token_estimate(F.col("content")).alias("tokens"))
+    kind = F.coalesce(F.lower("node_type"), F.lit("paragraph"))
+    n = nodes.where(translatable(F.col("node_type"))).select("chapter_id", "node_id", "order_index", kind.alias("node_type"), (tx.token_estimate(F.col("content")) + extra).alias("tokens"))
     listed = n.groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "node_id", "tokens", "node_type"))).alias("ns"))
     start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("closed"), F.array().cast("array<int>").alias("out"))
 
@@ -77,3 +83,38 @@ def split_long(nodes: DataFrame, budget: int) -> DataFrame:
 
     long = nodes.where(tx.token_estimate(F.col("content")) > budget).select("node_id", "content")
     return long.mapInPandas(cut, "node_id string, part long, text string")
+
+
+def layout_units(text: str, budget: int) -> list[tuple[str, str]]:
+    """(unit, what parts it from the next): paragraphs, lines and sentences or clauses; those over the budget cut into sentences, then words."""
+    pieces = re.split(r"(\n{2,}|\n|(?<=[.!?;:])\s+)", text)
+    out: list[tuple[str, str]] = []
+    for unit, gap in zip(pieces[::2], [*pieces[1::2], ""], strict=True):
+        parts = split_text(unit, budget) if estimate(unit) > budget else [unit]
+        out += [(p, " ") for p in parts[:-1]] + [(parts[-1] if parts else "", gap)]
+    return out
+
+
+def split_layout(nodes: DataFrame, budget: int) -> DataFrame:
+    """(node_id, part, text, gap): texts over the budget in parts within it, with what stood between them; parts and gaps joined in order are the text again (oversized sentences up to their blanks)."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for node, text in zip(b["node_id"], b["content"], strict=True):
+                held: list[list[str]] = []
+                for unit, gap in layout_units(text, budget):
+                    if held and (not held[-1][0].strip() or not unit.strip() or estimate("".join(held[-1]) + unit) <= budget):
+                        held[-1] = [held[-1][0] + held[-1][1] + unit, gap]
+                    else:
+                        held.append([unit, gap])
+                rows += [(node, k, *x) for k, x in enumerate(held)]
+            yield pd.DataFrame(rows, columns=["node_id", "part", "text", "gap"])
+
+    long = nodes.where(tx.token_estimate(F.col("content")) > budget).select(F.col("node_id").cast("string"), "content")
+    return long.mapInPandas(cut, "node_id string, part long, text string, gap string")
+
+
+def rejoin(parts: DataFrame, text: str = "text") -> DataFrame:
+    """(node_id, joined): parts (of one column, rendered or not) put together again with their gaps."""
+    return parts.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", text, "gap"))), lambda p: F.concat(p[text], p["gap"])), "").alias("joined"))

@@ -12,36 +12,51 @@ def _length_match(a: Column, b: Column, most: int) -> Column:
     return F.greatest(F.lit(0), F.lit(most) - F.floor(F.abs(a - b) / 4))
 
 
+#: Deals of a memory table: a project's memory is spread over so many parts, and the queries go to each.
+DEALS = 16
+
+
+def _best(scored: DataFrame, per: list[str], k: int, tie: str) -> DataFrame:
+    """The k best rows per key by score, ties by `tie`, with rank. Spark keeps k rows a key and task before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("score"), tie))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def few_shot(nodes: DataFrame, library: DataFrame, k: int = 4) -> DataFrame:
     """(node_id, example_id, score, rank): at most k examples of the node's domain (GENERAL where the library lacks it), each source once.
 
     nodes: (node_id, domain, mode, node_type, source_text); library: (example_id, domain, node_type, modes, register, patterns,
-    source). The join is on the domain; a library is small by nature, and AQE broadcasts it where its size allows.
+    source). What the score reads of a node is its domain, mode, type, tags and length; nodes alike in these are scored once, so
+    the library, small by nature, meets a table of distinct kinds of nodes, and the best k come back by an equi-join.
     """
     have = library.select("domain").distinct().withColumn("_have", F.lit(True))
     n = nodes.join(have, "domain", "left").withColumn("domain", F.when(F.col("_have"), F.col("domain")).otherwise("GENERAL"))
     n = n.select("node_id", "domain", "mode", F.lower("node_type").alias("node_type"), scores.pattern_tags(F.col("source_text")).alias("tags"), tx.word_count(F.col("source_text")).alias("n"))
-    lib = library.select("example_id", "domain", F.lower("node_type").alias("x_type"), "modes", "register", "patterns", "source", tx.word_count(F.col("source")).alias("x_n"))
-    kind = F.when(F.col("x_type") == F.col("node_type"), 30).when(F.col("node_type").isin("paragraph", "quote") & (F.col("x_type") == "paragraph"), 8).otherwise(0)
+    n = n.withColumn("kind", F.sha2(F.to_json(F.struct("domain", "mode", "node_type", "tags", "n")), 256))
+    kinds = n.drop("node_id").dropDuplicates(["kind"])
+    lib = library.select("example_id", "domain", F.lower("node_type").alias("x_type"), "modes", "register", "patterns", F.sha2("source", 256).alias("source"), tx.word_count(F.col("source")).alias("x_n"))
+    type_ = F.when(F.col("x_type") == F.col("node_type"), 30).when(F.col("node_type").isin("paragraph", "quote") & (F.col("x_type") == "paragraph"), 8).otherwise(0)
     exact = F.col("mode").isin("FAITHFUL", "ACADEMIC", "TECHNICAL") & F.col("register").isin("formal", "scholarly", "precise")
-    score = 100 + kind + F.when(F.array_contains("modes", F.col("mode")), 12).otherwise(0) + 18 * F.size(F.array_intersect("tags", "patterns")) + _length_match(F.col("n"), F.col("x_n"), 12) + F.when(exact, 5).otherwise(0)
-    scored = n.join(lib, "domain").select("node_id", "example_id", "source", score.cast("long").alias("score"))
-    order = [F.desc("score"), F.col("example_id")]
-    once = scored.withColumn("_o", F.row_number().over(Window.partitionBy("node_id", "source").orderBy(*order))).where(F.col("_o") == 1)
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("node_id").orderBy(*order))).where(F.col("rank") <= k).select("node_id", "example_id", "score", "rank")
+    score = 100 + type_ + F.when(F.array_contains("modes", F.col("mode")), 12).otherwise(0) + 18 * F.size(F.array_intersect("tags", "patterns")) + _length_match(F.col("n"), F.col("x_n"), 12) + F.when(exact, 5).otherwise(0)
+    scored = kinds.join(lib, "domain").select("kind", "example_id", "source", score.cast("long").alias("score"))
+    best = _best(_best(scored, ["kind", "source"], 1, "example_id").drop("rank"), ["kind"], k, "example_id")
+    return n.select("node_id", "kind").join(best, "kind").select("node_id", "example_id", "score", "rank")
+
 
+def style_memory(nodes: DataFrame, memory: DataFrame, k: int = 3, deals: int = DEALS) -> DataFrame:
+    """(node_id, memory_id, score, rank): at most k approved examples of the node's own project.
 
-def style_memory(nodes: DataFrame, memory: DataFrame, k: int = 3) -> DataFrame:
-    """(node_id, memory_id, score, rank): at most k approved examples of the node's own project."""
+    nodes is a stated set of queries, small beside the memory. A project may hold a third of the memory, so the memory is
+    dealt over `deals` parts, each of which meets every query; each task keeps k examples a query before the last rank.
+    """
     w = lambda c: F.array_distinct(tx.matches(tx.normal_form(F.col(c)), tx.WORD + "+"))
-    n = nodes.select("node_id", "project_id", "domain", "document_type", "mode", "node_type", scores.pattern_tags(F.col("source_text")).alias("tags"), w("source_text").alias("words"))
+    n = nodes.select("node_id", "project_id", "domain", "document_type", "mode", "node_type", scores.pattern_tags(F.col("source_text")).alias("tags"), w("source_text").alias("words"), F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("part"))
     m = memory.where((F.col("quality_status") == "USER_APPROVED") & F.col("scope").isin("PROJECT", "USER_LOCAL"))
-    m = m.select("memory_id", "project_id", *[F.col(c).alias("m_" + c) for c in ("domain", "document_type", "mode", "node_type")], F.col("source_patterns").alias("m_tags"), w("source_text").alias("m_words"))
+    m = m.select("memory_id", "project_id", *[F.col(c).alias("m_" + c) for c in ("domain", "document_type", "mode", "node_type")], F.col("source_patterns").alias("m_tags"), w("source_text").alias("m_words"), F.pmod(F.xxhash64("memory_id"), F.lit(deals)).cast("int").alias("part"))
     score = sum((F.when(F.upper(c) == F.upper("m_" + c), v).otherwise(0) for c, v in (("domain", 70), ("document_type", 25), ("mode", 18), ("node_type", 18))), F.lit(0))
     score = score + 12 * F.size(F.array_intersect("tags", "m_tags")) + F.least(F.lit(20), 3 * F.size(F.array_intersect("words", "m_words"))) + _length_match(F.size("words"), F.size("m_words"), 10)
-    scored = n.join(m, "project_id").select("node_id", "memory_id", score.cast("long").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("score"), "memory_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    scored = n.join(m, ["project_id", "part"]).select("node_id", "part", "memory_id", score.cast("long").alias("score"))
+    return _best(_best(scored, ["node_id", "part"], k, "memory_id").drop("rank", "part"), ["node_id"], k, "memory_id")
 
 
 def library_counts(library: DataFrame) -> DataFrame:

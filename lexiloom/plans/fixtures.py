@@ -16,11 +16,11 @@ lines AS (
   FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)
   WHERE trim(content) <> '')"""
 
-#: kind = (doc_id + pos) % 12 seeds one defect each; see pairs() and sql_pairs().
+#: kind = (doc_id + pos) % 12 seeds one defect each; see pairs().
 PAIRS_SQL = (
     LINES_SQL
     + """,
-seeded AS (SELECT *, (doc_id + order_index) % 12 AS kind, CAST(doc_id * 7 % 4000 AS VARCHAR) AS num FROM lines WHERE doc_id % 3 = 0 OR length(content) < 400),
+seeded AS (SELECT *, (doc_id + order_index) % 12 AS kind, CAST(doc_id * 7 % 4000 AS VARCHAR) AS num FROM lines),
 pairs AS (
   SELECT node_id, project_id, chapter_id, order_index, lang, kind,
     CASE kind WHEN 1 THEN content || ' It weighs ' || num || '.50 kg and 12%.'
@@ -53,15 +53,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with a source and a rendering in which one kind of defect in twelve is seeded (kinds 0 and 11 are clean)."""
-    return _seeded(lines(spark, sf_dir))
-
-
-def sql_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of pairs() that PAIRS_SQL has: without lines of 400 characters or more in two of three documents. Only for queries compared with that SQL."""
-    return _seeded(lines(spark, sf_dir).where((F.col("doc_id") % 3 == 0) | (F.length("content") < 400)))
-
-
-def _seeded(n: DataFrame) -> DataFrame:
+    n = lines(spark, sf_dir)
     n = n.withColumn("kind", (F.col("doc_id") + F.col("order_index")) % 12).withColumn("num", (F.col("doc_id") * 7 % 4000).cast("string"))
     c, num = F.col("content"), F.col("num")
     seeds = {
@@ -100,10 +92,7 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(blocks, pages): each document laid out twelve lines a page, with a running header, a page number, a two-column page of three and headings by size.
-
-    BLOCKS_SQL cuts texts to 200 characters; its queries read no text of the body, so they do not differ.
-    """
+    """(blocks, pages): each document laid out twelve lines a page, with a running header, a page number, a two-column page of three and headings by size."""
     n = lines(spark, sf_dir).select("doc_id", F.col("order_index").alias("pos"), F.col("content").alias("text"))
     page = F.floor(F.col("pos") / 12).cast("int") + 1
     k = (F.col("pos") % 12).cast("int")
@@ -130,7 +119,7 @@ BLOCKS_SQL = (
     LINES_SQL
     + """,
 body AS (
-  SELECT doc_id, order_index // 12 + 1 AS page_number, order_index % 12 + 1 AS block_id, substr(content, 1, 200) AS text, order_index AS pos, (order_index // 12 + 1) % 3 = 0 AS two, order_index % 12 AS k FROM lines),
+  SELECT doc_id, order_index // 12 + 1 AS page_number, order_index % 12 + 1 AS block_id, content AS text, order_index AS pos, (order_index // 12 + 1) % 3 = 0 AS two, order_index % 12 AS k FROM lines),
 laid AS (
   SELECT doc_id, page_number, block_id, text,
     CASE WHEN two AND k % 2 = 1 THEN 320.0 ELSE 40.0 END AS x0, 120.0 + (k // (CASE WHEN two THEN 2 ELSE 1 END)) * 50 AS y0,
