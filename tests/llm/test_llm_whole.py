@@ -56,3 +56,56 @@ def test_pipeline_judges_rows_and_decodes(spark, monkeypatch):
     kept = cp.quality(spark, docs, "")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "good text"), (1, "good text")]
     assert [r["round_trip"] for r in cp.pieces(spark, kept, "").collect()] == [True, True]
+
+
+ODD = "doc_id long, text string, source string, lang string, n_chars long, _row string, _gone int, _text string"
+
+
+def write_tables(spark, at, rows, labels=(), items=()):
+    spark.createDataFrame(rows, ODD).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing column names, no labels, no benchmark; then empty tables."""
+    import corpus_pipeline as cp
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long, None, None, None, "r", 1, "t"), (None, None, "s", "en", 0, None, None, None), (1, long, "s", "en", 9, "r", 2, "t"), (1, "", "s", "en", 0, "r", 3, "t"), (2, long, "s", "en", 9, "r", 4, "t"), (3, "x\ny", "s", "en", 3, "r", 5, "t")]
+    write_tables(spark, tmp_path / "a", rows)
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    at = f"{tmp_path}/a"
+    for name, f in cp.STAGES[:-1]:
+        assert f(spark, docs, at).columns == docs.columns, name
+    out = cp.run(spark, at).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"]) for r in out) == [-1, -1, 1, 1, 3]  # 2 repeats 1; rows without an id stay
+    assert all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in out)
+    write_tables(spark, tmp_path / "b", [])
+    assert cp.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_near_dedup_stage_recall_on_edited_copies(spark):
+    """Five words at 0.8: every copy at that similarity goes; those with an edit in some 45 words or fewer lie under it and stay."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    rows, close = [], {}
+    for g in range(60):
+        base = [f"v{rng.randrange(5000)}" for _ in range(180)]
+        rows.append((g * 10, base))
+        for c in range(1, 4):
+            v = list(base)
+            for _ in range(2 * c):
+                v[rng.randrange(len(v))] = f"e{rng.randrange(10**6)}"
+            a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (base, v))
+            close[g * 10 + c] = 100 * len(a & b) >= 80 * len(a | b)
+            rows.append((g * 10 + c, v))
+    d = spark.createDataFrame([(i, " ".join(w), "s", "en", 1) for i, w in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    kept = {r["doc_id"] for r in cp.near_duplicates(spark, d, "").collect()}
+    assert {g * 10 for g in range(60)} <= kept
+    gone = [i for i, near in close.items() if near]
+    assert len(gone) > 90 and not kept & set(gone)
+    assert sum(i not in kept for i in close) / len(close) < 0.95  # what is edited more is not this stage's
