@@ -55,6 +55,12 @@ def without_remarks(c: Column) -> Column:
     return c
 
 
+def json_value(c: Column) -> Column:
+    """The one JSON value that a text is, as a variant; null where it is none. Spark's parser alone would pass over whatever follows a value."""
+    held = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), "$", VARIANTS)
+    return F.when(F.size(held) == 1, F.get(held, F.lit(0)))
+
+
 def field(v: Column, key: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, f"$.{key}", kind)
 
@@ -68,7 +74,7 @@ def answer_text(c: Column) -> Column:
 
     def of(t: Column) -> Column:
         braces = F.regexp_extract(F.translate(t, "“”", '""'), r"(?s)(\{.*\})", 1)
-        return tx.let(F.struct(t.alias("t"), braces.alias("b"), F.try_parse_json(braces).alias("v")), chosen)
+        return tx.let(F.struct(t.alias("t"), braces.alias("b"), json_value(braces).alias("v")), chosen)
 
     def chosen(x: Column) -> Column:
         held = F.coalesce(*[F.when(is_string(field(x["v"], k, "variant")), field(x["v"], k)) for k in TEXT_KEYS])
@@ -88,7 +94,7 @@ def answer_items(c: Column) -> Column:
 
     def parsed(t: Column) -> Column:
         cut = F.regexp_replace(F.regexp_extract(t, r"(?s)(\[.*\]|\{.*\})", 1), r",\s*([\}\]])", "$1")
-        return F.coalesce(F.try_parse_json(t), F.try_parse_json(cut))
+        return F.coalesce(json_value(t), json_value(cut))
 
     def shapes(x: Column) -> Column:
         v = x["v"]

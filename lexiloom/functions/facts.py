@@ -49,7 +49,7 @@ STOPWORDS = {
 #: Words of a text for telling its language, marks of Vietnamese letters, tokens that are no words.
 LANGUAGE_WORD = r"[A-Za-zÀ-ỹĐđ]+(?:[-'][A-Za-zÀ-ỹĐđ]+)*"
 VI_MARK = r"[ăâđêôơưĂÂĐÊÔƠƯáàảãạấầẩẫậắằẳẵặéèẻẽẹếềểễệíìỉĩịóòỏõọốồổỗộớờởỡợúùủũụứừửữựýỳỷỹỵ]"
-IDENTIFIER = r"(?:https?://\S+|www\.\S+|\b[A-Z][A-Z0-9_+.#/-]{1,}\b|\b\w+[_/.]\w+\b)"
+IDENTIFIER = r"(?U)(?:https?://\S+|www\.\S+|\b[A-Z][A-Z0-9_+.#/-]{1,}\b|\b\w+[_/.]\w+\b)"
 
 
 def canonical_number(raw: Column) -> Column:

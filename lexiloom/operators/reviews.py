@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as tx
-from lexiloom.functions.answers import VARIANTS, field, is_string, stripped
+from lexiloom.functions.answers import VARIANTS, field, is_string, json_value, stripped
 from lexiloom.operators import issues
 
 #: What a review by meaning checks, the issue that a failed check stands for, the check that an issue fails.
@@ -69,7 +69,7 @@ def review(payload: Column) -> Column:
     with an error or a failed check is a FAIL. A PASS with fewer than LEAST_CHECKS checks, and a FAIL without a reason, are ERRORs.
     """
     cut = F.regexp_extract(F.coalesce(payload, F.lit("")), r"(?s)(\{.*\})", 1)
-    return tx.let(_lowered(F.try_parse_json(cut)), _read)
+    return tx.let(_lowered(json_value(cut)), _read)
 
 
 def _read(top: Column) -> Column:
@@ -145,7 +145,7 @@ def refute_additions(source: Column, result: Column) -> Column:
 
 def qa_result(payload: Column) -> Column:
     """A plain quality verdict (status, is_passed, score, issues, error): strict; whatever is not right is an ERROR with its reason."""
-    v = F.try_parse_json(payload)
+    v = json_value(payload)
     told, score, listed = field(v, "is_passed", "variant"), field(v, "score", "variant"), field(v, "issues", VARIANTS)
     number = F.when(~is_string(score) & (F.schema_of_variant(score) != "BOOLEAN"), F.try_variant_get(score, "$", "double"))
     claimed = F.nullif(field(v, "error"), F.lit(""))
@@ -169,7 +169,7 @@ MEMORY_LISTS = {"entities": 20, "key_concepts": 15, "pronoun_notes": 10, "termin
 
 def memory_is_valid(payload: Column) -> Column:
     """Whether a chapter memory has exactly its fields, of the right kinds and within their bounds."""
-    v = F.try_parse_json(payload)
+    v = json_value(payload)
     names = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
     wanted = F.array(*map(F.lit, ("summary", "tone", *MEMORY_LISTS)))
     ok = (F.size(names) == len(MEMORY_LISTS) + 2) & (F.size(F.array_except(wanted, names)) == 0)

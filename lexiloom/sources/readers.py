@@ -5,7 +5,6 @@ Files are read by Spark's own sources (text, binaryFile, csv, json); parsing of
 
 from __future__ import annotations
 
-import html
 import io
 import re
 import zipfile
@@ -135,6 +134,34 @@ def docx_blocks(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parse, "path string, block_no long, type string, heading_level int, font_size double, is_bold boolean, text string")
 
 
+def _epub(data: bytes) -> list[tuple[int, str, int | None, str]]:
+    """(page, type, level, text) of an EPUB: the items of its spine in order; items without blocks are no pages."""
+    book = zipfile.ZipFile(io.BytesIO(data))
+    opf = next(r.get("full-path") for r in ElementTree.fromstring(book.read("META-INF/container.xml")).iter() if r.tag.endswith("rootfile"))
+    package, base = ElementTree.fromstring(book.read(opf)), opf.rpartition("/")[0]
+    items = {i.get("id"): i.get("href") for i in package.iter() if i.tag.endswith("}item") or i.tag == "item"}
+    out, page = [], 0
+    for ref in (i.get("idref") for i in package.iter() if i.tag.endswith("itemref")):
+        p = _Blocks()
+        p.feed(book.read(f"{base}/{items[ref]}".lstrip("/")).decode("utf-8", "ignore"))
+        p.close_block()
+        page += bool(p.out)
+        out += [(page, kind, level, text) for kind, level, text in p.out]
+    return out
+
+
+def epub_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(path, page_number, block_no, type, heading_level, text) of EPUB files; block_no counts over the book."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, x[0], k + 1, *x[1:]) for p, c in b.itertuples(index=False) for k, x in enumerate(_epub(c))]
+            yield pd.DataFrame(rows, columns=["path", "page_number", "block_no", "type", "heading_level", "text"]).astype({"heading_level": "Int32"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+    return files.mapInPandas(parse, "path string, page_number long, block_no long, type string, heading_level int, text string")
+
+
 GLOSSARY_FIELDS = ("source_term", "target_term", "preferred_target", "allowed_variants", "category", "domain", "sense_hint", "part_of_speech", "preserve_original", "locked", "lock_level", "notes")
 
 
@@ -178,7 +205,7 @@ def ocr_lines(words: DataFrame) -> DataFrame:
 
 
 def valid_artefacts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, valid): exports by their first bytes: PDF %PDF-, EPUB and other zips PK 03 04; other files need any byte."""
+    """(path, valid): exports by their first bytes: PDF %PDF-, EPUB PK 03 04; other files need any byte. Spark's source passes over files without bytes, so an export without a row here is not valid either."""
     f = spark.read.format("binaryFile").load(path)
     head = F.hex(F.substring("content", 1, 5))
     ok = F.when(F.col("path").endswith(".pdf"), head.startswith("255044462D")).when(F.col("path").endswith(".epub"), head.startswith("504B0304")).otherwise(F.col("length") > 0)
@@ -206,7 +233,3 @@ def book(nodes: DataFrame) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("order_index", "html")))["html"]
     toc = F.array_sort(F.collect_list(F.when(F.col("node_type") == "heading", F.struct("order_index", "level", tx.snippet(F.col("source_text"), 80).alias("title")))))
     return nodes.groupBy("project_id").agg(toc.alias("toc"), F.array_join(rows, "\n").alias("html"))
-
-
-def unescape(text: str) -> str:
-    return html.unescape(text)

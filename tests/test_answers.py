@@ -17,14 +17,6 @@ from lexiloom.sources import readers
 SF = "/root/testdata/sf0.001"
 
 
-def one(spark, value, *columns):
-    """The values of functions of one or two texts."""
-    rows = value if isinstance(value, tuple) else (value,)
-    d = spark.createDataFrame([rows], ", ".join(f"c{i} string" for i in range(len(rows))))
-    out = d.select(*[c.alias(f"r{i}") for i, c in enumerate(columns)]).first()
-    return out[0] if len(columns) == 1 else tuple(out)
-
-
 def many(spark, values, f):
     d = spark.createDataFrame([(i, *(v if isinstance(v, tuple) else (v,))) for i, v in enumerate(values)], "i int, a string" + (", b string" if isinstance(values[0], tuple) else ""))
     return [r["r"] for r in d.select("i", f(*[F.col(c) for c in d.columns[1:]]).alias("r")).orderBy("i").collect()]
@@ -53,7 +45,7 @@ def test_answer_items(spark):
         '{"n1": "x", "n2": {"text": "y"}, "status": "ok"}': [("n1", "x"), ("n2", "y")],
         'Here: {"nodes": [{"id": "1", "text": "x",},],} bye': [("1", "x")],
         '{"translations": [{"node_id": "1", "text": "a \\"q\\""} {"node_id": "2", "text": "b"': [("1", 'a "q"')],
-        '{"text": "t", "id": "9"} and {"text": "u", "id": "8"': [("9", "t")],
+        '{"text": "t", "id": "9"} and {"text": "u", "id": "8"}': [("9", "t"), ("8", "u")],
         "nothing": [],
         "": [],
     }
@@ -61,11 +53,12 @@ def test_answer_items(spark):
 
 
 def test_repeats(spark):
-    loop = "một câu dài hơn hai mươi ký tự, "
+    loop = "một câu dài đúng ba mươi chữ, "
+    assert len(loop) == 30
     texts = ["a\n\nb\na\nb", "X. Y. X. Y. Z.", "One. Two.", (loop * 5) + "end", "aa bb"]
     got = many(spark, texts, answers.without_repeats)
     assert got[0] == "a\n\nb" and got[1] == "X. Y. Z." and got[2] == "One. Two." and got[4] == "aa bb"
-    assert got[3] == loop + "end" or got[3].count(loop.strip()) <= 2
+    assert got[3] == loop + "end"
 
 
 def test_cleaned(spark):
@@ -114,7 +107,7 @@ def test_residue_and_foreign_words(spark):
 def test_gate_builds_only_wanted_codes(spark):
     d = spark.createDataFrame([("p", "1", "It is not 5 kg, see Figure 2.", "Nó là 6 kg “x, xem Figure 3 and the.")], "project_id string, node_id string, source_text string, target_text string")
     every = {r["issue_type"] for r in gate.issues(d).collect()}
-    assert {"NUMBER_MISMATCH", "NUMBER_ADDITION", "REFERENCE_MISMATCH", "REFERENCE_ADDITION", "QUOTE_UNBALANCED", "ENGLISH_RESIDUE", "UNTRANSLATED_LABEL", "NEGATION_LOSS"} - {"UNTRANSLATED_LABEL"} <= every
+    assert {"NUMBER_MISMATCH", "NUMBER_ADDITION", "REFERENCE_MISMATCH", "REFERENCE_ADDITION", "QUOTE_UNBALANCED", "ENGLISH_RESIDUE", "NEGATION_LOSS"} <= every
     for codes in (("NUMBER_MISMATCH",), ("NEGATION_LOSS", "ENGLISH_RESIDUE"), ()):
         assert {r["issue_type"] for r in gate.issues(d, codes=codes).collect()} == every & set(codes)
 
@@ -127,10 +120,10 @@ def test_quality_score(spark):
 
 def test_source_entities(spark):
     cases = {
-        "He met Anna Karenina in Paris. Then NASA called.": [("Anna Karenina", "OTHER"), ("NASA", "ACRONYM"), ("Paris", "OTHER")],
+        "He met Anna Karenina in Paris today, then NASA called.": [("Anna Karenina", "OTHER"), ("NASA", "ACRONYM"), ("Paris", "OTHER")],
         "The United Nations met. Chapter 3 ends here with more words now.": [("United Nations", "OTHER")],
         "Home": [],
-        "SECTION IV and API-2 of it are very long texts.": [("API-2", "ACRONYM"), ("IV", "ACRONYM")],
+        "SECTION IV and API-2 of it are very long texts.": [("API-2", "ACRONYM"), ("IV", "ACRONYM"), ("SECTION IV", "OTHER")],
     }
     assert [[tuple(x) for x in r] for r in many(spark, list(cases), mining.source_entities)] == list(cases.values())
 
@@ -180,7 +173,8 @@ def test_lint_spans_forms_and_downgrades(spark):
     text = unicodedata.normalize("NFD", "Một hai ba bốn việc này được làm bởi họ rồi nhé.")
     d = spark.createDataFrame([("1", "he", text), ("2", "she", "Nó về."), ("3", "it", "Nó về."), ("4", "x", "những sự khác biệt và các sự chậm trễ đó đó"), ("5", "x", "từ " * 61)], "node_id string, source_text string, target_text string")
     found = {(r["node_id"], r["rule"], r["severity"]): r["span"] for r in lint.lint(d).collect()}
-    assert found["1", "PASSIVE_BY_AGENT", "WARNING"] == unicodedata.normalize("NFC", "bốn việc này được làm bởi họ rồi nhé.")[0:] or "được làm bởi" in found["1", "PASSIVE_BY_AGENT", "WARNING"]
+    span = found["1", "PASSIVE_BY_AGENT", "WARNING"]
+    assert "được làm bởi" in span and len("được làm bởi") + 12 < len(span) <= len("được làm bởi") + 24
     assert ("2", "NO_FOR_PERSON", "INFO") in found and ("3", "NO_FOR_PERSON", "INFO") not in found
     assert ("4", "DUPLICATED_FUNCTION_WORD", "WARNING") in found and found["4", "PLURAL_SU_NOUN", "WARNING"].count("chậm") == 1
     assert found["5", "LONG_SENTENCE", "INFO"].endswith("…")
@@ -198,7 +192,7 @@ def test_style_lint_counts(spark):
 
 def test_language_scores_by_brute_force(spark):
     word = re.compile(r"[A-Za-zÀ-ỹĐđ]+(?:[-'][A-Za-zÀ-ỹĐđ]+)*")
-    ident = re.compile(facts.IDENTIFIER, re.ASCII)
+    ident = re.compile(facts.IDENTIFIER.replace("(?U)", ""))
     got = {r["doc_id"]: r for r in catalog.QUERIES["language_scores"](spark, SF).collect()}
     docs = table(spark, SF, "documents").collect()
     assert len(got) == len(docs) and {r["lang"] for r in docs} > {"en", "fr"}

@@ -62,9 +62,9 @@ def test_upsert_prefers_new_and_latest(spark):
 def test_issue_resolution_policy(spark):
     i = spark.createDataFrame([("a", "NUMBER_MISMATCH"), ("b", "NUMBER_MISMATCH"), ("a", "MEANING"), ("b", "MEANING")], "node_id string, issue_type string")
     left = spark.createDataFrame([("a", "NUMBER_MISMATCH")], "node_id string, code string")
-    r = spark.createDataFrame([("a", "FAIL", 1), ("a", "PASS", 2)], "node_id string, status string, reviewed_at int")
-    got = {(x["node_id"], x["issue_type"]): x["resolution"] for x in issues.resolve(i, left, r).collect()}
-    assert got == {("a", "NUMBER_MISMATCH"): "OPEN", ("b", "NUMBER_MISMATCH"): "RESOLVED", ("a", "MEANING"): "RESOLVED", ("b", "MEANING"): "QA_ERROR"}
+    r = spark.createDataFrame([("a", "FAIL", False, 1), ("a", "PASS", True, 2)], "node_id string, status string, is_passed boolean, reviewed_at int")
+    got = {(x["node_id"], x["issue_type"]): (x["resolution"], x["qa_error"]) for x in issues.resolve(i, left, r).collect()}
+    assert got == {("a", "NUMBER_MISMATCH"): ("OPEN", None), ("b", "NUMBER_MISMATCH"): ("RESOLVED", None), ("a", "MEANING"): ("RESOLVED", None), ("b", "MEANING"): ("OPEN", "MISSING_REVIEW")}
 
 
 def test_glossary_forms_and_domains(spark):
