@@ -19,6 +19,8 @@ LOWER = UPPER.lower()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: At most so many keys can each hold more than one HOT_KEYS-th of a table's rows.
 HOT_KEYS = 10_000
+#: Paths of tables that stage() wrote and that are still there.
+STAGED: set[str] = set()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -57,17 +59,28 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path  # type: ignore[attr-defined]
+    STAGED.add(path)
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    STAGED.discard(path)
+
+
 def unstage(*frames: DataFrame) -> None:
     """Delete staged tables that no pending plan reads any more."""
     for df in frames:
         path = getattr(df, "staged_path", None)
         if path:
-            spark = df.sparkSession
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete every table that this driver has staged and not deleted yet. A result reads its last staged tables, so call this when results are written."""
+    for path in list(STAGED):
+        _delete(spark, path)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], row: list[Column], how: str = "left", salts: int = 8) -> DataFrame:

@@ -56,6 +56,9 @@ class PieceCodec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        probe = "ﬁ Ａ ①  x"
+        if sp.normalize(probe) != SPACE + probe.replace(" ", SPACE):
+            raise ValueError("the model normalises texts; this codec would give other ids than the library")
         n = sp.get_piece_size()
         names = [sp.id_to_piece(i) for i in range(n)]
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
@@ -71,6 +74,8 @@ class PieceCodec:
         self.depth = max(map(len, self.pieces), default=1)
         self.lens = np.array([len(p) for p in self.pieces], np.int64)
         score = np.array([sp.get_score(i) for i in self.ids.tolist()])
+        if (score != np.round(score)).any():
+            raise ValueError("not a BPE model: scores are no ranks")
         self.rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)
         table = [b"" if i in special else bytes((octets[i],)) if i in octets else names[i].replace(SPACE, " ").encode() for i in range(n)]
         self.letters, self.spans = np.frombuffer(b"".join(table), np.uint8), np.array([len(x) for x in table])

@@ -228,6 +228,25 @@ def test_piece_codec_equals_the_library(spark, odd, none):
     assert [c.decode(x) for x in sp.encode(texts)] == [sp.decode(x) for x in sp.encode(texts)]
 
 
+def test_piece_codec_refuses_other_models(monkeypatch):
+    import sentencepiece
+
+    class Other:
+        def __init__(self, model_file):
+            self.real = real(model_file=model_file)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+    real, model = sentencepiece.SentencePieceProcessor, P.path("piece_bpe_32k.model")
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", type("Folding", (Other,), {"normalize": lambda self, t: t.lower()}))
+    with pytest.raises(ValueError, match="normalises"):
+        piece_codec.PieceCodec(model)
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", type("Unigram", (Other,), {"get_score": lambda self, i: -i / 7}))
+    with pytest.raises(ValueError, match="BPE"):
+        piece_codec.PieceCodec(model)
+
+
 def test_suffixes_are_sorted():
     codes = np.array([ord(c) for c in "banana bandana"], "<u4")
     order = piece_codec.sort_suffixes(codes, 14).tolist()
