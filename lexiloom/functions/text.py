@@ -86,11 +86,14 @@ def snippet(c: Column, n: int) -> Column:
 
 def urls(c: Column) -> Column:
     """URLs without the punctuation that ends a sentence."""
-    return F.transform(matches(c, URL), lambda x: F.regexp_replace(x, r"[.,;:!?]+$", ""))
+    low = F.lower(c)
+    found = F.transform(matches(c, URL), lambda x: F.regexp_replace(x, r"[.,;:!?]+$", ""))
+    return F.when(low.contains("http") | low.contains("www."), found).otherwise(F.array().cast("array<string>"))
 
 
 def technical_tokens(c: Column) -> Column:
-    return F.transform(matches(c, TECHNICAL), lambda x: F.regexp_replace(x, r"[.,;:]+$", ""))
+    found = F.transform(matches(c, TECHNICAL), lambda x: F.regexp_replace(x, r"[.,;:]+$", ""))
+    return F.when(c.contains("`") | c.contains(":\\") | c.contains("/") | c.contains("()"), found).otherwise(F.array().cast("array<string>"))
 
 
 def sentences(c: Column) -> Column:
@@ -116,7 +119,7 @@ def without_cjk(c: Column) -> Column:
 
 def foreign_script(source: Column, target: Column) -> Column:
     """CJK characters of the target that the source does not have."""
-    return F.array_except(matches(target, CJK), matches(source, CJK))
+    return F.when(target.rlike(CJK), F.array_except(matches(target, CJK), matches(source, CJK))).otherwise(F.array().cast("array<string>"))
 
 
 def repair_hyphenation(c: Column) -> Column:

@@ -64,7 +64,8 @@ def _some(xs: Column) -> Column:
 
 def _prose(c: Column) -> Column:
     """Without technical tokens and URLs."""
-    return F.regexp_replace(F.regexp_replace(c, tx.TECHNICAL, " "), tx.URL, " ")
+    bare = F.when(c.contains("`") | c.contains(":\\") | c.contains("/") | c.contains("()"), F.regexp_replace(c, tx.TECHNICAL, " ")).otherwise(c)
+    return F.regexp_replace(bare, tx.URL, " ")
 
 
 def residue(target: Column) -> Column:
