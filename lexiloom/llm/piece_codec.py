@@ -24,9 +24,9 @@ SPACE = "▁"
 #: Words longer than this are relaxed by a heap over their own edges instead of in rounds over all words.
 LONG_WORD = 48
 #: Characters that are indexed at once, unless a single word has more.
-INDEX_CHARS = 250_000
-#: Words whose ids a worker keeps; the cache starts anew when it is full.
-CACHE_ENTRIES = 500_000
+INDEX_CHARS = 125_000
+#: Words whose ids a worker keeps; the cache starts anew when it is full. Workers live on after the task, and with them the cache.
+CACHE_ENTRIES = 150_000
 SEP = 0x10FFFF
 
 
