@@ -18,7 +18,7 @@ LIST_KEYS = ("translations", "results", "nodes")
 NO_NODES = ("model", "status", "version", "summary", "notes")
 #: Remarks behind an answer, and openings before it.
 POSTAMBLES = (
-    r"(?isu)\n*\s*(?:Lưu\s*ý|Ghi\s*chú|Chú\s*thích|Notes|Note)\s*[:\-].*$",
+    r"(?isu)\n*\s*(?:Lưu\s*[Ýý]|Ghi\s*chú|Chú\s*thích|Note|Notes)\s*[:\-].*$",
     r"(?isu)\n*\s*-\s*Bản dịch đã được.*$",
     r"(?isu)\n*\s*-\s*Đã loại bỏ.*$",
 )
@@ -29,6 +29,12 @@ PREAMBLES = (
 #: Labels that a rendered heading may have, and those of its source.
 HEADING_LABEL = r"(?iu)^(?:Chương|Phần|Mục)\s+[\dIVXLC]+\s*[:.\-–]\s*"
 SOURCE_LABEL = r"(?i)\b(?:chapter|part|section)\s+[\dIVXLC]+"
+#: Clusters of marks, blanks around marks, straight quotes and dots, and what they become, in this order.
+PUNCTUATION = (
+    (r"[,;:]+\s*([.!?])", "$1"), (r"([.!?])\s*[,;:]+", "$1"), (r"[,;]{2,}", ", "), (r"\.{4,}", "..."),
+    (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"\s+([,.:;!?])", "$1"), (r"([,.:;!?])([^\s\d,.:;!?\"')\]}”’])", "$1 $2"),
+    (r"\"([^\"]+)\"", "“$1”"), (r"\s*\.\.\.\s*", "... "), (r"\s+$", ""),
+)
 VARIANTS = "array<variant>"
 ITEMS = "array<struct<node_id:string,text:string>>"
 
@@ -155,10 +161,7 @@ def cleaned(c: Column) -> Column:
     for pattern in PREAMBLES:
         x = stripped(F.regexp_replace(x, pattern, ""))
     x = without_repeats(without_remarks(x))
-    for pattern, by in (
-        (r"[,;:]+\s*([.!?])", "$1"), (r"([.!?])\s*[,;:]+", "$1"), (r"[,;]{2,}", ", "), (r"\.{4,}", "..."), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"),
-        (r"\s+([,.:;!?])", "$1"), (r"([,.:;!?])([^\s\d,.:;!?\"')\]}”’])", "$1 $2"), (r"\"([^\"]+)\"", "“$1”"), (r"\s*\.\.\.\s*", "... "), (r"\s+$", ""),
-    ):
+    for pattern, by in PUNCTUATION:
         x = F.regexp_replace(x, pattern, by)
     return x
 

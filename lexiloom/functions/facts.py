@@ -18,7 +18,7 @@ LABELS = {
 }
 _LABEL = "|".join(sorted(LABELS, key=len, reverse=True))
 REFERENCE = (
-    rf"(?iu)(?<!{tx.WORD})(?<!thư )(?<!danh )(?<!hạng )(?<!chuyên )(?<!tiêu )(?:{_LABEL})\.?(?!{tx.WORD})\s+"
+    rf"(?iu)(?=[{''.join(sorted({k[0] for k in LABELS}))}])(?<!{tx.WORD})(?<!thư )(?<!danh )(?<!hạng )(?<!chuyên )(?<!tiêu )(?:{_LABEL})\.?(?!{tx.WORD})\s+"
     rf"(?:\d+(?:\.\d+)*|[A-Za-z](?:\.\d+|-[A-Za-z0-9]+)*)(?![\p{{L}}\p{{N}}_-]|\.\d|:[\\/])"
 )
 #: Explicit negation in English, and negation in the target language.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as tx
 from lexiloom.functions.answers import stripped
 
+#: States of a node.
 STATUSES = ("PENDING", "QUEUED", "TRANSLATING", "TRANSLATED", "QA_PENDING", "QA_PASSED", "NEEDS_REVIEW", "FAILED")
 MOST_REASONS = 8
 DRAFT = "struct<text:string,reasons:array<string>,stage:string,saved_at:string>"

@@ -255,3 +255,126 @@ def with_nodes(reviews: DataFrame, nodes: DataFrame) -> DataFrame:
 def publication(approved: Column, locked_kept: Column, style_status: Column, rewritten: Column, veto: Column) -> Column:
     """Whether a rendering goes out: locked names kept, approved by meaning, its style passed, and no veto of the original against a rewrite."""
     return F.when(~F.coalesce(locked_kept, F.lit(False)) | ~F.coalesce(approved, F.lit(False)), "NEEDS_REVIEW").when(F.coalesce(style_status != "PASS", F.lit(True)), "NEEDS_REVIEW").when(F.coalesce(rewritten & veto, F.lit(False)), "KEEP_ORIGINAL").otherwise("APPROVED")
+
+
+# reviews of style
+
+#: What a review of style checks, other names for its issues and severities, its words for passing and failing.
+STYLE_CHECKS = (
+    "literal_calque", "word_order", "collocation", "cohesion", "pronoun_reference", "register", "redundancy", "nominalization",
+    "passive_voice", "sentence_flow",
+)
+STYLE_NAMES = {
+    "CALQUE": "LITERAL_CALQUE", "LITERAL": "LITERAL_CALQUE", "LITERAL_TRANSLATION": "LITERAL_CALQUE", "PASSIVE": "PASSIVE_VOICE",
+    "PRONOUN": "PRONOUN_REFERENCE", "REFERENCE": "PRONOUN_REFERENCE", "FLOW": "SENTENCE_FLOW", "FLUENCY": "SENTENCE_FLOW",
+    "GRAMMAR": "SENTENCE_FLOW", "READABILITY": "SENTENCE_FLOW", "STYLE": "REGISTER", "TONE": "REGISTER", "FORMALITY": "REGISTER",
+    "REDUNDANT": "REDUNDANCY", "WORDINESS": "REDUNDANCY", "VERBOSITY": "REDUNDANCY", "NOMINALISATION": "NOMINALIZATION",
+    "ORDER": "WORD_ORDER", "SYNTAX": "WORD_ORDER", "WORD_CHOICE": "COLLOCATION", "LEXICAL": "COLLOCATION", "COHERENCE": "COHESION",
+}
+STYLE_TYPES = (*map(str.upper, STYLE_CHECKS), "NATURALNESS_ERROR", "VIETNAMESE_NATURALNESS_ERROR")
+STYLE_SEVERITIES = {
+    "INFO": "INFO", "LOW": "INFO", "MINOR": "INFO", "NOTE": "INFO", "SUGGESTION": "INFO", "TRIVIAL": "INFO",
+    "WARNING": "WARNING", "WARN": "WARNING", "MEDIUM": "WARNING", "MODERATE": "WARNING",
+    "ERROR": "ERROR", "HIGH": "ERROR", "MAJOR": "ERROR", "CRITICAL": "ERROR", "SEVERE": "ERROR",
+}
+STYLE_PASSES, STYLE_FAILS = ("PASS", "PASSED", "OK", "TRUE", "YES", "GOOD"), ("FAIL", "FAILED", "FALSE", "NO", "BAD")
+STYLE_STATUS = {"PASS": "PASS", "PASSED": "PASS", "OK": "PASS", "GOOD": "PASS", "NATURAL": "PASS", "FAIL": "FAIL", "FAILED": "FAIL", "NEEDS_REVISION": "FAIL", "UNNATURAL": "FAIL", "ERROR": "ERROR"}
+#: Names of style issues in a report.
+STYLE_REPORT = {
+    "LITERAL_CALQUE": "VIETNAMESE_LITERAL_CALQUE", "WORD_ORDER": "VIETNAMESE_WORD_ORDER", "COLLOCATION": "VIETNAMESE_COLLOCATION",
+    "COHESION": "VIETNAMESE_COHESION", "PRONOUN_REFERENCE": "VIETNAMESE_PRONOUN", "REGISTER": "VIETNAMESE_REGISTER",
+    "REDUNDANCY": "VIETNAMESE_REDUNDANCY", "NOMINALIZATION": "VIETNAMESE_NOMINALIZATION", "PASSIVE_VOICE": "VIETNAMESE_PASSIVE",
+    "SENTENCE_FLOW": "VIETNAMESE_SENTENCE_FLOW",
+}
+
+
+def _named(names: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), key)
+
+
+def style_review(payload: Column) -> Column:
+    """A review of style as a struct (status, score, issues, failed_checks), read as kindly as review(): PASS, FAIL, or ERROR where nothing certain can be read.
+
+    Issues that are only INFO keep nothing back. A check that is not told fails if a blocking issue has its type; a PASS with a
+    blocking issue or a failed check is a FAIL; a FAIL without either is an ERROR. Without a score a PASS has 0.9, a FAIL 1 less
+    0.15 for each blocking issue.
+    """
+    top = _lowered(json_value(F.regexp_extract(F.coalesce(payload, F.lit("")), r"(?s)(\{.*\})", 1)))
+    return tx.let(top, _read_style)
+
+
+def _style_issue(v: Column) -> Column:
+    def of(m: Column) -> Column:
+        raw = F.translate(F.upper(F.coalesce(_text(m, "type", "category", "check"), F.lit(""))), " -", "__")
+        kind = issues.renamed(raw, STYLE_NAMES)
+        kind = F.when(kind.isin(*STYLE_TYPES), kind).otherwise("SENTENCE_FLOW")
+        span = F.coalesce(_text(m, "target_span", "span", "text"), F.lit(""))
+        severity = F.coalesce(_named(STYLE_SEVERITIES, F.upper(F.coalesce(_text(m, "severity", "level"), F.lit("WARNING")))), F.lit("WARNING"))
+        message = F.coalesce(_text(m, *[k for k in MESSAGES if k != "details"]), F.concat_ws(": ", kind, F.nullif(span, F.lit(""))))
+        return F.struct(kind.alias("type"), severity.alias("severity"), message.alias("message"), F.coalesce(_text(m, "source_span"), F.lit("")).alias("source_span"), span.alias("target_span"))
+
+    plain = stripped(F.try_variant_get(v, "$", "string"))
+    alone = F.struct(F.lit("SENTENCE_FLOW").alias("type"), F.lit("WARNING").alias("severity"), plain.alias("message"), F.lit("").alias("source_span"), F.lit("").alias("target_span"))
+    return F.when(is_string(v), F.when(plain != "", alone)).when(F.schema_of_variant(v).startswith("OBJECT"), tx.let(_lowered(v), of))
+
+
+def _read_style(top: Column) -> Column:
+    raw = _member(top, "issues")
+    kind = F.coalesce(F.schema_of_variant(raw), F.lit(""))
+    listed = F.when(kind.startswith("ARRAY"), F.try_variant_get(raw, "$", VARIANTS)).when(kind.startswith("OBJECT") | is_string(raw), F.array(raw))
+    found = F.filter(F.transform(F.coalesce(listed, F.array().cast(VARIANTS)), _style_issue), lambda i: i.isNotNull())
+    checks = _member(top, "checks")
+    failed = F.transform(F.try_variant_get(checks, "$", VARIANTS), lambda c: F.lower(F.try_variant_get(c, "$", "string")))
+    parts = F.struct(
+        found.alias("issues"), _lowered(checks).alias("checks"), failed.alias("listed"), F.try_variant_get(_member(top, "score"), "$", "string").alias("score"),
+        _named(STYLE_STATUS, F.upper(F.coalesce(_text(top, "status", "verdict"), F.lit("")))).alias("status"), (top.isNotNull() & (raw.isNull() | listed.isNotNull() | (kind == "VOID"))).alias("readable"),
+    )
+    return tx.let(parts, lambda p: tx.let(F.struct(p.alias("p"), F.array(*[_style_check(p, c) for c in STYLE_CHECKS]).alias("c")), _styled))
+
+
+def _style_check(p: Column, name: str) -> Column:
+    v = _member(p["checks"], name)
+    inner = F.when(F.schema_of_variant(v).startswith("OBJECT"), F.coalesce(field(v, "status", "variant"), field(v, "result", "variant"))).otherwise(v)
+    word, number = F.upper(stripped(F.try_variant_get(inner, "$", "string"))), F.try_variant_get(inner, "$", "double")
+    told = F.when(word.isin(*STYLE_PASSES), "PASS").when(word.isin(*STYLE_FAILS), "FAIL").when(~is_string(inner) & number.isNotNull(), F.when(number >= 0.5, "PASS").otherwise("FAIL"))
+    named = F.when(p["listed"].isNotNull(), F.when(F.array_contains(p["listed"], name), "FAIL").otherwise("PASS"))
+    about = F.exists(blocking(p["issues"]), lambda i: i["type"] == name.upper())
+    return F.struct(F.lit(name).alias("name"), F.coalesce(named, told, F.when(about, "FAIL").otherwise("PASS")).alias("value"))
+
+
+def _styled(x: Column) -> Column:
+    p, failed = x["p"], F.filter(x["c"], lambda k: k["value"] == "FAIL")
+    n = F.size(blocking(p["issues"]))
+    bad = (n > 0) | (F.size(failed) > 0)
+    status = F.when(bad, "FAIL").otherwise(F.coalesce(p["status"], F.lit("PASS")))
+    status = F.when(~F.coalesce(p["readable"], F.lit(False)) | (F.coalesce(p["status"], F.lit("")) == "ERROR") | ((status == "FAIL") & ~bad), "ERROR").otherwise(status)
+    number = F.regexp_replace(F.trim(p["score"]), r"%+$", "").try_cast("double")
+    scaled = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(number > 10, number / 100).when(number > 1, number / 10).otherwise(number)))
+    score = F.coalesce(F.when(number.isNotNull(), scaled), F.when(status == "FAIL", F.greatest(F.lit(0.0), F.round(1 - 0.15 * n, 2))).otherwise(0.9))
+    return F.struct(status.alias("status"), F.when(status != "ERROR", score).alias("score"), F.when(status == "ERROR", F.array().cast(f"array<{ISSUE}>")).otherwise(p["issues"].cast(f"array<{ISSUE}>")).alias("issues"), F.transform(failed, lambda k: k["name"]).alias("failed_checks"))
+
+
+def style_passes(r: Column, threshold: float = 0.80) -> Column:
+    """Whether a style review lets a rendering out: PASS at the threshold, nothing that blocks, no failed check."""
+    return F.coalesce((r["status"] == "PASS") & (r["score"] >= threshold) & (F.size(blocking(r["issues"])) == 0) & (F.size(r["failed_checks"]) == 0), F.lit(False))
+
+
+def style_report(r: Column, threshold: float = 0.80) -> Column:
+    """The issues of a style review as those of a report (issue_type, severity, message); one of its own where the review does not pass and names none."""
+    listed = F.transform(r["issues"], lambda i: F.struct(F.coalesce(_named(STYLE_REPORT, i["type"]), F.lit("VIETNAMESE_NATURALNESS_ERROR")).alias("issue_type"), i["severity"].alias("severity"), i["message"].alias("message")))
+    alone = F.array(F.struct(F.lit("VIETNAMESE_NATURALNESS_ERROR").alias("issue_type"), F.when(r["status"] == "ERROR", "ERROR").otherwise("WARNING").alias("severity"), F.lit("below the threshold of style").alias("message")))
+    return F.when(~style_passes(r, threshold) & (F.size(r["issues"]) == 0), alone).otherwise(listed)
+
+
+#: Issues after which a shorter prompt is tried.
+RECOVERABLE = ("FOREIGN_SCRIPT_CONTAMINATION", "ENGLISH_RESIDUE", "WRONG_TARGET_LANGUAGE")
+
+
+def tries_short_prompt(found: Column) -> Column:
+    return F.arrays_overlap(F.transform(found, lambda i: i["code"]), F.array(*map(F.lit, RECOVERABLE)))
+
+
+def policy_signature(medium: Column, high: Column, repairs: Column, warnings: Column) -> Column:
+    """A hash of what a review was asked under: thresholds, repairs, and the distinct warnings in upper case and order."""
+    told = F.array_sort(F.array_distinct(F.transform(F.coalesce(warnings, F.array().cast("array<string>")), F.upper)))
+    return F.sha2(F.to_json(F.struct(high.alias("high"), medium.alias("medium"), repairs.alias("repairs"), told.alias("warnings"))), 256)

@@ -116,15 +116,35 @@ PAYLOADS = (
 )
 
 
-@query("""SELECT o_orderkey AS node_id, ['PASS', 'PASS', 'ERROR', 'FAIL', 'FAIL', 'ERROR', 'FAIL', 'ERROR'][(o_orderkey % 8 + 1)::INT] AS status,
-  [0.95::DOUBLE, 0.92::DOUBLE, NULL, 0.6::DOUBLE, 0.6::DOUBLE, NULL, 0.3::DOUBLE, NULL][(o_orderkey % 8 + 1)::INT] AS score,
-  ['', '', '', 'MEANING_DRIFT', 'SEMANTIC_OMISSION', '', 'MEANING_DRIFT', ''][(o_orderkey % 8 + 1)::INT] AS types FROM orders""")
+@query("""SELECT c_custkey AS node_id, ['PASS', 'PASS', 'ERROR', 'FAIL', 'FAIL', 'ERROR', 'FAIL', 'ERROR'][(c_custkey % 8 + 1)::INT] AS status,
+  [0.95::DOUBLE, 0.92::DOUBLE, NULL, 0.6::DOUBLE, 0.6::DOUBLE, NULL, 0.3::DOUBLE, NULL][(c_custkey % 8 + 1)::INT] AS score,
+  ['', '', '', 'MEANING_DRIFT', 'SEMANTIC_OMISSION', '', 'MEANING_DRIFT', ''][(c_custkey % 8 + 1)::INT] AS types FROM customer""")
 def review_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    r = table(spark, sf_dir, "orders").select(k.alias("node_id"), reviews.review(pick(k, *PAYLOADS)).alias("r"))
+    k = F.col("c_custkey")
+    r = table(spark, sf_dir, "customer").select(k.alias("node_id"), reviews.review(pick(k, *PAYLOADS)).alias("r"))
     return r.select("node_id", "r.status", "r.score", F.array_join(F.transform("r.errors", lambda e: e["type"]), ",").alias("types"))
 
 
+_STYLE_PAYLOADS = (
+    '{"status": "natural", "score": "9", "issues": [{"type": "tone", "severity": "minor", "comment": "c"}]}',
+    '{"verdict": "PASS", "issues": ["clumsy"]}',
+    '{"status": "FAIL", "checks": ["word_order", "cohesion"]}',
+    '{"status": "unnatural", "score": 0.4, "checks": {"register": "good"}}',
+    '{"status": "ERROR", "error": "x"}',
+    '{"checks": {"register": 0.2, "cohesion": {"status": "ok"}}, "issues": {"category": "word choice", "level": "HIGH", "span": "s"}}',
+)
+
+
+@query("""SELECT c_custkey AS node_id, ['PASS', 'FAIL', 'FAIL', 'ERROR', 'ERROR', 'FAIL'][(c_custkey % 6 + 1)::INT] AS status, [0.9::DOUBLE, 0.85::DOUBLE, 1.0::DOUBLE, NULL, NULL, 0.85::DOUBLE][(c_custkey % 6 + 1)::INT] AS score,
+  ['', 'sentence_flow', 'word_order,cohesion', '', '', 'collocation,register'][(c_custkey % 6 + 1)::INT] AS failed,
+  ['VIETNAMESE_REGISTER INFO', 'VIETNAMESE_SENTENCE_FLOW WARNING', 'VIETNAMESE_NATURALNESS_ERROR WARNING', 'VIETNAMESE_NATURALNESS_ERROR ERROR', 'VIETNAMESE_NATURALNESS_ERROR ERROR', 'VIETNAMESE_COLLOCATION ERROR'][(c_custkey % 6 + 1)::INT] AS report FROM customer""")
+def style_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    r = table(spark, sf_dir, "customer").select(k.alias("node_id"), reviews.style_review(pick(k, *_STYLE_PAYLOADS)).alias("r"))
+    report = F.array_join(F.transform(reviews.style_report(F.col("r")), lambda i: F.concat_ws(" ", i["issue_type"], i["severity"])), ",")
+    return r.select("node_id", "r.status", "r.score", F.array_join("r.failed_checks", ",").alias("failed"), report.alias("report"))
+
+
 @query("""SELECT o_orderkey AS node_id, CASE WHEN o_orderkey % 3 = 0 THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 0.85::DOUBLE ELSE 0.4::DOUBLE END AS score FROM orders""")
 def refuted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews that say a clerk was added: refuted where the source names the clerk."""

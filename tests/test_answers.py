@@ -321,3 +321,15 @@ def test_whole_tables_are_read(spark, name):
         assert sum(r["nodes"] for r in got.collect()) == every
     if name == "gate_report":
         assert {r["issue_type"] for r in got.collect()} >= {"EMPTY_TRANSLATION", "WRONG_TARGET_LANGUAGE", "ENGLISH_RESIDUE", "FOREIGN_SCRIPT_CONTAMINATION", "NEGATION_LOSS"}
+
+
+def test_small_review_rules(spark):
+    issue = "array<struct<code:string,severity:string>>"
+    d = spark.createDataFrame([(1, [("ENGLISH_RESIDUE", "ERROR")]), (2, [("NUMBER_MISMATCH", None)]), (3, [("X", "info")])], f"i int, x {issue}")
+    got = [tuple(r) for r in d.orderBy("i").select(reviews.tries_short_prompt(F.col("x")), F.size(reviews.blocking(F.col("x")))).collect()]
+    assert got == [(True, 1), (False, 1), (False, 0)]
+    f = lambda *w: reviews.policy_signature(F.lit(0.35), F.lit(0.65), F.lit(2), F.array(*map(F.lit, w)))
+    a, b, c = spark.range(1).select(f("x", "Y", "X"), f("y", "x"), f("x")).first()
+    assert a == b != c
+    p = spark.createDataFrame([(True, True, "PASS", False, None), (True, True, "PASS", True, True), (True, False, "PASS", False, None), (False, True, "PASS", False, None), (True, True, "FAIL", False, None)], "a boolean, l boolean, s string, r boolean, v boolean")
+    assert [r[0] for r in p.select(reviews.publication(*[F.col(x) for x in "alsrv"])).collect()] == ["APPROVED", "KEEP_ORIGINAL", "NEEDS_REVIEW", "NEEDS_REVIEW", "NEEDS_REVIEW"]

@@ -45,9 +45,11 @@ def test_query_equals_its_sql(spark, db, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_query_runs(spark, db, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_queries_without_sql_are_held_against_python():
+    """Each has a test of its own in test_answers.py or test_whole.py; a new one without SQL has to be added there."""
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {
+        "gate_report", "language_scores", "html_blocks", "rule_mining", "split_long", "style_lint", "lint_verdicts", "cleaned_answers", "provider_run",
+    }
 
 
 def test_entry_imports_without_the_optional_folders(tmp_path):
