@@ -35,6 +35,8 @@ PUNCTUATION = (
     (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r"\s+([,.:;!?])", "$1"), (r"([,.:;!?])([^\s\d,.:;!?\"')\]}”’])", "$1 $2"),
     (r"\"([^\"]+)\"", "“$1”"), (r"\s*\.\.\.\s*", "... "), (r"\s+$", ""),
 )
+#: The inside of a JSON string, captured. Runs are possessive: Java would recurse for every character of a plain alternation.
+STRING = r'([^"\\]*+(?:\\.[^"\\]*+)*+)'
 VARIANTS = "array<variant>"
 ITEMS = "array<struct<node_id:string,text:string>>"
 
@@ -84,7 +86,7 @@ def answer_text(c: Column) -> Column:
 
     def chosen(x: Column) -> Column:
         held = F.coalesce(*[F.when(is_string(field(x["v"], k, "variant")), field(x["v"], k)) for k in TEXT_KEYS])
-        loose = rf'"(?:{"|".join(k for k in TEXT_KEYS if k != "result")})"\s*:\s*"((?:[^"\\]|\\.)*)"'
+        loose = rf'"(?:{"|".join(k for k in TEXT_KEYS if k != "result")})"\s*:\s*"{STRING}"'
         broken = F.when(x["v"].isNull() & x["b"].rlike(loose), unescaped(F.regexp_extract(x["b"], loose, 1)))
         return F.coalesce(held, broken, x["t"])
 
@@ -122,7 +124,7 @@ def answer_items(c: Column) -> Column:
         return F.coalesce(F.when(F.schema_of_variant(v).startswith("OBJECT"), inner), F.try_variant_get(v, "$", "string"), F.lit(""))
 
     def loose(t: Column, text_first: bool) -> Column:
-        node, text = r'"(?:node_id|id)"\s*:\s*"([^"]+)"', rf'"(?:{"|".join(ITEM_TEXT_KEYS)})"\s*:\s*"((?:[^"\\]|\\.)*)"'
+        node, text = r'"(?:node_id|id)"\s*:\s*"([^"]+)"', rf'"(?:{"|".join(ITEM_TEXT_KEYS)})"\s*:\s*"{STRING}"'
         pattern = r"\{\s*" + r"\s*,\s*".join((text, node) if text_first else (node, text)) + r"\s*\}"
         nodes, texts = (F.regexp_extract_all(t, F.lit(pattern), F.lit(g)) for g in ((2, 1) if text_first else (1, 2)))
         return F.transform(F.arrays_zip(nodes.alias("n"), texts.alias("t")), lambda z: F.struct(z["n"].alias("node_id"), stripped(unescaped(z["t"])).alias("text")))
@@ -139,9 +141,15 @@ def unique_paragraphs(c: Column) -> Column:
 
 def unique_sentences(c: Column) -> Column:
     """Sentences without those equal to the last or the last but one that was kept; texts of two sentences or fewer stay."""
-    found = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), stripped), lambda s: s != "")
-    kept = F.aggregate(found, F.array().cast("array<string>"), lambda acc, s: F.when(F.array_contains(F.slice(acc, F.greatest(F.size(acc) - 1, F.lit(1)), F.lit(2)), s), acc).otherwise(F.concat(acc, F.array(s))))
-    return F.when(F.size(found) > 2, F.array_join(kept, " ")).otherwise(c)
+
+    def step(acc: Column, s: Column) -> Column:
+        return F.when(F.array_contains(F.slice(acc, F.greatest(F.size(acc) - 1, F.lit(1)), F.lit(2)), s), acc).otherwise(F.concat(acc, F.array(s)))
+
+    def of(t: Column) -> Column:
+        found = F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+"), stripped), lambda s: s != "")
+        return tx.let(found, lambda f: F.when(F.size(f) > 2, F.array_join(F.aggregate(f, F.array().cast("array<string>"), step), " ")).otherwise(t))
+
+    return tx.let(c, of)
 
 
 def without_loops(c: Column) -> Column:

@@ -52,6 +52,14 @@ def test_answer_items(spark):
     assert [[tuple(x) for x in r] for r in many(spark, list(cases), answers.answer_items)] == list(cases.values())
 
 
+def test_long_answers(spark):
+    """A broken answer of a long text is read whole; patterns do not recurse for each character."""
+    plain = 'word "q" ' * 300 + "x" * 200_000
+    told = plain.replace('"', '\\"')
+    got = many(spark, [f'{{"translations": [{{"node_id": "1", "text": "{told}"}} oops', f'{{"translation": "{told}" oops}}'], lambda c: F.struct(answers.answer_items(c).alias("i"), answers.answer_text(c).alias("t")))
+    assert got[0]["i"][0]["text"] == plain and got[1]["t"] == plain
+
+
 def test_repeats(spark):
     loop = "một câu dài đúng ba mươi chữ, "
     assert len(loop) == 30
