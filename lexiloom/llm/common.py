@@ -70,11 +70,17 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def unstage(*frames: DataFrame) -> None:
-    """Delete staged tables that no pending plan reads any more."""
+    """Delete staged tables that no pending plan reads any more, and let Spark drop what finished stages broadcast.
+
+    Executors keep every finished stage's broadcasts in their memory until the driver collects garbage, which a driver with
+    little to do may not for half an hour; an operator of hundreds of stages fills their heaps with them.
+    """
     for df in frames:
         path = getattr(df, "staged_path", None)
         if path:
             _delete(df.sparkSession, path)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def clear_staged(spark: SparkSession) -> None:
