@@ -220,6 +220,8 @@ def test_piece_codec_equals_the_library(spark, odd, none):
     for r in e.collect():
         assert list(r["ids"]) == sp.encode(r["text"] or "")
     assert all(r["decoded"] == (r["text"] or "") for r in piece_codec.decode_pieces(e, model).collect())
+    both = piece_codec.encode_pieces(odd, model, decoded_col="key").collect()
+    assert sorted((r["key"], list(r["ids"])) for r in both) == sorted(((r["text"] or ""), list(r["ids"])) for r in e.collect())
     assert piece_codec.encode_pieces(none, model).count() == 0
     rng = random.Random(5)
     c = piece_codec.PieceCodec(model)
