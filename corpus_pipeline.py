@@ -72,7 +72,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    out = piece_codec.decode_pieces(piece_codec.encode_pieces(docs, model), model)
+    out = piece_codec.encode_pieces(docs, model, decoded_col="decoded")
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(piece_codec.SPACE), F.lit(" "))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == text).alias("round_trip"))
 
