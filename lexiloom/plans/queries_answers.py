@@ -350,7 +350,7 @@ def rerun_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT l_orderkey AS node_id FROM lineitem WHERE l_linestatus = 'O'""")
-def open_issue_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nodes_with_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.open_nodes(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node_id"), F.when(F.col("l_linestatus") == "O", "OPEN").otherwise("RESOLVED").alias("status")))
 
 
