@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chat_format, decontaminate, line_dedup, near_dedup, piece_codec, quality_classifier, quality_rules, substring_dedup, token_store, url_filter
+from lexiloom.llm import chat_format, decontaminate, fill_in_middle, filter_audit, line_dedup, near_dedup, piece_codec, quality_classifier, quality_rules, substring_dedup, token_store, url_filter
 from lexiloom.session import table
 
 #: The contract's site rules, in its order.
@@ -71,6 +71,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_dedup": op2_near_dedup,
@@ -82,6 +92,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_piece_codec": op9_piece_codec,
     "op10_quality_rules": op10_quality_rules,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _KEY = r"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -155,4 +167,44 @@ prior AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND (k + mean * strength) / (n + strength) <= 0.5 AS kept
 FROM b JOIN hosts USING (host), prior""",
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+judged AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, map(['A', 'B', 'C', 'D', 'E'], [
+    len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * length(d.text),
+    regexp_matches(d.text, '[#$%&*|]'), coalesce(d.doc_id > least, false)]) AS fails
+  FROM d JOIN firsts ON d.text = firsts.text LEFT JOIN judged ON d.doc_id = judged.doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic, len(list_filter(map_values(fails), lambda x: x)) AS bits FROM f GROUP BY part, fails),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, list_filter(string_split(filter_order, ''), lambda x, i: i < step) AS before FROM orders, (SELECT unnest(generate_series(1, 5)) AS step)),
+parts AS (SELECT DISTINCT part FROM cells),
+seen AS (
+  SELECT c.*, s.*, c.fails[s.own] AS fail, list_bool_or(list_transform(s.before, lambda x: c.fails[x])) IS TRUE AS gone FROM cells c, steps s),
+per AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (WHERE NOT fail AND NOT gone) AS kept, sum(n) FILTER (WHERE fail AND NOT gone) AS removed, sum(n) FILTER (WHERE fail AND gone) AS redundant,
+    sum(n) FILTER (WHERE fail AND bits = 1) AS unique_fails, sum(good) FILTER (WHERE fail AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE fail AND NOT gone) AS toxic_lost
+  FROM seen GROUP BY part, filter_order, step, own),
+shares AS (SELECT part, own, sum(removed) AS shapley FROM per GROUP BY part, own)
+SELECT per.part, per.filter_order, CAST(per.step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(shapley, 0) AS BIGINT) AS shapley
+FROM per JOIN shares ON per.part = shares.part AND per.own = shares.own""",
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, len(units) AS n, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) for i in range(4)] AS r FROM d),
+c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p""",
 }
