@@ -17,11 +17,11 @@ Links are needed only as far as components do, which keeps large groups of near
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import hot_join, skew_join, slices, stage, unstage
@@ -157,89 +157,61 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row per input row.
+def _near(a: str, b: str, percent: int) -> Column:
+    """Sizes alone leave the pair a chance."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-    Documents are linked where 100 * shared shingles >= percent * all shingles of the two; component_id is the least id
-    that links reach, itself included; kept: the row's id is its component's. Texts without words (null ones too) have
-    no shingles and stand alone. Rows with a null id are not linked: component_id is null, kept is true. Rows that
-    share an id are versions of one document and share its component. Ids are cast to long; other columns are left out.
-    An empty table gives an empty result.
-    """
-    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of reps that are linked. Sets that bring registers are compared as a whole only where their estimate leaves a chance."""
+    extra = [c for c in sets.columns if c not in ("rep", "items")]
 
-        names = ["_id", "_n", "_f1", "_f2", "_bands"]
-        for b in slices(batches, "_text"):
-            cache, seen, n, prints, registers, at = _Words(), set(), [], [], [], []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                s = shingles(text, words, cache)
-                n.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                if len(s) and prints[-1] not in seen:  # copies within a slice need no second sketch
-                    seen.add(prints[-1])
-                    registers.append(sketch(s))
-                    at.append(i)
-            bands: list = [None] * len(n)
-            if at:
-                for i, keys in zip(at, bands_of(np.array(registers)).tolist(), strict=True):
-                    bands[i] = keys
-            f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(bands, pa.list_(pa.int64()))], names)
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "x", 8 << 20):
+            x, y = _sets(b.column(2)), _sets(b.column(3))
+            n_x, n_y = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+            maybe = np.ones(len(x), bool)
+            if extra:
+                r_x, r_y = (np.array([np.frombuffer(v, np.uint16) for v in b.column(i).to_pylist()]) for i in (4, 5))
+                maybe = estimate(r_x, r_y, n_x, n_y) >= percent / 100 - MARGIN
+            for i in np.flatnonzero(maybe).tolist():
+                both = len(np.intersect1d(x[i], y[i], assume_unique=True))
+                maybe[i] = 100 * both >= percent * (n_x[i] + n_y[i] - both)
+            yield pa.record_batch([c.filter(pa.array(maybe)) for c in b.columns[:2]], ["a", "b"])
 
-    signed = stage(d.mapInArrow(sign, "_id long, _n long, _f1 long, _f2 long, _bands array<long>"), "signed")
-    known = signed.where((F.col("_n") > 0) & F.col("_id").isNotNull() | F.col("_bands").isNotNull())
-    classes = stage(
-        known.groupBy("_f1", "_f2").agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.count("_id").alias("members"), F.first("_bands", ignorenulls=True).alias("bands")).where(F.col("rep").isNotNull()), "classes"
-    )
-    banded = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = stage(banded.groupBy("key").agg(F.count("*").alias("cnt"), F.sum("n").alias("total")).where(F.col("cnt") > 1), "bucket-sizes")
-    there = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("members"), F.lit(0)).alias("rows")).first()
-    n_banded = BANDS * there["classes"]
-    shared = stage(hot_join(banded, buckets, ["key"], "cnt", n_banded, "inner").dropDuplicates(["key", "rep"]), "buckets")
+    left = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"), *(F.col(c).alias(f"{c}_x") for c in extra))
+    right = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"), *(F.col(c).alias(f"{c}_y") for c in extra))
+    met = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+    return met.select("a", "b", "x", "y", *(f"{c}_{s}" for c in extra for s in "xy")).mapInArrow(verify, "a long, b long")
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
-            cache, seen = _Words(), {}
-            for i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingles(text, words, cache)
-                seen.setdefault((i, s.tobytes()), s)
-            keys = list(seen)
-            yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), pa.array([sketch(seen[k]).tobytes() for k in keys], pa.binary())], ["rep", "items", "registers"])
 
-    wanted = shared.select(F.col("rep").alias("_id")).distinct()
-    texts = d.join(wanted.hint("shuffle_hash"), "_id", "left_semi")
-    held = texts.mapInArrow(hold, "rep long, items binary, registers binary").withColumn("print", F.xxhash64("items"))
-    sets = stage(held.groupBy("rep", "print").agg(F.first("items").alias("items"), F.first("registers").alias("registers")).where(F.length("items") > 0).select("rep", "items", "registers"), "sets")
+def list_components(lists: DataFrame, hold: Callable[[DataFrame], DataFrame], percent: int, rows: int, links: DataFrame | None = None, screen: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(node, component) of the representatives that are linked to others; the steps 1 and 2 of the module's head.
 
-    def near(a: str, b: str):  # noqa: ANN202  sizes alone leave the pair a chance
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    lists: staged (key, rep, n, cnt, total), the members of every list of two or more, with their set's size, the list's
+    length and the sum of its sizes; `rows` is the number of all (key, rep) rows, of lists of one, too. hold gives staged sets
+    (rep, items) of the reps it is given at least. links: further links (a, b), known already. screen drops pairs (a, b)
+    that cannot be linked, before their sets are fetched.
+    """
+    made: list[DataFrame] = []
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, "x", 8 << 20):
-                x, y = _sets(b.column(2)), _sets(b.column(4))
-                n_x, n_y = np.array([len(s) for s in x]), np.array([len(s) for s in y])
-                r_x, r_y = (np.array([np.frombuffer(v, np.uint16) for v in b.column(i).to_pylist()]) for i in (3, 5))
-                maybe = estimate(r_x, r_y, n_x, n_y) >= percent / 100 - MARGIN
-                for i in np.flatnonzero(maybe).tolist():
-                    both = len(np.intersect1d(x[i], y[i], assume_unique=True))
-                    maybe[i] = 100 * both >= percent * (n_x[i] + n_y[i] - both)
-                yield pa.record_batch([c.filter(pa.array(maybe)) for c in b.columns[:2]], ["a", "b"])
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        made.append(stage(df, label))
+        return made[-1]
 
-        left = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"), F.col("registers").alias("rx"))
-        right = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"), F.col("registers").alias("ry"))
-        return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "rx", "y", "ry").mapInArrow(verify, "a long, b long")
+    def verified(pairs: DataFrame) -> DataFrame:
+        if screen is not None:
+            pairs = kept(screen(pairs.select("a", "b").distinct()), "pairs")
+        return _verified(pairs, hold(pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))), percent)
 
-    def blocks(size: int, count: str = "cnt", shingles_: str = "total"):  # noqa: ANN202
+    def blocks(size: int, count: str = "cnt", shingles_: str = "total") -> Column:
         return F.greatest(F.ceil(F.col(count) / size), F.ceil(F.col(shingles_) * 8 / BLOCK_BYTES), F.lit(1)).cast("long")
 
     # step 1
-    small, large = shared.where(F.col("cnt") <= SMALL), shared.where(F.col("cnt") > SMALL)
+    small, large = lists.where(F.col("cnt") <= SMALL), lists.where(F.col("cnt") > SMALL)
+    wide = hold(large.select("rep"))
     least = small.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("l"))
-    stars = small.join(least, "key").select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb")).where((F.col("a") < F.col("b")) & near("na", "nb"))
+    stars = small.join(least, "key").select(F.col("l.rep").alias("a"), F.col("rep").alias("b"), F.col("l.n").alias("na"), F.col("n").alias("nb")).where((F.col("a") < F.col("b")) & _near("na", "nb", percent))
 
     def link(group: pa.Table) -> pa.Table:
         ids, sets_ = group["rep"].to_numpy(), _sets(group["items"])
@@ -258,24 +230,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = [(ids[find(i)], ids[i]) for i in range(len(ids)) if find(i) != i]
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    from pyspark.sql import Window
-
     largest = Window.partitionBy("rep").orderBy(F.desc("cnt"), "key")
     dealt = large.withColumn("o", F.row_number().over(largest)).where(F.col("o") <= LARGE_BUCKETS)
-    dealt = dealt.select("rep", "key", F.pmod(F.xxhash64("rep", "key"), blocks(BLOCK)).alias("block")).join(sets.select("rep", "items"), "rep")
+    dealt = dealt.select("rep", "key", F.pmod(F.xxhash64("rep", "key"), blocks(BLOCK)).alias("block")).join(wide.select("rep", "items"), "rep")
     in_blocks = dealt.groupBy("key", "block").applyInArrow(link, "a long, b long")
-    links = stage(verified(stars).union(in_blocks), "links")
-    first = stage(components(links), "components")
+    found = verified(stars).union(in_blocks)
+    links = kept(found if links is None else found.union(links), "links")
+    first = kept(components(links), "components")
 
     # step 2
-    placed = shared.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = lists.join(first.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     per = placed.groupBy("key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     main = per.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "component", "s")).alias("top"), F.sum("m").alias("here"), F.sum("s").alias("sum")).where(F.col("parts") > 1)
-    main = stage(main.select("key", "here", F.col("top.component").alias("main"), (F.col("here") - F.col("top.m")).alias("askers"), (F.col("sum") - F.col("top.s")).alias("asked")), "main")
-    open_ = stage(hot_join(placed, main, ["key"], "here", n_banded, "inner").drop("here"), "open")
+    main = kept(main.select("key", "here", F.col("top.component").alias("main"), (F.col("here") - F.col("top.m")).alias("askers"), (F.col("sum") - F.col("top.s")).alias("asked")), "main")
+    if not main.head(1):  # every list is within one component
+        made.remove(first)
+        unstage(*made)
+        return first
+    open_ = kept(hot_join(placed, main, ["key"], "here", rows, "inner").drop("here"), "open")
     small, large = open_.where(F.col("cnt") <= SMALL), open_.where(F.col("cnt") > SMALL)
     x, y = small.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")), small.where(F.col("component") != F.col("main"))
-    crossed = y.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(x, "key").where((F.col("ca") != F.col("cb")) & near("na", "nb"))
+    crossed = y.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")).join(x, "key").where((F.col("ca") != F.col("cb")) & _near("na", "nb", percent))
     rest = verified(crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
     def ask(group: pa.Table) -> pa.Table:
@@ -295,18 +270,95 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     n, q = blocks(WIDE_BLOCK), blocks(WIDE_BLOCK, "askers", "asked")
 
-    def every(count):  # noqa: ANN001, ANN202
+    def every(count: Column) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
 
     members = large.select("rep", "component", "key", F.pmod(F.xxhash64("rep"), n).alias("block"), every(q).alias("by"), F.lit(False).alias("asks"))
     askers = large.where(F.col("component") != F.col("main")).select("rep", "component", "key", every(n).alias("block"), F.pmod(F.xxhash64(F.lit("asks"), "rep"), q).alias("by"), F.lit(True).alias("asks"))
-    asked = members.unionByName(askers).join(sets.select("rep", "items"), "rep").groupBy("key", "block", "by").applyInArrow(ask, "a long, b long")
-    more = stage(rest.union(asked), "links")
-    final = stage(components(links.union(more)), "components") if more.limit(1).count() else first
-    unstage(buckets, shared, sets, main, open_, links, more, *([first] if final is not first else []))
+    asked = members.unionByName(askers).join(wide.select("rep", "items"), "rep").groupBy("key", "block", "by").applyInArrow(ask, "a long, b long")
+    more = kept(rest.union(asked), "links")
+    final = stage(components(links.union(more)), "components") if more.head(1) else first
+    if final is first:
+        made.remove(first)
+    unstage(*made)
+    return final
+
+
+def held_sets(texts: DataFrame, reps: DataFrame, words: int, registers: bool = False) -> DataFrame:
+    """Staged (rep, items) of the reps' texts, with their registers if wanted; texts is (_id, _text). Rows that share an id give a set each."""
+    names = ["rep", "items", *(["registers"] if registers else [])]
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "_text"):
+            cache, seen = _Words(), {}
+            for i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = shingles(text, words, cache)
+                seen.setdefault((i, s.tobytes()), s)
+            keys = list(seen)
+            cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary())]
+            if registers:
+                cols.append(pa.array([sketch(seen[k]).tobytes() for k in keys], pa.binary()))
+            yield pa.record_batch(cols, names)
 
+    wanted = reps.select(F.col("rep").alias("_id")).distinct()
+    held = texts.join(wanted.hint("shuffle_hash"), "_id", "left_semi").mapInArrow(hold, "rep long, items binary" + ", registers binary" * registers).withColumn("print", F.xxhash64("items"))
+    first = held.groupBy("rep", "print").agg(*(F.first(c).alias(c) for c in names[1:]))
+    return stage(first.where(F.length("items") > 0).select(*names), "sets")
+
+
+def with_components(signed: DataFrame, classes: DataFrame, final: DataFrame, rows: int, id_col: str) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of every signed row from its class's component; see near_dedup for what is null."""
     joined = classes.select("_f1", "_f2", "rep", "members").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = stage(joined.where((F.col("members") > 1) | F.col("component").isNotNull()).select("_f1", "_f2", "members", F.coalesce("component", "rep").alias("component")), "found")
-    out = hot_join(signed.select("_id", "_n", "_f1", "_f2"), found, ["_f1", "_f2"], "members", there["rows"])
+    out = hot_join(signed.select("_id", "_n", "_f1", "_f2"), found, ["_f1", "_f2"], "members", rows)
     component = F.when(F.col("_id").isNotNull(), F.when(F.col("_n") > 0, F.coalesce("component", "_id")).otherwise(F.col("_id")))
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id, kept), one row per input row.
+
+    Documents are linked where 100 * shared shingles >= percent * all shingles of the two; component_id is the least id
+    that links reach, itself included; kept: the row's id is its component's. Texts without words (null ones too) have
+    no shingles and stand alone. Rows with a null id are not linked: component_id is null, kept is true. Rows that
+    share an id are versions of one document and share its component. Ids are cast to long; other columns are left out.
+    An empty table gives an empty result.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        names = ["_id", "_n", "_f1", "_f2", "_bands"]
+        for b in slices(batches, "_text"):
+            cache, seen, n, prints, registers, at = _Words(), set(), [], [], [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                s = shingles(text, words, cache)
+                n.append(len(s))
+                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
+                if len(s) and prints[-1] not in seen:  # copies within a slice need no second sketch
+                    seen.add(prints[-1])
+                    registers.append(sketch(s))
+                    at.append(i)
+            bands: list = [None] * len(n)
+            if at:
+                for i, keys in zip(at, bands_of(np.array(registers)).tolist(), strict=True):
+                    bands[i] = keys
+            f = np.frombuffer(b"".join(prints), np.int64).reshape(-1, 2)
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(bands, pa.list_(pa.int64()))], names)
+
+    signed = stage(d.mapInArrow(sign, "_id long, _n long, _f1 long, _f2 long, _bands array<long>"), "signed")
+    known = signed.where((F.col("_n") > 0) & F.col("_id").isNotNull() | F.col("_bands").isNotNull())
+    classes = stage(
+        known.groupBy("_f1", "_f2").agg(F.min("_id").alias("rep"), F.first("_n").alias("n"), F.count("_id").alias("members"), F.first("_bands", ignorenulls=True).alias("bands")).where(F.col("rep").isNotNull()), "classes"
+    )
+    banded = classes.select("rep", "n", F.explode("bands").alias("key"))
+    buckets = stage(banded.groupBy("key").agg(F.count("*").alias("cnt"), F.sum("n").alias("total")).where(F.col("cnt") > 1), "bucket-sizes")
+    there = classes.agg(F.count("*").alias("classes"), F.coalesce(F.sum("members"), F.lit(0)).alias("rows")).first()
+    n_banded = BANDS * there["classes"]
+    shared = stage(hot_join(banded, buckets, ["key"], "cnt", n_banded, "inner").dropDuplicates(["key", "rep"]), "buckets")
+
+    sets = held_sets(d, shared.select("rep"), words, registers=True)
+    final = list_components(shared, lambda reps: sets, percent, n_banded)
+    unstage(buckets, shared, sets)
+    return with_components(signed, classes, final, there["rows"], id_col)

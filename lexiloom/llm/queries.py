@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chat_format, decontaminate, fill_in_middle, filter_audit, line_dedup, near_dedup, piece_codec, quality_classifier, quality_rules, substring_dedup, token_store, url_filter
+from lexiloom.llm import chat_format, decontaminate, fill_in_middle, filter_audit, line_dedup, near_dedup, ngram_join, piece_codec, quality_classifier, quality_rules, substring_dedup, token_store, url_filter
 from lexiloom.session import table
 
 #: The contract's site rules, in its order.
@@ -75,6 +75,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), words=3, percent=90).drop("kept")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
     restored = fill_in_middle.restore(F.col("output"), F.col("form"))
@@ -93,6 +97,7 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_audit": op11_filter_audit,
+    "op12_ngram_join": op12_ngram_join,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm import fill_in_middle as fim
 from lexiloom.llm import filter_audit as fa
+from lexiloom.llm import near_dedup, ngram_join
 
 SCHEMA = "doc_id long, text string, lang string, id string, part string, _digest string, _text string, n long"
 SF = "/root/testdata/sf0.001"
@@ -135,6 +136,92 @@ def test_elias_fano_selects():
     assert int.from_bytes(fim.ef_encode(np.zeros(0, np.int64))[:4], "little") == 0
 
 
+def brute_links(texts, w, percent):
+    """component of every id, and the set sizes."""
+    sets = {}
+    for i, t in texts.items():
+        ws = (t or "").encode().lower().split()
+        sets[i] = {tuple(ws[k : k + w]) for k in range(len(ws) - w + 1)} if len(ws) >= w else ({tuple(ws)} if ws else set())
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(sets), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return {i: find(i) for i in sets}, {i: len(s) for i, s in sets.items()}
+
+
+def edited(rng, base, times, k):
+    out = []
+    for _ in range(times):
+        v = list(base)
+        for _ in range(rng.randrange(k + 1)):
+            at = rng.randrange(len(v))
+            v[at : at + rng.randrange(2)] = [f"z{rng.randrange(10**6)}"] * rng.randrange(2)
+        out.append(v)
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(48, 256, 512, 64), (4, 5, 8, 3)])
+def test_ngram_join_finds_every_link(spark, monkeypatch, sizes):
+    """Sets of all sizes about the boundary and far above it; the second time lists are long, blocks small and most shingles frequent."""
+    for name, v in zip(("SMALL", "BLOCK", "WIDE_BLOCK"), sizes, strict=False):
+        monkeypatch.setattr(near_dedup, name, v)
+    monkeypatch.setattr(ngram_join, "LONG_LIST", sizes[3])
+    rng = random.Random(6)
+    rows = []
+    for n in (*range(1, 34), 40, 60, 61, 90, 150, 400):
+        rows += edited(rng, [f"w{rng.randrange(500)}" for _ in range(n)], 6, 1 + n // 40)
+    rows += edited(rng, [f"w{rng.randrange(500)}" for _ in range(80)], 70, 6)
+    rows += edited(rng, [f"w{rng.randrange(500)}" for _ in range(21)], 50, 2)
+    rows += [["a", "common", "line", "of", "many"] * rng.randrange(1, 3) + [f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 8))] for _ in range(60)]
+    rows += [rows[3]] * 20 + [[], ["one"], ["ONE"], ["two", "words"]]
+    rng.shuffle(rows)
+    texts = {i: " ".join(r) for i, r in enumerate(rows)} | {9000: None, 9001: " \t\n"}
+    want, sizes_ = brute_links(texts, 3, 90)
+    d = table(spark, [(i, t, "en") for i, t in texts.items()])
+    got = ngram_join.ngram_join(d).collect()
+    assert {r["doc_id"]: r["n_shingles"] for r in got} == sizes_
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert 20 < len(set(want.values())) < len(want) - 100
+
+
+def test_ngram_join_of_odd_rows(spark):
+    rows = [(None, "a b c d", "en"), (None, None, "en"), (4, "a b c d", "en"), (4, "p q r s t", "en"), (4, "a b c d", "en"), (7, "P q R s t", "en"), (9, "", "en"), (10, "long words of a text " * 30_000, "en")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in ngram_join.ngram_join(table(spark, rows)).collect())
+    assert got == [(0, 0, 0, True), (0, 2, 0, True), (4, 2, 4, True), (4, 2, 4, True), (4, 3, 4, True), (7, 3, 4, False), (9, 0, 9, True), (10, 5, 10, True)]
+    assert ngram_join.ngram_join(table(spark, [])).count() == 0
+
+
+def test_subsets_and_bounds():
+    assert [ngram_join.overlap(n, n, 90) for n in (1, 10, 18, 19, 20)] == [1, 10, 18, 18, 19]
+    rng = np.random.default_rng(1)
+    for n in range(1, 31):
+        s = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        keys = ngram_join.subset_keys(s, 33, 90)
+        assert len(keys) == ngram_join.count_subsets(n, 33, 90) == len(set(keys))
+        for gone in range(n // 10 + 1):
+            other = np.sort(np.concatenate([s[gone:], np.arange(gone // 2, dtype=np.uint64)]))
+            both = n - gone
+            if 100 * both >= 90 * (n + len(other) - both):
+                assert set(keys) & set(ngram_join.subset_keys(other, 33, 90))
+    for n in (5, 70, 300, 3000):
+        s = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        t = np.unique(np.concatenate([s[n // 20 :], rng.integers(0, 1 << 63, n // 30, np.uint64)]))
+        assert ngram_join._possible(ngram_join.parity(s), ngram_join.parity(t), len(s), len(t), 90)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 500, np.uint64)) for _ in "ab")
+    assert not ngram_join._possible(ngram_join.parity(a), ngram_join.parity(b), len(a), len(b), 90)
+    # cheap subsets are taken, dear ones are not
+    assert ngram_join.boundary({5: 10, 19: 10, 30: 10}, {5: 20, 19: 1000, 30: 400}, 90) == 19
+    assert ngram_join.boundary({5: 10}, {5: 1}, 90) == 0
+
+
 def test_queries_equal_their_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     pytest.importorskip("public_tokenizers")
