@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import salted_join, slices, stage
+from lexiloom.llm.common import hot_join, slices, stage
 
 HEADS = ("low", "toxic")
 #: Bounds of the fit: labelled documents sampled by a hash of their id, and vocabulary entries.
@@ -176,7 +176,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     out. An empty table gives an empty result.
 
     Texts are read once, in a narrow pass; scores are staged without text and summed by (host, path) and host with
-    map-side sums; rates come back by a salted join, since one path may hold a third of all rows.
+    map-side sums; rates come back broadcast for paths of many documents (a bounded number) and by a shuffle for all others.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,8 +197,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     hosts = hosts.select("_host", ((F.col("hs") + over_hosts * overall) / (F.col("hn") + over_hosts)).alias("host_rate"))
     paths = paths.join(hosts, "_host")
     over_paths = _strength(paths, "n", "s", F.col("host_rate"))
-    rates = paths.select("_host", "_path", ((F.col("s") + over_paths * F.col("host_rate")) / (F.col("n") + over_paths)).alias("path_rate"))
-    out = salted_join(found, rates, ["_host", "_path"], [F.col("_id"), F.col("_p")])
+    rates = stage(paths.select("_host", "_path", "n", ((F.col("s") + over_paths * F.col("host_rate")) / (F.col("n") + over_paths)).alias("path_rate")), "rates")
+    out = hot_join(found, rates, ["_host", "_path"], "n", totals["n"] or 0)
     odds = _logit(F.col("_p")) + _logit(F.col("path_rate")) - _logit(F.lit(overall))
     combined = F.lit(0.0) if model is None else 1 / (1 + F.exp(-odds))
     return out.select(

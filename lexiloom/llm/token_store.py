@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -155,13 +156,18 @@ def _codec() -> tuple:
     return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
+#: Code points outside these ranges are not all of one class to the pattern's engine and to the library (letters that later
+#: versions of Unicode brought); inside them, each was compared in words, behind digits and before 's.
+UNCHECKED = re.compile("[^\0-\u0557\u1e00-\u208e\u20a0-\ua7cd\uac00-\uffff\U0001f000-\U0001faff]")
+
+
 class WordEncoder:
     """Byte-level BPE by the tokenizers library's model, a pre-token at a time and cached as little-endian 32-bit ids.
 
     A space between two non-blank characters always starts a pre-token, so texts are cut there and each word is encoded
     once; texts with other runs of blanks are cut by the full pattern. Words of letters with punctuation behind them
     need no pattern either. A text that holds the string of an added token goes to the library whole, which matches those
-    tokens before it cuts.
+    tokens before it cuts, and so does one with an UNCHECKED code point.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -203,7 +209,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian 32-bit integers."""
-        if any(t in text for t in self.added):
+        if any(t in text for t in self.added) or not text.isascii() and UNCHECKED.search(text):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.words) > CACHED_WORDS:
             self.words.clear()

@@ -133,6 +133,58 @@ def test_decontamination_finds_edited_passages_and_spares_the_rest(spark):
         assert got == {i: [k] for i, k in want.items()}
 
 
+def test_decontamination_equals_the_plain_rule(spark):
+    """Every segment of every item against every place of every text, by a plain edit distance with free ends."""
+    rng = random.Random(12)
+    draw = lambda n: "".join(rng.choice("abcd efg ") for _ in range(n))
+    items = {1: draw(150), 2: draw(64), 3: draw(70), 4: draw(40), 5: draw(90).upper(), 6: "short one", 7: "ab", 8: None, 9: "  ", 10: draw(33)}
+
+    def segments(text):
+        t = decontaminate.normal(text)
+        m, step = decontaminate.SEGMENT, decontaminate.STRIDE
+        if len(t) < decontaminate.SHORT:
+            return []
+        return [t[a : a + m] for a in sorted({*range(0, max(1, len(t) - m), step), max(0, len(t) - m)})]
+
+    def within(segment, text):
+        limit = min(int(len(segment) * decontaminate.EDIT_RATE), (len(segment) - decontaminate.Q) // decontaminate.Q)
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(segment, 1):
+            new = [i]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+            row = new
+        return min(row) <= limit
+
+    def found(text):
+        t = decontaminate.normal(text or "")
+        out = set()
+        for i, item in items.items():
+            k = decontaminate.normal(item or "")
+            if k and len(k) < decontaminate.SHORT:
+                hit = f" {k} " in f" {t} "
+            else:
+                hit = any(within(s, t) for s in segments(item or ""))
+            out |= {i} if hit else set()
+        return sorted(out)
+
+    texts = [None, "", "ab", "x ab.", "one Short  one here", draw(300)]
+    for n in range(70):
+        item = items[rng.choice([1, 2, 3, 4, 5, 10])]
+        at = rng.randrange(max(1, len(item) - 30))
+        cut = list(item[at : at + rng.randrange(25, 120)])
+        for _ in range(rng.randrange(7)):
+            k = rng.randrange(len(cut))
+            cut[k : k + rng.choice([0, 1])] = rng.choice(["z", "", "yz"])
+        texts.append(draw(rng.randrange(60)) + "".join(cut) + draw(rng.randrange(60)))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = {i: found(t) for i, t in enumerate(texts)}
+    assert 15 < sum(map(bool, want.values())) < 70
+    for block in (decontaminate.BLOCK_CHARS, 150):
+        assert {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(d, b, block_chars=block).collect()} == want
+
+
 def test_short_items_are_found_as_whole_words(spark):
     items = ["The cat", "yes", "forty  two", "the CAT", "0123456789012345678901234"]
     texts = ["see the\ncat run", "the cats", "Yes", "eyes yesterday", "it is forty two.", "it is FORTY\ttwo ok", None, "", "x 0123456789012345678901234 y", "x01234567890123456789012345"]
@@ -309,6 +361,36 @@ def test_sparse_paths_shrink_towards_their_host(spark):
     assert rates["h0", "rare"] > 0.5 and rates["h10", "rare"] < 0.2
 
 
+def test_shrunk_rates_equal_plain_python(spark):
+    """Rates of hosts and paths, the prior weights and the combined score, worked out again from the documents' own scores."""
+    d, y, _ = synthetic(spark)
+    d = d.withColumn("source", F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("one"), "doc_id")).when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source")))
+    d = d.withColumn("lang", F.when(F.col("doc_id") % 13 == 0, None).when(F.col("doc_id") % 5 == 0, "fr").otherwise("en"))
+    got = quality_classifier.score(d, quality_classifier.fit(d, y)).collect()
+
+    def strength(groups):  # (n, s, mean)
+        n = sum(g[0] for g in groups)
+        excess = (sum(w * (s / w - m) ** 2 for w, s, m in groups) - sum(m * (1 - m) for _, _, m in groups)) / n
+        return min(1000.0, max(1.0, sum(w * m * (1 - m) for w, _, m in groups) / n / excess - 1)) if excess > 0 else 1000.0
+
+    hosts, paths = defaultdict(lambda: [0, 0.0]), defaultdict(lambda: [0, 0.0])
+    for r in got:
+        for k, t in ((r["host"], hosts), ((r["host"], r["path"]), paths)):
+            t[k][0] += 1
+            t[k][1] += r["doc_score"]
+    mean = sum(s for _, s in hosts.values()) / len(got)
+    over = strength([(n, s, mean) for n, s in hosts.values()])
+    host = {h: (s + over * mean) / (n + over) for h, (n, s) in hosts.items()}
+    under = strength([(n, s, host[h]) for (h, _), (n, s) in paths.items()])
+    logit = lambda p: math.log(max(min(p, 1 - 1e-6), 1e-6) / (1 - max(min(p, 1 - 1e-6), 1e-6)))
+    for r in got:
+        n, s = paths[r["host"], r["path"]]
+        rate = (s + under * host[r["host"]]) / (n + under)
+        score = 1 / (1 + math.exp(-(logit(r["doc_score"]) + logit(rate) - logit(mean))))
+        assert abs(r["path_rate"] - rate) < 1e-9 and abs(r["score"] - score) < 1e-9 and r["kept"] == (r["score"] <= 0.5)
+    assert len(hosts) > 20 and {r["path"] for r in got} == {"", "en", "fr"}
+
+
 def test_pipeline_against_its_parts(spark, tmp_path):
     """The stages over a small corpus, against brute force on what each was given."""
     import corpus_pipeline as cp

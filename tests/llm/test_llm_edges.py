@@ -166,7 +166,6 @@ def test_token_store(spark, odd, none):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     path = token_store.new_path(spark)
     token_store.write_shards(odd, path, P.path("byte_bpe_50k.json"), P.PATTERN, shard_bytes=2000)
     rows = token_store.index_shards(spark, path).orderBy("start").collect()

@@ -26,6 +26,20 @@ def test_token_store_matches_added_tokens(spark):
         at += len(ids)
 
 
+def test_encoder_equals_the_library_on_odd_characters():
+    """Letters, digits, marks and blanks of many blocks, those that versions of Unicode class differently among them."""
+    import random
+
+    model = P.path("byte_bpe_50k.json")
+    e = token_store.WordEncoder(model, P.PATTERN)
+    rng = random.Random(8)
+    odd = [0x88F, 0x558, 0xC5C, 0x10940, 0x16EA0, 0x1E6C0, 0x323B0, 0x209D, 0xA7CE, 0x2028, 0x85, 0xA0, 0x3000, 0x301, 0x200D, 0x1F600, 0x661, 0xB2, 0x4E2D, 0xAC00, 0x1D7D8]
+    points = odd * 40 + [rng.choice([rng.randrange(32, 0x3000), rng.randrange(0x3000, 0xD800), rng.randrange(0xE000, 0x110000)]) for _ in range(3000)]
+    for _ in range(4000):
+        text = "".join(rng.choice([chr(rng.choice(points)), rng.choice(" 'sl1a.\n\t"), rng.choice(["'s", "'ll", "  ", " x"])]) for _ in range(rng.randrange(1, 14)))
+        assert e.encode(text) == np.array(e.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), [hex(ord(c)) for c in text]
+
+
 def test_classifier_on_held_out_labels(spark):
     """Fitted on half of the labels, held against the other half."""
     import os
