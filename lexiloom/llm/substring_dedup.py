@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import skew_join, slices, stage
+from lexiloom.llm.common import skew_join, slices, stage, unstage
 
 #: Words a chunk has at least; meant for passages of over 50 words.
 MIN_WORDS = 30
@@ -104,7 +104,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and text is the same document and is treated like it, so neither loses its text to the other. Ids may be null. Other
     columns are left out. An empty table gives an empty result.
 
-    Digests are counted with map-side sums (a passage of a third of all texts is one row a task); only chunks whose
+    Every text is chunked once; digests are counted with map-side sums (a passage of a third of all texts is one row a task); only chunks whose
     first digest repeats go on, through joins that split hot keys; text moves once, hash-joined with its list of cuts.
     """
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -118,9 +118,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.record_batch([b.column(0).take(doc), b.column(1).take(doc), *(pa.array(np.concatenate([f[i] for f in found]).astype(np.int64)) for i in range(4))], names)
 
     kind = dict(d.dtypes)["_id"]
-    chunks = d.select("_id", "_row", "_text").mapInArrow(chunk, f"_id {kind}, _row long, _start long, _end long, _d1 long, _d2 long")
+    chunks = stage(d.select("_id", "_row", "_text").mapInArrow(chunk, f"_id {kind}, _row long, _start long, _end long, _d1 long, _d2 long"), "chunks")
     twice = chunks.groupBy("_d1").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("_d1")
     again = stage(skew_join(chunks, twice, ["_d1"]), "repeats")
+    unstage(chunks)
     one, other = F.struct("_id", "_row"), F.struct("_id", "_row", "_start")
     first = again.groupBy("_d1", "_d2").agg(F.count("*").alias("_n"), F.min(other).alias("_first"), (F.min(one) != F.max(one)).alias("_across"))
     first = first.where((F.col("_n") > 1) & (F.lit(within) | F.col("_across"))).drop("_n", "_across")
