@@ -17,6 +17,7 @@ Links are needed only as far as components do, which keeps large groups of near
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,33 +41,52 @@ _rng = np.random.default_rng(20)
 _MULT = _rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 _BAND = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words are hashed in pieces of a text of about so many bytes.
+PIECE = 1 << 20
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+_IN_WORD = np.isin(np.arange(256), [*b" \t\n\x0b\x0c\r"], invert=True)
+_BYTES = _rng.integers(1, 1 << 63, 256, np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_PLACES = _rng.integers(1, 1 << 63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _K[1]
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, words: int, cache: _Words) -> np.ndarray:
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word (bytes between blanks, A-Z lower-cased): a sum of its bytes' random values weighed by their places."""
+    out, start = [], 0
+    while start < len(data):
+        cut = _BLANK.search(data, min(len(data), start + PIECE))
+        end = cut.start() if cut else len(data)
+        raw = np.frombuffer(data, np.uint8, end - start, start)
+        start = end
+        at = np.flatnonzero(_IN_WORD[raw])
+        if not len(at):
+            continue
+        first = np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1])
+        place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        values = _BYTES[raw[at]] * _PLACES[place & 0xFFFF]
+        if place[-1] > 0xFFFF or len(at) > 0x10000 and place.max() > 0xFFFF:
+            values *= _PLACES[(place >> 16) & 0xFFFF]
+        out.append(np.add.reduceat(values, first))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles: A-Z lower-cased words parted by blanks; all words as one where there are fewer."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
-    span = min(words, len(found))
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    if not len(h):
+        return h
+    span = min(words, len(h))
     out = h[: len(h) - span + 1] + np.uint64(span)
     for j in range(1, span):
         out = (out ^ (out >> np.uint64(27))) * _K[0] + h[j : len(h) - span + 1 + j]
-    return np.unique(_mix(out))
+    out = np.sort(_mix(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -290,9 +310,9 @@ def held_sets(texts: DataFrame, reps: DataFrame, words: int, registers: bool = F
 
     def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
-            cache, seen = _Words(), {}
+            seen = {}
             for i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                s = shingles(text, words, cache)
+                s = shingles(text, words)
                 seen.setdefault((i, s.tobytes()), s)
             keys = list(seen)
             cols = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary())]
@@ -331,9 +351,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         names = ["_id", "_n", "_f1", "_f2", "_bands"]
         for b in slices(batches, "_text"):
-            cache, seen, n, prints, registers, at = _Words(), set(), [], [], [], []
+            seen, n, prints, registers, at = set(), [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                s = shingles(text, words, cache)
+                s = shingles(text, words)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if len(s) and prints[-1] not in seen:  # copies within a slice need no second sketch

@@ -7,7 +7,9 @@ sizes n and m are linked where they share at least `overlap(n, m)` shingles.
   two would have to share are written out, so linked sets meet in a subset, and whatever meets in one is linked.
 * Heavy sets scan inverted lists. In one order of all shingles, the same for all sets, linked sets share one of the first
   n - ceil(percent * n / 100) + 1 of each, so only those are listed. The order is by hash, frequent shingles last and by count,
-  which keeps lists short; any order gives the same links. Lists of heavy sets also hold light ones, down to the least size that a heavy set may be linked with.
+  which keeps lists short; any order gives the same links. A list is one of a shingle and a band of sizes, and a set is on
+  those of its own band and the next, so that it meets sets of about its size only. Lists of heavy sets also hold light ones,
+  down to the least size that a heavy set may be linked with.
 * The boundary is where the number of subsets of light sets plus the number of list entries that heavy sets scan is least;
   both are counted per size before anything is joined.
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import hot_join, slices, stage, unstage
-from lexiloom.llm.near_dedup import _K, _mix, _verified, _Words, held_sets, list_components, shingles, with_components
+from lexiloom.llm.near_dedup import _K, _mix, _verified, held_sets, list_components, shingles, with_components
 
 #: The boundary is sought from 0 to this size; beyond it the subsets of one set alone number tens of thousands.
 MOST_LIGHT = 40
@@ -46,6 +48,14 @@ def partners(n: int, percent: int) -> range:
     return range(-(-percent * n // 100), 100 * n // percent + 1)
 
 
+def bands(most: int, percent: int) -> list[int]:
+    """The least sizes of bands such that linked sets are of the same band or of two that follow each other."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(100 * out[-1] // percent + 1)
+    return out
+
+
 def subset_keys(s: np.ndarray, most: int, percent: int) -> list[tuple[int, int, int]]:
     """(least size, greatest size, key) of every subset that a linked set of at most `most` shingles would have to share."""
     n, out = len(s), []
@@ -139,9 +149,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import xxhash
 
         for b in slices(batches, "_text"):
-            cache, seen, n, prints, keys = _Words(), set(), [], [], []
+            seen, n, prints, keys = set(), [], [], []
             for text in b.column(1).to_pylist():
-                s = shingles(text, words, cache)
+                s = shingles(text, words)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                 fresh = len(s) and prints[-1] not in seen  # copies within a slice are counted once
@@ -161,9 +171,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         names = ["_id", "_f1", "_f2", "keys", "bits", "items"]
         for b in slices(batches, "_text"):
-            cache, prints, keys, bits, items = _Words(), [], [], [], []
+            prints, keys, bits, items = [], [], [], []
             for text in b.column(1).to_pylist():
-                s = shingles(text, words, cache)
+                s = shingles(text, words)
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(listed(s, percent, frequent, counts).view(np.int64) if len(s) else [])
                 bits.append(parity(s))
@@ -175,7 +185,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     filed = d.where(F.col("_id").isNotNull()).mapInArrow(file, "_id long, _f1 long, _f2 long, keys array<long>, bits binary, items binary")
     filed = stage(filed.join(reps.hint("shuffle_hash"), ["_id", "_f1", "_f2"]).select(F.col("_id").alias("rep"), "n", "keys", "bits", "items"), "filed")
     entries = filed.select("rep", "n", F.explode("keys").alias("key"))
-    lengths = stage(entries.groupBy("key").agg(F.count("*").alias("cnt"), F.sum("n").alias("total"), F.max("n").alias("longest")).where(F.col("cnt") > 1), "list-lengths")
+    lengths = stage(entries.groupBy("key").agg(F.count("*").alias("cnt"), F.max("n").alias("longest")).where(F.col("cnt") > 1), "list-lengths")
     n_entries = filed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
 
     # what either way costs the sets of each size; MOST_LIGHT rows at most
@@ -204,7 +214,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # heavy sets: lists of those in reach of one
     heavy = entries.where(F.col("n") >= partners(most + 1, percent)[0])
-    lists = stage(hot_join(heavy, lengths.where(F.col("longest") > most), ["key"], "cnt", n_entries, "inner").drop("longest").dropDuplicates(["key", "rep"]), "lists")
+    near = hot_join(heavy, lengths.where(F.col("longest") > most), ["key"], "cnt", n_entries, "inner").select("key", "rep", "n")
+    steps = F.array(*map(F.lit, bands(filed.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0], percent)))
+    band = F.size(F.filter(steps, lambda x: x <= F.col("n")))
+    near = stage(near.select("rep", "n", F.explode(F.transform(F.array(band, band + 1), lambda b: F.xxhash64("key", b))).alias("key")).dropDuplicates(["key", "rep"]), "near-size")
+    lengths_ = stage(near.groupBy("key").agg(F.count("*").alias("cnt"), F.sum("n").alias("total")).where(F.col("cnt") > 1), "list-lengths")
+    n_near = near.count()
+    lists = stage(hot_join(near, lengths_, ["key"], "cnt", n_near, "inner"), "lists")
     bits = filed.select("rep", "n", "bits")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +238,6 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         held.append(held_sets(d, wanted, words))
         return held[-1]
 
-    final = list_components(lists, hold, percent, n_entries, links, screen)
-    unstage(filed, lengths, subsets, least, pairs, links, lists, *held)
+    final = list_components(lists, hold, percent, n_near, links, screen)
+    unstage(filed, lengths, subsets, least, pairs, links, near, lengths_, lists, *held)
     return with_components(signed, classes, final, rows, id_col)
