@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import queries_answers, queries_tables, queries_text
+from lexiloom.plans import queries_answers, queries_loops, queries_tables, queries_text
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (queries_text, queries_tables, queries_answers):
+for _module in (queries_text, queries_tables, queries_answers, queries_loops):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
