@@ -3,19 +3,75 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lexiloom.functions import text as tx
 from lexiloom.operators.nodes import translatable
+from lexiloom.operators.terms import term_hits
 
 
-def pack_requests(nodes: DataFrame, window: int = 4096, fixed: int = 600, per_node: int = 12) -> DataFrame:
-    """pack() by what a request takes: as many nodes as fit the window beside what every request has (fixed) and what each node adds (per_node)."""
-    return pack(nodes, max(64, window - fixed), extra=per_node)
+class _Chunks:
+    """The nodes of one chapter put into chunks, one after the other. fits(held, row) gives what the chunk holds with the row, or None."""
+
+    def __init__(self, fits: Callable[[dict | None, dict], dict | None], alone: Callable[[dict], bool], starts: Callable[[dict], bool]) -> None:
+        self.fits, self.alone, self.starts = fits, alone, starts
+        self.no, self.nodes, self.held, self.closed = 0, [], None, False
+
+    def take(self, row: dict) -> list[tuple]:
+        with_row = None if not self.nodes or self.closed or self.starts(row) or self.alone(row) else self.fits(self.held, row)
+        out: list[tuple] = []
+        if with_row is None:
+            out = self.end()
+            self.no, self.nodes, self.closed = self.no + 1, [], self.alone(row)
+            with_row = self.fits(None, row) or {}
+            self.closed = self.closed or not with_row
+        self.nodes.append(row)
+        self.held = with_row
+        return out
+
+    def end(self) -> list[tuple]:
+        return [(r["chapter_id"], r["node_id"], self.no, r, self.held) for r in self.nodes]
+
+
+def _streamed(nodes: DataFrame, make: Callable[[], _Chunks], shown: Callable[[dict, dict], tuple], schema: str) -> DataFrame:
+    """(chapter_id, node_id, chunk_no, *shown): a pass over the nodes of each chapter in order.
+
+    Rows of a chapter come to one task sorted and are folded as they stream by, so a task holds a chunk and not a chapter, and
+    the work is linear. What moves is counts, not texts.
+    """
+    fields = [f.name for f in nodes.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [*kept, *(pa.int64() for _ in schema.split(","))]
+        names = ["chapter_id", "node_id", "chunk_no", *(c.split()[0] for c in schema.split(","))]
+        chapter, chunks = None, None
+
+        def batch(done: list[tuple]) -> pa.RecordBatch:
+            rows = [(c, n, no, *shown(r, held)) for c, n, no, r, held in done]
+            return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), [kinds[0], kinds[1], pa.int64(), *kinds[2:]], strict=True)], names)
+
+        for b in batches:
+            done: list[tuple] = []
+            for row in b.to_pylist():
+                if chunks is None or row["chapter_id"] != chapter:
+                    done += chunks.end() if chunks else []
+                    chapter, chunks = row["chapter_id"], make()
+                done += chunks.take(row)
+            if done:
+                yield batch(done)
+        if chunks and (done := chunks.end()):
+            yield batch(done)
+
+    types = dict(nodes.dtypes)
+    kept = [to_arrow_type(nodes.schema[c].dataType) for c in ("chapter_id", "node_id")]
+    ordered = nodes.select(*fields).repartition("chapter_id").sortWithinPartitions("chapter_id", "order_index", "node_id")
+    return ordered.mapInArrow(run, f"chapter_id {types['chapter_id']}, node_id {types['node_id']}, chunk_no long, {schema}")
 
 
 def pack(nodes: DataFrame, target: int = 1200, limit: int | None = None, extra: int = 0) -> DataFrame:
@@ -29,18 +85,91 @@ def pack(nodes: DataFrame, target: int = 1200, limit: int | None = None, extra:
     target = min(target, limit)
     kind = F.coalesce(F.lower("node_type"), F.lit("paragraph"))
     n = nodes.where(translatable(F.col("node_type"))).select("chapter_id", "node_id", "order_index", kind.alias("node_type"), (tx.token_estimate(F.col("content")) + extra).alias("tokens"))
-    listed = n.groupBy("chapter_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "node_id", "tokens", "node_type"))).alias("ns"))
-    start = F.struct(F.lit(0).alias("no"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("closed"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        alone = (x["tokens"] > limit) | x["node_type"].isin("table", "footnote")
-        fresh = (acc["no"] == 0) | acc["closed"] | alone | (x["node_type"] == "heading") | (acc["held"] + x["tokens"] > target)
-        no = F.when(fresh, acc["no"] + 1).otherwise(acc["no"])
-        return F.struct(no.alias("no"), F.when(fresh, x["tokens"]).otherwise(acc["held"] + x["tokens"]).alias("held"), alone.alias("closed"), F.concat(acc["out"], F.array(no)).alias("out"))
-
-    folded = listed.select("chapter_id", "ns", F.aggregate("ns", start, step)["out"].alias("chunks"))
-    z = folded.select("chapter_id", F.explode(F.arrays_zip("ns", "chunks")).alias("z"))
-    return z.select("chapter_id", F.col("z.ns.node_id").alias("node_id"), F.col("z.chunks").cast("long").alias("chunk_no"), F.col("z.ns.tokens").alias("tokens"))
+
+    def fits(held: dict | None, row: dict) -> dict | None:
+        tokens = row["tokens"] + (held["tokens"] if held else 0)
+        return {"tokens": tokens} if held is None or tokens <= target else None
+
+    def make() -> _Chunks:
+        return _Chunks(fits, lambda r: r["tokens"] > limit or r["node_type"] in ("table", "footnote"), lambda r: r["node_type"] == "heading")
+
+    return _streamed(n, make, lambda r, held: (r["tokens"],), "tokens long")
+
+
+def pack_requests(nodes: DataFrame, window: int = 4096, fixed: int = 600, per_node: int = 12) -> DataFrame:
+    """pack() by what a request takes: as many nodes as fit the window beside what every request has (fixed) and what each node adds (per_node)."""
+    return pack(nodes, max(64, window - fixed), extra=per_node)
+
+
+#: What a request keeps for its answer (share of the source, a constant, least and most) and as a margin (share of the window, least).
+RESERVED, MARGIN = (1.35, 128, 320, 1400), (0.06, 220)
+
+
+def counts_of(text: Column) -> list[Column]:
+    """Words, punctuation and non-ASCII characters of a text: what its token estimate adds up."""
+    return [tx.word_count(text).cast("long"), tx.count_of(text, r"[.,;:!?()\[\]{}\"']"), tx.count_of(text, r"[^\x00-\x7F]")]
+
+
+def _tokens(words: float, marks: float, wide: float) -> int:
+    return max(1, int(words * 1.22 + marks * 0.22 + wide * 0.08 + 8))
+
+
+def quoted(c: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(F.coalesce(c.cast("string"), F.lit(""))))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def pack_assembled(nodes: DataFrame, terms: DataFrame, contexts: tuple[int, ...] = (0,), fixed: int = 600, window: int = 4096, most_source: int | None = None) -> DataFrame:
+    """(chapter_id, node_id, chunk_no, source_tokens, total_tokens, level): nodes of each chapter packed by the request that they would make.
+
+    A node joins a chunk while the request still fits: its source (the nodes as JSON blocks) within most_source, and fixed +
+    the terms (source_term, target) that occur in the nodes taken + the context + source + answer + margin within the window.
+    contexts: what the context takes from full to most compact; the first of these levels that fits is taken, so the cost
+    falls while context can still be dropped, and what has to stay grows with the terms of each node. A chunk ends before a
+    heading, table or footnote and after a table or footnote; a node that fits in no request stands alone with level -1 and
+    the total of the most compact one. source_tokens, total_tokens and level are the chunk's. Nodes that need no rendering are left out.
+
+    Terms meet nodes by an equi-join (term_hits); a chapter's counts stream through one task in order, texts do not.
+    """
+    most_source = window if most_source is None else most_source
+    n = nodes.where(translatable(F.col("node_type"))).select("chapter_id", "node_id", "order_index", F.coalesce(F.lower("node_type"), F.lit("paragraph")).alias("node_type"), F.coalesce("content", F.lit("")).alias("content"))
+    entry = F.concat(F.lit('{"source_term": '), quoted(F.col("source_term")), F.lit(', "preferred_target": '), quoted(F.col("target")), F.lit("}"))
+    listed = terms.select("source_term", "target").distinct().withColumn("_counts", F.array(*counts_of(entry)))
+    hits = term_hits(n.select("chapter_id", "node_id", "content"), listed, "content", "source_term").groupBy("chapter_id", "node_id")
+    hits = hits.agg(F.array_sort(F.collect_set(F.struct("source_term", "target", "_counts"))).alias("terms"))
+    block = F.concat(F.lit('{ "node_id": '), quoted(F.col("node_id")), F.lit(', "type": '), quoted(F.col("node_type")), F.lit(', "text": '), quoted(F.col("content")), F.lit(" }"))
+    n = n.select("chapter_id", "node_id", "order_index", "node_type", F.array(*counts_of(block)).alias("counts"))
+    same = [n[c].eqNullSafe(hits[c]) for c in ("chapter_id", "node_id")]
+    n = n.join(hits, same[0] & same[1], "left").select(n["chapter_id"], n["node_id"], "order_index", "node_type", "counts", "terms")
+
+    def request(counts: list[int], size: int, terms_: dict) -> dict:
+        source = _tokens(counts[0] + 2, counts[1] + 2 + size - 1, counts[2])
+        kept = [sum(c[i] for c in terms_.values()) for i in range(3)]
+        glossary = _tokens(kept[0] if terms_ else 1, kept[1] + 2 + max(0, len(terms_) - 1), kept[2])
+        share, more, least, most = RESERVED
+        rest = fixed + glossary + source + max(least, min(most, int(source * share) + more)) + max(MARGIN[1], int(window * MARGIN[0]))
+        level = next((i for i, c in enumerate(contexts) if rest + c <= window), -1) if source <= most_source else -1
+        return {"counts": counts, "size": size, "terms": terms_, "source": source, "total": rest + contexts[level], "level": level}
+
+    def fits(held: dict | None, row: dict) -> dict | None:
+        own = {(t["source_term"], t["target"]): t["_counts"] for t in row["terms"] or []}
+        r = request(row["counts"], 1, own) if held is None else request([a + b for a, b in zip(held["counts"], row["counts"], strict=True)], held["size"] + 1, held["terms"] | own)
+        return r if held is None or r["level"] >= 0 else None
+
+    def make() -> _Chunks:
+        return _Requests(fits, lambda r: r["node_type"] in ("table", "footnote"), lambda r: r["node_type"] == "heading")
+
+    return _streamed(n, make, lambda r, held: (held["source"], held["total"], held["level"]), "source_tokens long, total_tokens long, level long")
+
+
+class _Requests(_Chunks):
+    """Chunks of which one that fits no request is closed."""
+
+    def take(self, row: dict) -> list[tuple]:
+        out = super().take(row)
+        self.closed = self.closed or self.held["level"] < 0
+        return out
 
 
 def estimate(text: str) -> int:

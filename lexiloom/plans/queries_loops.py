@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators import assurance
-from lexiloom.plans.fixtures import PAIRS_SQL, pairs
-from lexiloom.plans.queries_tables import _has
+from lexiloom.operators import assurance, packing
+from lexiloom.plans.fixtures import PAIRS_SQL, TERMS, pairs, term_list
+from lexiloom.plans.queries_tables import _UNSHOWN, NODES_SQL, _has, typed
 from lexiloom.plans.queries_text import _SENSITIVE_SQL, _word_sql
 
 QUERIES: dict = {}
@@ -180,3 +180,56 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     locked = spark.createDataFrame(LOCKED, "source_key string, target string")
     out = assurance.publish(rows, MODELS, locked, POLICY, cache)
     return out.select("node_id", F.md5("text").alias("text_md5"), "publication", "approved", "status", F.size("errors").alias("n_errors"), "style_status", "style_score", "rewrites", "rewrite_success", "repairs", "calls", "style_calls", "from_cache")
+
+
+# packing by the assembled request
+
+CONTEXTS, FIXED, WINDOW, MOST_SOURCE = (260, 120, 30), 150, 1200, 420
+
+
+def _sql_counts(text: str) -> str:
+    """Words, punctuation and non-ASCII characters of a SQL text as (w, p, x)."""
+    return f"len(regexp_extract_all({text}, '\\S+')) AS w, len(regexp_extract_all({text}, '[.,;:!?()\\[\\]{{}}\"'']')) AS p, len(regexp_extract_all({text}, '[^\\x00-\\x7F]')) AS x".replace("{{}}", "{}")
+
+
+def _sql_tokens(w: str, p: str, x: str) -> str:
+    return f"CAST(greatest(1, floor(1.22::DOUBLE * ({w}) + 0.22::DOUBLE * ({p}) + 0.08::DOUBLE * ({x}) + 8)) AS BIGINT)"
+
+
+def _entry_counts(i: int, t: str) -> tuple[int, int]:
+    entry = f'{{"source_term": "{t}", "preferred_target": "{t if i % 2 else t + "x"}"}}'
+    return len(entry.split()), sum(c in ".,;:!?()[]{}\"'" for c in entry)
+
+
+_OF_TERMS = [" + ".join(f"((mask >> {i}) & 1) * {_entry_counts(i, t)[k]}" for i, t in enumerate(TERMS)) for k in (0, 1)]
+_SOURCE = _sql_tokens("w + 2", "p + 1 + size", "x")
+_REST = f"""{FIXED} + {_sql_tokens(f"CASE WHEN mask = 0 THEN 1 ELSE {_OF_TERMS[0]} END", f"{_OF_TERMS[1]} + 2 + greatest(0, bit_count(mask) - 1)", "0")}
+  + source + greatest(320, least(1400, CAST(floor(source * 1.35::DOUBLE) AS BIGINT) + 128)) + {max(220, int(WINDOW * 0.06))}"""
+_LEVEL = f"CASE WHEN source > {MOST_SOURCE} THEN -1 " + " ".join(f"WHEN rest + {c} <= {WINDOW} THEN {i}" for i, c in enumerate(CONTEXTS)) + " ELSE -1 END"
+
+
+def _request_sql(row: str) -> str:
+    """row (with w, p, x, size, mask) and its source, rest and level."""
+    return f"(SELECT *, {_LEVEL} AS level FROM (SELECT *, {_REST} AS rest FROM (SELECT *, {_SOURCE} AS source FROM ({row}))))"
+
+
+@query("WITH RECURSIVE " + NODES_SQL.lstrip() + f""",
+shown AS (SELECT chapter_id, node_id, coalesce(lower(node_type), 'paragraph') AS kind, content, order_index FROM nodes WHERE NOT {_UNSHOWN}),
+n AS (
+  SELECT chapter_id, node_id, kind, row_number() OVER (PARTITION BY chapter_id ORDER BY order_index) AS i, {" + ".join(f"CASE WHEN {_has('content', t)} THEN {1 << i} ELSE 0 END" for i, t in enumerate(TERMS))} AS mask,
+    {_sql_counts("block")} FROM (SELECT *, '{{ "node_id": ' || CAST(to_json(node_id) AS VARCHAR) || ', "type": ' || CAST(to_json(kind) AS VARCHAR) || ', "text": ' || CAST(to_json(content) AS VARCHAR) || ' }}' AS block FROM shown)),
+one AS (SELECT * FROM {_request_sql("SELECT *, 1 AS size FROM n")}),
+r AS (
+  SELECT chapter_id, node_id, i, CAST(1 AS BIGINT) AS chunk_no, w, p, x, 1 AS size, mask, source, rest, level, kind IN ('table', 'footnote') OR level < 0 AS closed FROM one WHERE i = 1
+  UNION ALL
+  SELECT chapter_id, node_id, i, CASE WHEN fresh THEN chunk_no + 1 ELSE chunk_no END, CASE WHEN fresh THEN nw ELSE w END, CASE WHEN fresh THEN np ELSE p END, CASE WHEN fresh THEN nx ELSE x END, CASE WHEN fresh THEN 1 ELSE size END, CASE WHEN fresh THEN nmask ELSE mask END,
+    CASE WHEN fresh THEN ns ELSE source END, CASE WHEN fresh THEN nr ELSE rest END, CASE WHEN fresh THEN nl ELSE level END, kind IN ('table', 'footnote') OR (fresh AND nl < 0)
+  FROM (
+    SELECT *, closed OR kind IN ('table', 'footnote', 'heading') OR level < 0 AS fresh FROM {_request_sql("SELECT n.chapter_id, n.node_id, n.i, n.kind, r.chunk_no, r.closed, r.w + n.w AS w, r.p + n.p AS p, r.x + n.x AS x, r.size + 1 AS size, r.mask | n.mask AS mask, n.w AS nw, n.p AS np, n.x AS nx, n.mask AS nmask, n.source AS ns, n.rest AS nr, n.level AS nl FROM r JOIN one n ON n.chapter_id = r.chapter_id AND n.i = r.i + 1")})),
+last AS (SELECT chapter_id, chunk_no, arg_max(source, i) AS source, arg_max(rest, i) AS rest, arg_max(level, i) AS level FROM r GROUP BY ALL)
+SELECT r.chapter_id, r.node_id, r.chunk_no, last.source AS source_tokens, last.rest + CASE last.level WHEN 0 THEN {CONTEXTS[0]} WHEN 1 THEN {CONTEXTS[1]} ELSE {CONTEXTS[2]} END AS total_tokens, CAST(last.level AS BIGINT) AS level
+FROM r JOIN last ON r.chapter_id = last.chapter_id AND r.chunk_no = last.chunk_no""")
+def assembled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of nodes by the request that they would make, with the context that the chunk's request has room for."""
+    g = term_list(spark).select("source_term", F.col("target_term").alias("target"))
+    return packing.pack_assembled(typed(spark, sf_dir), g, CONTEXTS, FIXED, WINDOW, MOST_SOURCE)
