@@ -28,10 +28,11 @@ def _own(docs: DataFrame, name: str) -> str:
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs but for the rejected ids; ids may be null. Text moves once and is not sorted."""
+    """docs but for the rejected ids; rows without an id stay, past the join. Text moves once and is not sorted."""
     gone = _own(docs, "_gone")
     ids = rejected.select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    known = F.col("doc_id").isNotNull()
+    return docs.where(known).join(ids.hint("shuffle_hash"), F.col("doc_id") == F.col(gone), "left_anti").unionByName(docs.where(~known))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,8 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Paths of tables that staged() wrote and that are still there.
+STAGED: set[str] = set()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: what comes after does not compute it again, not even when executors are lost."""
+    """Write df as a table in the shared folder and read it back: what comes after does not compute it again, not even when executors are lost.
+
+    Shuffle files that this step alone needed go when it ends; without that, disk fills with what no later step reads.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
@@ -32,4 +39,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path  # type: ignore[attr-defined]
+    STAGED.add(path)
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    STAGED.discard(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete every table that this driver has staged and not deleted yet. A result reads its last staged tables, so call this when results are written."""
+    for path in list(STAGED):
+        delete(spark, path)

@@ -14,3 +14,14 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="module", autouse=True)
+def _without_staged_tables():
+    yield
+    from pyspark.sql import SparkSession
+
+    from lexiloom.stages import clear_staged
+
+    if SparkSession.getActiveSession() is not None:
+        clear_staged(SparkSession.getActiveSession())
