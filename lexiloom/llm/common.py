@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.stages import clear_staged, delete, shared_dir, staged  # noqa: F401
+
 #: Code points that the contracts count as white space: \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-#: Spark's setting that removes a query's shuffle files when the query ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: At most so many keys can each hold more than one HOT_KEYS-th of a table's rows.
 HOT_KEYS = 10_000
-#: Paths of tables that stage() wrote and that are still there.
-STAGED: set[str] = set()
 
 
 def ascii_lower(c: Column) -> Column:
@@ -33,40 +29,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it. Only a local session without it gets a folder of its own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="lexiloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
-
-    Shuffle files that this step alone needed go when it ends; without that, disk fills with what no later step reads.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path  # type: ignore[attr-defined]
-    STAGED.add(path)
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    STAGED.discard(path)
+stage = staged
 
 
 def unstage(*frames: DataFrame) -> None:
@@ -78,17 +41,11 @@ def unstage(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "staged_path", None)
         if path:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
     if frames:
         frames[0].sparkSession._jvm.System.gc()
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Delete every table that this driver has staged and not deleted yet. A result reads its last staged tables, so call this when results are written."""
-    for path in list(STAGED):
-        _delete(spark, path)
-
-
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], row: list[Column], how: str = "left", salts: int = 8) -> DataFrame:
     """Equi-join whose left side may hold a third of its rows under one key.
 

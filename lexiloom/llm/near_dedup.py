@@ -12,7 +12,9 @@ Links are needed only as far as components do, which keeps large groups of near
 2. Exactly the pairs that can still matter follow: in every bucket that holds several components, each member outside
    the bucket's main component is compared with all members of other components. Both sides are dealt into blocks and
    every block of askers meets every block of members, so a group is bounded on both sides, and no link between texts that
-   share a bucket is lost, whatever the bucket's size or the number of its components.
+   share a bucket is lost, whatever the bucket's size or the number of its components. Texts of a large group share many
+   buckets, so each large bucket has a cover, a larger one of its least member's: pairs inside the cover are compared there, and
+   members outside the cover alone ask where they are fewer.
 """
 
 from __future__ import annotations
@@ -288,13 +290,23 @@ def list_components(lists: DataFrame, hold: Callable[[DataFrame], DataFrame], pe
         pairs = sorted(out)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
+    # pairs that also share the list's cover meet there, so members outside the cover may ask in place of those outside the main component
+    place = F.struct(-F.col("cnt"), "key")
+    first_list = large.groupBy(F.col("rep").alias("least")).agg(F.min(place)["key"].alias("cover"))
+    covers = kept(large.groupBy("key").agg(F.min("rep").alias("least"), F.max("cnt").alias("here")).join(first_list, "least").select("key", "here", F.nullif("cover", "key").alias("cover")), "covers")
+    within = large.select("rep", F.col("key").alias("cover"), F.lit(True).alias("covered"))
+    told = hot_join(large, covers, ["key"], "here", rows, "inner").join(within, ["rep", "cover"], "left").withColumn("out", F.col("covered").isNull()).drop("cover", "covered", "here")
+    told = kept(told, "covered")
+    fewer = kept(told.groupBy("key").agg(F.max("cnt").alias("here"), F.max("askers").alias("was"), F.count_if("out").alias("new"), F.coalesce(F.sum(F.when(F.col("out"), F.col("n"))), F.lit(0)).alias("sum")).where(F.col("new") < F.col("was")).drop("was"), "askers")
+    large = hot_join(told, fewer, ["key"], "here", rows).withColumn("by_cover", F.col("new").isNotNull())
+    large = large.withColumns({"askers": F.coalesce("new", "askers"), "asked": F.coalesce("sum", "asked"), "asker": F.when(F.col("by_cover"), F.col("out")).otherwise(F.col("component") != F.col("main"))}).where(F.col("askers") > 0)
     n, q = blocks(WIDE_BLOCK), blocks(WIDE_BLOCK, "askers", "asked")
 
     def every(count: Column) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), count - 1))
 
     members = large.select("rep", "component", "key", F.pmod(F.xxhash64("rep"), n).alias("block"), every(q).alias("by"), F.lit(False).alias("asks"))
-    askers = large.where(F.col("component") != F.col("main")).select("rep", "component", "key", every(n).alias("block"), F.pmod(F.xxhash64(F.lit("asks"), "rep"), q).alias("by"), F.lit(True).alias("asks"))
+    askers = large.where("asker").select("rep", "component", "key", every(n).alias("block"), F.pmod(F.xxhash64(F.lit("asks"), "rep"), q).alias("by"), F.lit(True).alias("asks"))
     asked = members.unionByName(askers).join(wide.select("rep", "items"), "rep").groupBy("key", "block", "by").applyInArrow(ask, "a long, b long")
     more = kept(rest.union(asked), "links")
     final = stage(components(links.union(more)), "components") if more.head(1) else first
