@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,25 +14,30 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as tx
 
 
+def edit_words(text: str) -> list[str]:
+    """The words of a text as edits compare them: composed characters, without marks at their ends, case folded."""
+    bare = (re.sub(r"^\W+|\W+$", "", w) for w in unicodedata.normalize("NFC", text or "").split())
+    return [w.casefold() for w in bare if w]
+
+
 def edit_hunks(before: str, after: str, most: int = 4) -> list[tuple[str, str]]:
-    """Word runs that an edit put in place of others, as (avoid, prefer) in lower case without end punctuation.
+    """Word runs that an edit put in place of others, as (avoid, prefer) in the form of edit_words.
 
     Changes that a single kept word parts are one. Runs over `most` words, with digits, and single deleted words are no style;
     texts less than half alike are another text.
     """
-    a, b = before.split(), after.split()
+    a, b = edit_words(before), edit_words(after)
     m = difflib.SequenceMatcher(None, a, b, autojunk=False)
-    kept = [x for x in m.get_matching_blocks() if x.size > 1 or x.a == 0 == x.b or not x.size or x.a + x.size == len(a) and x.b + x.size == len(b)]
-    if m.ratio() < 0.5:
+    if not a or not b or a == b or m.ratio() < 0.5:
         return []
+    kept = [x for x in m.get_matching_blocks() if x.size > 1 or x.a == 0 == x.b or not x.size or x.a + x.size == len(a) and x.b + x.size == len(b)]
     out, i, j = [], 0, 0
     for block in kept:
         avoid, prefer = a[i : block.a], b[j : block.b]
         i, j = block.a + block.size, block.b + block.size
         style = 0 < len(avoid) <= most and len(prefer) <= most and (prefer or len(avoid) > 1) and not re.search(r"\d", " ".join(avoid + prefer))
-        pair = tuple(" ".join(x).lower().strip(".,;:!?") for x in (avoid, prefer))
-        if style and pair[0] and pair[0] != pair[1]:
-            out.append(pair)
+        if style and avoid != prefer:
+            out.append((" ".join(avoid), " ".join(prefer)))
     return out
 
 

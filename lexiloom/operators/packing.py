@@ -190,9 +190,9 @@ def _greedy(units: list[str], budget: int, joint: str) -> list[str]:
 
 
 def split_text(text: str, budget: int) -> list[str]:
-    """Whole sentences in segments within the budget; a sentence over it is split between words."""
+    """Whole sentences in segments within the budget; a sentence over it is split between words. A sentence ends where a capital, digit, quote or bracket follows."""
     out: list[str] = []
-    for s in re.split(r"(?<=[.!?])\s+", text.strip()):
+    for s in re.split(r"(?<=[.!?])\s+(?=[A-Z0-9\"'(])", text.strip()):
         parts = [s] if estimate(s) <= budget else _greedy(s.split(), budget, " ")
         for p in parts:
             if out and len(parts) == 1 and estimate(out[-1] + " " + p) <= budget:

@@ -12,6 +12,7 @@ from lexiloom.operators import assurance, packing
 from lexiloom.plans.fixtures import PAIRS_SQL, TERMS, pairs, term_list
 from lexiloom.plans.queries_tables import _UNSHOWN, NODES_SQL, _has, typed
 from lexiloom.plans.queries_text import _SENSITIVE_SQL, _word_sql
+from lexiloom.sources import readers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -233,3 +234,44 @@ def assembled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of nodes by the request that they would make, with the context that the chunk's request has room for."""
     g = term_list(spark).select("source_term", F.col("target_term").alias("target"))
     return packing.pack_assembled(typed(spark, sf_dir), g, CONTEXTS, FIXED, WINDOW, MOST_SOURCE)
+
+
+# rendering and contents
+
+_LEVELS = "CASE WHEN length(content) % 7 = 0 THEN NULL ELSE length(content) % 7 END"
+
+
+def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes with levels of headings, cells of tables and what else a type has, all from their texts."""
+    c, even = F.col("content"), F.col("order_index") % 2 == 0
+    extra = {"level": F.nullif(F.length(c) % 7, F.lit(0)), "source_text": c, "target_text": F.when(F.col("order_index") % 3 == 0, F.concat(F.lit("\"&"), c)), "rows": F.when(even, F.array(F.slice(F.split(c, " "), 1, 2), F.slice(F.split(c, " "), 3, 2)))}
+    more = {"asset": F.concat("chapter_id", F.lit(".png")), "caption": F.when(even, F.substring(c, 1, 9)), "number": (F.col("order_index") % 4).cast("string"), "language": F.when(even, F.lit("py"))}
+    return typed(spark, sf_dir).withColumns(extra | more)
+
+
+_ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_BODY = _ESC.format("CASE WHEN order_index % 3 = 0 AND content <> '' THEN '"&' || content ELSE content END")
+
+
+def _cells(tag: str, at: int) -> str:
+    return f"'<tr>' || array_to_string(list_transform(list_slice(string_split(content, ' '), {at}, {at} + 1), lambda x: '<{tag}>' || {_ESC.format('x')} || '</{tag}>'), '') || '</tr>'"
+
+
+@query(f"""WITH {NODES_SQL}, b AS (SELECT *, coalesce(node_type, '') AS kind, ' id="' || node_id || '"' AS at_, {_BODY} AS body, coalesce({_LEVELS}, 1) AS lvl FROM nodes)
+SELECT node_id, md5(CASE kind WHEN 'heading' THEN '<h' || lvl || at_ || '>' || body || '</h' || lvl || '>' WHEN 'quote' THEN '<blockquote' || at_ || '><p>' || body || '</p></blockquote>'
+  WHEN 'image' THEN '<figure' || at_ || '><img src="' || chapter_id || '.png">' || CASE WHEN order_index % 2 = 0 AND substr(content, 1, 9) <> '' THEN '<figcaption>' || {_ESC.format("substr(content, 1, 9)")} || '</figcaption>' ELSE '' END || '</figure>'
+  WHEN 'footnote' THEN '<div class="footnote"' || at_ || '><sup>' || order_index % 4 || '</sup> ' || body || '</div>'
+  WHEN 'code_block' THEN '<pre' || at_ || '><code class="language-' || CASE WHEN order_index % 2 = 0 THEN 'py' ELSE 'text' END || '">' || body || '</code></pre>'
+  WHEN 'horizontal_rule' THEN '<hr>' WHEN 'page_break_hint' THEN '<div class="page-break"></div>'
+  ELSE CASE WHEN kind = 'table' AND order_index % 2 = 0 THEN '<table' || at_ || '>' || {_cells("th", 1)} || {_cells("td", 3)} || '</table>' ELSE '<p' || at_ || '>' || body || '</p>' END END) AS html_md5 FROM b""")
+def rendered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node as HTML of its type."""
+    return readers.render(_laid(spark, sf_dir)).select("node_id", F.md5("html").alias("html_md5"))
+
+
+@query(f"""WITH {NODES_SQL}, h AS (SELECT node_id, project_id, chapter_id, order_index, coalesce({_LEVELS}, 2) AS level FROM nodes WHERE node_type = 'heading'),
+p AS (SELECT h.node_id, arg_max(p.node_id, p.order_index) AS parent FROM h JOIN h p ON p.chapter_id = h.chapter_id AND p.project_id = h.project_id AND p.order_index < h.order_index AND p.level < h.level GROUP BY h.node_id)
+SELECT h.node_id, CAST(level AS INTEGER) AS level, coalesce(parent, chapter_id) AS parent_id FROM h LEFT JOIN p ON p.node_id = h.node_id""")
+def contents_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every heading with its parent: the nearest heading before it of a lower level, or its chapter."""
+    return readers.contents(_laid(spark, sf_dir)).select("node_id", "level", "parent_id")

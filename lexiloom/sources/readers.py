@@ -219,17 +219,65 @@ def escaped(c: Column) -> Column:
     return F.replace(out, F.lit("\n"), F.lit("<br>"))
 
 
+def _or_null(nodes: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name).cast(kind) if name in nodes.columns else F.lit(None).cast(kind)
+
+
 def render(nodes: DataFrame) -> DataFrame:
-    """Adds html to nodes (node_type, level, source_text, target_text): the rendering, or the source without one, escaped, in the element of its type."""
-    body = escaped(F.coalesce(F.nullif(F.col("target_text"), F.lit("")), F.col("source_text")))
-    h = F.least(F.greatest(F.coalesce("level", F.lit(2)), F.lit(1)), F.lit(6)).cast("string")
-    kind = F.col("node_type")
-    tag = F.when(kind == "heading", F.concat(F.lit("h"), h)).when(kind == "quote", "blockquote").when(kind == "code", "pre").when(kind == "list_item", "li").when(kind == "caption", "figcaption").when(kind == "footnote", "aside").otherwise("p")
-    return nodes.withColumn("html", F.concat(F.lit("<"), tag, F.lit(">"), body, F.lit("</"), tag, F.lit(">")))
-
-
-def book(nodes: DataFrame) -> DataFrame:
-    """(project_id, toc, html): nodes with html in order, one document per project, and its headings."""
-    rows = F.array_sort(F.collect_list(F.struct("order_index", "html")))["html"]
-    toc = F.array_sort(F.collect_list(F.when(F.col("node_type") == "heading", F.struct("order_index", "level", tx.snippet(F.col("source_text"), 80).alias("title")))))
-    return nodes.groupBy("project_id").agg(toc.alias("toc"), F.array_join(rows, "\n").alias("html"))
+    """Adds html to nodes (node_id, node_type, level, source_text, target_text): the rendering, or the source without one, escaped, in the element of its type under the node's id.
+
+    What only some types have comes from columns that may be missing: rows (array of rows of cells) of a table, asset and
+    caption of an image, number of a footnote, language of code. A heading without a level is of the first; a table without
+    rows is a paragraph, and so is every other type. Rules and page breaks have no content.
+    """
+    body = escaped(F.coalesce(F.nullif(F.col("target_text"), F.lit("")), F.col("source_text"), F.lit("")))
+    kind, at = F.lower(F.coalesce("node_type", F.lit(""))), F.concat(F.lit(' id="'), escaped(F.col("node_id").cast("string")), F.lit('"'))
+
+    def element(tag: Column | str, inner: Column) -> Column:
+        tag = F.lit(tag) if isinstance(tag, str) else tag
+        return F.concat(F.lit("<"), tag, at, F.lit(">"), inner, F.lit("</"), tag, F.lit(">"))
+
+    def cells(row: Column, tag: str) -> Column:
+        return F.concat(F.lit("<tr>"), F.array_join(F.transform(row, lambda c: F.concat(F.lit(f"<{tag}>"), escaped(F.coalesce(c, F.lit(""))), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
+
+    rows = F.coalesce(_or_null(nodes, "rows", "array<array<string>>"), F.array().cast("array<array<string>>"))
+    table = F.concat(cells(F.get(rows, F.lit(0)), "th"), F.array_join(F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: cells(r, "td")), ""))
+    caption = escaped(F.coalesce(_or_null(nodes, "caption"), F.lit("")))
+    figure = F.concat(F.lit('<img src="'), escaped(F.coalesce(_or_null(nodes, "asset"), F.lit(""))), F.lit('">'), F.when(caption != "", F.concat(F.lit("<figcaption>"), caption, F.lit("</figcaption>"))).otherwise(""))
+    note = F.concat(F.lit("<sup>"), escaped(F.coalesce(F.nullif(_or_null(nodes, "number"), F.lit("")), F.lit("*"))), F.lit("</sup> "), body)
+    code = F.concat(F.lit('<code class="language-'), escaped(F.coalesce(F.nullif(_or_null(nodes, "language"), F.lit("")), F.lit("text"))), F.lit('">'), body, F.lit("</code>"))
+    level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(6)).cast("string")
+    html = (
+        F.when(kind == "heading", element(F.concat(F.lit("h"), level), body))
+        .when(kind == "quote", element("blockquote", F.concat(F.lit("<p>"), body, F.lit("</p>"))))
+        .when(kind == "image", element("figure", figure))
+        .when((kind == "table") & (F.size(rows) > 0), element("table", table))
+        .when(kind == "footnote", F.concat(F.lit('<div class="footnote"'), at, F.lit(">"), note, F.lit("</div>")))
+        .when(kind == "code_block", element("pre", code))
+        .when(kind == "horizontal_rule", "<hr>")
+        .when(kind == "page_break_hint", '<div class="page-break"></div>')
+        .otherwise(element("p", body))
+    )
+    return nodes.withColumn("html", html)
+
+
+def chapters_html(nodes: DataFrame) -> DataFrame:
+    """(project_id, chapter_id, html): the nodes' html in order, one row for each chapter."""
+    rows = F.array_sort(F.collect_list(F.struct("order_index", "node_id", "html")))
+    return nodes.groupBy("project_id", "chapter_id").agg(F.array_join(F.transform(rows, lambda r: r["html"]), "\n").alias("html"))
+
+
+def contents(nodes: DataFrame) -> DataFrame:
+    """(project_id, chapter_id, node_id, order_index, title, level, parent_id): the headings as a tree.
+
+    A heading's parent is the nearest one before it in its chapter that is of a lower level; without one it is the chapter. The
+    last heading of each level so far is carried along in order, so a chapter is passed once and no row holds more than a
+    heading. Levels are 1 to 6; a heading without one is of the second. title: the rendering, or the source without one.
+    """
+    level = F.least(F.greatest(F.coalesce("level", F.lit(2)), F.lit(1)), F.lit(6)).cast("int")
+    title = F.coalesce(F.nullif(F.col("target_text"), F.lit("")), F.col("source_text"))
+    h = nodes.where(F.lower("node_type") == "heading").select("project_id", "chapter_id", "node_id", "order_index", title.alias("title"), level.alias("level"))
+    so_far = Window.partitionBy("project_id", "chapter_id").orderBy("order_index", "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("level") == n, F.struct("order_index", "node_id")), ignorenulls=True).over(so_far) for n in range(1, 6)]
+    parent = F.array_max(F.slice(F.array(*last), F.lit(1), F.col("level") - 1))["node_id"]
+    return h.withColumn("parent_id", F.coalesce(parent, F.col("chapter_id").cast("string")))

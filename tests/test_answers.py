@@ -137,7 +137,19 @@ def test_source_entities(spark):
 
 
 def brute_hunks(before, after):
-    a, b = before.split(), after.split()
+    def words(text):
+        out = []
+        for w in unicodedata.normalize("NFC", text).split():
+            while w and not (w[0].isalnum() or w[0] == "_"):
+                w = w[1:]
+            while w and not (w[-1].isalnum() or w[-1] == "_"):
+                w = w[:-1]
+            out += [w.casefold()] if w else []
+        return out
+
+    a, b = words(before), words(after)
+    if not a or not b or a == b:
+        return []
     m = difflib.SequenceMatcher(None, a, b, autojunk=False)
     if m.ratio() < 0.5:
         return []
@@ -153,8 +165,8 @@ def brute_hunks(before, after):
     for i, j, k, m_ in changes:
         x, y = a[i:j], b[k:m_]
         if 0 < len(x) <= 4 and len(y) <= 4 and (y or len(x) > 1) and not any(c.isdigit() for w in x + y for c in w):
-            p = tuple(" ".join(w).lower().strip(".,;:!?") for w in (x, y))
-            if p[0] and p[0] != p[1]:
+            p = (" ".join(x), " ".join(y))
+            if p[0] != p[1]:
                 out.append(p)
     return out
 
@@ -162,7 +174,7 @@ def brute_hunks(before, after):
 def test_edit_hunks_by_brute_force(spark):
     rng = random.Random(5)
     for _ in range(400):
-        a = [rng.choice("a b c d e f9 G, h".split()) for _ in range(rng.randrange(2, 14))]
+        a = [rng.choice("a b c d “e” f9 G, (h) ... Ée E\u0301e -".split()) for _ in range(rng.randrange(2, 14))]
         b = list(a)
         for _ in range(rng.randrange(4)):
             at = rng.randrange(len(b) + 1)

@@ -86,6 +86,10 @@ def test_missed_soft_terms_yield_to_longer_ones(spark):
 def test_edit_hunks():
     assert mining.edit_hunks("we use the old thing now", "we use the new thing now") == [("old", "new")]
     assert mining.edit_hunks("a b c", "x y z") == []
+    assert mining.edit_hunks("it is “clear” to us", "it is “plain” to us") == [("clear", "plain")]
+    assert mining.edit_hunks("The big dog (ran) home", "the large dog (ran) home") == [("big", "large")]
+    assert mining.edit_hunks("đi qua\u0301 nhanh rồi", "đi n\u00e0y nhanh rồi") == [("qu\u00e1", "n\u00e0y")]
+    assert mining.edit_hunks("một cách rõ ràng thì tốt hơn", "rõ thì tốt hơn") == [("một cách rõ ràng", "rõ")]
     assert mining.edit_hunks("we use 12 things here", "we use 13 things here") == []
 
 
@@ -133,8 +137,8 @@ def test_glossary_csv_round_trip(spark, tmp_path):
 
 
 def test_render_escapes(spark):
-    n = spark.createDataFrame([("p", 0, "heading", 2, "a<b", ""), ("p", 1, "paragraph", None, "x", "y\nz")], "project_id string, order_index int, node_type string, level int, source_text string, target_text string")
-    assert readers.book(readers.render(n)).first()["html"] == "<h2>a&lt;b</h2>\n<p>y<br>z</p>"
+    n = spark.createDataFrame([("p", "c", "n0", 0, "heading", 2, "a<b", ""), ("p", "c", "n1", 1, "paragraph", None, "x", "y\nz")], "project_id string, chapter_id string, node_id string, order_index int, node_type string, level int, source_text string, target_text string")
+    assert readers.chapters_html(readers.render(n)).first()["html"] == '<h2 id="n0">a&lt;b</h2>\n<p id="n1">y<br>z</p>'
 
 
 @pytest.fixture
@@ -164,3 +168,14 @@ def test_stateful_telemetry(spark, event_files):
     s.writeStream.outputMode("update").format("memory").queryName("telemetry").trigger(availableNow=True).start().awaitTermination()
     got = {r["user_id"]: (r["last_value"], r["seen"]) for r in spark.sql("select user_id, max_by(last_value, seen) last_value, max(seen) seen from telemetry group by user_id").collect()}
     assert got == {0: (10.0, 6), 1: (11.0, 6)}
+
+
+@pytest.mark.parametrize("few", [2_000, 2])
+def test_terms_meet_texts_alike_however_many(spark, monkeypatch, few):
+    from lexiloom.operators import terms
+
+    monkeypatch.setattr(terms, "FEW", few)
+    nodes_ = spark.createDataFrame([(f"n{i}", t) for i, t in enumerate(["The cats sat", "a cat. A dog", "walked by the lake side", None, "", "catalogue of lakes", "Being king-size", "The THE the"])], "node_id string, content string")
+    listed = spark.createDataFrame([("cat", 1), ("walk", 2), ("lake side", 3), ("lake", 4), ("the", 5), ("!!", 6), ("be", 7), ("king", 8), ("dog", 9)], "term string, id int")
+    got = {(r["node_id"], r["id"]) for r in terms.term_hits(nodes_, listed, "content", "term").collect()}
+    assert got == {("n0", 1), ("n0", 5), ("n1", 1), ("n1", 9), ("n2", 2), ("n2", 3), ("n2", 4), ("n2", 5), ("n5", 4), ("n6", 7), ("n6", 8), ("n7", 5)}

@@ -1,8 +1,11 @@
-"""Readers of files: EPUB, DOCX, evaluation rows, artefacts, uploads."""
+"""Readers and writers of files: EPUB, DOCX, evaluation rows, artefacts, uploads, rendering, books."""
 
 import json
 import zipfile
 
+import pytest
+from pyspark.sql import functions as F
+
 from lexiloom.operators import nodes
 from lexiloom.sources import readers
 
@@ -47,7 +50,57 @@ def test_preview_picks(spark):
     assert got[:6] == ["1", "2", "4", "5", "3", "0"] and len(got) == 7
 
 
-def test_render_and_book(spark):
-    n = spark.createDataFrame([("p", 0, "heading", 2, "A & B", None), ("p", 1, "paragraph", None, "s", "x\ny"), ("p", 2, "quote", None, "q", "")], "project_id string, order_index int, node_type string, level int, source_text string, target_text string")
-    r = readers.book(readers.render(n)).first()
-    assert r["html"] == "<h2>A &amp; B</h2>\n<p>x<br>y</p>\n<blockquote>q</blockquote>" and [t["title"] for t in r["toc"]] == ["A & B"]
+NODE = "project_id string, chapter_id string, node_id string, order_index int, node_type string, level int, source_text string, target_text string"
+
+
+def test_render_by_type(spark):
+    rows = [("heading", None, "A & B", None), ("heading", 9, "x", "y"), ("quote", None, "q", ""), ("code_block", None, "a<b", None), ("horizontal_rule", None, "x", None), ("page_break_hint", None, "x", None), ("footnote", None, "f", None), ("table", None, "t", None), ("image", None, "i", None), ("list_item", None, "l\nm", None), (None, None, None, None)]
+    n = spark.createDataFrame([("p", "c", f"n{i}", i, *r) for i, r in enumerate(rows)], NODE)
+    got = [r["html"] for r in readers.render(n).orderBy("order_index").collect()]
+    assert got == ['<h1 id="n0">A &amp; B</h1>', '<h6 id="n1">y</h6>', '<blockquote id="n2"><p>q</p></blockquote>', '<pre id="n3"><code class="language-text">a&lt;b</code></pre>', "<hr>", '<div class="page-break"></div>', '<div class="footnote" id="n6"><sup>*</sup> f</div>', '<p id="n7">t</p>', '<figure id="n8"><img src=""></figure>', '<p id="n9">l<br>m</p>', '<p id="n10"></p>']
+    more = n.where("node_type in ('table', 'image', 'footnote', 'code_block')").withColumns({"rows": F.array(F.array(F.lit("h<"), F.lit(None)), F.array(F.lit("a"), F.lit("b"))), "asset": F.lit("x.png"), "caption": F.lit("C"), "number": F.lit("3"), "language": F.lit("py")})
+    got = [r["html"] for r in readers.render(more).orderBy("order_index").collect()]
+    assert got == ['<pre id="n3"><code class="language-py">a&lt;b</code></pre>', '<div class="footnote" id="n6"><sup>3</sup> f</div>', '<table id="n7"><tr><th>h&lt;</th><th></th></tr><tr><td>a</td><td>b</td></tr></table>', '<figure id="n8"><img src="x.png"><figcaption>C</figcaption></figure>']
+
+
+def test_contents_are_a_tree(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("p", f"c{c}", f"{c}-{i}", i, rng.choice(["heading", "heading", "paragraph"]), rng.choice([None, 0, 1, 2, 3, 4, 5, 6, 9]), f"t{i}", None) for c in range(4) for i in range(40)]
+    want, stack = {}, []
+    for _, c, node, i, kind, level, *_ in rows:
+        stack = [] if i == 0 else stack
+        if kind != "heading":
+            continue
+        level = min(max(2 if level is None else level, 1), 6)
+        while stack and stack[-1][0] >= level:
+            stack.pop()
+        want[node] = (level, stack[-1][1] if stack else c)
+        stack.append((level, node))
+    rng.shuffle(rows)
+    got = {r["node_id"]: (r["level"], r["parent_id"]) for r in readers.contents(spark.createDataFrame(rows, NODE)).collect()}
+    assert got == want
+
+
+def test_books_come_back_through_the_reader(spark, tmp_path):
+    from lexiloom.sources import epub
+
+    chapters = [(f"b{b}", f"Book & {b}", c, f"Chapter <{c}>", f"<p>text {b}.{c}</p><h2>sub</h2>") for b in range(5) for c in (2, 0, 1)]
+    d = spark.createDataFrame([*chapters, ("odd/name é", None, 1, None, None)], "book_id string, title string, chapter_order int, chapter_title string, html string")
+    target = tmp_path / "books"
+    epub.write_books(d, str(target))
+    assert sorted(f.name for f in target.iterdir()) == ["b0.epub", "b1.epub", "b2.epub", "b3.epub", "b4.epub", "odd_name__.epub"]
+    assert all(r["valid"] for r in readers.valid_artefacts(spark, str(target)).collect())
+    blocks = [r for r in readers.epub_blocks(spark, str(target)).collect() if r["path"].endswith("b3.epub")]
+    texts = [r["text"] for r in sorted(blocks, key=lambda r: r["block_no"])]
+    assert [t for t in texts if t.startswith(("Chapter", "text"))] == ["Chapter <0>", "text 3.0", "Chapter <1>", "text 3.1", "Chapter <2>", "text 3.2"]
+
+
+def test_a_job_that_fails_leaves_no_books(spark, tmp_path):
+    from lexiloom.sources import epub
+
+    d = spark.range(40).select(F.col("id").cast("string").alias("book_id"), F.lit("t").alias("title"), F.lit(1).alias("chapter_order"), F.lit("c").alias("chapter_title"), F.when(F.col("id") == 33, F.raise_error(F.lit("lost")).cast("string")).otherwise("<p>x</p>").alias("html"))
+    with pytest.raises(Exception, match="lost"):
+        epub.write_books(d, str(tmp_path / "books"))
+    assert not (tmp_path / "books").exists() or [f for f in (tmp_path / "books").rglob("*") if f.is_file()] == []
