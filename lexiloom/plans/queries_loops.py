@@ -244,13 +244,13 @@ _LEVELS = "CASE WHEN length(content) % 7 = 0 THEN NULL ELSE length(content) % 7
 def _laid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with levels of headings, cells of tables and what else a type has, all from their texts."""
     c, even = F.col("content"), F.col("order_index") % 2 == 0
-    extra = {"level": F.nullif(F.length(c) % 7, F.lit(0)), "source_text": c, "target_text": F.when(F.col("order_index") % 3 == 0, F.concat(F.lit("\"&"), c)), "rows": F.when(even, F.array(F.slice(F.split(c, " "), 1, 2), F.slice(F.split(c, " "), 3, 2)))}
+    extra = {"level": F.nullif(F.length(c) % 7, F.lit(0)), "source_text": c, "target_text": F.when(F.col("order_index") % 3 == 0, F.concat(F.lit("& "), c)), "rows": F.when(even, F.array(F.slice(F.split(c, " "), 1, 2), F.slice(F.split(c, " "), 3, 2)))}
     more = {"asset": F.concat("chapter_id", F.lit(".png")), "caption": F.when(even, F.substring(c, 1, 9)), "number": (F.col("order_index") % 4).cast("string"), "language": F.when(even, F.lit("py"))}
     return typed(spark, sf_dir).withColumns(extra | more)
 
 
 _ESC = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-_BODY = _ESC.format("CASE WHEN order_index % 3 = 0 AND content <> '' THEN '"&' || content ELSE content END")
+_BODY = _ESC.format("CASE WHEN order_index % 3 = 0 AND content <> '' THEN '& ' || content ELSE content END")
 
 
 def _cells(tag: str, at: int) -> str:
