@@ -165,3 +165,33 @@ def nested(chapters: DataFrame, nodes: DataFrame) -> DataFrame:
     per = nodes.groupBy(F.col("project_id").alias("_p"), F.col("chapter_id").alias("_c")).agg(F.array_sort(F.collect_list(F.struct("order_index", "node_id", "content"))).alias("nodes"))
     own = F.col("project_id").eqNullSafe(F.col("_p")) & F.col("chapter_id").eqNullSafe(F.col("_c"))
     return chapters.join(per, own, "left").select("project_id", "chapter_index", "chapter_id", "nodes")
+
+
+def neighbours(nodes: DataFrame, previous: int = 2, following: int = 2, budget: int = 700, done: Column | None = None) -> DataFrame:
+    """Adds context: the nearest nodes of the chapter for which `done` holds, `previous` before and `following` behind, in order, within the token budget.
+
+    nodes: (chapter_id, node_id, order_index, content, target_text); a node is no neighbour of itself. The first always fits,
+    later ones are skipped where they would pass the budget. A join by rank on either side: done nodes are numbered in their
+    chapter, each carries the ids and costs of the frame that ends with it and of the one that begins with it, and a node
+    takes the frames of the numbers next to it, whatever gaps lie between. Null texts cost nothing; null chapters have no neighbours.
+    """
+    done = F.lit(True) if done is None else done
+    before = Window.partitionBy("chapter_id").orderBy("order_index", "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    n = nodes.withColumn("_done", F.coalesce(done, F.lit(False))).withColumn("_behind", F.coalesce(F.sum(F.col("_done").cast("int")).over(before), F.lit(0)))
+    words = tx.word_count(F.coalesce("content", F.lit(""))) + tx.word_count(F.coalesce("target_text", F.lit("")))
+    cost = F.greatest(F.lit(1), F.floor(words * 1.45)).cast("long")
+    ranked = n.where("_done").select("chapter_id", (F.col("_behind") + 1).alias("_at"), F.struct(F.col("node_id").cast("string").alias("id"), cost.alias("cost")).alias("x"))
+    place = Window.partitionBy("chapter_id").orderBy("_at")
+    frames = ranked.select("chapter_id", "_at", F.collect_list("x").over(place.rowsBetween(1 - previous, 0)).alias("_ends"), F.collect_list("x").over(place.rowsBetween(0, following - 1)).alias("_starts"))
+    n = n.withColumn("_ahead", F.col("_behind") + F.col("_done").cast("int") + 1)
+    n = n.join(frames.select("chapter_id", F.col("_at").alias("_behind"), "_ends"), ["chapter_id", "_behind"], "left")
+    n = n.join(frames.select("chapter_id", F.col("_at").alias("_ahead"), "_starts"), ["chapter_id", "_ahead"], "left")
+    empty = F.array().cast("array<struct<id:string,cost:bigint>>")
+    start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(0).cast("long").alias("spent"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (F.size(acc["ids"]) == 0) | (acc["spent"] + x["cost"] <= budget)
+        return F.when(fits, F.struct(F.concat(acc["ids"], F.array(x["id"])).alias("ids"), (acc["spent"] + x["cost"]).alias("spent"))).otherwise(acc)
+
+    found = F.concat(F.coalesce("_ends", empty), F.coalesce("_starts", empty))
+    return n.withColumn("context", F.aggregate(found, start, step)["ids"]).select(*nodes.columns, "context")

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lexiloom.functions import text as tx
 from lexiloom.operators.nodes import translatable
 from lexiloom.operators.terms import term_hits
+from lexiloom.stages import staged
 
 
 class _Chunks:
@@ -214,34 +216,97 @@ def split_long(nodes: DataFrame, budget: int) -> DataFrame:
     return long.mapInPandas(cut, "node_id string, part long, text string")
 
 
-def layout_units(text: str, budget: int) -> list[tuple[str, str]]:
-    """(unit, what parts it from the next): paragraphs, lines and sentences or clauses; those over the budget cut into sentences, then words."""
-    pieces = re.split(r"(\n{2,}|\n|(?<=[.!?;:])\s+)", text)
+def _cut(text: str, pattern: str) -> list[tuple[str, str]]:
+    """The pieces of a text between matches of a pattern (one group), each with the match behind it."""
+    parts = re.split(pattern, text)
+    return list(zip(parts[::2], [*parts[1::2], ""], strict=True))
+
+
+def _merged(units: list[tuple[str, str]], budget: int) -> list[tuple[str, str]]:
+    """Units put together while they are within the budget; blank ones join what is before them."""
     out: list[tuple[str, str]] = []
-    for unit, gap in zip(pieces[::2], [*pieces[1::2], ""], strict=True):
-        parts = split_text(unit, budget) if estimate(unit) > budget else [unit]
-        out += [(p, " ") for p in parts[:-1]] + [(parts[-1] if parts else "", gap)]
+    for unit, gap in units:
+        if out and (not out[-1][0].strip() or not unit.strip() or estimate(out[-1][0] + out[-1][1] + unit) <= budget):
+            out[-1] = out[-1][0] + out[-1][1] + unit, gap
+        else:
+            out.append((unit, gap))
     return out
 
 
-def split_layout(nodes: DataFrame, budget: int) -> DataFrame:
-    """(node_id, part, text, gap): texts over the budget in parts within it, with what stood between them; parts and gaps joined in order are the text again (oversized sentences up to their blanks)."""
+def layout_parts(text: str, budget: int) -> list[tuple[str, str]]:
+    """(part, gap) within the budget, whose texts and gaps joined in order are the text again, to the byte.
+
+    Cut at blank lines, line ends and behind sentences and clauses; what is over the budget then is cut between words, and a
+    word over it stays whole.
+    """
+    units: list[tuple[str, str]] = []
+    for unit, gap in _cut(text, r"(\n{2,}|\n|(?<=[.!?;:])\s+)"):
+        pieces = _merged(_cut(unit, r"(\s+)"), budget) if estimate(unit) > budget else [(unit, "")]
+        units += [*pieces[:-1], (pieces[-1][0], pieces[-1][1] + gap)]
+    return _merged(units, budget)
+
+
+def _split(parts: DataFrame) -> DataFrame:
+    """(node_id, path, text, gap) of parts (node_id, path, text, gap, budget), each cut by its own budget; the last piece keeps the part's gap. Paths grow by the piece's number."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for node, text in zip(b["node_id"], b["content"], strict=True):
-                held: list[list[str]] = []
-                for unit, gap in layout_units(text, budget):
-                    if held and (not held[-1][0].strip() or not unit.strip() or estimate("".join(held[-1]) + unit) <= budget):
-                        held[-1] = [held[-1][0] + held[-1][1] + unit, gap]
-                    else:
-                        held.append([unit, gap])
-                rows += [(node, k, *x) for k, x in enumerate(held)]
-            yield pd.DataFrame(rows, columns=["node_id", "part", "text", "gap"])
-
-    long = nodes.where(tx.token_estimate(F.col("content")) > budget).select(F.col("node_id").cast("string"), "content")
-    return long.mapInPandas(cut, "node_id string, part long, text string, gap string")
+            for node, path, text, gap, budget in b.itertuples(index=False):
+                pieces = layout_parts(text, budget)
+                pieces[-1] = pieces[-1][0], pieces[-1][1] + gap
+                rows += [(node, [*path, k], *p) for k, p in enumerate(pieces)]
+            yield pd.DataFrame(rows, columns=["node_id", "path", "text", "gap"])
+
+    return parts.select("node_id", "path", "text", "gap", "budget").mapInPandas(cut, "node_id string, path array<int>, text string, gap string")
+
+
+def split_layout(nodes: DataFrame, budget: int) -> DataFrame:
+    """(node_id, part, text, gap): texts over the budget in parts within it, with what stood between them; parts and gaps joined in order are the text again, to the byte."""
+    long = nodes.where(tx.token_estimate(F.col("content")) > budget).select(F.col("node_id").cast("string"), F.array().cast("array<int>").alias("path"), F.col("content").alias("text"), F.lit("").alias("gap"), F.lit(budget).alias("budget"))
+    return _split(long).select("node_id", F.get("path", F.lit(0)).cast("long").alias("part"), "text", "gap")
+
+
+def segments(nodes: DataFrame, window: int = 4096, fixed: int = 600, first_context: int = 0, most_source: int | None = None, depth: int = 4) -> DataFrame:
+    """(node_id, part, text, gap, source_tokens, total_tokens, fits): nodes (node_id, content) cut into the segments that they are rendered in.
+
+    A segment's request takes fixed, its source, room for the answer, a margin, and its context: first_context for the first
+    segment, for every other the segment before it with its rendering (taken to be as long as the answer's share). Texts are
+    cut to a fifth of the window (most_source and 64 tokens are bounds); segments whose request is over the window are cut
+    again to what is left for their source, or to half, `depth` times at most. A pass cuts only those, and takes along only
+    nodes that have any; each ends in a staged table. Cuts only make what is behind them smaller, so a segment that fits stays so.
+    fits is false for segments that still do not (a single word, or the depth is reached). Texts and gaps joined in order are
+    the content again, to the byte. Null and empty contents have no segment; node ids become text and are unique.
+    """
+    most_source = window if most_source is None else most_source
+    share, more, least, most = RESERVED
+    margin = max(MARGIN[1], int(window * MARGIN[0]))
+    n = nodes.where(F.coalesce("content", F.lit("")) != "").select(F.col("node_id").cast("string"), F.array().cast("array<int>").alias("path"), F.col("content").alias("text"), F.lit("").alias("gap"))
+    start = max(64, min(most_source, window // 5))
+    live = _split(n.withColumn("budget", F.lit(start)))
+    done = []
+    for i in range(depth + 1):
+        source = tx.token_estimate(F.col("text"))
+        order = Window.partitionBy("node_id").orderBy("path")
+        before = F.lag("source_tokens").over(order)
+        sized = live.withColumn("source_tokens", source).withColumn("context", F.coalesce(F.floor(before * (1 + share)), F.lit(first_context)))
+        reserved = F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.col("source_tokens") * share) + more))
+        sized = sized.withColumn("total_tokens", (fixed + margin + F.col("context") + F.col("source_tokens") + reserved).cast("long"))
+        sized = sized.withColumn("over", (F.col("total_tokens") > window) | (F.col("source_tokens") > most_source))
+        sized = staged(sized.drop("context"), "segments")
+        open_ = sized.where("over").select("node_id").distinct()
+        if i == depth or not open_.head(1):
+            done.append(sized)
+            break
+        done.append(sized.join(open_, "node_id", "left_anti"))
+        going = sized.join(open_, "node_id", "left_semi")
+        room = F.least(F.lit(most_source), F.lit(window) - F.col("total_tokens") + F.col("source_tokens"))
+        budget = F.least(F.greatest(F.lit(16), room), F.greatest(F.lit(16), F.floor(F.col("source_tokens") / 2))).cast("int")
+        again = _split(going.where("over").withColumn("budget", budget))
+        live = going.where(~F.col("over")).select("node_id", "path", "text", "gap").unionByName(again)
+    found = reduce(DataFrame.unionByName, done)
+    part = F.row_number().over(Window.partitionBy("node_id").orderBy("path")) - 1
+    return found.select("node_id", part.cast("long").alias("part"), "text", "gap", "source_tokens", "total_tokens", (~F.col("over")).alias("fits"))
 
 
 def rejoin(parts: DataFrame, text: str = "text") -> DataFrame:

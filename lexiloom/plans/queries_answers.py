@@ -91,12 +91,12 @@ def cleaned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKENS = """CAST(greatest(1, floor(1.22::DOUBLE * len(regexp_extract_all(text, '\\S+')) + 0.22::DOUBLE * len(regexp_extract_all(text, '[.,;:!?()\\[\\]{}"'']')) + 0.08::DOUBLE * len(regexp_extract_all(text, '[^\\x00-\\x7F]')) + 8)) AS BIGINT)"""
 
 
-@query(f"SELECT CAST(doc_id AS VARCHAR) AS node_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS joined_sha256, true AS within FROM documents WHERE {_TOKENS} > 150")
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS node_id, sha256(text) AS joined_sha256, true AS within FROM documents WHERE {_TOKENS} > 150")
 def layout_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long documents in parts of 150 tokens, joined again: nothing is lost and no part is over the budget (but single words)."""
+    """Long documents in parts of 150 tokens, joined again to the byte: nothing is lost and no part is over the budget (but single words)."""
     parts = packing.split_layout(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content")), 150)
     within = parts.groupBy("node_id").agg(F.every((tx.token_estimate(F.col("text")) <= 150) | (tx.word_count(F.col("text")) <= 1)).alias("within"))
-    whole = packing.rejoin(parts).select("node_id", F.sha2(F.trim(F.regexp_replace("joined", r"\s+", " ")), 256).alias("joined_sha256"))
+    whole = packing.rejoin(parts).select("node_id", F.sha2("joined", 256).alias("joined_sha256"))
     return whole.join(within, "node_id")
 
 

@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators import assurance, packing
+from lexiloom.functions import canonical
+from lexiloom.operators import assurance, nodes, packing
 from lexiloom.plans.fixtures import PAIRS_SQL, TERMS, pairs, term_list
 from lexiloom.plans.queries_tables import _UNSHOWN, NODES_SQL, _has, typed
 from lexiloom.plans.queries_text import _SENSITIVE_SQL, _word_sql
+from lexiloom.session import table
 from lexiloom.sources import readers
 
 QUERIES: dict = {}
@@ -275,3 +277,53 @@ SELECT h.node_id, CAST(level AS INTEGER) AS level, coalesce(parent, chapter_id)
 def contents_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every heading with its parent: the nearest heading before it of a lower level, or its chapter."""
     return readers.contents(_laid(spark, sf_dir)).select("node_id", "level", "parent_id")
+
+
+# neighbours and signatures
+
+_COST = "greatest(1, CAST(floor((len(regexp_extract_all(content, '\\S+')) + len(regexp_extract_all(CASE WHEN order_index % 3 = 0 THEN '& ' || content ELSE '' END, '\\S+'))) * 1.45::DOUBLE) AS BIGINT))"
+_PICK = "CASE WHEN len({0}) >= {1} AND (len(ids) = 0 OR spent + {0}[{1}].cost <= 120) THEN"
+
+
+def _budgeted(n: int) -> str:
+    """CTEs b0 to bn that take the entries of a list one after the other."""
+    out = ["b0 AS (SELECT node_id, found, CAST([] AS VARCHAR[]) AS ids, CAST(0 AS BIGINT) AS spent FROM f)"]
+    for i in range(1, n + 1):
+        pick = _PICK.format("found", i)
+        out.append(f"b{i} AS (SELECT node_id, found, {pick} list_append(ids, found[{i}].id) ELSE ids END AS ids, {pick} spent + found[{i}].cost ELSE spent END AS spent FROM b{i - 1})")
+    return ", ".join(out)
+
+
+@query(f"""WITH {NODES_SQL},
+v AS (SELECT chapter_id, order_index, row_number() OVER (PARTITION BY chapter_id ORDER BY order_index) AS i, {{'id': node_id, 'cost': {_COST}}} AS x FROM nodes WHERE status IN ('TRANSLATED', 'PENDING')),
+lists AS (SELECT chapter_id, list(x ORDER BY i) AS xs, list(order_index ORDER BY i) AS os FROM v GROUP BY chapter_id),
+f AS (SELECT node_id, list_concat(list_slice(xs, greatest(1, r - 1), r), list_slice(xs, r + own + 1, r + own + 2)) AS found FROM (
+  SELECT node_id, coalesce(xs, []) AS xs, len(list_filter(coalesce(os, []), lambda o: o < order_index)) AS r, CAST(status IN ('TRANSLATED', 'PENDING') AS INT) AS own FROM nodes LEFT JOIN lists ON lists.chapter_id = nodes.chapter_id)),
+{_budgeted(4)}
+SELECT node_id, array_to_string(ids, ',') AS context FROM b4""")
+def neighbour_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two nearest finished nodes on either side of every node, within a budget."""
+    out = nodes.neighbours(_laid(spark, sf_dir), 2, 2, 120, F.col("status").isin("TRANSLATED", "PENDING"))
+    return out.select("node_id", F.array_join("context", ",").alias("context"))
+
+
+@query("""WITH w AS (SELECT doc_id, lang, source, n_chars, list_slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), 1, 4) AS ws FROM documents)
+SELECT doc_id, sha256('{"document_type":' || to_json(coalesce(source, '')) || ',"style_guide":{"ALL":' || CAST(coalesce(n_chars, 0) AS VARCHAR) || ',"b":[],"words":[' || array_to_string(list_transform(ws, lambda x: CAST(to_json(x) AS VARCHAR)), ',') || ']},"target_language":' || to_json(coalesce(lang, '')) || '}') AS style_hash,
+  sha256('{' || CASE WHEN len(ws) = 0 THEN '' ELSE '"term":' || to_json(ws[1]) END || '}') AS glossary_hash FROM w""")
+def signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of configurations made of every document, whose keys come in another order than the canonical one."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 4).alias("ws"))
+    listed = F.array_join(F.transform("ws", canonical.quoted), ", ")
+    config = F.concat(F.lit('{"target_language": '), canonical.quoted(F.coalesce("lang", F.lit(""))), F.lit(', "style_guide": {"words": ['), listed, F.lit('], "b": [ ], "ALL": '), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit('}, "document_type": '), canonical.quoted(F.coalesce("source", F.lit(""))), F.lit("}"))
+    terms_ = F.when(F.size("ws") > 0, F.concat(F.lit('{ "term" : '), canonical.quoted(F.get("ws", F.lit(0))), F.lit("}")))
+    found = canonical.translation_signature(config, terms_)
+    return d.select("doc_id", found.alias("s")).select("doc_id", "s.style_hash", "s.glossary_hash")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS node_id, md5(text) AS joined_md5, true AS fits FROM documents WHERE text <> ''")
+def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents in the segments that they are rendered in, cut again where a request does not fit, and put together again to the byte."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"))
+    found = packing.segments(d, window=2400, fixed=150, first_context=60)
+    fits = found.groupBy("node_id").agg(F.every("fits").alias("fits"))
+    return packing.rejoin(found).select("node_id", F.md5("joined").alias("joined_md5")).join(fits, "node_id")

@@ -140,3 +140,61 @@ def test_chunks_take_what_their_request_holds(spark):
     assert got == want
     assert {v[3] for v in want.values()} == {-1, 0, 1, 2}
     assert packing.pack_assembled(d.limit(0), g).count() == 0
+
+
+def test_segments_by_brute_force(spark):
+    rng = random.Random(7)
+    pieces = ["word ", "a, ", "end. ", "two; ", "\n", "\n\n", "\t", "  ", "é ", "long" * 20 + " ", "x.y "]
+    texts = {str(i): "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 900))) for i in range(40)} | {"w": "w" * 900, "q": "“" * 4000, "e": "", "n": None, "l": "\n\nlead", "s": "short"}
+    window, fixed, first, depth = 900, 100, 40, 3
+
+    def total(source, context):
+        return fixed + max(220, int(window * 0.06)) + context + source + max(320, min(1400, int(source * 1.35) + 128))
+
+    want = {}
+    for node, text in texts.items():
+        if not text:
+            continue
+        parts = packing.layout_parts(text, 180)
+        for turn in range(depth + 1):
+            sizes = [est(p) for p, _ in parts]
+            totals = [total(n, int(sizes[i - 1] * 2.35) if i else first) for i, n in enumerate(sizes)]
+            over = [t > window for t in totals]
+            if turn == depth or not any(over):
+                break
+            after = []
+            for (p, gap), n, t, bad in zip(parts, sizes, totals, over, strict=True):
+                smaller = packing.layout_parts(p, min(max(16, window - t + n), max(16, n // 2))) if bad else [(p, "")]
+                smaller[-1] = smaller[-1][0], smaller[-1][1] + gap
+                after += smaller
+            parts = after
+        want[node] = [(p, g, n, t, t <= window) for (p, g), n, t in zip(parts, sizes, totals, strict=True)]
+        assert "".join(p + g for p, g in parts) == text
+    d = spark.createDataFrame(list(texts.items()), "node_id string, content string")
+    got = {}
+    for r in packing.segments(d, window, fixed, first, depth=depth).orderBy("node_id", "part").collect():
+        got.setdefault(r["node_id"], []).append((r["text"], r["gap"], r["source_tokens"], r["total_tokens"], r["fits"]))
+    assert got == want
+    assert not all(x[-1] for x in want["q"]) and any(len(x) > 3 for x in want.values())
+    assert packing.segments(d.limit(0)).count() == 0
+
+
+def test_neighbours_on_both_sides(spark):
+    from pyspark.sql import functions as F
+
+    from lexiloom.operators import nodes
+
+    rng = random.Random(8)
+    rows = [(c, f"{c}{i}", i * 3, "w " * rng.randrange(30), rng.choice([None, "t " * 20]), rng.random() < 0.5) for c in "abc" for i in range(25)] + [(None, "n0", 0, "x", "y", True), (None, "n1", 1, "x", "y", True), ("z", "z0", 0, None, None, True), ("z", "z1", 1, None, None, None)]
+    d = spark.createDataFrame(rows, "chapter_id string, node_id string, order_index int, content string, target_text string, ok boolean")
+    got = {r["node_id"]: r["context"] for r in nodes.neighbours(d, 2, 3, 70, F.col("ok")).collect()}
+    for c, node, at, *_ in rows:
+        same = [r for r in rows if r[0] == c and c is not None and r[5]]
+        near = [r for r in same if r[2] < at][-2:] + [r for r in same if r[2] > at][:3]
+        ids, spent = [], 0
+        for r in near:
+            cost = max(1, int((len((r[3] or "").split()) + len((r[4] or "").split())) * 1.45))
+            if not ids or spent + cost <= 70:
+                ids.append(r[1])
+                spent += cost
+        assert got[node] == ids, node
