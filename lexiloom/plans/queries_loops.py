@@ -5,16 +5,20 @@ Models are column expressions of the texts, so the SQL says the same answers; th
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions import canonical
 from lexiloom.operators import assurance, nodes, packing
-from lexiloom.plans.fixtures import PAIRS_SQL, TERMS, pairs, term_list
+from lexiloom.plans.fixtures import LINES_SQL, PAIRS_SQL, TERMS, lines, pairs, term_list
 from lexiloom.plans.queries_tables import _UNSHOWN, NODES_SQL, _has, typed
 from lexiloom.plans.queries_text import _SENSITIVE_SQL, _word_sql
 from lexiloom.session import table
 from lexiloom.sources import readers
+from lexiloom.sources.store import Store, save_document
+from lexiloom.stages import STAGED, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -327,3 +331,24 @@ def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.segments(d, window=2400, fixed=150, first_context=60)
     fits = found.groupBy("node_id").agg(F.every("fits").alias("fits"))
     return packing.rejoin(found).select("node_id", F.md5("joined").alias("joined_md5")).join(fits, "node_id")
+
+
+# documents replaced in a store
+
+_NUMBERED = "row_number() OVER (PARTITION BY project_id ORDER BY doc_id, order_index) - 1"
+
+
+@query(f"""WITH {LINES_SQL},
+old AS (SELECT project_id, chapter_id, node_id, content, {_NUMBERED} AS order_index FROM lines WHERE project_id NOT IN ('src1', 'src2')),
+new AS (SELECT project_id, chapter_id, node_id, '+' || content AS content, {_NUMBERED} AS order_index FROM lines WHERE project_id = 'src1' AND order_index % 2 = 0)
+SELECT project_id, chapter_id, node_id, content, CAST(order_index AS BIGINT) AS order_index FROM (SELECT * FROM old UNION ALL SELECT * FROM new)""")
+def replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of every project, of which one is then replaced by a shorter text and one emptied; chapters and nodes in one commit each time."""
+    n = lines(spark, sf_dir).select("project_id", "chapter_id", "node_id", F.col("doc_id").alias("chapter_index"), F.col("order_index").alias("node_index"), "content")
+    c = n.select("project_id", "chapter_id", "chapter_index").distinct()
+    kept = Store(spark, f"{shared_dir(spark)}/lexiloom/store-{uuid.uuid4().hex}")
+    STAGED.add(kept.path)
+    save_document(kept, n, c)
+    more = n.where("project_id = 'src1' and node_index % 2 = 0").withColumn("content", F.concat(F.lit("+"), F.col("content")))
+    save_document(kept, more, c.where("project_id in ('src1', 'src2')"))
+    return kept.read("nodes").select("project_id", "chapter_id", "node_id", "content", F.col("order_index").cast("long").alias("order_index"))
