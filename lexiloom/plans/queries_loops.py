@@ -19,6 +19,7 @@ from lexiloom.session import table
 from lexiloom.sources import readers
 from lexiloom.sources.store import Store, save_document
 from lexiloom.stages import STAGED, shared_dir
+from lexiloom.streaming import lifecycle
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -352,3 +353,48 @@ def replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = n.where("project_id = 'src1' and node_index % 2 = 0").withColumn("content", F.concat(F.lit("+"), F.col("content")))
     save_document(kept, more, c.where("project_id in ('src1', 'src2')"))
     return kept.read("nodes").select("project_id", "chapter_id", "node_id", "content", F.col("order_index").cast("long").alias("order_index"))
+
+
+# lives of jobs
+
+_JOB_KINDS = {
+    "signup": ("START", "RETRY", "START"), "click": ("NODE_STARTED", "NODE_STARTED", "NODE_DONE"), "purchase": ("PAUSE", "RESUME", "FINISHED"),
+    "error": ("NODE_FAILED", "NODE_REVIEW", "STOP"), "view": ("HEARTBEAT", "START", "RESUME"),
+}
+_STALE = 12 * 3600 * 1_000_000
+_KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{t}' THEN (['{a}', '{b}', '{c}'])[(event_id % 3 + 1)::INT]" for t, (a, b, c) in _JOB_KINDS.items()) + " ELSE 'HEARTBEAT' END"
+
+
+def _swapped(nodes_: str, states: str) -> str:
+    return f"list_transform({nodes_}, lambda x: CASE WHEN x IN ({states}) THEN 'PENDING' ELSE x END)"
+
+
+def _held(nodes_: str, states: str) -> str:
+    return f"len(list_filter({nodes_}, lambda x: x IN ({states})))"
+
+
+@query(f"""WITH RECURSIVE ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS p, epoch_us(ts) AS us, event_id, {_KIND_SQL} AS kind, CAST(event_id % 4 AS INT) AS node, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT DISTINCT p, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS us, CAST(NULL AS BIGINT) AS event_id, '' AS kind, 'IDLE' AS was, 'IDLE' AS status, CAST(['', '', '', ''] AS VARCHAR[]) AS ns, false AS stale, CAST(0 AS BIGINT) AS stale_at, 0 AS stale_reset, false AS moved, 0 AS move_reset FROM ev
+  UNION ALL
+  SELECT p, i, us, event_id, kind, st, CASE WHEN mv THEN aft ELSE st END, CASE WHEN mv AND kind = 'RETRY' THEN {_swapped("n2", "'TRANSLATING', 'FAILED', 'NEEDS_REVIEW'")} WHEN mv AND kind = 'START' THEN {_swapped("n2", "'TRANSLATING'")} ELSE n2 END,
+    s, prev_us + {_STALE}, CASE WHEN s THEN {_held("ns", "'TRANSLATING'")} ELSE 0 END, mv,
+    CASE WHEN mv AND kind = 'RETRY' THEN {_held("n2", "'TRANSLATING', 'FAILED', 'NEEDS_REVIEW'")} WHEN mv AND kind = 'START' THEN {_held("n2", "'TRANSLATING'")} ELSE 0 END
+  FROM (
+    SELECT *, CASE kind WHEN 'START' THEN 'RUNNING' WHEN 'RETRY' THEN 'RUNNING' WHEN 'RESUME' THEN 'RUNNING' WHEN 'PAUSE' THEN 'PAUSED' WHEN 'STOP' THEN 'STOPPED' WHEN 'FINISHED' THEN 'IDLE' END AS aft,
+      CASE WHEN kind IN ('START', 'RETRY') THEN st <> 'RUNNING' WHEN kind IN ('PAUSE', 'FINISHED') THEN st = 'RUNNING' WHEN kind = 'RESUME' THEN st = 'PAUSED' WHEN kind = 'STOP' THEN st <> 'STOPPED' ELSE false END AS mv,
+      CASE WHEN starts_with(kind, 'NODE_') THEN list_transform(n1, lambda x, j: CASE WHEN j = node + 1 THEN CASE kind WHEN 'NODE_STARTED' THEN 'TRANSLATING' WHEN 'NODE_DONE' THEN 'TRANSLATED' WHEN 'NODE_FAILED' THEN 'FAILED' ELSE 'NEEDS_REVIEW' END ELSE x END) ELSE n1 END AS n2
+    FROM (
+      SELECT *, CASE WHEN s THEN 'IDLE' ELSE status END AS st, CASE WHEN s THEN {_swapped("ns", "'TRANSLATING'")} ELSE ns END AS n1
+      FROM (SELECT ev.p, ev.i, ev.us, ev.event_id, ev.kind, ev.node, r.us AS prev_us, r.status, r.ns, r.status = 'RUNNING' AND ev.us - r.us > {_STALE} AS s FROM r JOIN ev ON ev.p = r.p AND ev.i = r.i + 1))))
+SELECT p AS project_id, stale_at AS micros, CAST(NULL AS BIGINT) AS event_id, 'STALE' AS kind, 'RUNNING' AS before, 'IDLE' AS after, CAST(stale_reset AS BIGINT) AS nodes_reset FROM r WHERE stale
+UNION ALL SELECT p, us, event_id, kind, was, status, CAST(move_reset AS BIGINT) FROM r WHERE moved""")
+def job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions of every user's job, whose kinds of events are told by type and id; the streaming form is held against this one in the tests."""
+    e = table(spark, sf_dir, "events")
+    kind = F.lit("HEARTBEAT")
+    for t, names in _JOB_KINDS.items():
+        kind = F.when(F.col("event_type") == t, F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 3 + 1).cast("int"))).otherwise(kind)
+    e = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("project_id"), kind.alias("kind"), (F.col("event_id") % 4).alias("node_id"))
+    return lifecycle.transitions(e, "12 hours")
