@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as tx
+from lexiloom.operators.terms import term_hits
 
 #: Quoted speech, lines of speech, verbs of saying, English persons, neutral pronouns, ways to call the reader.
 QUOTED = r"“[^”]*”|\"[^\"]*\"|«[^»]*»"
@@ -39,13 +40,15 @@ def _words(c: Column) -> Column:
 def attributed(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """nodes (node_id, project_id, source_text, target_text) with the one pair whose speaker says something to the listener in the narration; nodes with none or several are left out.
 
-    Pairs meet the nodes of their project (few a project); the pattern is verified, then pairs are counted for each node.
+    Nodes and pairs meet where the speaker stands in the narration as a whole word, or words (term_hits), so pairs that are
+    not named cost nothing; the pattern is verified, then pairs are counted for each node.
     """
     told = F.regexp_replace(F.coalesce("source_text", F.lit("")), QUOTED, " | ")
     name = lambda c: F.concat(F.lit(r"\b\Q"), F.col(c), F.lit(r"\E\b"))
     says = F.lit(rf"\b(?:{SAYING})\b")
     pattern = F.concat(F.lit("(?iU)"), name("speaker"), F.lit("[^|.]*?(?:"), says, F.lit("[^|.]*?"), name("listener"), F.lit("|"), name("listener"), F.lit("[^|.]*?"), says, F.lit(")"))
-    hit = nodes.join(pairs, "project_id").where(F.regexp_like(told, pattern))
+    met = term_hits(nodes.select("node_id", "project_id", told.alias("_told")), pairs.withColumnRenamed("project_id", "_of"), "_told", "speaker")
+    hit = met.where((F.col("project_id") == F.col("_of")) & F.regexp_like("_told", pattern))
     one = hit.groupBy("node_id").agg(F.count("*").alias("_pairs"), F.first(F.struct("speaker", "listener", "self_term", "other_term")).alias("pair")).where(F.col("_pairs") == 1)
     return nodes.join(one.drop("_pairs"), "node_id")
 

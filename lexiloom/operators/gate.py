@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import facts, text as tx
 from lexiloom.operators.multiset import multiset_minus
+from lexiloom.stages import staged
 
 ERROR, WARNING, INFO = "ERROR", "WARNING", "INFO"
 ISSUES = "array<struct<code:string,severity:string,detail:string>>"
@@ -195,26 +196,29 @@ def relabel(issue_type: Column, ratio: Column) -> Column:
 def context_leaks(nodes: DataFrame, earlier: DataFrame, least_words: int = 6, overlap: float = 0.8) -> DataFrame:
     """(node_id, sentence, leaked_from): sentences of nodes(node_id, text) whose word set overlaps one of earlier(id, text) by `overlap` (Jaccard).
 
-    Candidates come from an equi-join on rare words: each sentence files under its (1 - overlap) n + 1 rarest words, which any
-    sentence at that overlap shares; so there is no cross join. Exact check follows.
+    Candidates come from an equi-join on rare words: each distinct set of words files under its (1 - overlap) n + 1 rarest words,
+    which any set at that overlap shares; so there is no cross join. What meets is keys of sets; words come back for the exact
+    check, sentences for the answer.
     """
 
-    def filed(df: DataFrame, key: str, rank: DataFrame, name: str) -> DataFrame:
-        w = df.withColumn("_w", F.explode(f"{name}_words")).join(rank, F.col("_w") == F.col("word"))
-        n = F.size(f"{name}_words")
-        prefix = F.slice(F.array_sort(F.collect_list(F.struct("freq", "word"))), F.lit(1), F.first(n) - F.ceil(overlap * F.first(n) - 1e-9).cast("int") + 1)
-        return w.groupBy(key, f"{name}_sentence").agg(F.first(f"{name}_words").alias(f"{name}_words"), prefix.alias("_p"))
-
     def cut(df: DataFrame, key: str, name: str) -> DataFrame:
-        s = df.select(F.col(key).alias(f"{name}_id"), F.explode(tx.sentences(F.col("text"))).alias(f"{name}_sentence"))
-        return s.select("*", tx.word_set(F.col(f"{name}_sentence")).alias(f"{name}_words")).where(F.size(f"{name}_words") >= 1).dropDuplicates([f"{name}_id", f"{name}_sentence"])
-
-    a = cut(nodes, "node_id", "a").where(F.size("a_words") >= least_words)
-    b = cut(earlier, "id", "b")
+        s = df.select(F.col(key).alias(f"{name}_id"), F.explode(F.array_distinct(tx.sentences(F.col("text")))).alias(f"{name}_sentence"))
+        s = s.select("*", tx.word_set(F.col(f"{name}_sentence")).alias(f"{name}_words")).where(F.size(f"{name}_words") >= 1).dropDuplicates([f"{name}_id", f"{name}_sentence"])
+        return s.withColumn(f"{name}_key", F.unhex(F.sha2(F.array_join(F.array_sort(f"{name}_words"), " "), 256)))
+
+    def filed(sets: DataFrame, name: str) -> DataFrame:
+        """(key, word) of the rarest words of each distinct word set: as many as a set at the overlap is bound to share."""
+        one = sets.select(F.col(f"{name}_key").alias("key"), F.col(f"{name}_words").alias("words")).dropDuplicates(["key"])
+        w = one.select("key", F.size("words").alias("n"), F.explode("words").alias("word")).join(rank, "word")
+        first = F.slice(F.array_sort(F.collect_list(F.struct("freq", "word"))), F.lit(1), F.first("n") - F.ceil(overlap * F.first("n") - 1e-9).cast("int") + 1)
+        return w.groupBy("key").agg(first.alias("p")).select(F.col("key").alias(f"{name}_key"), F.explode("p.word").alias("word"))
+
+    a = staged(cut(nodes, "node_id", "a").where(F.size("a_words") >= least_words), "sentences")
+    b = staged(cut(earlier, "id", "b"), "sentences")
     rank = b.select(F.explode("b_words").alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
     rank = rank.union(a.select(F.explode("a_words").alias("word")).distinct().join(rank, "word", "left_anti").select("word", F.lit(0).cast("long").alias("freq")))
-    fa = filed(a, "a_id", rank, "a").select("a_id", "a_sentence", "a_words", F.explode("_p.word").alias("word"))
-    fb = filed(b, "b_id", rank, "b").select("b_id", "b_sentence", "b_words", F.explode("_p.word").alias("word"))
+    met = filed(a, "a").join(filed(b, "b"), "word").select("a_key", "b_key").distinct()
     same, either = F.size(F.array_intersect("a_words", "b_words")), F.size(F.array_union("a_words", "b_words"))
-    near = fa.join(fb, "word").where(same / either >= overlap)
-    return near.groupBy(F.col("a_id").alias("node_id"), F.col("a_sentence").alias("sentence")).agg(F.min("b_id").alias("leaked_from"))
+    a_sets, b_sets = a.select("a_key", "a_words").dropDuplicates(["a_key"]), b.groupBy("b_key").agg(F.min("b_id").alias("b_id"), F.first("b_words").alias("b_words"))
+    near = met.join(a_sets, "a_key").join(b_sets, "b_key").where(same / either >= overlap).groupBy("a_key").agg(F.min("b_id").alias("leaked_from"))
+    return a.join(near, "a_key").groupBy(F.col("a_id").alias("node_id"), F.col("a_sentence").alias("sentence")).agg(F.min("leaked_from").alias("leaked_from"))

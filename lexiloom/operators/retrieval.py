@@ -22,25 +22,44 @@ def _best(scored: DataFrame, per: list[str], k: int, tie: str) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: A library of so many examples at most goes to the tasks whole.
+LIBRARY = 5_000
+
+
 def few_shot(nodes: DataFrame, library: DataFrame, k: int = 4) -> DataFrame:
     """(node_id, example_id, score, rank): at most k examples of the node's domain (GENERAL where the library lacks it), each source once.
 
     nodes: (node_id, domain, mode, node_type, source_text); library: (example_id, domain, node_type, modes, register, patterns,
-    source). What the score reads of a node is its domain, mode, type, tags and length; nodes alike in these are scored once, so
-    the library, small by nature, meets a table of distinct kinds of nodes, and the best k come back by an equi-join.
+    source). Examples alike but for their id are one, the least. The library is counted: LIBRARY examples at most are
+    broadcast as a list for each domain, and a node's best are taken from its list in the pass that reads it, without a shuffle. A
+    larger one meets nodes by the domain, dealt in parts that each keep k examples a node.
     """
+    alike = ["domain", "x_type", "modes", "register", "patterns", "source", "x_n"]
+    lib = library.select("example_id", "domain", F.lower("node_type").alias("x_type"), "modes", "register", "patterns", F.sha2("source", 256).alias("source"), tx.word_count(F.col("source")).alias("x_n"))
+    lib = lib.groupBy(*alike).agg(F.min("example_id").alias("example_id"))
     have = library.select("domain").distinct().withColumn("_have", F.lit(True))
     n = nodes.join(have, "domain", "left").withColumn("domain", F.when(F.col("_have"), F.col("domain")).otherwise("GENERAL"))
     n = n.select("node_id", "domain", "mode", F.lower("node_type").alias("node_type"), scores.pattern_tags(F.col("source_text")).alias("tags"), tx.word_count(F.col("source_text")).alias("n"))
-    n = n.withColumn("kind", F.sha2(F.to_json(F.struct("domain", "mode", "node_type", "tags", "n")), 256))
-    kinds = n.drop("node_id").dropDuplicates(["kind"])
-    lib = library.select("example_id", "domain", F.lower("node_type").alias("x_type"), "modes", "register", "patterns", F.sha2("source", 256).alias("source"), tx.word_count(F.col("source")).alias("x_n"))
-    type_ = F.when(F.col("x_type") == F.col("node_type"), 30).when(F.col("node_type").isin("paragraph", "quote") & (F.col("x_type") == "paragraph"), 8).otherwise(0)
-    exact = F.col("mode").isin("FAITHFUL", "ACADEMIC", "TECHNICAL") & F.col("register").isin("formal", "scholarly", "precise")
-    score = 100 + type_ + F.when(F.array_contains("modes", F.col("mode")), 12).otherwise(0) + 18 * F.size(F.array_intersect("tags", "patterns")) + _length_match(F.col("n"), F.col("x_n"), 12) + F.when(exact, 5).otherwise(0)
-    scored = kinds.join(lib, "domain").select("kind", "example_id", "source", score.cast("long").alias("score"))
-    best = _best(_best(scored, ["kind", "source"], 1, "example_id").drop("rank"), ["kind"], k, "example_id")
-    return n.select("node_id", "kind").join(best, "kind").select("node_id", "example_id", "score", "rank")
+
+    def scored(x) -> Column:  # noqa: ANN001
+        type_ = F.when(x["x_type"] == F.col("node_type"), 30).when(F.col("node_type").isin("paragraph", "quote") & (x["x_type"] == "paragraph"), 8).otherwise(0)
+        exact = F.col("mode").isin("FAITHFUL", "ACADEMIC", "TECHNICAL") & x["register"].isin("formal", "scholarly", "precise")
+        total = 100 + type_ + F.when(F.array_contains(x["modes"], F.col("mode")), 12).otherwise(0) + 18 * F.size(F.array_intersect(F.col("tags"), x["patterns"])) + _length_match(F.col("n"), x["x_n"], 12) + F.when(exact, 5).otherwise(0)
+        return total.cast("long")
+
+    if len(library.select("example_id").limit(LIBRARY + 1).collect()) <= LIBRARY:
+        lists = lib.groupBy("domain").agg(F.collect_list(F.struct("example_id", *alike[1:])).alias("xs"))
+        n = n.join(F.broadcast(lists), "domain").select("node_id", F.array_sort(F.transform("xs", lambda x: F.struct(x["source"].alias("source"), (-scored(x)).alias("least"), x["example_id"].alias("example_id")))).alias("all"))
+        best = tx.let(F.col("all"), lambda xs: F.filter(xs, lambda x, i: (i == 0) | (F.get(xs, i - 1)["source"] != x["source"])))  # the best of a source comes first
+        top = F.slice(F.array_sort(F.transform(best, lambda x: F.struct(x["least"].alias("least"), x["example_id"].alias("example_id")))), 1, k)
+        found = n.select("node_id", F.posexplode(top).alias("at", "x"))
+        return found.select("node_id", F.col("x.example_id").alias("example_id"), (-F.col("x.least")).alias("score"), (F.col("at") + 1).alias("rank"))
+    dealt = n.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    met = dealt.join(lib.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(DEALS)).cast("int")), ["domain", "part"])
+    per = met.select("node_id", "part", "example_id", "source", scored({c: F.col(c) for c in alike}).alias("score"))
+    one = _best(per, ["node_id", "part", "source"], 1, "example_id").drop("rank")
+    some = _best(one, ["node_id", "part"], k, "example_id").drop("rank", "part", "source")
+    return _best(some, ["node_id"], k, "example_id").select("node_id", "example_id", "score", "rank")
 
 
 def style_memory(nodes: DataFrame, memory: DataFrame, k: int = 3, deals: int = DEALS) -> DataFrame:
