@@ -155,12 +155,46 @@ def refuted_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("node_id", reviews.refute_additions(F.col("s"), F.col("r")).alias("r")).select("node_id", "r.status", "r.score")
 
 
-@query("""SELECT c_custkey AS node_id, ['PASS', 'FAIL', 'ERROR', 'ERROR', 'ERROR'][c_custkey % 5 + 1] AS status, ['', '', 'BAD_SCORE', 'NO_VERDICT', 'NOT_AN_OBJECT'][c_custkey % 5 + 1] AS error,
-  [NULL, 'AI_QA_RECOMMENDATION', 'QA_ERROR', 'QA_ERROR', 'QA_ERROR'][c_custkey % 5 + 1] AS issue_type FROM customer""")
+def _verdict_payload() -> Column:
+    """A verdict as a model may give it, made of a document: its length tells the form of every part, its words are the issues."""
+    n, ws = F.length("text"), F.transform(F.slice(F.split("text", " "), 1, 2), lambda w: F.regexp_replace(w, "[^A-Za-z]", ""))
+    form = lambda by, *texts: F.get(F.array(*texts), (F.floor(n / by) % len(texts)).cast("int"))
+    none = F.lit(None).cast("string")
+    told = form(11, F.lit('"is_passed": true'), F.lit('"is_passed": false'), F.lit('"is_passed": "yes"'), F.lit('"is_passed": true'), none)
+    score = form(55, F.concat(F.lit('"score": 0.'), F.lpad((n % 100).cast("string"), 2, "0")), F.concat(F.lit('"score": '), n.cast("string")), F.lit('"score": "0.5"'), F.lit('"score": 1'), none, F.lit('"score": -0.5'))
+    listed = F.concat(F.lit('"issues": ["'), F.array_join(ws, '", "'), F.lit('"]'))
+    issues_ = form(7, F.lit('"issues": []'), listed, F.concat(F.lit('"issues": ["'), F.get(ws, F.lit(0)), F.lit('", 3]')), listed, none)
+    failed = F.when(F.col("text").contains("%"), F.concat(F.lit('"status": "ERROR", "error": "'), F.get(ws, F.lit(0)), F.lit('"')))
+    whole = F.concat(F.lit("{"), F.concat_ws(", ", issues_, score, failed, told), F.lit("}"))
+    return F.when(n % 13 == 0, F.col("text")).when(n % 13 == 1, F.lit('[{"is_passed": true, "score": 1, "issues": []}]')).otherwise(whole)
+
+
+_VERDICT_FORM = "([{1}])[(length(text) // {0} % {2} + 1)::INT]"
+_VERDICT_PARTS = {
+    "told": (11, ("'\"is_passed\": true'", "'\"is_passed\": false'", "'\"is_passed\": \"yes\"'", "'\"is_passed\": true'", "NULL")),
+    "score": (55, ("'\"score\": 0.' || lpad(CAST(length(text) % 100 AS VARCHAR), 2, '0')", "'\"score\": ' || length(text)", "'\"score\": \"0.5\"'", "'\"score\": 1'", "NULL", "'\"score\": -0.5'")),
+    "listed": (7, ("'\"issues\": []'", "l", "'\"issues\": [\"' || ws[1] || '\", 3]'", "l", "NULL")),
+}
+
+
+@query("""WITH w AS (SELECT doc_id, text, list_transform(list_slice(string_split(text, ' '), 1, 2), lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')) AS ws FROM documents),
+q AS (SELECT *, '"issues": ["' || array_to_string(ws, '", "') || '"]' AS l FROM w),
+parts AS (SELECT *, """ + ", ".join(f"{_VERDICT_FORM.format(by, ', '.join(xs), len(xs))} AS {name}" for name, (by, xs) in _VERDICT_PARTS.items()) + """ FROM q),
+made AS (SELECT doc_id, CASE length(text) % 13 WHEN 0 THEN text WHEN 1 THEN '[{"is_passed": true, "score": 1, "issues": []}]'
+  ELSE '{' || concat_ws(', ', listed, score, CASE WHEN contains(text, '%') THEN '"status": "ERROR", "error": "' || ws[1] || '"' END, told) || '}' END AS p FROM parts),
+j AS (SELECT doc_id, CASE WHEN json_valid(p) THEN CAST(p AS JSON) END AS j FROM made),
+e AS (SELECT doc_id, j, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'NOT_AN_OBJECT'
+  WHEN j->>'$.status' = 'ERROR' OR coalesce(j->>'$.error', '') <> '' THEN coalesce(nullif(j->>'$.error', ''), 'PROVIDER_ERROR')
+  WHEN coalesce(json_type(j, '$.is_passed'), '') <> 'BOOLEAN' THEN 'NO_VERDICT'
+  WHEN coalesce(json_type(j, '$.score'), '') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') OR CAST(j->>'$.score' AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'BAD_SCORE'
+  WHEN coalesce(json_type(j, '$.issues'), '') <> 'ARRAY' OR len(list_filter(json_transform(j->'$.issues', '["JSON"]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 THEN 'BAD_ISSUES' END AS error FROM j)
+SELECT doc_id AS node_id, CASE WHEN error IS NOT NULL THEN 'ERROR' WHEN j->>'$.is_passed' = 'true' THEN 'PASS' ELSE 'FAIL' END AS status, coalesce(error, '') AS error,
+  CASE WHEN error IS NOT NULL THEN 'QA_ERROR' WHEN j->>'$.is_passed' <> 'true' THEN 'AI_QA_RECOMMENDATION' END AS issue_type,
+  CASE WHEN error IS NULL THEN array_to_string(json_transform(j->'$.issues', '["VARCHAR"]'), ',') ELSE '' END AS issues, CASE WHEN error IS NULL THEN CAST(j->>'$.score' AS DOUBLE) END AS score FROM e""")
 def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = pick(F.col("c_custkey"), '{"is_passed": true, "score": 0.9, "issues": []}', '{"is_passed": false, "score": 0.2, "issues": ["a", "b"]}', '{"is_passed": true, "score": 1.2, "issues": []}', '{"is_passed": "yes", "score": 1, "issues": []}', "[1, 2]")
-    r = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), reviews.qa_result(payload).alias("r"))
-    return r.select("node_id", "r.status", F.coalesce("r.error", F.lit("")).alias("error"), reviews.verdict_issue(F.col("r.status"), F.col("r.is_passed"))["issue_type"].alias("issue_type"))
+    """Verdicts made of every document in all forms and combinations of their parts, read strictly; the SQL parses the same payloads."""
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), reviews.qa_result(_verdict_payload()).alias("r"))
+    return r.select("node_id", "r.status", F.coalesce("r.error", F.lit("")).alias("error"), reviews.verdict_issue(F.col("r.status"), F.col("r.is_passed"))["issue_type"].alias("issue_type"), F.array_join("r.issues", ",").alias("issues"), "r.score")
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, ['paragraph', 'heading', 'table', 'caption'][c_custkey % 4 + 1] AS kind, ['AUTO', 'ALWAYS', 'LINT_ONLY'][c_custkey % 3 + 1] AS mode, ['HIGH_QUALITY', 'PUBLISHING'][c_custkey % 2 + 1] AS tier,
