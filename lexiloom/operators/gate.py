@@ -84,6 +84,11 @@ def residue(target: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(left, F.regexp_extract_all(_prose(target), F.lit(opening), F.lit(1)))))
 
 
+#: A word quoted alone; a rendering that lost its opening quote.
+QUOTED_WORD = r"[“\"‘']([A-Za-z]+)[”\"’']"
+OPENING_LOST = "^[^\"“”]+[,.!?…]\\s*[\"”]"
+
+
 def foreign_words(source: Column, target: Column, allowed: Column | None = None) -> Column:
     """Words of ASCII letters in a rendering that no Vietnamese syllable looks like, each once, in their order.
 
@@ -92,7 +97,7 @@ def foreign_words(source: Column, target: Column, allowed: Column | None = None)
     numbers, text in parentheses, and a word quoted alone that the source has.
     """
     prose = F.regexp_replace(_prose(target), r"\([^()]*\)", " ")
-    quoted = F.filter(F.regexp_extract_all(prose, F.lit(r"[“\"‘']([A-Za-z]+)[”\"’']"), F.lit(1)), lambda w: F.contains(F.lower(source), F.lower(w)))
+    quoted = F.filter(F.regexp_extract_all(prose, F.lit(QUOTED_WORD), F.lit(1)), lambda w: F.contains(F.lower(source), F.lower(w)))
     prose = F.aggregate(F.array_distinct(quoted), prose, lambda text, w: F.regexp_replace(text, F.concat(F.lit("[“\"‘']"), w, F.lit("[”\"’']")), F.lit(" ")))
     own = tx.matches(source, rf"(?<!{tx.WORD})[a-z]+(?!{tx.WORD})")
 
@@ -172,7 +177,7 @@ def gate_issues(source: Column, target: Column, language: str = "vi", codes: tup
 
 
 def _opening_lost(s: Column, t: Column) -> Column:
-    return s.rlike("^[\"“]") & ~t.rlike("^[\"“–—-]") & t.rlike("^[^\"“”]+[,.!?…]\\s*[\"”]")
+    return s.rlike("^[\"“]") & ~t.rlike("^[\"“–—-]") & t.rlike(OPENING_LOST)
 
 
 def issues(pairs: DataFrame, language: str = "vi", source: str = "source_text", target: str = "target_text", codes: tuple[str, ...] = CODES) -> DataFrame:

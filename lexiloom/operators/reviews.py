@@ -30,6 +30,8 @@ MESSAGES = ("message", "description", "explanation", "reason", "details", "comme
 ADDED = r"(?i)not (?:present|found|mentioned|in the (?:original|source))|adds?\b|added|introduc|does not appear|absent from"
 REFUTABLE = ("SEMANTIC_ADDITION", "ENTITY_REFERENCE_ERROR", "SCOPE_ERROR", "MEANING_DRIFT")
 SNIPPET = r"'([^']{3,120})'|\"([^\"]{3,120})\"|“([^”]{3,120})”|‘([^’]{3,120})’|\(([^()]{3,120})\)"
+#: Fixed value: what a quote in English looks like.
+ENGLISH = r"^[A-Za-z][A-Za-z0-9 ,.;:'’\-]*$"
 ISSUE = "struct<type:string,severity:string,message:string,source_span:string,target_span:string>"
 
 
@@ -132,7 +134,7 @@ def refute_additions(source: Column, result: Column) -> Column:
 
     def refuted(e: Column) -> Column:
         quotes = F.transform(tx.matches(e["message"], SNIPPET), lambda q: F.substr(q, F.lit(2), F.length(q) - 2))
-        english = F.filter(quotes, lambda q: F.trim(q).rlike(r"^[A-Za-z][A-Za-z0-9 ,.;:'’\-]*$"))
+        english = F.filter(quotes, lambda q: F.trim(q).rlike(ENGLISH))
         return e["type"].isin(*REFUTABLE) & e["message"].rlike(ADDED) & (F.size(english) > 0) & F.forall(english, lambda q: F.contains(own, F.concat(F.lit(" "), _plain_words(q), F.lit(" "))))
 
     kept = F.filter(result["errors"], lambda e: ~refuted(e))

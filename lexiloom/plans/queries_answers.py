@@ -292,6 +292,7 @@ def project_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _B, _E = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+#: Wording of hard sources, for RE2.
 _HARD_SQL = (
     ("negation", rf"{_B}(not|never|no|neither|nothing|cannot|can''t){_E}"), ("double_negation", rf"{_B}(no|never|without|not)($|[^\p{{L}}\p{{N}}_\n]|[^\p{{L}}\p{{N}}_\n].*[^\p{{L}}\p{{N}}_\n])not{_E}"), ("modality", rf"{_B}(may|might|must|should|could|shall|would){_E}"),
     ("condition", rf"{_B}(if|unless|provided|although|whether){_E}"), ("causality", rf"{_B}(because|therefore|thus|resulted|so that|rather than){_E}"), ("pronoun", rf"{_B}(which|who|she|he|they|it|her|him|their){_E}"),
@@ -410,28 +411,59 @@ def ocr_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # forms of address
 
-_SOURCES = ("“I will stay with you,” Bob said to Alice.", "Bob looked at Alice and said: “You are my reason.”", "Alice said to Bob, and Bob said to Alice: “I know.”", "“I will stay,” he said.")
-_TARGETS = ("“Anh sẽ ở lại với em,” Bob nói.", "“Em sẽ ở lại với anh,” Bob nói.", "“Tôi sẽ ở lại với bạn,” Bob nói.")
+#: Speech by the length of a document: what is said (with two words of the text), who says it, and how its rendering goes wrong.
+_SAID = ("I %s you", "You %s me", "We %s", "I %s my %s with you")
+_PERSONS = (("I", "you"), ("You", "me"), (), ("I", "my", "you"))
+_TOLD = (" {s} said to {l}.", " {l} told {s} so.", " he said.", " {s} said to {l}, and {l} said to {s}.")
 
 
-@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS s, c_custkey % 3 AS t FROM customer)
-SELECT k AS node_id, CASE WHEN t = 2 THEN 'NEUTRAL' WHEN (s = 0 AND t = 1) OR (s = 1 AND t = 0) THEN 'SWAPPED' END AS reason FROM c WHERE s < 2 AND (t = 2 OR (s = 0 AND t = 1) OR (s = 1 AND t = 0))""")
+def _spoken(persons: tuple[str, ...], form: int, own: str, other: str) -> str:
+    """The rendered speech: right, swapped, with neutral pronouns, or swapped with one pronoun too many."""
+    first = {0: own, 1: other, 2: "tôi", 3: other}[form]
+    second = {0: other, 1: own, 2: "bạn", 3: own}[form]
+    said = [first if p.lower() in ("i", "me", "my") else second for p in persons] + ([own] if form == 3 and persons else [])
+    text = " x ".join(said) if said else "chúng x"
+    return f"“{text[0].upper()}{text[1:]},” nói."
+
+
+#: The renderings by speech, speaker (0: the first of the couple, 1: the other) and form.
+_RENDERED = {(i, w, f): _spoken(p, f, *(("anh", "em") if w == 0 else ("em", "anh"))) for i, p in enumerate(_PERSONS) for w in (0, 1) for f in range(4)}
+_ADDRESS_SQL = f"""WITH k AS (SELECT doc_id, length(text) % 4 AS said, length(text) // 4 % 4 AS told, length(text) // 16 % 4 AS form FROM documents),
+p AS (SELECT *, CASE WHEN told = 1 THEN 1 ELSE 0 END AS who FROM k WHERE told < 2 AND said <> 2)"""
+
+
+@query(_ADDRESS_SQL + """
+SELECT doc_id AS node_id, ['SWAPPED', 'NEUTRAL', 'OPENING'][form] AS reason FROM p WHERE form > 0""")
 def address_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return address.mismatches(_dialogues(spark, sf_dir), _couples(spark))
+    """Speech made of every document, by couples of its project, whose rendering is right or wrong in one of three ways."""
+    return address.mismatches(_dialogues(spark, sf_dir), _couples(spark, sf_dir))
 
 
-@query("""SELECT c_custkey AS node_id, ['“Anh sẽ ở lại với em,” Bob nói.', '“Em sẽ ở lại với anh,” Bob nói.'][c_custkey % 4 + 1] AS fixed FROM customer WHERE c_custkey % 4 < 2 AND c_custkey % 3 <> c_custkey % 4""")
+@query(_ADDRESS_SQL + """, r(said, who, fixed) AS (VALUES """ + ", ".join(f"({i}, {w}, '{t}')" for (i, w, f), t in _RENDERED.items() if f == 0) + """)
+SELECT doc_id AS node_id, fixed FROM p JOIN r ON r.said = p.said AND r.who = p.who WHERE form IN (1, 2)""")
 def address_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return address.repaired(_dialogues(spark, sf_dir), _couples(spark))
+    return address.repaired(_dialogues(spark, sf_dir), _couples(spark, sf_dir))
 
 
 def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(k.alias("node_id"), F.lit("p").alias("project_id"), pick(k, *_SOURCES).alias("source_text"), pick(k, *_TARGETS).alias("target_text"))
-
-
-def _couples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("p", "Bob", "Alice", "anh", "em"), ("p", "Alice", "Bob", "em", "anh")], "project_id string, speaker string, listener string, self_term string, other_term string")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project_id"), F.length("text").alias("n"), F.slice(F.split("text", " "), 1, 2).alias("ws"))
+    word = lambda i: F.concat(F.lit("q"), F.lower(F.regexp_replace(F.coalesce(F.get("ws", F.lit(i)), F.lit("")), "[^A-Za-z]", "")))
+    own, other = F.initcap("project_id"), F.concat(F.lit("Bob "), F.initcap("project_id"), F.lit("son"))
+    by = lambda step, texts: F.get(F.array(*texts), (F.floor(F.col("n") / step) % len(texts)).cast("int"))
+    said = by(1, [F.format_string(x, *[word(i) for i in range(x.count("%s"))]) for x in _SAID])
+    told = by(4, [F.replace(F.replace(F.lit(x), F.lit("{s}"), own), F.lit("{l}"), other) for x in _TOLD])
+    who = (F.floor(F.col("n") / 4) % 4 == 1).cast("int")
+    at = ((F.col("n") % 4) * 2 + who) * 4 + F.floor(F.col("n") / 16) % 4
+    rendered = F.get(F.array(*map(F.lit, _RENDERED.values())), at.cast("int"))
+    return d.select(F.col("doc_id").alias("node_id"), "project_id", F.concat(F.lit("“"), said, F.lit(",”"), told).alias("source_text"), rendered.alias("target_text"))
+
+
+def _couples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the two of every project address each other."""
+    p = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id")).distinct()
+    own, other = F.initcap("project_id"), F.concat(F.lit("Bob "), F.initcap("project_id"), F.lit("son"))
+    one = p.select("project_id", own.alias("speaker"), other.alias("listener"), F.lit("anh").alias("self_term"), F.lit("em").alias("other_term"))
+    return one.unionByName(p.select("project_id", other.alias("speaker"), own.alias("listener"), F.lit("em").alias("self_term"), F.lit("anh").alias("other_term")))
 
 
 # prompts

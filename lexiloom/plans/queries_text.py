@@ -1,7 +1,8 @@
 """Queries over text functions and the gate, with their SQL.
 
-The SQL states each rule on its own terms: from the texts alone, not from which defect the fixture put where, and with its own
-word lists and patterns (RE2 has no look-around, so words are told by tokens or by the characters beside them).
+The SQL states each rule on its own terms: from the texts alone, not from which defect the fixture put where. Its word lists and
+patterns are the library's fixed values again, written for RE2, which has no look-around: words are told by tokens or by the
+characters beside them.
 """
 
 from __future__ import annotations
@@ -143,6 +144,7 @@ def added_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("node_id").agg(F.max(F.col("issue_type") == "CONTENT_ADDITION").alias("question_added"), F.max(F.col("issue_type") == "QUOTE_UNBALANCED").alias("quotes_off"))
 
 
+#: Words of negation, for RE2.
 _NOT = r"(?i)(^|[^\p{L}\p{N}_])((must|should|may|did|does|is|are|was|were)\s+not|no\s+longer|cannot|can[''’]?t|never|none|neither|nor|not|[A-Za-z]+n[''’]t)($|[^\p{L}\p{N}_])"
 
 
@@ -163,19 +165,9 @@ def foreign_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("node_id", F.explode(F.filter(F.array(found), lambda x: x != "")).alias("foreign_chars"))
 
 
-_STOP_SQL = {
-    "en": "the a an and or but is are was were be been to of in on for with from by this that these those it its as at not also company increased revenue expanded overseas can cannot could would should must shall may have has had do does did will into through enables between without within after before during i you he she we they him her his them their my your our said says told asked replied never always what when where which who there here about than then just very because if so",
-    "fr": "le la les un une des de du et est en que qui dans pour par sur avec au aux ce cette il elle ne pas plus",
-    "de": "der die das und ist ein eine in zu den von mit auf für nicht sich dem des im als auch es an werden",
-    "es": "el la los las un una de del y es en que se por para con su al lo como más pero no este esta",
-}
-# Identifiers go first. Words that border on them are told by spaces: every run of word characters and of _+.#/- is a token here.
-_LANGUAGE = r"regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(text, '`[^`]*`', ' ', 'g'), 'https?://\S+|www\.\S+', ' ', 'g'), '(^|[^\p{L}\p{N}_])([A-Z][A-Z0-9_]+|[\p{L}\p{N}_]+[_/.][\p{L}\p{N}_]+)', '\1 ', 'g'), '[A-Za-zÀ-ỹĐđ]+(?:[-''][A-Za-zÀ-ỹĐđ]+)*')"
-
-
 @query()
 def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Function words of four languages in every document. No SQL: what an identifier is depends on look-around; tests/test_brute.py counts in Python."""
+    """Function words of four languages in every document. No SQL: what an identifier is depends on look-around; tests/test_answers.py counts in Python."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", facts.language_words(F.col("text")).alias("ws"))
     return d.select("doc_id", "lang", F.size("ws").cast("long").alias("n_words"), *[facts.stopword_hits(F.col("ws"), x).alias(f"{x}_hits") for x in ("en", "fr", "de", "es")])
 
@@ -184,6 +176,7 @@ def _word_sql(text: str, words: str) -> str:
     return f"regexp_matches({text}, '(?i)(^|[^\\p{{L}}\\p{{N}}_])({words})($|[^\\p{{L}}\\p{{N}}_])')"
 
 
+#: Wording that makes a source sensitive, for RE2.
 _SENSITIVE_SQL = (
     ("if|unless|only if|provided that|except when", 0.18),
     ("may|might|must|shall|should|could|would|likely|unlikely", 0.18),
@@ -210,7 +203,7 @@ def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every issue of the gate over the seeded pairs, by project, type and severity. The types that SQL can say are held against it in qa_report; the others in tests/test_brute.py."""
+    """Every issue of the gate over the seeded pairs, by project, type and severity. The types that SQL can say are held against it in qa_report; the others by tests/test_answers.py and tests/test_whole.py."""
     return gate.issues(pairs(spark, sf_dir)).groupBy("project_id", "issue_type", "severity").agg(F.count("*").alias("issues"), F.count_distinct("node_id").alias("nodes"))
 
 
@@ -258,6 +251,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _L, _R, _W = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])", r"[\p{L}\p{N}_]"
+#: Tags of linguistic patterns, for RE2.
 _TAGS_SQL = (
     ("passive", rf"{_L}(is|are|was|were|be|been|being|get|got)\s+{_W}+(ed|en){_R}"),
     ("nominalization", rf"{_L}{_W}+(tion|sion|ment|ity|ance|ence|al){_R}"),
