@@ -198,3 +198,25 @@ def test_neighbours_on_both_sides(spark):
                 ids.append(r[1])
                 spent += cost
         assert got[node] == ids, node
+
+
+def test_the_whole_gate_unites_every_check(spark):
+    from lexiloom.operators import whole_gate
+
+    leak = "six plain words stand here together"
+    rows = [
+        ("p", "a", "paragraph", "In Rome.", "In Rome."), ("p", "b", "paragraph", "In Rome.", "In Roma."), ("q", "c", "paragraph", "In Rome.", "In Rome."),
+        ("p", "d", "heading", "One", "Tựa chung"), ("p", "e", "heading", "Two", "Tựa chung"), ("p", "f", "paragraph", "“I see you,” Bob said to Ann.", "“Tôi thấy bạn,” Bob nói."),
+        ("p", "g", "paragraph", "x", f"{leak}. Other."), ("p", "h", "paragraph", "In Rome 5.", None), ("p", "i", "paragraph", "It has 5.", "Có 6."),
+    ]
+    d = spark.createDataFrame(rows, "project_id string, node_id string, node_type string, source_text string, target_text string")
+    locked = spark.createDataFrame([("p", "Rome", "Roma")], "project_id string, source_key string, target string")
+    couples = spark.createDataFrame([("p", "Bob", "Ann", "anh", "em")], "project_id string, speaker string, listener string, self_term string, other_term string")
+    earlier = spark.createDataFrame([("z", f"{leak}.")], "id string, text string")
+    codes = ("NUMBER_MISMATCH", "NUMBER_ADDITION")
+    found = whole_gate.all_issues(d, locked, couples, earlier, codes=codes)
+    got = sorted((r["node_id"], r["issue_type"]) for r in found.collect())
+    assert got == [("a", "ENTITY_MISMATCH"), ("d", "HEADING_DUPLICATE"), ("e", "HEADING_DUPLICATE"), ("f", "ADDRESS_TERM_MISMATCH"), ("g", "CONTEXT_LEAK"), ("h", "EMPTY_TRANSLATION"), ("h", "ENTITY_MISMATCH"), ("i", "NUMBER_ADDITION"), ("i", "NUMBER_MISMATCH")]
+    state = {r["node_id"]: (r["passed"], r["errors"]) for r in whole_gate.passed(d, found).collect()}
+    assert state["b"] == (True, 0) and state["h"] == (False, 2) and sum(ok for ok, _ in state.values()) == 2
+    assert {r["issue_type"] for r in whole_gate.all_issues(d, codes=codes).collect()} == {"HEADING_DUPLICATE", "EMPTY_TRANSLATION", "NUMBER_ADDITION", "NUMBER_MISMATCH"}
