@@ -140,7 +140,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links reach, itself included; kept: the row's id is its component's. All links count, whatever the length of lists.
     Texts without words (null ones too) have no shingles and stand alone. Rows with a null id are not linked: component_id is
     null, kept is true. Rows that share an id are versions of one document and share its component. Ids are cast to long;
-    other columns are left out. An empty table gives an empty result. percent from 50 to 100.
+    other columns are left out. An empty table gives an empty result. percent from 50 to 99 (equal sets are one class in any case).
     """
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     none = np.zeros(0, np.uint64)
