@@ -179,3 +179,15 @@ def test_terms_meet_texts_alike_however_many(spark, monkeypatch, few):
     listed = spark.createDataFrame([("cat", 1), ("walk", 2), ("lake side", 3), ("lake", 4), ("the", 5), ("!!", 6), ("be", 7), ("king", 8), ("dog", 9)], "term string, id int")
     got = {(r["node_id"], r["id"]) for r in terms.term_hits(nodes_, listed, "content", "term").collect()}
     assert got == {("n0", 1), ("n0", 5), ("n1", 1), ("n1", 9), ("n2", 2), ("n2", 3), ("n2", 4), ("n2", 5), ("n5", 4), ("n6", 7), ("n6", 8), ("n7", 5)}
+
+
+def test_examples_are_the_same_by_list_and_by_join(spark, monkeypatch):
+    from lexiloom.operators import retrieval
+
+    kinds, domains = ("paragraph", "heading", "quote"), ("LEGAL", "GENERAL", "POETRY")
+    n = spark.createDataFrame([(i, domains[i % 3], ("NATURAL", "FAITHFUL")[i % 2], kinds[i % 3], "word then, and " * (i % 7)) for i in range(40)], "node_id int, domain string, mode string, node_type string, source_text string")
+    lib = spark.createDataFrame([(i, domains[i % 2], kinds[i % 3], [("NATURAL", "FAITHFUL")[i % 2]], ("formal", "plain")[i % 2], ["sentence_split"] if i % 5 else [], "same text " * (i % 6)) for i in range(60)], "example_id int, domain string, node_type string, modes array<string>, register string, patterns array<string>, source string")
+    told = lambda: sorted(tuple(r) for r in retrieval.few_shot(n, lib, 3).collect())
+    by_list = told()
+    monkeypatch.setattr(retrieval, "LIBRARY", 10)
+    assert told() == by_list and len(by_list) == 120
