@@ -41,7 +41,7 @@ BLOCK_BYTES = 32 << 10
 SHARD_BYTES = 8 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Entries of a worker's caches of encoded words and pre-tokens; a cache starts anew when it is full.
-CACHED_WORDS, CACHED_TOKENS = 200_000, 700_000
+CACHED_WORDS, CACHED_TOKENS = 150_000, 400_000
 
 
 def key_of(doc_id: int | None) -> bytes:
