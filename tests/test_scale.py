@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lexiloom import stages
-from lexiloom.operators import retrieval
+from lexiloom.operators import gate, retrieval
 
 
 def _memory(spark, texts):
@@ -51,3 +51,21 @@ def test_style_memory_asks_no_more_of_a_larger_memory(spark):
         return spark.read.parquet(path).count()
 
     assert asked(400) == asked(4000) == 0
+
+
+def test_context_leaks_leave_sentences_that_meet_nothing(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    draw = lambda n, k: [". ".join(" ".join(rng.choices(words, k=rng.choice((1, 5, 6, 9, 12)))) for _ in range(3)) for _ in range(n)]
+    earlier = draw(40, 3)
+    texts = draw(150, 3) + [e.replace("w1 ", "q ", 1) for e in earlier] + ["unlike words that nobody has written before now"] * 500 + [None, ""]
+    n = spark.createDataFrame(list(enumerate(texts)), "node_id long, text string")
+    e = spark.createDataFrame(list(enumerate(earlier)), "id long, text string")
+    before = set(stages.STAGED)
+    got = {tuple(r) for r in gate.context_leaks(n, e).collect()}
+    kept = sum(spark.read.parquet(p).where("a_id >= 190").count() for p in stages.STAGED - before if "a_id" in spark.read.parquet(p).columns)
+    assert kept == 0 and got == {tuple(r) for r in gate.context_leaks(n, e, known=1).collect()}
+    cut = lambda t: [(s, set(re.findall(r"\w+", s))) for s in re.split(r"(?<=[.!?…])\s+|\n+", t or "") if s.strip()]
+    old = [(i, w) for i, t in enumerate(earlier) for _, w in cut(t)]
+    want = {(i, s, min(hits)) for i, t in enumerate(texts) for s, w in cut(t) if len(w) >= 6 for hits in [[j for j, o in old if len(w & o) >= 0.8 * len(w | o)]] if hits}
+    assert got == want and len(got) > 20
