@@ -176,9 +176,20 @@ class _Requests(_Chunks):
 
 def estimate(text: str) -> int:
     """The same estimate as functions.text.token_estimate, for one string."""
-    if not text:
-        return 0
-    return max(1, int(len(text.split()) * 1.22 + len(re.findall(r"[.,;:!?()\[\]{}\"']", text)) * 0.22 + len(re.findall(r"[^\x00-\x7f]", text)) * 0.08 + 8))
+    return _estimated(*_measures(text)) if text else 0
+
+
+_MARKS = re.compile(r"[.,;:!?()\[\]{}\"']")
+_FOREIGN = re.compile(r"[^\x00-\x7f]")
+
+
+def _measures(text: str) -> tuple[int, int, int]:
+    """Words, punctuation and non-ASCII characters of a text."""
+    return len(text.split()), len(_MARKS.findall(text)), 0 if text.isascii() else len(_FOREIGN.findall(text))
+
+
+def _estimated(words: int, marks: int, foreign: int) -> int:
+    return max(1, int(words * 1.22 + marks * 0.22 + foreign * 0.08 + 8))
 
 
 def _greedy(units: list[str], budget: int, joint: str) -> list[str]:
@@ -223,13 +234,23 @@ def _cut(text: str, pattern: str) -> list[tuple[str, str]]:
 
 
 def _merged(units: list[tuple[str, str]], budget: int) -> list[tuple[str, str]]:
-    """Units put together while they are within the budget; blank ones join what is before them."""
+    """Units put together while they are within the budget; blank ones join what is before them. Each is measured once: measures add up, but for a word that goes on in the next unit."""
     out: list[tuple[str, str]] = []
+    held = (0, 0, 0)
     for unit, gap in units:
-        if out and (not out[-1][0].strip() or not unit.strip() or estimate(out[-1][0] + out[-1][1] + unit) <= budget):
-            out[-1] = out[-1][0] + out[-1][1] + unit, gap
-        else:
-            out.append((unit, gap))
+        own = _measures(unit)
+        if out:
+            last, between = out[-1]
+            whole = last + between
+            on = bool(whole and unit) and not whole[-1].isspace() and not unit[0].isspace()
+            w, m, f = _measures(between) if between else (0, 0, 0)
+            on += bool(last and between) and not last[-1].isspace() and not between[0].isspace()
+            both = held[0] + w + own[0] - on, held[1] + m + own[1], held[2] + f + own[2]
+            if not last.strip() or not unit.strip() or _estimated(*both) <= budget:
+                out[-1], held = (whole + unit, gap), both
+                continue
+        out.append((unit, gap))
+        held = own
     return out
 
 
@@ -309,6 +330,6 @@ def segments(nodes: DataFrame, window: int = 4096, fixed: int = 600, first_conte
     return found.select("node_id", part.cast("long").alias("part"), "text", "gap", "source_tokens", "total_tokens", (~F.col("over")).alias("fits"))
 
 
-def rejoin(parts: DataFrame, text: str = "text") -> DataFrame:
-    """(node_id, joined): parts (of one column, rendered or not) put together again with their gaps."""
-    return parts.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", text, "gap"))), lambda p: F.concat(p[text], p["gap"])), "").alias("joined"))
+def rejoin(parts: DataFrame, *also: Column, text: str = "text") -> DataFrame:
+    """(node_id, joined): parts (of one column, rendered or not) put together again with their gaps; `also`: more aggregates of a node's parts, from the same pass."""
+    return parts.groupBy("node_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", text, "gap"))), lambda p: F.concat(p[text], p["gap"])), "").alias("joined"), *also)

@@ -95,9 +95,8 @@ _TOKENS = """CAST(greatest(1, floor(1.22::DOUBLE * len(regexp_extract_all(text,
 def layout_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long documents in parts of 150 tokens, joined again to the byte: nothing is lost and no part is over the budget (but single words)."""
     parts = packing.split_layout(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content")), 150)
-    within = parts.groupBy("node_id").agg(F.every((tx.token_estimate(F.col("text")) <= 150) | (tx.word_count(F.col("text")) <= 1)).alias("within"))
-    whole = packing.rejoin(parts).select("node_id", F.sha2("joined", 256).alias("joined_sha256"))
-    return whole.join(within, "node_id")
+    within = F.every((tx.token_estimate(F.col("text")) <= 150) | (tx.word_count(F.col("text")) <= 1)).alias("within")
+    return packing.rejoin(parts, within).select("node_id", F.sha2("joined", 256).alias("joined_sha256"), "within")
 
 
 # reviews

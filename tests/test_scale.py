@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lexiloom import stages
-from lexiloom.operators import gate, retrieval
+from lexiloom.operators import gate, packing, retrieval
 
 
 def _memory(spark, texts):
@@ -69,3 +69,24 @@ def test_context_leaks_leave_sentences_that_meet_nothing(spark):
     old = [(i, w) for i, t in enumerate(earlier) for _, w in cut(t)]
     want = {(i, s, min(hits)) for i, t in enumerate(texts) for s, w in cut(t) if len(w) >= 6 for hits in [[j for j, o in old if len(w & o) >= 0.8 * len(w | o)]] if hits}
     assert got == want and len(got) > 20
+
+
+def test_parts_are_put_together_as_before_and_cut_once(spark):
+    def whole(units, budget):  # each sum measured anew
+        out = []
+        for unit, gap in units:
+            if out and (not out[-1][0].strip() or not unit.strip() or packing.estimate(out[-1][0] + out[-1][1] + unit) <= budget):
+                out[-1] = out[-1][0] + out[-1][1] + unit, gap
+            else:
+                out.append((unit, gap))
+        return out
+
+    rng = random.Random(3)
+    piece = lambda: "".join(rng.choices("ab.é \n漢, ", k=rng.choice((0, 1, 2, 5))))
+    for _ in range(3000):
+        units = [(piece(), rng.choice((" ", "\n", "", " ", "x"))) for _ in range(12)]
+        assert packing._merged(units, 12) == whole(units, 12)
+    d = spark.createDataFrame([(1, "one two. " * 400)], "node_id long, content string")
+    parts = packing.split_layout(d, 60)
+    plan = packing.rejoin(parts, F.count("*").alias("n"))
+    assert plan.first()["joined"] == "one two. " * 400 and plan._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
