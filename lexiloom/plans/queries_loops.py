@@ -330,8 +330,7 @@ def document_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents in the segments that they are rendered in, cut again where a request does not fit, and put together again to the byte."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("content"))
     found = packing.segments(d, window=2400, fixed=150, first_context=60)
-    fits = found.groupBy("node_id").agg(F.every("fits").alias("fits"))
-    return packing.rejoin(found).select("node_id", F.md5("joined").alias("joined_md5")).join(fits, "node_id")
+    return packing.rejoin(found, F.every("fits").alias("fits")).select("node_id", F.md5("joined").alias("joined_md5"), "fits")
 
 
 # documents replaced in a store
