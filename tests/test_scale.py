@@ -2,11 +2,12 @@
 
 import random
 import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from lexiloom import stages
-from lexiloom.operators import gate, packing, retrieval
+from lexiloom.operators import gate, lint, packing, retrieval
 
 
 def _memory(spark, texts):
@@ -90,3 +91,21 @@ def test_parts_are_put_together_as_before_and_cut_once(spark):
     parts = packing.split_layout(d, 60)
     plan = packing.rejoin(parts, F.count("*").alias("n"))
     assert plan.first()["joined"] == "one two. " * 400 and plan._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_letters_of_a_rule_are_in_all_that_it_finds(spark):
+    assert all(unicodedata.normalize("NFC", x) == x and not x.isascii() for groups in lint.LETTERS.values() for g in groups for x in g)
+    words = sorted({w for _, _, _, p in lint.RULES for w in re.findall(r"[^\W\d_]+", re.sub(r"\\.|\{[^}]*\}|\(\?[a-z<!=:]+", " ", p)) if len(w) > 1})
+    rng = random.Random(2)
+    turn = lambda w: rng.choice((w, w, w.upper(), w.capitalize()))
+    texts = [" ".join(turn(w) for w in rng.choices(words, k=12)) for _ in range(1500)]
+    for _, _, _, p in lint.RULES:  # and runs of each pattern's own words, so that every rule hits
+        own = re.findall(r"[^\W\d_]+|,", re.sub(r"\\s\+|\\.|\{[^}]*\}|\(\?[a-z<!=:]+", " ", p))
+        texts += [" ".join(turn(w) for w in own[i : i + n]) for i in range(len(own)) for n in range(2, 8)]
+        texts += [" ".join(turn(w) for w in rng.choices(own, k=5)) for _ in range(150)]
+    n = spark.createDataFrame([(i, "He said so.", t) for i, t in enumerate(texts)], "node_id long, source_text string, target_text string")
+    bare = tuple((r, k, s, f"(?:{p})") for r, k, s, p in lint.RULES)  # patterns that no letters are known of
+    found = lint.lint(n)
+    rows = lambda df: sorted((r["node_id"], r["rule"]) for r in df.collect())
+    got = rows(found)
+    assert got == rows(lint.lint(n, rules=bare)) and len({r for _, r in got}) >= 24
