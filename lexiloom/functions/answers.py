@@ -5,6 +5,8 @@ JSON is parsed by Spark into variants; an answer that is not JSON after all give
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +20,9 @@ LIST_KEYS = ("translations", "results", "nodes")
 NO_NODES = ("model", "status", "version", "summary", "notes")
 #: Remarks behind an answer, and openings before it.
 POSTAMBLES = (
-    r"(?isu)\n*\s*(?:Lưu\s*[Ýý]|Ghi\s*chú|Chú\s*thích|Note|Notes)\s*[:\-].*$",
-    r"(?isu)\n*\s*-\s*Bản dịch đã được.*$",
-    r"(?isu)\n*\s*-\s*Đã loại bỏ.*$",
+    r"(?isu)(?=[LGCN])(?:Lưu\s*[Ýý]|Ghi\s*chú|Chú\s*thích|Note|Notes)\s*[:\-].*$",
+    r"(?isu)-\s*Bản dịch đã được.*$",
+    r"(?isu)-\s*Đã loại bỏ.*$",
 )
 PREAMBLES = (
     r"(?iu)^(?:Dưới đây là|Đây là|Bản dịch tiếng Việt|Bản dịch là|Nội dung dịch|Bản dịch:)\s*[:\-]?\s*",
@@ -41,8 +43,18 @@ VARIANTS = "array<variant>"
 ITEMS = "array<struct<node_id:string,text:string>>"
 
 
+#: What \s stands for, and what Java's $ may stand before at the end of a text, though it is no blank.
+BLANKS, LINE_ENDS = " \t\n\x0b\f\r", ("\u0085", "\u2028", "\u2029")
+
+
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """c without blanks at both ends, as the pattern ^\\s+|\\s+$ has it; the pattern itself, tried on every character, only where a line end that is no blank stands last."""
+
+    def of(t: Column) -> Column:
+        ends = t.endswith(LINE_ENDS[0]) | t.endswith(LINE_ENDS[1]) | t.endswith(LINE_ENDS[2])
+        return F.when(ends, F.regexp_replace(t, r"^\s+|\s+$", "")).otherwise(F.btrim(t, F.lit(BLANKS)))
+
+    return tx.let(c, of)
 
 
 def unfenced(c: Column) -> Column:
@@ -139,24 +151,56 @@ def unique_paragraphs(c: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(lines, lambda p: p != "")), "\n\n")
 
 
+#: So many sentences are kept or not at once.
+PART = 64
+
+
 def unique_sentences(c: Column) -> Column:
     """Sentences without those equal to the last or the last but one that was kept; texts of two sentences or fewer stay."""
 
     def step(acc: Column, s: Column) -> Column:
         return F.when(F.array_contains(F.slice(acc, F.greatest(F.size(acc) - 1, F.lit(1)), F.lit(2)), s), acc).otherwise(F.concat(acc, F.array(s)))
 
+    def part(acc: Column, p: Column) -> Column:
+        return tx.let(F.aggregate(p, acc["last"], step), lambda k: F.struct(F.concat(acc["done"], shown(F.slice(k, F.size(acc["last"]) + 1, F.size(k)))).alias("done"), F.slice(k, F.greatest(F.size(k) - 1, F.lit(1)), F.lit(2)).alias("last")))
+
+    def shown(k: Column) -> Column:
+        return F.when(F.size(k) > 0, F.array(F.array_join(k, " "))).otherwise(F.array().cast("array<string>"))
+
+    def kept(f: Column) -> Column:
+        # in parts: a list that grows by a sentence is copied for each
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / PART)), lambda i: F.slice(f, (i * PART + 1).cast("int"), F.lit(PART)))
+        none = F.array().cast("array<string>")
+        return F.array_join(F.aggregate(parts, F.struct(none.alias("done"), none.alias("last")), part)["done"], " ")
+
     def of(t: Column) -> Column:
-        found = F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+"), stripped), lambda s: s != "")
-        return tx.let(found, lambda f: F.when(F.size(f) > 2, F.array_join(F.aggregate(f, F.array().cast("array<string>"), step), " ")).otherwise(t))
+        # a blank first, then what stands before it: looking back from every character costs more
+        found = F.filter(F.transform(F.split(t, r"\s(?<=[.!?]\s)\s*"), stripped), lambda s: s != "")
+        return tx.let(found, lambda f: F.when(F.size(f) > 2, kept(f)).otherwise(t))
 
     return tx.let(c, of)
 
 
+LOOPS = range(60, 20, -5)
+
+
+def _may_loop(blocks: Column) -> Column:
+    """Whether a text may have such a phrase, by its blocks of five characters: then four blocks in a row equal those as many further on as the phrase has."""
+
+    def same(i: Column, by: int) -> Column:
+        return reduce(Column.__and__, [F.get(blocks, i + k) == F.get(blocks, i + k + by) for k in range(4)])
+
+    return F.exists(F.sequence(F.lit(0), F.size(blocks)), lambda i: reduce(Column.__or__, [same(i, n // 5) for n in LOOPS]))
+
+
 def without_loops(c: Column) -> Column:
-    """Phrases of 60, 55, ... 25 characters that follow themselves, once each."""
-    for n in range(60, 20, -5):
-        c = F.regexp_replace(c, rf"(?s)(?!\s{{{n - 14},}})(.{{{n}}})\1+", "$1")
-    return stripped(c)
+    """Phrases of 60, 55, ... 25 characters that follow themselves, once each. The patterns, tried on every character, are for texts that may have one."""
+
+    def of(t: Column) -> Column:
+        once = reduce(lambda x, n: F.regexp_replace(x, rf"(?s)(?!\s{{{n - 14},}})(.{{{n}}})\1+", "$1"), LOOPS, t)
+        return F.when(tx.let(tx.matches(t, r"(?s).{5}"), _may_loop), once).otherwise(t)
+
+    return stripped(tx.let(c, of))
 
 
 def without_repeats(c: Column) -> Column:

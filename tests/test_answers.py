@@ -353,3 +353,38 @@ def test_small_review_rules(spark):
     assert a == b != c
     p = spark.createDataFrame([(True, True, "PASS", False, None), (True, True, "PASS", True, True), (True, False, "PASS", False, None), (False, True, "PASS", False, None), (True, True, "FAIL", False, None)], "a boolean, l boolean, s string, r boolean, v boolean")
     assert [r[0] for r in p.select(reviews.publication(*[F.col(x) for x in "alsrv"])).collect()] == ["APPROVED", "KEEP_ORIGINAL", "NEEDS_REVIEW", "NEEDS_REVIEW", "NEEDS_REVIEW"]
+
+
+def test_loops_and_blanks_equal_their_patterns(spark):
+    """Loops are found without trying a pattern on every character, with the same texts left."""
+    rng = random.Random(4)
+    phrase = lambda n: "".join(rng.choices("ab é𝒳\n", k=n))
+    texts = ["", "a", " \u0085", " a \u0085", "a\u2028 \n", "\x0b a \x1f ", " " * 130, "x" * 300, "One. Two. One. Two. Three. Two.", "A.  A. B", "a.\u0085 b.\tc. d. c."]
+    texts += [phrase(rng.randrange(80)) + phrase(n) * rng.randrange(1, 4) + phrase(rng.randrange(80)) for n in range(20, 66) for _ in range(3)]
+    d = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    t = F.col("t")
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    loops = t
+    for n in range(60, 20, -5):
+        loops = F.regexp_replace(loops, rf"(?s)(?!\s{{{n - 14},}})(.{{{n}}})\1+", "$1")
+    notes = F.concat(t, F.lit(" \n\u0085\n  Notes - x"), t)
+    noted = strip(F.regexp_replace(notes, r"(?isu)\n*\s*(?:Lưu\s*[Ýý]|Ghi\s*chú|Chú\s*thích|Note|Notes)\s*[:\-].*$", ""))
+    found = d.select(strip(t), answers.stripped(t), strip(loops).alias("l"), answers.without_loops(t), noted, answers.without_remarks(notes), F.split(t, r"(?<=[.!?])\s+"), F.split(t, r"\s(?<=[.!?]\s)\s*"))
+    for r in found.collect():
+        assert all(r[i] == r[i + 1] for i in (0, 2, 4, 6))
+    blocks = lambda x: F.regexp_extract_all(x, F.lit("(?s).{5}"), F.lit(0))
+    asked = d.select(F.coalesce(answers._may_loop(blocks(t)), F.lit(False)).alias("may"), (loops != t).alias("has"), F.length(t).alias("n")).collect()
+    assert all(r["may"] for r in asked if r["has"]) and sum(r["may"] for r in asked if r["n"] and not r["has"]) < 20
+
+
+def test_many_repeated_sentences(spark):
+    """More sentences than are looked at in one part, most of them repeated."""
+    rng = random.Random(6)
+    for n in (3, 64, 65, 66, 400):
+        own = [rng.choice(("A.", "B.", "C.", "Dd e.")) for _ in range(n)]
+        kept = []
+        for s in own:
+            if s not in kept[-2:]:
+                kept.append(s)
+        assert many(spark, [" ".join(own)], answers.unique_sentences) == [" ".join(kept)]
+    assert many(spark, ["A. " * 200], answers.unique_sentences) == ["A."]
