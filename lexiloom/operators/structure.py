@@ -93,6 +93,19 @@ def totals(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.sum(tx.word_count(F.col("content"))).alias("total_words"), F.count_distinct("chapter_no").alias("chapters"), F.count("*").alias("nodes"))
 
 
+def rebuilt_totals(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """totals(rebuild(blocks, pages)), without long texts in its shuffles.
+
+    Words are counted in the pass that reads a block. Over 150 characters a text opens no chapter, so all that is asked of it
+    is whether it equals another or starts with a page number: its hash, padded to stay as long, stands for it.
+    """
+    t = F.trim("text")
+    hashed = F.rpad(F.concat(F.lit("#"), F.sha2(t, 256)), 151, "#")
+    slim = blocks.withColumn("words", tx.word_count(tx.join_lines(F.col("text"))))
+    slim = slim.withColumn("text", F.when((F.length(t) > 150) & ~t.rlike(PAGE_NUMBER), hashed).otherwise(F.col("text")))
+    return rebuild(slim, pages).groupBy("doc_id").agg(F.sum("words").alias("total_words"), F.count_distinct("chapter_no").alias("chapters"), F.count("*").alias("nodes"))
+
+
 def table_rows(cells: DataFrame, gap: float = 12.0) -> DataFrame:
     """(table_id, rows, n_columns, confidence): cells (table_id, x, y, text) in rows by a running mean of y, padded to the widest row.
 

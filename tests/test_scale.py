@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from lexiloom import stages
-from lexiloom.operators import gate, lint, packing, retrieval, terms
+from lexiloom.operators import gate, lint, packing, retrieval, structure, terms
 
 
 def _memory(spark, texts):
@@ -124,3 +124,19 @@ def test_headings_meet_by_few_grams_and_equal_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == want
     (path,) = [p for p in stages.STAGED - before if "/heading-grams-" in p]
     assert spark.read.parquet(path).count() < sum(len(t) for *_, t in set(norm)) / 3
+
+
+def test_totals_of_a_rebuilding_need_no_long_texts(spark):
+    rng, n = random.Random(2), 40
+    head, mark = "A running head " * 12, "7 | " + "x " * 90
+    rows = []
+    for p in range(1, n):
+        texts = [(head, 20.0), (rng.choice([head, mark, f"{p}", None]), 800.0), (rng.choice(["CHAPTER 3", "word " * rng.randrange(1, 60), head, "a-\nb " * 40, ""]), 200.0), ("SHORT", 300.0)]
+        rows += [(p % 3, p, i, "text", t, 40.0, y, 560.0, y + 15.0, rng.choice([11.0, 22.0]), True, None) for i, (t, y) in enumerate(texts)]
+    b = spark.createDataFrame(rows, "doc_id int, page_number int, block_id int, type string, text string, x0 double, y0 double, x1 double, y1 double, font_size double, is_bold boolean, heading_level int")
+    pages = b.select("doc_id", "page_number", F.lit(600.0).alias("width"), F.lit(842.0).alias("height")).distinct()
+    want = structure.totals(structure.rebuild(b, pages))
+    got = structure.rebuilt_totals(b, pages)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("sha2")  # the hash is made below every join, where texts are read
