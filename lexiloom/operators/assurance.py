@@ -89,8 +89,8 @@ def signed(rows: DataFrame, p: Policy = Policy()) -> DataFrame:  # noqa: B008
 RESULT = ("node_id", "candidate", "approved", "status", "risk", "level", "errors", "signature", "score", "repairs", "calls", "from_cache")
 
 
-def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataFrame | None = None, force: bool = False) -> DataFrame:  # noqa: B008
-    """RESULT of every row (node_id, source_text, candidate, kind, previous_repairs, entities); node_id is unique.
+def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataFrame | None = None, force: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """RESULT of every row (node_id, source_text, candidate, kind, previous_repairs, entities), and its columns of `keep`; node_id is unique.
 
     Gate and risk decide who is reviewed. Errors of the gate at low risk are a FAIL; a clean candidate whose signature the cache
     (node_id, signature, status, score, risk, level, errors, stale) holds takes that review; a clean one at low risk is
@@ -116,7 +116,7 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
     def settled(df: DataFrame, **cols: Column) -> DataFrame:
         known = {"candidate": F.col("candidate"), "risk": F.col("risk"), "level": F.col("level"), "signature": F.col("signature"), "score": F.lit(None), "repairs": F.lit(0), "calls": F.lit(0), "from_cache": F.lit(False), "errors": _none()} | cols
         kinds = {"score": "double", "repairs": "int", "calls": "int", "errors": ERRORS, "approved": "boolean"}
-        return df.select("node_id", *(known[c].cast(kinds[c]).alias(c) if c in kinds else known[c].alias(c) for c in RESULT[1:]))
+        return df.select("node_id", *(known[c].cast(kinds[c]).alias(c) if c in kinds else known[c].alias(c) for c in RESULT[1:]), *keep)
 
     held = F.col("held")
     out = [
@@ -124,7 +124,7 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
         settled(state.where("route = 'LOW_RISK'"), approved=F.lit(True), status=F.lit("NOT_REQUIRED")),
         settled(state.where("route = 'CACHE'"), approved=held["status"].isin("PASS", "NOT_REQUIRED"), status=held["status"], score=held["score"], risk=held["risk"], level=held["level"], errors=held["errors"], from_cache=F.lit(True)),
     ]
-    carried = ("node_id", "source_text", "kind", "entities", "risk", "level")
+    carried = tuple(dict.fromkeys(("node_id", "source_text", "kind", "entities", "risk", "level", *keep)))
     live = state.where("route = 'CRITIC'").select(*carried, "candidate", "found", "signature")
     for i in range(p.repairs + 1):
         review = F.col("review")
@@ -190,8 +190,8 @@ def publish(rows: DataFrame, models: Models, locked: DataFrame, p: Policy = Poli
         ended(state.where("broken"), review, status=F.lit("FAIL"), errors=name_lost),
         ended(state.where(~F.col("broken") & trusted), approved, status=F.lit("NOT_REQUIRED"), from_cache=F.lit(True)),
     ]
-    told = evaluate(state.where(~F.col("broken") & ~trusted).select(*base, "candidate"), models, p, cache)
-    told = staged(state.select(*base).join(told.drop("risk", "level", "signature", "score"), "node_id"), "meaning")
+    told = evaluate(state.where(~F.col("broken") & ~trusted).select(*base, "candidate"), models, p, cache, keep=base[1:])
+    told = staged(told.drop("risk", "level", "signature", "score"), "meaning")
     of_meaning = {c: F.col(c) for c in ("status", "errors", "repairs", "calls", "from_cache")}
     out.append(ended(told.where("not approved"), review, **of_meaning))
     good = told.where("approved")

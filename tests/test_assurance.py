@@ -100,3 +100,11 @@ def test_publication_of_names_memory_and_rewrites(spark):
     assert {r["node_id"]: (r["publication"], r["rewrites"]) for r in assurance.publish(d, models(style=style), locked, none).collect()}["n2"] == ("NEEDS_REVIEW", 0)
     off = assurance.Policy(language="en", style=False)
     assert {r["node_id"]: r["publication"] for r in assurance.publish(d, models(style=style), locked, off).collect()}["n2"] == "APPROVED"
+
+
+def test_evaluation_hands_on_columns(spark):
+    """What publication needs of a row comes with its evaluation; the texts are not joined again."""
+    r = rows(spark, ("A house.", "Một ngôi nhà.", 1, False), (RISKY, "b", 2, False), ("A house.", "", 0, False))
+    out = assurance.evaluate(r, models(), POLICY, keep=("source_text", "previous_repairs"))
+    assert out.columns == [*assurance.RESULT, "source_text", "previous_repairs"]
+    assert sorted(tuple(x) for x in out.select("node_id", "source_text", "previous_repairs").collect()) == [("n0", "A house.", 1), ("n1", RISKY, 2), ("n2", "A house.", 0)]
