@@ -15,7 +15,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions import scores, text as tx
+from lexiloom.functions import scores
 from lexiloom.operators import gate, reviews, terms
 from lexiloom.stages import staged
 
@@ -74,15 +74,16 @@ def _none() -> Column:
 
 
 def signature(found: Column, p: Policy) -> Column:
-    """What a review of a candidate was made under: texts, entities' number, warnings and the policy."""
+    """What a review of a candidate was made under: texts, entities' number, warnings and the policy. Never null, and Spark is told so: else a join on it asks for it again in a filter."""
     warned = F.transform(F.filter(found, lambda i: i["severity"] == gate.WARNING), lambda i: i["type"])
     policy = reviews.policy_signature(F.lit(p.medium), F.lit(p.high), F.lit(p.repairs), warned)
-    return F.sha2(F.to_json(F.struct(F.col("candidate").alias("a_candidate"), F.lit(p.domain).alias("b_domain"), F.coalesce("entities", F.lit(0)).alias("c_entities"), policy.alias("d_policy"), F.col("source_text").alias("e_source"))), 256)
+    told = F.to_json(F.struct(F.col("candidate").alias("a_candidate"), F.lit(p.domain).alias("b_domain"), F.coalesce("entities", F.lit(0)).alias("c_entities"), policy.alias("d_policy"), F.col("source_text").alias("e_source")))
+    return F.coalesce(F.sha2(told, 256), F.lit(""))
 
 
-def signed(rows: DataFrame, p: Policy = Policy()) -> DataFrame:  # noqa: B008
-    """(node_id, signature) of rows (node_id, source_text, candidate, entities), as evaluate() looks them up in its cache."""
-    return _gated(rows.withColumn("candidate", F.coalesce("candidate", F.lit(""))), p).select("node_id", signature(F.col("found"), p).alias("signature"))
+def signed(rows: DataFrame, p: Policy = Policy(), keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """(node_id, signature) of rows (node_id, source_text, candidate, entities), as evaluate() looks them up in its cache, and their columns of `keep`."""
+    return _gated(rows.withColumn("candidate", F.coalesce("candidate", F.lit(""))), p).select("node_id", signature(F.col("found"), p).alias("signature"), *keep)
 
 
 #: The columns of a settled row.
@@ -98,12 +99,21 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
     the last repair, settles as not approved; else the candidate is repaired, and a repair that does not pass the gate settles
     as FAIL. `force` reviews every row and looks at no cache. Nulls: a null candidate is an empty one; a review that is null is
     an ERROR. A settled row's score is the last review's.
+
+    A row goes through one shuffle at most, to meet the cache. Sources go on and are staged only for rows that models may
+    still be asked about, or where `keep` has them; a repaired candidate takes the place of the one before.
     """
     seen = _gated(rows.withColumn("candidate", F.coalesce("candidate", F.lit(""))), p)
     codes = F.transform(F.filter("found", lambda i: i["severity"] == gate.WARNING), lambda i: i["type"])
     risk = scores.risk_score(F.col("source_text"), F.col("candidate"), F.when(F.lower(F.lit(p.domain)).isin(*scores.HIGH_RISK), F.lit(p.domain)).otherwise(F.col("kind")), F.col("previous_repairs"), codes, F.col("entities"))
     seen = seen.withColumn("risk", risk).withColumn("level", scores.risk_level(F.col("risk"), p.medium, p.high)).withColumn("signature", signature(F.col("found"), p))
     asked = F.lit(force) | (F.col("level") != "LOW")
+
+    def sourced(df: DataFrame, open_: Column) -> DataFrame:
+        return df if "source_text" in keep else df.withColumn("source_text", F.when(open_, F.col("source_text")))
+
+    carried = tuple(dict.fromkeys(("node_id", "source_text", "kind", "entities", "risk", "level", *keep)))
+    seen = sourced(seen.select(*carried, "candidate", "found", "signature"), asked)
     if cache is None:
         seen = seen.withColumn("held", F.lit(None).cast(f"struct<status string, score double, risk double, level string, errors {ERRORS}>"))
     else:
@@ -119,12 +129,14 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
         return df.select("node_id", *(known[c].cast(kinds[c]).alias(c) if c in kinds else known[c].alias(c) for c in RESULT[1:]), *keep)
 
     held = F.col("held")
+    gate_, cached = F.col("route") == "GATE", F.col("route") == "CACHE"
+    of_cache = {c: F.when(cached, held[c]).otherwise(F.col(c)) for c in ("risk", "level")}
     out = [
-        settled(state.where("route = 'GATE'"), approved=F.lit(False), status=F.lit("FAIL"), errors=F.col("found")),
-        settled(state.where("route = 'LOW_RISK'"), approved=F.lit(True), status=F.lit("NOT_REQUIRED")),
-        settled(state.where("route = 'CACHE'"), approved=held["status"].isin("PASS", "NOT_REQUIRED"), status=held["status"], score=held["score"], risk=held["risk"], level=held["level"], errors=held["errors"], from_cache=F.lit(True)),
-    ]
-    carried = tuple(dict.fromkeys(("node_id", "source_text", "kind", "entities", "risk", "level", *keep)))
+        settled(
+            state.where("route <> 'CRITIC'"), approved=F.when(cached, held["status"].isin("PASS", "NOT_REQUIRED")).otherwise(~gate_), status=F.when(cached, held["status"]).when(gate_, "FAIL").otherwise("NOT_REQUIRED"),
+            score=F.when(cached, held["score"]), errors=F.when(cached, held["errors"]).when(gate_, F.col("found")).otherwise(_none()), from_cache=cached, **of_cache,
+        )
+    ]
     live = state.where("route = 'CRITIC'").select(*carried, "candidate", "found", "signature")
     for i in range(p.repairs + 1):
         review = F.col("review")
@@ -132,13 +144,14 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
         clean = _clean("found")
         problems = F.concat(F.when(clean, _none()).otherwise(F.col("found")), F.when(status != "PASS", F.coalesce(review["errors"].cast(ERRORS), _none())).otherwise(_none()))
         end = F.when((status == "PASS") & clean, "PASS").when((status == "ERROR") | F.lit(i >= p.repairs), F.when(~clean, "FAIL").otherwise(status))
-        done = staged(models.critic(live).withColumn("end", end).withColumn("diagnostics", problems), "reviewed")
+        done = models.critic(live).withColumn("end", end).withColumn("diagnostics", problems).drop("found")
+        done = staged(sourced(done, F.col("end").isNull()), "reviewed")
         out.append(settled(done.where("end is not null"), approved=F.col("end") == "PASS", status=F.col("end"), errors=F.when(F.col("end") == "PASS", _none()).otherwise(F.col("diagnostics")), score=review["score"], repairs=F.lit(i), calls=F.lit(i + 1)))
         going = done.where("end is null")
         if i == p.repairs or not going.head(1):
             break
-        mended = _gated(models.repair(going.drop("found")).withColumn("repaired", F.coalesce("repaired", F.lit(""))), p, "repaired")
-        mended = staged(mended.withColumn("ok", _clean("found")), "repaired")
+        mended = _gated(models.repair(going).withColumn("repaired", F.coalesce("repaired", F.lit(""))), p, "repaired")
+        mended = staged(sourced(mended.drop("candidate").withColumn("ok", _clean("found")), F.col("ok")), "repaired")
         failed = F.concat("diagnostics", F.col("found"))
         out.append(settled(mended.where("not ok"), candidate=F.col("repaired"), approved=F.lit(False), status=F.lit("FAIL"), errors=failed, score=review["score"], repairs=F.lit(i + 1), calls=F.lit(i + 1)))
         live = mended.where("ok").select(*carried, F.col("repaired").alias("candidate"), "found")
@@ -146,10 +159,9 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
     return reduce(DataFrame.unionByName, out)
 
 
-def locked_missing(rows: DataFrame, locked: DataFrame, text: str = "candidate") -> DataFrame:
-    """node_id of the rows whose source names a locked entity (source_key, target) that `text` does not render as its target."""
-    hits = terms.term_hits(rows.select("node_id", "source_text", F.coalesce(text, F.lit("")).alias("_t")), locked, "source_text", "source_key")
-    return hits.where(~tx.has_term(F.col("_t"), F.col("target"))).select("node_id").distinct()
+def names_lost(rows: DataFrame, locked: DataFrame, text: str = "candidate") -> DataFrame:
+    """Adds broken: whether the row's source names a locked entity (source_key, target) that `text` does not render as its target."""
+    return terms.lost_terms(rows, locked, "source_text", "source_key", text, "target", "broken")
 
 
 def reviewed_style(rows: DataFrame, models: Models, p: Policy) -> DataFrame:
@@ -173,8 +185,7 @@ def publish(rows: DataFrame, models: Models, locked: DataFrame, p: Policy = Poli
     if it passes all, the original may still veto it by winning in both orders. Each group of rows that goes on is staged.
     """
     state = rows.withColumn("candidate", F.coalesce("candidate", F.lit("")))
-    broken = locked_missing(state, locked).withColumn("broken", F.lit(True))
-    state = staged(state.join(broken, "node_id", "left").withColumn("broken", F.coalesce("broken", F.lit(False))), "publication")
+    state = staged(names_lost(state, locked), "publication")
     base = ("node_id", "source_text", "kind", "previous_repairs", "entities")
     blank = {"errors": _none(), "style_status": F.lit("NOT_RUN"), "style_score": F.lit(None), "rewrites": F.lit(0), "rewrite_success": F.lit(False), "repairs": F.lit(0), "calls": F.lit(0), "style_calls": F.lit(0), "from_cache": F.lit(False)}
     kinds = {"errors": ERRORS, "style_score": "double", "rewrites": "int", "repairs": "int", "calls": "int", "style_calls": "int", "approved": "boolean"}
@@ -211,10 +222,8 @@ def publish(rows: DataFrame, models: Models, locked: DataFrame, p: Policy = Poli
     written = again.where("rewritten <> ''").withColumn("candidate", F.col("rewritten"))
     told = evaluate(written.select(*base, "candidate"), models, Policy(**{**p.__dict__, "repairs": 0}), force=True)
     told = told.select("node_id", F.col("approved").alias("meant"), "status", F.col("errors").alias("found"), "calls")
-    lost = locked_missing(written, locked).withColumn("broken", F.lit(True))
     checked = reviewed_style(written.select(*base, "original", "candidate", "rewritten", "repairs", F.col("from_cache"), F.col("style").alias("before")), models, p)
-    checked = checked.join(told, "node_id").join(lost, "node_id", "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
-    checked = _gated(checked, p, name="gate")
+    checked = _gated(names_lost(checked.join(told, "node_id"), locked), p, name="gate")
     checked = staged(checked.withColumn("good", _clean("gate") & ~F.col("broken") & F.col("meant") & reviews.style_passes(style, p.passing)), "rechecked")
     of_rewrite = {"status": F.when(F.col("broken"), "FAIL").otherwise(F.col("status")), "errors": F.when(F.col("broken"), F.concat("found", name_lost.cast(ERRORS))).otherwise(F.col("found")), "repairs": F.lit(0), "calls": F.col("calls"), "style_status": style["status"], "style_score": style["score"], "rewrites": F.lit(1), "style_calls": F.lit(2)}
     out.append(ended(checked.where("not good"), review, **of_rewrite))

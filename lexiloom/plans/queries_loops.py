@@ -92,7 +92,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         (kind % 3).cast("int").alias("previous_repairs"), F.when(kind >= 6, 3).otherwise(0).alias("entities"), (kind == 11).alias("trusted"), (kind == 0).alias("_held"),
     )
     known = rows.where("_held")
-    held = assurance.signed(known, POLICY).join(known.select("node_id", "order_index"), "node_id")
+    held = assurance.signed(known, POLICY, keep=("order_index",))
     fails = F.col("order_index") % 2 == 1
     none = F.array().cast(assurance.ERRORS)
     cache = held.select("node_id", "signature", F.when(fails, "FAIL").otherwise("PASS").alias("status"), F.lit(0.5).alias("score"), F.lit(0.2).alias("risk"), F.lit("LOW").alias("level"), none.alias("errors"), (F.col("order_index") % 5 == 0).alias("stale"))
@@ -176,7 +176,9 @@ def assured_meaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, risk, cache and the bounded loop of review and repair over every pair whose locked names are kept."""
     rows, cache = candidates(spark, sf_dir)
     locked = spark.createDataFrame(LOCKED, "source_key string, target string")
-    left = rows.where(~F.col("trusted")).join(assurance.locked_missing(rows, locked), "node_id", "left_anti")
+    told = assurance.names_lost(rows.where(~F.col("trusted")), locked)
+    # a generator, since a filter would be pushed below the texts, which it would build again
+    left = told.withColumn("_kept", F.explode(F.when(~F.col("broken"), F.array(F.lit(True))))).drop("broken", "_kept")
     out = assurance.evaluate(left, MODELS, POLICY, cache)
     return out.select("node_id", F.md5("candidate").alias("text_md5"), "approved", "status", F.size("errors").alias("n_errors"), "repairs", "calls", "from_cache")
 
