@@ -1,6 +1,7 @@
 """The gate's and the risk's shortcuts: nothing is computed twice, and what is looked at first never hides what a pattern finds."""
 
 import random
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -65,3 +66,30 @@ def test_names_do_not_cut_the_source_again(spark):
     began = time.perf_counter()
     assert d.select(gate.foreign_words(F.col("a"), F.col("b"))).first()[0] == ["Zwbbbbb"]
     assert time.perf_counter() - began < 30
+
+
+def test_long_runs_keep_no_frame_for_each_word(spark):
+    """Java's pattern keeps a frame on the stack for each round of a group that it may have to give back; some thousand of them end an executor."""
+    n = 20_000
+    runs = ["Anna" + " and" * n + " Bob", "Anna" + " and" * n, "Anna" + " and" * n + " bob", "1" + ",2" * n, "Table 1" + ".2" * n, "fig a" + "-b" * n, "a" + "-b" * n, "x /" + "a/" * n, "x a" + ".b" * n + "()"]
+    d = spark.createDataFrame(list(enumerate(runs)), "i int, t string").repartition(1)
+    t = F.col("t")
+    row = {r["i"]: r for r in d.select("i", gate.residue(t).alias("left"), facts.number_keys(t).alias("numbers"), facts.reference_keys(t).alias("refs"), facts.language_words(t).alias("words"), tx.technical_tokens(t).alias("tokens"), tx.matches(t, gate.LABEL).alias("labels"), gate.gate_issues(t, t).alias("issues")).collect()}
+    assert [row[i]["left"] for i in range(3)] == [[], ["and"], ["and"]]
+    assert row[3]["numbers"] == ["1" + "2" * n + "|||"] and row[4]["refs"] == ["TABLE:1" + ".2" * n] and row[4]["labels"] == [runs[4]]
+    assert row[5]["refs"] == ["FIGURE:A" + "-B" * n] and row[6]["words"] == [runs[6]]
+    assert row[7]["tokens"] == [runs[7][2:]] and row[8]["tokens"] == [runs[8][2:]]
+    assert "ENGLISH_RESIDUE" not in [i["code"] for i in row[0]["issues"]] and "ENGLISH_RESIDUE" in [i["code"] for i in row[1]["issues"]]
+
+
+def test_patterns_that_give_nothing_back_find_the_same(spark):
+    """The patterns of long runs, held against those that may give back what they took."""
+    rng = random.Random(8)
+    bits = ("Table", "Fig.", "Section", "Figure", " ", " ", " 1", ".2", ".23", ",5", "-b", "-B7", "a", "é", "_", "/", "/a", ":/", "()", ".", ".b", "x", "%", " kg", "'t", "́", "٣", "ſ", "\n", "`")
+    d = spark.createDataFrame([("".join(rng.choices(bits, k=rng.randrange(2, 12))),) for _ in range(6000)], "t string")
+    t = F.col("t")
+    pairs = [(tx.matches(t, re.sub(r"([*+])\+", r"\1", p).replace(r"(?:\.\d+\b)*", r"(?:\.\d+)*")), tx.matches(t, p)) for p in (facts.NUMBER, facts.REFERENCE, facts.LANGUAGE_WORD, tx.TECHNICAL, gate.LABEL)]
+    rows = d.select("t", *[c for p in pairs for c in p]).collect()
+    for i in range(len(pairs)):
+        assert [(r[0], r[2 * i + 1]) for r in rows] == [(r[0], r[2 * i + 2]) for r in rows], i
+        assert any(r[2 * i + 2] for r in rows), i
