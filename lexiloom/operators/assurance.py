@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import scores
 from lexiloom.operators import gate, reviews, terms
-from lexiloom.stages import staged
+from lexiloom.stages import GOING, delete, parted, parts, spent, staged
 
 ERRORS = "array<struct<type:string,severity:string,message:string>>"
 STYLE_ISSUES = "array<struct<type:string,severity:string>>"
@@ -59,9 +59,10 @@ class Policy:
     codes: tuple[str, ...] = gate.CODES
 
 
-def _gated(df: DataFrame, p: Policy, text: str = "candidate", name: str = "found") -> DataFrame:
-    """Adds the gate's issues as errors (type, severity, message)."""
+def _gated(df: DataFrame, p: Policy, text: str = "candidate", name: str = "found", goes: Column | None = None) -> DataFrame:
+    """Adds the gate's issues as errors (type, severity, message); none where not `goes`."""
     found = gate.gate_issues(F.col("source_text"), F.col(text), p.language, p.codes)
+    found = found if goes is None else F.when(goes, found).otherwise(F.array().cast(gate.ISSUES))
     return df.withColumn(name, F.transform(found, lambda i: F.struct(i["code"].alias("type"), i["severity"].alias("severity"), F.concat_ws(": ", i["code"], F.nullif(i["detail"], F.lit(""))).alias("message"))).cast(ERRORS))
 
 
@@ -103,10 +104,16 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
     A row goes through one shuffle at most, to meet the cache. Sources go on and are staged only for rows that models may
     still be asked about, or where `keep` has them; a repaired candidate takes the place of the one before.
     """
-    seen = _gated(rows.withColumn("candidate", F.coalesce("candidate", F.lit(""))), p)
+    return _evaluated(rows, models, p, cache, force, keep)[0]
+
+
+def _evaluated(rows: DataFrame, models: Models, p: Policy, cache: DataFrame | None, force: bool, keep: tuple[str, ...], ended: str | None = None, once: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """evaluate(), and the staged tables that its result reads. Rows whose column `ended` is not null are handed on as they are: nothing is asked of them. `once`: rows that go on are deleted when the next pass has them."""
+    goes = F.lit(True) if ended is None else F.col(ended).isNull()
+    seen = _gated(rows.withColumn("candidate", F.coalesce("candidate", F.lit(""))), p, goes=None if ended is None else goes)
     codes = F.transform(F.filter("found", lambda i: i["severity"] == gate.WARNING), lambda i: i["type"])
     risk = scores.risk_score(F.col("source_text"), F.col("candidate"), F.when(F.lower(F.lit(p.domain)).isin(*scores.HIGH_RISK), F.lit(p.domain)).otherwise(F.col("kind")), F.col("previous_repairs"), codes, F.col("entities"))
-    seen = seen.withColumn("risk", risk).withColumn("level", scores.risk_level(F.col("risk"), p.medium, p.high)).withColumn("signature", signature(F.col("found"), p))
+    seen = seen.withColumn("risk", F.when(goes, risk)).withColumn("level", scores.risk_level(F.col("risk"), p.medium, p.high)).withColumn("signature", F.when(goes, signature(F.col("found"), p)).otherwise(""))
     asked = F.lit(force) | (F.col("level") != "LOW")
 
     def sourced(df: DataFrame, open_: Column) -> DataFrame:
@@ -120,8 +127,9 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
         live = cache.where(~F.coalesce("stale", F.lit(False))).groupBy("node_id", "signature").agg(F.min(F.struct("status", "score", "risk", "level", F.col("errors").cast(ERRORS).alias("errors"))).alias("held"))
         seen = seen.join(live, ["node_id", "signature"], "left")
     usable = F.col("held").isNotNull() & _clean("found") & ~F.lit(force)
-    route = F.when(~_clean("found") & ~asked, "GATE").when(usable, "CACHE").when(~asked, "LOW_RISK").otherwise("CRITIC")
-    state = staged(seen.withColumn("route", route), "assurance")
+    route = F.when(~goes, "ENDED").when(~_clean("found") & ~asked, "GATE").when(usable, "CACHE").when(~asked, "LOW_RISK").otherwise("CRITIC")
+    state = staged(seen.withColumn("route", route).withColumn(GOING, F.col("route") == "CRITIC"), "assurance")
+    tables = [state]
 
     def settled(df: DataFrame, **cols: Column) -> DataFrame:
         known = {"candidate": F.col("candidate"), "risk": F.col("risk"), "level": F.col("level"), "signature": F.col("signature"), "score": F.lit(None), "repairs": F.lit(0), "calls": F.lit(0), "from_cache": F.lit(False), "errors": _none()} | cols
@@ -133,11 +141,11 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
     of_cache = {c: F.when(cached, held[c]).otherwise(F.col(c)) for c in ("risk", "level")}
     out = [
         settled(
-            state.where("route <> 'CRITIC'"), approved=F.when(cached, held["status"].isin("PASS", "NOT_REQUIRED")).otherwise(~gate_), status=F.when(cached, held["status"]).when(gate_, "FAIL").otherwise("NOT_REQUIRED"),
+            state.where(f"not {GOING}"), approved=F.when(cached, held["status"].isin("PASS", "NOT_REQUIRED")).otherwise(~gate_), status=F.when(cached, held["status"]).when(gate_, "FAIL").otherwise("NOT_REQUIRED"),
             score=F.when(cached, held["score"]), errors=F.when(cached, held["errors"]).when(gate_, F.col("found")).otherwise(_none()), from_cache=cached, **of_cache,
         )
     ]
-    live = state.where("route = 'CRITIC'").select(*carried, "candidate", "found", "signature")
+    live = state.where(GOING).select(*carried, "candidate", "found", "signature")
     for i in range(p.repairs + 1):
         review = F.col("review")
         status = F.coalesce(review["status"], F.lit("ERROR"))
@@ -145,18 +153,24 @@ def evaluate(rows: DataFrame, models: Models, p: Policy = Policy(), cache: DataF
         problems = F.concat(F.when(clean, _none()).otherwise(F.col("found")), F.when(status != "PASS", F.coalesce(review["errors"].cast(ERRORS), _none())).otherwise(_none()))
         end = F.when((status == "PASS") & clean, "PASS").when((status == "ERROR") | F.lit(i >= p.repairs), F.when(~clean, "FAIL").otherwise(status))
         done = models.critic(live).withColumn("end", end).withColumn("diagnostics", problems).drop("found")
-        done = staged(sourced(done, F.col("end").isNull()), "reviewed")
-        out.append(settled(done.where("end is not null"), approved=F.col("end") == "PASS", status=F.col("end"), errors=F.when(F.col("end") == "PASS", _none()).otherwise(F.col("diagnostics")), score=review["score"], repairs=F.lit(i), calls=F.lit(i + 1)))
-        going = done.where("end is null")
+        done = staged(sourced(done, F.col("end").isNull()).withColumn(GOING, F.col("end").isNull()), "reviewed")
+        if once:
+            spent(tables[-1])
+        tables.append(done)
+        out.append(settled(done.where(f"not {GOING}"), approved=F.col("end") == "PASS", status=F.col("end"), errors=F.when(F.col("end") == "PASS", _none()).otherwise(F.col("diagnostics")), score=review["score"], repairs=F.lit(i), calls=F.lit(i + 1)))
+        going = done.where(GOING).drop(GOING)
         if i == p.repairs or not going.head(1):
             break
         mended = _gated(models.repair(going).withColumn("repaired", F.coalesce("repaired", F.lit(""))), p, "repaired")
-        mended = staged(sourced(mended.drop("candidate").withColumn("ok", _clean("found")), F.col("ok")), "repaired")
+        mended = staged(sourced(mended.drop("candidate").withColumn("ok", _clean("found")), F.col("ok")).withColumn(GOING, F.col("ok")), "repaired")
+        if once:
+            spent(tables[-1])
+        tables.append(mended)
         failed = F.concat("diagnostics", F.col("found"))
-        out.append(settled(mended.where("not ok"), candidate=F.col("repaired"), approved=F.lit(False), status=F.lit("FAIL"), errors=failed, score=review["score"], repairs=F.lit(i + 1), calls=F.lit(i + 1)))
-        live = mended.where("ok").select(*carried, F.col("repaired").alias("candidate"), "found")
+        out.append(settled(mended.where(f"not {GOING}"), candidate=F.col("repaired"), approved=F.lit(False), status=F.lit("FAIL"), errors=failed, score=review["score"], repairs=F.lit(i + 1), calls=F.lit(i + 1)))
+        live = mended.where(GOING).select(*carried, F.col("repaired").alias("candidate"), "found")
         live = live.withColumn("signature", signature(F.col("found"), p))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out), tables
 
 
 def names_lost(rows: DataFrame, locked: DataFrame, text: str = "candidate") -> DataFrame:
@@ -176,66 +190,83 @@ def reviewed_style(rows: DataFrame, models: Models, p: Policy) -> DataFrame:
 PUBLISHED = ("node_id", "text", "publication", "approved", "status", "errors", "style_status", "style_score", "rewrites", "rewrite_success", "repairs", "calls", "style_calls", "from_cache")
 
 
-def publish(rows: DataFrame, models: Models, locked: DataFrame, p: Policy = Policy(), cache: DataFrame | None = None) -> DataFrame:  # noqa: B008
+def publish(rows: DataFrame, models: Models, locked: DataFrame, p: Policy = Policy(), cache: DataFrame | None = None, shown: Callable[[Column], Column] = lambda c: c) -> DataFrame:  # noqa: B008
     """PUBLISHED of every row (node_id, source_text, candidate, kind, previous_repairs, entities, trusted): one row each.
 
     In this order: a locked entity that is not kept ends as NEEDS_REVIEW; a trusted rendering (from memory) is APPROVED without
     a model; evaluate() has to approve the meaning; the style has to pass. A style in the range of rewriting is rewritten once
     where that may be tried, and the rewrite is checked three times (gate and locked entities, meaning without repairs, style);
-    if it passes all, the original may still veto it by winning in both orders. Each group of rows that goes on is staged.
+    if it passes all, the original may still veto it by winning in both orders.
+
+    Rows that go on are staged and deleted when the next step has them; of a row that ends only its result stays, with
+    `shown` of its text (a digest, say, where the text itself is not asked for).
     """
-    state = rows.withColumn("candidate", F.coalesce("candidate", F.lit("")))
-    state = staged(names_lost(state, locked), "publication")
     base = ("node_id", "source_text", "kind", "previous_repairs", "entities")
     blank = {"errors": _none(), "style_status": F.lit("NOT_RUN"), "style_score": F.lit(None), "rewrites": F.lit(0), "rewrite_success": F.lit(False), "repairs": F.lit(0), "calls": F.lit(0), "style_calls": F.lit(0), "from_cache": F.lit(False)}
     kinds = {"errors": ERRORS, "style_score": "double", "rewrites": "int", "repairs": "int", "calls": "int", "style_calls": "int", "approved": "boolean"}
 
-    def ended(df: DataFrame, publication: Column, **cols: Column) -> DataFrame:
-        known = blank | {"text": F.col("candidate"), "publication": publication, "approved": publication == "APPROVED"} | cols
-        return df.select("node_id", *(known[c].cast(kinds[c]).alias(c) if c in kinds else known[c].alias(c) for c in PUBLISHED[1:]))
+    def ended(publication: Column, **cols: Column) -> list[Column]:
+        known = blank | {"node_id": F.col("node_id"), "text": shown(F.col("candidate")), "publication": publication, "approved": publication == "APPROVED"} | cols
+        return [(known[c].cast(kinds[c]) if c in kinds else known[c]).alias(c) for c in PUBLISHED]
+
+    def gone(tables: list[DataFrame]) -> None:
+        for t in tables:
+            delete(t.sparkSession, t.staged_path)
 
     review, approved = F.lit("NEEDS_REVIEW"), F.lit("APPROVED")
     name_lost = F.array(F.struct(F.lit("ENTITY_MISMATCH").alias("type"), F.lit("ERROR").alias("severity"), F.lit("a locked entity is not kept").alias("message")))
-    trusted = F.coalesce("trusted", F.lit(False))
-    out = [
-        ended(state.where("broken"), review, status=F.lit("FAIL"), errors=name_lost),
-        ended(state.where(~F.col("broken") & trusted), approved, status=F.lit("NOT_REQUIRED"), from_cache=F.lit(True)),
-    ]
-    told = evaluate(state.where(~F.col("broken") & ~trusted).select(*base, "candidate"), models, p, cache, keep=base[1:])
-    told = staged(told.drop("risk", "level", "signature", "score"), "meaning")
+    state = names_lost(rows.withColumn("candidate", F.coalesce("candidate", F.lit(""))), locked)
+    state = state.withColumn("ended", F.when(F.col("broken"), "NAME").when(F.coalesce("trusted", F.lit(False)), "MEMORY"))
+    goes = F.col("ended").isNull()
+    state = state.select("node_id", F.when(goes, F.col("source_text")).alias("source_text"), *base[2:], F.when(goes, F.col("candidate")).otherwise(shown(F.col("candidate"))).alias("candidate"), "ended")
+    told, tables = _evaluated(state, models, p, cache, False, (*base[1:], "ended"), "ended", once=True)
     of_meaning = {c: F.col(c) for c in ("status", "errors", "repairs", "calls", "from_cache")}
-    out.append(ended(told.where("not approved"), review, **of_meaning))
-    good = told.where("approved")
+    lost, memory = F.col("ended").eqNullSafe("NAME"), F.col("ended").eqNullSafe("MEMORY")
+    of_end = {"text": F.when(goes, shown(F.col("candidate"))).otherwise(F.col("candidate")), "status": F.when(lost, "FAIL").when(memory, "NOT_REQUIRED").otherwise(F.col("status")), "errors": F.when(lost, name_lost.cast(ERRORS)).otherwise(F.col("errors")), "from_cache": memory | (goes & F.col("from_cache"))}
+    meant = goes & F.coalesce("approved", F.lit(False))
+    out = [staged(told.where(~meant).select(*ended(F.when(memory, approved).otherwise(review), **(of_meaning | of_end))), "published")]
+    good = told.where(meant).select(*base, "candidate", *of_meaning)
     if not p.style:
-        return reduce(DataFrame.unionByName, [*out, ended(good, approved, **of_meaning)])
+        out.append(staged(good.select(*ended(approved, **of_meaning)), "published"))
+        gone(tables)
+        return reduce(DataFrame.unionByName, out)
 
-    styled = staged(reviewed_style(good, models, p), "style")
     style = F.col("style")
     passes, types = reviews.style_passes(style, p.passing), F.transform(style["issues"], lambda i: i["type"])
     tried = reviews.in_rewrite_range(style["status"], style["score"], p.rewriting, p.passing) & reviews.may_rewrite(F.col("kind"), F.lit(p.mode), F.lit(p.domain), types) & F.lit(min(p.rewrites, 1) > 0)
     of_style = of_meaning | {"style_status": style["status"], "style_score": style["score"], "style_calls": F.lit(1)}
-    out += [ended(styled.where(passes), approved, **of_style), ended(styled.where(~passes & ~tried), review, **of_style)]
-
-    again = models.rewrite(styled.where(~passes & tried)).withColumn("rewritten", F.trim(F.coalesce("rewritten", F.lit(""))))
-    again = staged(again.withColumnRenamed("candidate", "original"), "rewritten")
-    out.append(ended(again.where("rewritten = ''"), review, text=F.col("original"), style_status=F.lit("ERROR"), rewrites=F.lit(1), style_calls=F.lit(1), **of_meaning))
-    written = again.where("rewritten <> ''").withColumn("candidate", F.col("rewritten"))
-    told = evaluate(written.select(*base, "candidate"), models, Policy(**{**p.__dict__, "repairs": 0}), force=True)
-    told = told.select("node_id", F.col("approved").alias("meant"), "status", F.col("errors").alias("found"), "calls")
-    checked = reviewed_style(written.select(*base, "original", "candidate", "rewritten", "repairs", F.col("from_cache"), F.col("style").alias("before")), models, p)
-    checked = _gated(names_lost(checked.join(told, "node_id"), locked), p, name="gate")
-    checked = staged(checked.withColumn("good", _clean("gate") & ~F.col("broken") & F.col("meant") & reviews.style_passes(style, p.passing)), "rechecked")
-    of_rewrite = {"status": F.when(F.col("broken"), "FAIL").otherwise(F.col("status")), "errors": F.when(F.col("broken"), F.concat("found", name_lost.cast(ERRORS))).otherwise(F.col("found")), "repairs": F.lit(0), "calls": F.col("calls"), "style_status": style["status"], "style_score": style["score"], "rewrites": F.lit(1), "style_calls": F.lit(2)}
-    out.append(ended(checked.where("not good"), review, **of_rewrite))
-    fine = checked.where("good")
+    styled = staged(parted(reviewed_style(good, models, p), ~passes & tried, (*base, "candidate", "style", *of_meaning), ended(F.when(passes, approved).otherwise(review), **of_style)), "style")
+    gone(tables)
+    going, over = parts(styled)
+    out.append(over)
+
+    again = models.rewrite(going).withColumn("rewritten", F.trim(F.coalesce("rewritten", F.lit(""))))
+    unwritten = ended(review, text=shown(F.col("original")), style_status=F.lit("ERROR"), rewrites=F.lit(1), style_calls=F.lit(1), **of_meaning)
+    written = staged(parted(again.withColumnRenamed("candidate", "original"), F.col("rewritten") != "", (*base, "original", F.col("rewritten").alias("candidate")), unwritten), "rewritten")
+    spent(styled)
+    going, over = parts(written)
+    out.append(over)
+
+    told, tables = _evaluated(going, models, Policy(**{**p.__dict__, "repairs": 0}), None, True, (*base[1:], "original"), once=True)
+    spent(written)
+    told = told.select(*base, "original", "candidate", F.col("candidate").alias("rewritten"), F.col("approved").alias("meant"), "status", F.col("errors").alias("found"), "calls")
+    checked = _gated(names_lost(reviewed_style(told, models, p), locked), p, name="gate")
+    good = _clean("gate") & ~F.col("broken") & F.col("meant") & passes
+    of_rewrite = {"status": F.when(F.col("broken"), "FAIL").otherwise(F.col("status")), "errors": F.when(F.col("broken"), F.concat("found", name_lost.cast(ERRORS))).otherwise(F.col("found")), "calls": F.col("calls"), "style_status": style["status"], "style_score": style["score"], "rewrites": F.lit(1), "style_calls": F.lit(2)}
+    rechecked = staged(parted(checked, good, (*base, "original", "rewritten", "candidate", "style", "broken", "found", "status", "calls"), ended(review, **of_rewrite)), "rechecked")
+    gone(tables)
+    fine, over = parts(rechecked)
+    out.append(over)
+
     if p.veto:
-        pair = models.compare(fine.withColumn("candidate", F.col("original")))
-        fine = staged(pair.withColumn("candidate", F.col("rewritten")).withColumn("vetoed", F.coalesce(reviews.original_wins(F.col("first"), F.col("second")), F.lit(False))), "compared")
-        with_veto = of_rewrite | {"style_calls": F.lit(4)}
-        out.append(ended(fine.where("vetoed"), review, **(with_veto | {"style_status": F.lit("FAIL")})))
-        out.append(ended(fine.where("not vetoed"), approved, rewrite_success=F.lit(True), **with_veto))
+        pair = models.compare(fine.withColumn("candidate", F.col("original"))).withColumn("candidate", F.col("rewritten"))
+        pair = pair.withColumn("vetoed", F.coalesce(reviews.original_wins(F.col("first"), F.col("second")), F.lit(False)))
+        vetoed = F.col("vetoed")
+        with_veto = of_rewrite | {"style_calls": F.lit(4), "style_status": F.when(vetoed, "FAIL").otherwise(style["status"]), "rewrite_success": ~vetoed}
+        out.append(staged(pair.select(*ended(F.when(vetoed, review).otherwise(approved), **with_veto)), "published"))
     else:
-        out.append(ended(fine, approved, rewrite_success=F.lit(True), **of_rewrite))
+        out.append(staged(fine.select(*ended(approved, rewrite_success=F.lit(True), **of_rewrite)), "published"))
+    spent(rechecked)
     return reduce(DataFrame.unionByName, out)
 
 

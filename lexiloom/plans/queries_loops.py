@@ -188,8 +188,8 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of every pair: locked names, trusted memory, meaning, style, one rewrite, three rechecks, the original's veto."""
     rows, cache = candidates(spark, sf_dir)
     locked = spark.createDataFrame(LOCKED, "source_key string, target string")
-    out = assurance.publish(rows, MODELS, locked, POLICY, cache)
-    return out.select("node_id", F.md5("text").alias("text_md5"), "publication", "approved", "status", F.size("errors").alias("n_errors"), "style_status", "style_score", "rewrites", "rewrite_success", "repairs", "calls", "style_calls", "from_cache")
+    out = assurance.publish(rows, MODELS, locked, POLICY, cache, shown=F.md5)
+    return out.select("node_id", F.col("text").alias("text_md5"), "publication", "approved", "status", F.size("errors").alias("n_errors"), "style_status", "style_score", "rewrites", "rewrite_success", "repairs", "calls", "style_calls", "from_cache")
 
 
 # packing by the assembled request

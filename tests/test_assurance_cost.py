@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lexiloom import stages
 from lexiloom.functions import scores
 from lexiloom.functions import text as tx
 from lexiloom.operators import assurance, terms
@@ -75,3 +76,44 @@ def test_texts_move_once_and_only_where_they_are_needed(spark, monkeypatch, tmp_
     assert made["reviewed"][1].where("end is not null and source_text is not null").count() == 0
     assert "candidate" not in made["repaired"][1].columns
     assert out.count() == out.select("node_id").distinct().count() > 0
+
+
+def test_publication_holds_no_texts_that_no_step_reads(spark, monkeypatch, tmp_path):
+    """What lies in the shared folder while rows are published, and what is left: texts for a pass and the next, then results only."""
+    rng = random.Random(9)
+    lines = [(i, "\n".join(f"{rng.choice(('all may', 'a stiff e line'))} {rng.randbytes(2000).hex()} if so." for _ in range(12)), "s", "en") for i in range(120)]
+    text = sum(len(x[1]) for x in lines)
+    spark.createDataFrame(lines, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    held, real = [], assurance.staged
+    monkeypatch.setattr(stages, "shared_dir", lambda _: f"{tmp_path}/shared")
+
+    def size():
+        return sum(f.stat().st_size for f in (tmp_path / "shared").rglob("*.parquet"))
+
+    def spied(df, label):
+        out = real(df, label)
+        held.append((label, size()))
+        return out
+
+    monkeypatch.setattr(assurance, "staged", spied)
+    out = q.publications(spark, str(tmp_path))
+    left = size()
+    assert out.count() == out.select("node_id").distinct().count() == 120 * 12
+    # a hexadecimal text takes half its size packed, or all of it; source and candidate of two passes at most
+    assert max(n for _, n in held) < 3 * text and left < text / 10, (text, left, held)
+
+
+def test_review_held_without_status_is_published(spark):
+    """A review that the cache holds without a status does not approve: its row ends as NEEDS_REVIEW instead of nowhere."""
+    none = "cast(array() as array<struct<type:string,severity:string,message:string>>)"
+    told = {n: F.expr(f"named_struct('status', 'FAIL', 'score', 0.7D, '{n}', {none}, 'failed_checks', cast(array() as array<string>))") for n in ("errors", "issues")}
+    models = assurance.Models(
+        critic=lambda d: d.withColumn("review", told["errors"]), repair=lambda d: d.withColumn("repaired", F.col("source_text")), style=lambda d: d.withColumn("style", told["issues"]),
+        rewrite=lambda d: d.withColumn("rewritten", F.lit("")), compare=lambda d: d.withColumns({"first": F.lit("TIE"), "second": F.lit("TIE")}),
+    )
+    policy = assurance.Policy(language="en")
+    rows = spark.createDataFrame([("n0", "Plain.", "Plain.", "paragraph", 0, 0, False), ("n1", "Fine.", "Fine.", "paragraph", 0, 0, False)], "node_id string, source_text string, candidate string, kind string, previous_repairs int, entities int, trusted boolean")
+    cache = assurance.signed(rows.where("node_id = 'n1'"), policy).select("*", F.lit(None).cast("string").alias("status"), F.lit(0.7).alias("score"), F.lit(0.1).alias("risk"), F.lit("LOW").alias("level"), F.array().cast(assurance.ERRORS).alias("errors"), F.lit(False).alias("stale"))
+    locked = spark.createDataFrame([("Rome", "Roma")], "source_key string, target string")
+    out = assurance.publish(rows, models, locked, policy, cache).collect()
+    assert {r["node_id"]: (r["publication"], r["text"], r["rewrites"]) for r in out} == {"n0": ("NEEDS_REVIEW", "Plain.", 1), "n1": ("NEEDS_REVIEW", "Fine.", 0)}
