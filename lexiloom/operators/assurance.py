@@ -128,8 +128,10 @@ def _evaluated(rows: DataFrame, models: Models, p: Policy, cache: DataFrame | No
         seen = seen.join(live, ["node_id", "signature"], "left")
     usable = F.col("held").isNotNull() & _clean("found") & ~F.lit(force)
     route = F.when(~goes, "ENDED").when(~_clean("found") & ~asked, "GATE").when(usable, "CACHE").when(~asked, "LOW_RISK").otherwise("CRITIC")
-    state = staged(seen.withColumn("route", route).withColumn(GOING, F.col("route") == "CRITIC"), "assurance")
-    tables = [state]
+    state = seen.withColumn("route", route).withColumn(GOING, F.col("route") == "CRITIC")
+    tables = []
+    if not once or not force:  # else every row goes on, and the critic takes it as it comes
+        tables.append(state := staged(state, "assurance"))
 
     def settled(df: DataFrame, **cols: Column) -> DataFrame:
         known = {"candidate": F.col("candidate"), "risk": F.col("risk"), "level": F.col("level"), "signature": F.col("signature"), "score": F.lit(None), "repairs": F.lit(0), "calls": F.lit(0), "from_cache": F.lit(False), "errors": _none()} | cols
@@ -139,13 +141,14 @@ def _evaluated(rows: DataFrame, models: Models, p: Policy, cache: DataFrame | No
     held = F.col("held")
     gate_, cached = F.col("route") == "GATE", F.col("route") == "CACHE"
     of_cache = {c: F.when(cached, held[c]).otherwise(F.col(c)) for c in ("risk", "level")}
-    out = [
-        settled(
+    out = []
+    if tables:
+        ended_here = settled(
             state.where(f"not {GOING}"), approved=F.when(cached, held["status"].isin("PASS", "NOT_REQUIRED")).otherwise(~gate_), status=F.when(cached, held["status"]).when(gate_, "FAIL").otherwise("NOT_REQUIRED"),
             score=F.when(cached, held["score"]), errors=F.when(cached, held["errors"]).when(gate_, F.col("found")).otherwise(_none()), from_cache=cached, **of_cache,
-        )
-    ]
-    live = state.where(GOING).select(*carried, "candidate", "found", "signature")
+        )
+        out.append(ended_here)
+    live = (state.where(GOING) if tables else state).select(*carried, "candidate", "found", "signature")
     for i in range(p.repairs + 1):
         review = F.col("review")
         status = F.coalesce(review["status"], F.lit("ERROR"))
@@ -154,7 +157,7 @@ def _evaluated(rows: DataFrame, models: Models, p: Policy, cache: DataFrame | No
         end = F.when((status == "PASS") & clean, "PASS").when((status == "ERROR") | F.lit(i >= p.repairs), F.when(~clean, "FAIL").otherwise(status))
         done = models.critic(live).withColumn("end", end).withColumn("diagnostics", problems).drop("found")
         done = staged(sourced(done, F.col("end").isNull()).withColumn(GOING, F.col("end").isNull()), "reviewed")
-        if once:
+        if once and tables:
             spent(tables[-1])
         tables.append(done)
         out.append(settled(done.where(f"not {GOING}"), approved=F.col("end") == "PASS", status=F.col("end"), errors=F.when(F.col("end") == "PASS", _none()).otherwise(F.col("diagnostics")), score=review["score"], repairs=F.lit(i), calls=F.lit(i + 1)))
@@ -250,8 +253,8 @@ def publish(rows: DataFrame, models: Models, locked: DataFrame, p: Policy = Poli
     told, tables = _evaluated(going, models, Policy(**{**p.__dict__, "repairs": 0}), None, True, (*base[1:], "original"), once=True)
     spent(written)
     told = told.select(*base, "original", "candidate", F.col("candidate").alias("rewritten"), F.col("approved").alias("meant"), "status", F.col("errors").alias("found"), "calls")
-    checked = _gated(names_lost(reviewed_style(told, models, p), locked), p, name="gate")
-    good = _clean("gate") & ~F.col("broken") & F.col("meant") & passes
+    checked = names_lost(reviewed_style(told, models, p), locked)
+    good = ~F.col("broken") & F.col("meant") & passes  # what is meant has passed the gate
     of_rewrite = {"status": F.when(F.col("broken"), "FAIL").otherwise(F.col("status")), "errors": F.when(F.col("broken"), F.concat("found", name_lost.cast(ERRORS))).otherwise(F.col("found")), "calls": F.col("calls"), "style_status": style["status"], "style_score": style["score"], "rewrites": F.lit(1), "style_calls": F.lit(2)}
     rechecked = staged(parted(checked, good, (*base, "original", "rewritten", "candidate", "style", "broken", "found", "status", "calls"), ended(review, **of_rewrite)), "rechecked")
     gone(tables)
